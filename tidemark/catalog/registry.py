@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -78,6 +79,7 @@ def shape_check(sql: str, columns: str, views: list[str]) -> str:
 class Entry:
     run: Callable[[SparkSession, str], DataFrame]
     check: str | None
+    section: str = ""
 
 
 REGISTRY: dict[str, Entry] = {}
@@ -97,13 +99,11 @@ def register(key: str, columns: str, check: str | None = None):
             text = shape_check(check, columns, used)
         if key in REGISTRY:
             raise ValueError(f"{key} registered twice")
-        REGISTRY[key] = Entry(run, text)
+        REGISTRY[key] = Entry(run, text, fn.__module__.rsplit(".", 1)[-1])
         return fn
 
     return wrap
 
 
 def _mentions(text: str, word: str) -> bool:
-    import re
-
     return re.search(rf"\b{word}\b", text) is not None
