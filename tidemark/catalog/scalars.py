@@ -404,14 +404,14 @@ def quantile_buckets_query(i):
 
 
 @register(
-    "clip", "c_custkey floored:m capped both",
-    """SELECT c_custkey, GREATEST(c_acctbal, 0) AS floored, LEAST(c_nationkey, 4) AS capped, LEAST(GREATEST(c_nationkey, 2), 10) AS both
+    "clip", "c_custkey floored:m capped inside",
+    """SELECT c_custkey, GREATEST(c_acctbal, 0) AS floored, LEAST(c_nationkey, 4) AS capped, LEAST(GREATEST(c_nationkey, 2), 10) AS inside
        FROM customer""",
 )
 def clip(i):
     return i.customer.select(
         "c_custkey", scalar.clip(F.col("c_acctbal"), low=0.0).alias("floored"), scalar.clip(F.col("c_nationkey"), high=4).alias("capped"),
-        scalar.clip(F.col("c_nationkey"), 2, 10).alias("both"),
+        scalar.clip(F.col("c_nationkey"), 2, 10).alias("inside"),
     )
 
 
@@ -482,29 +482,21 @@ APPLICATION = T.StructType(
 
 @register(
     "json_explode_applicants", "order_id first_name:s addresses_ownership_type:s zip_code:s rent:m",
-    """SELECT l_orderkey AS order_id, lower(concat('P', CAST(l_partkey AS VARCHAR))) AS first_name,
-       lower(l_linestatus) AS addresses_ownership_type, lower(o_orderpriority) AS zip_code, o_totalprice AS rent
-       FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-       UNION ALL SELECT o_orderkey, NULL, NULL, lower(o_orderpriority), o_totalprice FROM orders
-       WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)""",
+    """SELECT o_orderkey AS order_id, first_name, CASE WHEN first_name IS NOT NULL THEN lower(o_orderstatus) END
+         AS addresses_ownership_type, lower(o_orderpriority) AS zip_code, o_totalprice AS rent
+       FROM orders LEFT JOIN (VALUES (1, 'anna'), (2, 'anna'), (2, 'bo')) a(n, first_name) ON n = o_custkey % 3""",
 )
 def json_explode_applicants(i):
     address = F.array(
-        F.struct(F.col("l_returnflag").alias("ownershipType")), F.struct(F.col("l_linestatus").alias("ownershipType"))
+        F.struct(F.col("o_orderpriority").alias("ownershipType")), F.struct(F.col("o_orderstatus").alias("ownershipType"))
     )
-    # An application is one order with a handful of line items.
-    applicants = i.lineitem.groupBy("l_orderkey").agg(
-        F.collect_list(
-            F.struct(F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("firstName"), address.alias("addresses"))
-        ).alias("applicants")
-    )
-    rows = i.orders.join(applicants, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    people = F.slice(F.array(F.lit("Anna"), F.lit("Bo")), 1, (F.col("o_custkey") % 3).cast("int"))
     body = F.struct(
-        F.coalesce("applicants", F.array()).alias("applicants"),
+        F.transform(people, lambda p: F.struct(p.alias("firstName"), address.alias("addresses"))).alias("applicants"),
         F.struct(F.col("o_orderpriority").alias("zipCode")).alias("property"),
         F.struct(F.col("o_totalprice").alias("rent")).alias("expenses"),
     )
-    rows = rows.select(F.col("o_orderkey").alias("order_id"), F.to_json(F.struct(body.alias("leaseApplication"))).alias("raw"))
+    rows = i.orders.select(F.col("o_orderkey").alias("order_id"), F.to_json(F.struct(body.alias("leaseApplication"))).alias("raw"))
     return jsonfn.json_explode_applicants(rows, "raw", APPLICATION)
 
 

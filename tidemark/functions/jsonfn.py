@@ -35,13 +35,17 @@ def json_expand(
     return parsed.select(*kept, *[v.alias(n) for n, v in new.items()])
 
 
+def _child(get, key):
+    return lambda v: get(v.getField(key))
+
+
 def _leaves(kind: T.DataType, prefix: str = "") -> list[tuple[str, Callable[[Column], Column]]]:
     """Leaf names of a type, each with a function from the value to the leaf."""
     if isinstance(kind, T.StructType):
         out = []
         for f in kind.fields:
             for name, get in _leaves(f.dataType, f"{prefix}{camel_to_snake(f.name)}_"):
-                out.append((name, lambda v, get=get, key=f.name: get(v.getField(key))))
+                out.append((name, _child(get, f.name)))
         return out
     if isinstance(kind, T.ArrayType):
         # Of a list, the last element that has the leaf gives its value.

@@ -35,11 +35,11 @@ def maturity_runway(df: DataFrame, last_seen: str, asof: Column, label_days: int
 
 
 def chrono_quantile_split(df: DataFrame, key: str, ts: str, q: float = 0.85) -> DataFrame:
-    """Add ``window``: 'past' for keys that start before the q-quantile of starts, else 'oot'."""
+    """Add ``side``: 'past' for keys that start before the q-quantile of starts, else 'oot'."""
     starts = df.groupBy(key).agg(F.min(micros(ts)).alias("__start"))
     at = exact_quantiles(starts.withColumn("__v", F.col("__start").cast("double")), [], "__v", [q])
     side = starts.withColumn(
-        "window", F.when(F.col("__start") < at.select("q").scalar(), "past").otherwise("oot")
+        "side", F.when(F.col("__start") < at.select("q").scalar(), "past").otherwise("oot")
     ).drop("__start")
     return df.join(side, key)
 
@@ -51,8 +51,8 @@ def asof_split(df: DataFrame, asof: Column, end: Column) -> DataFrame:
     """
     ts = F.col("transaction_datetime")
     past = (F.col("resolved_at") < asof) & (F.col("invoice_last_txn") < asof) & (ts < asof)
-    window = F.when(past, "past").when((ts >= asof) & (ts < end), "oot")
-    return df.withColumn("window", window).filter("window IS NOT NULL")
+    side = F.when(past, "past").when((ts >= asof) & (ts < end), "oot")
+    return df.withColumn("side", side).filter("side IS NOT NULL")
 
 
 def hash_split(df: DataFrame, key: str, salt: str = ORDER_SALT, out: str = "split") -> DataFrame:
