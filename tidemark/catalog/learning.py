@@ -1 +1,182 @@
-"""Section."""
+"""Training, calibration, scoring and what explains them. Fitted models have no SQL counterpart."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.catalog.registry import register
+from tidemark.operators import evaluation as ev
+from tidemark.operators import splits
+from tidemark.plans import attempts, scoring
+from tidemark.session import ensure_checkpoint_dir
+from tidemark.sources.scratch import scratch_folder
+
+ROLES = scoring.FeatureRoles(["score", "retries"], ["segment_code", "partner"], ["processor"])
+FAST = {"max_iter": 5, "depth": 3}
+
+
+def training_rows(i):
+    """Labelled rows with a number that carries signal, categories, a text and a stable split."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    rows = i.scored.join(
+        i.events.select(
+            F.col("event_id").alias("row_id"), (k % 8).alias("retries"), F.concat(F.lit("P"), (k % 7).cast("string")).alias("partner"),
+            F.when(k % 2 == 0, "x-TRX1 gateway").otherwise("y-ADYEN2 gateway").alias("processor"),
+        ),
+        "row_id",
+    ).withColumn("segment_code", F.col("segment"))
+    return splits.hash_split(rows, "row_id")
+
+
+def scorer(i):
+    return scoring.train_scorer(training_rows(i), ROLES, "label", **FAST)
+
+
+@register("replay_spec", "row_id segment_code_mean:d partner_mean:d retries")
+def replay_spec(i):
+    rows = training_rows(i)
+    pre = scoring.fit_preprocessor(rows.filter("split = 'train'"), ROLES, "label")
+    return pre.apply(rows.filter("split <> 'train'"))
+
+
+@register(
+    "encode", "feature:s value:s mean:d",
+    """WITH t AS (SELECT *, concat('P', CAST(CAST(json_extract_string(props, '$.k') AS INT) % 7 AS VARCHAR)) AS partner
+           FROM v_scored JOIN events ON event_id = row_id
+           WHERE CAST(('0x' || left(md5(concat('retry_cutoff_v1:', CAST(row_id AS VARCHAR))), 16)) AS UBIGINT) / 18446744073709551616.0 < 0.75),
+         p AS (SELECT AVG(label) AS prior FROM t),
+         c AS (SELECT 'segment_code' AS feature, segment AS value, label FROM t UNION ALL SELECT 'partner', partner, label FROM t),
+         n AS (SELECT feature, value, COUNT(*) AS n FROM c GROUP BY 1, 2),
+         r AS (SELECT c.feature, CASE WHEN n >= 50 THEN c.value ELSE '__RARE__' END AS value, label
+               FROM c JOIN n ON c.feature = n.feature AND c.value = n.value)
+       SELECT feature, value, (SUM(label) + 20 * MAX(prior)) / (COUNT(*) + 20) AS mean FROM r, p GROUP BY 1, 2""",
+)
+def encode(i):
+    return scoring.fit_preprocessor(training_rows(i).filter("split = 'train'"), ROLES, "label").means
+
+
+@register("train_gbt_classifier", "split:s n_rows auc:d log_loss:d brier:d")
+def train_gbt_classifier(i):
+    rows = training_rows(i)
+    model = scoring.train_scorer(rows, ROLES, "label", **FAST)
+    return ev.eval_split(model.score(rows), "success_prob", "label", "split")
+
+
+@register("isotonic_calibrate", "raw_score:d success_prob:d n")
+def isotonic_calibrate(i):
+    scored = scorer(i).score(training_rows(i).filter("split = 'calib'"))
+    return scored.groupBy("raw_score", "success_prob").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register(
+    "score_batch",
+    "order_id:s invoice_id:s transaction_id:s is_cutoff_early cutoff_datetime:t cut_off_at_retry current_cltv:m random_selection",
+)
+def score_batch(i):
+    # The artifact goes through the shared folder, as it does between the training and the scoring job.
+    path = scratch_folder(i.spark, "artifact")
+    scoring.save_artifact(scorer(i), path, {"threshold": 0.05})
+    model, spec = scoring.load_artifact(i.spark, path)
+    extra = training_rows(i).select(F.col("row_id").alias("transaction_id"), "score", "segment_code", "partner", "processor")
+    rows = attempts.scored_attempts(i.attempt).join(extra, "transaction_id")
+    return scoring.score_batch(model, rows, F.expr("TIMESTAMP_NTZ '2024-02-01 00:00:00'"), spec["threshold"])
+
+
+SCORED = "(SELECT row_id, score FROM v_scored)"
+
+
+@register(
+    "score_leads", "row_id percentile_rank:d recommended_action:s confidence_tier:s",
+    f"""WITH r AS (SELECT *, (RANK() OVER (ORDER BY score) + (COUNT(*) OVER (PARTITION BY score) - 1) / 2) / (COUNT(*) OVER ()) * 100
+          AS percentile_rank FROM {SCORED})
+        SELECT *, CASE WHEN score <= (SELECT quantile_cont(score, 0.25) FROM r) THEN 'REJECT' ELSE 'ACCEPT' END AS recommended_action,
+          CASE WHEN percentile_rank <= 10 THEN 'Very Low' WHEN percentile_rank <= 25 THEN 'Low' WHEN percentile_rank <= 50 THEN 'Medium'
+            WHEN percentile_rank <= 75 THEN 'High' ELSE 'Very High' END AS confidence_tier FROM r""",
+)
+def score_leads(i):
+    return scoring.score_leads(i.scored.select("row_id", "score"), "score")
+
+
+@register(
+    "score_summary", "total rejected accepted rejection_threshold:d",
+    f"""WITH c AS (SELECT quantile_cont(score, 0.25) AS q FROM {SCORED})
+        SELECT COUNT(*) AS total, COUNT(*) FILTER (score <= q) AS rejected, COUNT(*) FILTER (score > q) AS accepted,
+          MAX(CASE WHEN score <= q THEN score END) AS rejection_threshold FROM {SCORED}, c""",
+)
+def score_summary(i):
+    return scoring.score_summary(scoring.score_leads(i.scored.select("row_id", "score"), "score"), "score")
+
+
+@register(
+    "score_hard_label", "row_id at_half at_040",
+    f"SELECT row_id, CAST(score >= 0.5 AS INT) AS at_half, CAST(score >= 0.4 AS INT) AS at_040 FROM {SCORED}",
+)
+def score_hard_label(i):
+    s = F.col("score")
+    return i.scored.select("row_id", scoring.hard_label(s).alias("at_half"), scoring.hard_label(s, 0.4).alias("at_040"))
+
+
+@register("bottom_percentile_train", "iteration auc:d precision:d fn tn")
+def bottom_percentile_train(i):
+    ensure_checkpoint_dir(i.spark)
+    rows = training_rows(i).withColumn("split", F.when(F.col("split") == "train", "train").otherwise("test"))
+    pre = scoring.fit_preprocessor(rows.filter("split = 'train'"), ROLES, "label")
+    _, history = scoring.bottom_percentile_train(pre.apply(rows), pre, "label", "row_id", **FAST)
+    return i.spark.createDataFrame(history, "iteration int, auc double, precision double, fn long, tn long")
+
+
+@register("permutation_importance", "feature:s importance:d is_toxic")
+def permutation_importance(i):
+    rows = training_rows(i)
+    model = scoring.train_scorer(rows, ROLES, "label", **FAST)
+    held = model.pre.apply(rows.filter("split = 'random_test'")).withColumn("order", F.xxhash64("row_id", F.lit(42)))
+    return scoring.permutation_importance(model.trees, held, model.pre.inputs(), "label", ["order", "row_id"])
+
+
+COEF = {"transaction_amount": 0.02, "retries": -0.4, "offer_amount": 0.01}
+
+
+@register(
+    "attribution_summary", "feature:s mean_abs:d share:d direction:s",
+    "WITH a AS (SELECT *, COALESCE(retries, -1) AS r0 FROM v_attempt), s AS ("
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, AVG(abs({w} * ({e} - (SELECT AVG({e}) FROM a)))) AS mean_abs, "
+        f"'{'raises' if w > 0 else 'lowers'}' AS direction FROM a"
+        for c, w, e in (("transaction_amount", 0.02, "transaction_amount"), ("retries", -0.4, "r0"), ("offer_amount", 0.01, "offer_amount"))
+    )
+    + ") SELECT *, mean_abs / (SELECT SUM(mean_abs) FROM s) AS share FROM s",
+)
+def attribution_summary(i):
+    rows = i.attempt.fillna(-1, ["retries"])
+    means = rows.agg(*[F.avg(c).alias(c) for c in COEF]).first().asDict()
+    return ev.attribution_summary(ev.linear_contributions(rows, COEF, means, "transaction_id"))
+
+
+@register("attribution_exactness", "feature:s mean_abs:d share:d direction:s is_exact")
+def attribution_exactness(i):
+    rows = training_rows(i).withColumn("retries", F.coalesce("retries", F.lit(-1)))
+    contributions, error = scoring.linear_attribution(rows, ["score", "retries"], "label", "row_id")
+    exact = (error.select("max_error").scalar() < 1e-6).cast("int")
+    return ev.attribution_summary(contributions).withColumn("is_exact", exact)
+
+
+CALLS = {"folds": 3, "max_iter": 5, "depth": 3}
+
+
+@register("daily_forecast", "date:D predicted_calls:d")
+def daily_forecast(i):
+    return scoring.daily_forecast(i.daily_call, i.order_item, **CALLS).future
+
+
+@register("train_gbt_regressor", "fold n bias:d mae:d mae_share:d")
+def train_gbt_regressor(i):
+    table = scoring.call_features(scoring.daily_table(i.daily_call, i.order_item))
+    clean = splits.linear_recency_weight(scoring.calls.clean_rows(table), ["date"])
+    predictions, _ = scoring.walk_forward(clean, folds=2, test=60, val=30, max_iter=5, depth=3)
+    return ev.regression_errors(predictions, "actual_calls", "predicted_calls", ["fold"])
+
+
+@register("avg_best_iteration_refit", "date:D actual_calls predicted_calls:d trees")
+def avg_best_iteration_refit(i):
+    result = scoring.daily_forecast(i.daily_call, i.order_item, **CALLS)
+    return result.holdout.withColumn("trees", F.lit(result.trees))
