@@ -79,7 +79,7 @@ def head_tail_extremes(i):
 )
 def bucket_order(i):
     rows = i.attempt.withColumn("amount", F.when(F.col("retries").isNotNull(), F.col("transaction_amount")))
-    rows = rows.withColumn("y", F.when(attempts.ACCEPTED, 1).otherwise(0))
+    rows = rows.withColumn("y", F.when(attempts.accepted(), 1).otherwise(0))
     report = evaluation.attribute_conversion(rows, ["amount"], [], "y", F.lit(False), bins=4)
     return report.orderBy("attribute", "bucket_idx")
 

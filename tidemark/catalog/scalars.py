@@ -11,7 +11,10 @@ from tidemark.operators.evaluation import quantile_buckets
 from tidemark.plans import calls
 from tidemark.sources.synthetic import USER_AGENTS, agent_of
 
-TODAY = F.lit("2002-01-15").cast("date")
+def today():
+    return F.lit("2002-01-15").cast("date")
+
+
 TODAY_SQL = "DATE '2002-01-15'"
 
 
@@ -197,7 +200,7 @@ def datediff_day(i):
         CASE WHEN date_diff('month', request_datetime, {TODAY_SQL}) <= 6 THEN 1 ELSE 0 END AS recent FROM v_lead""",
 )
 def datediff_month(i):
-    months = timefn.month_boundaries(F.col("request_datetime"), TODAY)
+    months = timefn.month_boundaries(F.col("request_datetime"), today())
     return i.lead.select("jluvr", months.alias("months"), (months <= 6).cast("int").alias("recent"))
 
 
@@ -244,8 +247,8 @@ def date_shift(i):
 def age_years(i):
     birth = F.col("call_date")
     return i.daily_call.select(
-        "call_id", timefn.age_by_birthday(birth, TODAY).alias("by_birthday"), timefn.age_by_days(birth, TODAY).alias("by_days"),
-        timefn.age_by_year(F.year(birth), TODAY).alias("by_year"),
+        "call_id", timefn.age_by_birthday(birth, today()).alias("by_birthday"), timefn.age_by_days(birth, today()).alias("by_days"),
+        timefn.age_by_year(F.year(birth), today()).alias("by_year"),
     )
 
 
@@ -385,7 +388,7 @@ def tier_by_cutpoints(i):
 )
 def open_bins(i):
     rows = i.credit_response.join(i.customer, F.col("person_id") == F.col("c_custkey"))
-    age = timefn.age_by_year(F.col("birth_year"), TODAY)
+    age = timefn.age_by_year(F.col("birth_year"), today())
     return rows.select(
         "person_id", scalar.open_bins(age, scalar.AGE_BOUNDS).alias("as_is"),
         scalar.open_bins(age, scalar.AGE_BOUNDS, strict_gaps=False).alias("fixed"),

@@ -25,7 +25,10 @@ from tidemark.operators.ordered import (
     running_sum,
 )
 
-ACCEPTED = F.col("transaction_status") == "accepted"
+def accepted() -> Column:
+    return F.col("transaction_status") == "accepted"
+
+
 ATTEMPT_ORDER = ["transaction_datetime", "transaction_id"]
 EIGHT_DAYS = TimeRange(8 * DAY_US, SECOND_US, closed_end=True)
 
@@ -71,8 +74,8 @@ def invoice_summary(base: DataFrame) -> DataFrame:
     return base.groupBy("order_id", "invoice_id").agg(
         F.min("transaction_datetime").alias("invoice_start_time"),
         F.max("retries").alias("invoice_max_retries"),
-        F.max(ACCEPTED.cast("int")).alias("is_eventually_successful"),
-        F.max((ACCEPTED & (F.col("retries") == 0)).cast("int")).alias("is_success_on_retry_0"),
+        F.max(accepted().cast("int")).alias("is_eventually_successful"),
+        F.max((accepted() & (F.col("retries") == 0)).cast("int")).alias("is_success_on_retry_0"),
     )
 
 
@@ -114,7 +117,7 @@ def attempt_sequence(base: DataFrame, history: DataFrame, skew: KeySkew | None =
         base, ["order_id"], ATTEMPT_ORDER,
         {
             "max_retry_in_order": running_max(F.col("retries"), inclusive=True),
-            "historical_collected_amount": running_sum(F.when(ACCEPTED, F.col("transaction_amount")).otherwise(0.0)),
+            "historical_collected_amount": running_sum(F.when(accepted(), F.col("transaction_amount")).otherwise(0.0)),
         },
         skew,
     )
@@ -137,7 +140,7 @@ def trial_money(fact: DataFrame, live_orders: DataFrame) -> DataFrame:
         fact.filter(F.col("invoice_type").like("%trial%"))
         .join(live_orders, "order_id", "left_semi")
         .groupBy("order_id")
-        .agg(F.sum(F.when(ACCEPTED, F.col("transaction_amount")).otherwise(0.0)).alias("trial_collected_amount"))
+        .agg(F.sum(F.when(accepted(), F.col("transaction_amount")).otherwise(0.0)).alias("trial_collected_amount"))
     )
 
 
@@ -152,7 +155,7 @@ def latest_attempt(rows: DataFrame, key: str = "invoice_id") -> DataFrame:
 def success_rate_8d(base: DataFrame, key: str, out: str, targets: DataFrame | None = None) -> DataFrame:
     """Accepted share of the key's attempts in the eight days up to one second before each attempt."""
     rates = rolling_ranges(
-        base, [key], "transaction_datetime", ACCEPTED.cast("long"), {"__r": EIGHT_DAYS}, targets
+        base, [key], "transaction_datetime", accepted().cast("long"), {"__r": EIGHT_DAYS}, targets
     )
     return rates.withColumn(out, F.try_divide(F.col("__r_s"), F.col("__r_n"))).drop("__r_n", "__r_s")
 
@@ -177,7 +180,7 @@ def attempt_features(fact: DataFrame, bin_tier: DataFrame, asof: Column, since:
     history = order_history(invoice_summary(base), skew)
     rows = attempt_sequence(base, history, skew)
     scored = latest_attempt(rows.join(live.select("order_id", "invoice_id"), ["order_id", "invoice_id"], "left_semi"))
-    scored = scored.filter(~ACCEPTED)
+    scored = scored.filter(~accepted())
     # The rates read the whole history but are only asked for the rows that are scored.
     for key, out in RATES.items():
         scored = success_rate_8d(base, key, out, scored)
@@ -213,8 +216,8 @@ def attempt_features(fact: DataFrame, bin_tier: DataFrame, asof: Column, since:
 def scored_attempts(fact: DataFrame) -> DataFrame:
     """Visible attempts with the outcome of their invoice and the money collected before them."""
     base = fact.filter(extract_filter())
-    label = base.groupBy("order_id", "invoice_id").agg(F.max(ACCEPTED.cast("int")).alias("is_eventually_successful"))
-    paid = F.when(ACCEPTED, F.col("transaction_amount")).otherwise(0.0)
+    label = base.groupBy("order_id", "invoice_id").agg(F.max(accepted().cast("int")).alias("is_eventually_successful"))
+    paid = F.when(accepted(), F.col("transaction_amount")).otherwise(0.0)
     rows = prefix_scan(base, ["order_id"], ATTEMPT_ORDER, {"__paid": running_sum(paid)})
     return (
         rows.withColumn("historical_collected_amount", F.coalesce("__paid", F.lit(0.0)))
@@ -233,7 +236,7 @@ def invoice_resolution(attempts: DataFrame, days: int = 30) -> DataFrame:
         F.min("transaction_datetime").alias("invoice_start"),
         F.max("transaction_datetime").alias("invoice_last_txn"),
         F.max("is_eventually_successful").alias("is_eventually_successful"),
-        F.min(F.when(ACCEPTED, F.col("transaction_datetime"))).alias("__paid_at"),
+        F.min(F.when(accepted(), F.col("transaction_datetime"))).alias("__paid_at"),
     )
     late = F.col("invoice_start") + F.make_dt_interval(F.lit(days))
     return out.withColumn(

@@ -19,7 +19,10 @@ from tidemark.functions.timefn import (
     us_holidays,
 )
 
-BY_DATE = Window.partitionBy().orderBy("date")
+def by_date():
+    """One row per day, so the whole calendar is one small window."""
+    return Window.partitionBy().orderBy("date")
+
 
 
 def spine(df: DataFrame, date: str, ahead: int = 0) -> DataFrame:
@@ -58,8 +61,8 @@ def calendar_flags(calendar: DataFrame) -> DataFrame:
 
 def flag_distances(calendar: DataFrame) -> DataFrame:
     """Last and next billing day and holiday around each day, the day itself included."""
-    past = BY_DATE.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = BY_DATE.rowsBetween(0, Window.unboundedFollowing)
+    past = by_date().rowsBetween(Window.unboundedPreceding, 0)
+    ahead = by_date().rowsBetween(0, Window.unboundedFollowing)
     new = {}
     for flag, name in (("is_billing_day", "billing"), ("is_holiday", "holiday")):
         day = F.when(F.col(flag) == 1, F.col("date"))
@@ -83,7 +86,7 @@ def days_since_until(calendar: DataFrame, near: int = 2) -> DataFrame:
 
 def gap_average(column: str, rows: int, gap: int) -> Column:
     """Mean of ``rows`` days that end ``gap`` days before the current one."""
-    return F.avg(column).over(BY_DATE.rowsBetween(-(gap + rows - 1), -gap))
+    return F.avg(column).over(by_date().rowsBetween(-(gap + rows - 1), -gap))
 
 
 def count_calls(calls: DataFrame, date: str = "call_date") -> DataFrame:
@@ -118,15 +121,15 @@ def daily_feature_table(
     days = days_since_until(flag_distances(calendar_flags(spine(per_day, "date", ahead))))
     df = days.join(per_day, "date", "left").join(txn, "date", "left").join(m0, "date", "left")
 
-    new = {f"{c}_{horizon}d_ago": F.lag(c, horizon).over(BY_DATE) for c in VOLUMES}
+    new = {f"{c}_{horizon}d_ago": F.lag(c, horizon).over(by_date()) for c in VOLUMES}
     for c in VOLUMES:
         new[f"rolling_avg_{c.removeprefix('num_')}_3d"] = gap_average(c, 3, horizon)
-    new[f"calls_{horizon}d_ago"] = F.lag("num_calls", horizon).over(BY_DATE)
+    new[f"calls_{horizon}d_ago"] = F.lag("num_calls", horizon).over(by_date())
     for name, rows in (("3d", 3), ("7d", week), ("30d", 30)):
         new[f"rolling_avg_calls_{name}"] = gap_average("num_calls", rows, horizon)
     if horizon == 14:
         new["dow_historical_ratio_14d"] = null_safe_ratio(
-            F.lag("num_calls", 14).over(BY_DATE), gap_average("num_calls", 7, 14)
+            F.lag("num_calls", 14).over(by_date()), gap_average("num_calls", 7, 14)
         )
     return df.withColumns(new).drop(*VOLUMES)
 
@@ -138,7 +141,7 @@ def ratio_target(df: DataFrame, plus_one_back: bool = False) -> DataFrame:
     ``plus_one_back`` marks the symmetric variant for ``ratio_to_calls``.
     """
     anchor = F.col("rolling_avg_calls_7d")
-    lagged = F.lag("rolling_avg_calls_7d", 14).over(BY_DATE)
+    lagged = F.lag("rolling_avg_calls_7d", 14).over(by_date())
     return df.withColumns(
         {
             "anchor_7d": anchor,
