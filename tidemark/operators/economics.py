@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import clip
 from tidemark.operators.evaluation import join_keys
-from tidemark.operators.ordered import prefix_scan, previous, running_count, running_max
+from tidemark.operators.ordered import KeySkew, prefix_scan, previous, quantile_columns, running_count, running_max
 
 # Cost of one retry, value cap, thresholds.
 RETRY_COST = 0.1
@@ -25,24 +25,34 @@ ROW = (
 )
 
 
-def attempts_remaining(df: DataFrame, bonus: int = 0, cap: int | None = None) -> DataFrame:
+def attempts_remaining(df: DataFrame, bonus: int = 0, cap: int | None = None, skew: KeySkew | None = None) -> DataFrame:
     """Attempts of the order from this one on, plus a bonus; with ``cap`` an order counts as ``cap`` attempts."""
-    scanned = prefix_scan(df, ["order_id"], ORDER, {"attempts_saved": running_count(inclusive=True)}, reverse=True)
     if cap is None:
-        return scanned.withColumn("attempts_saved", F.col("attempts_saved") + bonus)
-    scanned = prefix_scan(scanned, ["order_id"], ORDER, {"__before": running_count()})
+        scanned = prefix_scan(df, ["order_id"], ORDER, {"__left": running_count(inclusive=True)}, skew, reverse=True)
+        return scanned.withColumn("attempts_saved", F.col("__left") + bonus).drop("__left")
+    scanned = prefix_scan(df, ["order_id"], ORDER, {"__before": running_count()}, skew)
     return scanned.withColumn("attempts_saved", F.lit(cap) - F.col("__before") + bonus).drop("__before")
 
 
-def future_success(df: DataFrame) -> DataFrame:
+def future_success(df: DataFrame, skew: KeySkew | None = None) -> DataFrame:
     """1 if an invoice of the order at or after this attempt succeeds."""
-    return prefix_scan(
-        df, ["order_id"], ORDER,
-        {"future_success": running_max(F.col("is_eventually_successful"), inclusive=True)}, reverse=True,
-    )
+    return prefix_scan(df, ["order_id"], ORDER, {"future_success": _success_ahead()}, skew, reverse=True)
+
+
+def _success_ahead():
+    return running_max(F.col("is_eventually_successful"), inclusive=True)
 
 
-def cutoff_frame(pred: DataFrame, cltv: DataFrame, collected_offset: float = 1.0, bonus: int = 5, cap: int | None = None):
+def outlook(df: DataFrame, bonus: int = 0, skew: KeySkew | None = None) -> DataFrame:
+    """Attempts left and success ahead in one backward scan."""
+    scans = {"__left": running_count(inclusive=True), "future_success": _success_ahead()}
+    scanned = prefix_scan(df, ["order_id"], ORDER, scans, skew, reverse=True)
+    return scanned.withColumn("attempts_saved", F.col("__left") + bonus).drop("__left")
+
+
+def cutoff_frame(
+    pred: DataFrame, cltv: DataFrame, collected_offset: float = 1.0, bonus: int = 5, skew: KeySkew | None = None
+) -> DataFrame:
     """Scored attempts with order values. Orders without a value never signed up: real zeros.
     A missing projection stays null, so such an order is never cut."""
     hit = cltv.withColumn("__hit", F.lit(1))
@@ -54,13 +64,13 @@ def cutoff_frame(pred: DataFrame, cltv: DataFrame, collected_offset: float = 1.0
             "historical_collected_amount": F.col("historical_collected_amount") + collected_offset,
         }
     ).drop("__hit")
-    return future_success(attempts_remaining(df, bonus, cap))
+    return outlook(df, bonus, skew)
 
 
-def cutoff_frame_strict(pred: DataFrame, cltv: DataFrame) -> DataFrame:
+def cutoff_frame_strict(pred: DataFrame, cltv: DataFrame, skew: KeySkew | None = None) -> DataFrame:
     """Earlier policy: orders without both values are left out."""
     df = pred.join(cltv, "order_id").dropna(subset=["cltv_360", "ecltv_1y"])
-    return future_success(attempts_remaining(df))
+    return outlook(df, skew=skew)
 
 
 def first_cuts(frame: DataFrame, policies: dict[str, Column], row: tuple[str, ...] = ROW) -> DataFrame:
@@ -153,14 +163,13 @@ ABLATION_STEPS = [
 ]
 
 
-def ablation_frame(pred: DataFrame, cltv: DataFrame, cltv_raw: DataFrame) -> DataFrame:
+def ablation_frame(pred: DataFrame, cltv: DataFrame, cltv_raw: DataFrame, skew: KeySkew | None = None) -> DataFrame:
     """Scored attempts with both versions of the realised value and the order's highest retry."""
     raw = cltv_raw.select("order_id", F.col("cltv_360").alias("cltv_raw"))
     df = pred.join(cltv.withColumn("__hit", F.lit(1)), "order_id", "left").join(raw, "order_id", "left")
     df = df.withColumn("never_m0", F.col("__hit").isNull()).drop("__hit")
-    df = attempts_remaining(df)
     top = pred.groupBy("order_id").agg(F.max("retries").alias("order_max_retry"))
-    return future_success(df).join(top, "order_id")
+    return outlook(df, skew=skew).join(top, "order_id")
 
 
 def ablation(frame: DataFrame, threshold: float = 0.05, cap: float = VALUE_CAP) -> DataFrame:
@@ -290,8 +299,6 @@ def value_gap(pred: DataFrame, cltv: DataFrame) -> DataFrame:
 
 def audit_gap(gaps: DataFrame) -> DataFrame:
     """Distribution of the gap and the share above one cent."""
-    from tidemark.operators.ordered import quantile_columns
-
     quartiles = quantile_columns(gaps, [], "gap", {"q25": 0.25, "median": 0.5, "q75": 0.75})
     stats = gaps.agg(
         F.count("gap").alias("n"), F.avg("gap").alias("mean"), F.stddev_samp("gap").alias("std"),
@@ -356,7 +363,7 @@ def audit_label_truth(fact: DataFrame, visible: Column) -> DataFrame:
     )
 
 
-def invoice_timeline(pred: DataFrame) -> DataFrame:
+def invoice_timeline(pred: DataFrame, skew: KeySkew | None = None) -> DataFrame:
     """Per invoice its span, retries, label and money, and whether it starts before the previous one ended."""
     paid = F.col("transaction_status") == "accepted"
     inv = pred.groupBy("order_id", "invoice_id").agg(
@@ -364,7 +371,7 @@ def invoice_timeline(pred: DataFrame) -> DataFrame:
         F.max("retries").alias("max_retry"), F.max("is_eventually_successful").alias("label"),
         F.sum(F.when(paid, F.col("transaction_amount")).otherwise(0.0)).alias("collected"),
     )
-    inv = prefix_scan(inv, ["order_id"], ["first_txn", "invoice_id"], {"prev_last": previous(F.col("last_txn"))})
+    inv = prefix_scan(inv, ["order_id"], ["first_txn", "invoice_id"], {"prev_last": previous(F.col("last_txn"))}, skew)
     return inv.withColumn("overlaps_prev", F.coalesce(F.col("first_txn") < F.col("prev_last"), F.lit(False)).cast("int"))
 
 

@@ -245,43 +245,53 @@ def trailing_days(days: int) -> TimeRange:
     return TimeRange(days * DAY_US)
 
 
-def rolling_ranges(
+def range_totals(
     df: DataFrame, keys: list[str], ts: str, value: Column, ranges: dict[str, TimeRange],
-    targets: DataFrame | None = None,
+    targets: DataFrame | None = None, skew: KeySkew | None = None,
 ) -> DataFrame:
-    """Count and sum of ``value`` over time ranges before each row: ``<name>_n``, ``<name>_s``.
+    """Count and sum of ``value`` over time ranges before given points: (keys, __t, <name>_n, <name>_s).
 
     ``targets`` (with the same keys and time column) are the rows to answer for; by default
-    all rows of ``df``.
+    all rows of ``df``. One row per distinct (keys, instant); ``__t`` is the instant in microseconds.
 
     The rows are first added up per (key, instant). Each range is the difference of two
     running totals, read at probe points that mark its ends, so the cost does not grow with
     the length of the range and a key that holds most rows is scanned in blocks.
     """
-    rows = (df if targets is None else targets).withColumn("__t", micros(ts))
+    if skew is None:
+        # Every instant brings its own row and two probes per range.
+        limit = max(session_hot_rows(df.sparkSession) // (1 + 2 * len(ranges)), 1)
+        skew = measure_skew(df, keys, ts, limit)
     points = df.withColumn("__t", micros(ts)).groupBy(*keys, "__t").agg(
         F.count(value).alias("n"), F.sum(value).alias("s")
     )
     kind = points.schema["s"].dataType
-    asked = points.select(*keys, "__t") if targets is None else rows.select(*keys, "__t").distinct()
+    asked = points if targets is None else targets.withColumn("__t", micros(ts)).select(*keys, "__t").distinct()
     ends = []
     for name, r in ranges.items():
         for tag, offset, rank in ((f"{name}<", r.start_us, 0), (f"{name}>", r.end_us, 2 if r.closed_end else 0)):
             ends.append(
-                F.struct(
-                    (F.col("__t") - F.lit(offset)).alias("at"), F.lit(rank).alias("rank"), F.lit(tag).alias("tag"),
-                )
+                F.struct((F.col("__t") - F.lit(offset)).alias("at"), F.lit(rank).alias("rank"), F.lit(tag).alias("tag"))
             )
-    probes = asked.select(*keys, "__t", F.explode(F.array(*ends)).alias("p")).select(
-        *keys, "__t", "p.*", F.lit(0).cast("long").alias("n"), F.lit(0).cast(kind).alias("s")
-    )
-    data = points.select(
-        *keys, "__t", F.col("__t").alias("at"), F.lit(1).alias("rank"), F.lit("").alias("tag"), "n", "s"
-    )
-    marks = data.unionByName(probes)
+    probe = [F.lit(0).cast("long").alias("n"), F.lit(0).cast(kind).alias("s")]
+    if targets is None:
+        # Points and probes come from the same rows: one pass.
+        own = F.struct(F.col("__t").alias("at"), F.lit(1).alias("rank"), F.lit("").alias("tag"))
+        marks = points.withColumn("p", F.explode(F.array(own, *ends)))
+        data = F.col("p.tag") == ""
+        marks = marks.select(
+            *keys, "__t", "p.*", F.when(data, F.col("n")).otherwise(F.lit(0)).alias("n"),
+            F.when(data, F.col("s")).otherwise(F.lit(0)).cast(kind).alias("s"),
+        )
+    else:
+        data = points.select(
+            *keys, "__t", F.col("__t").alias("at"), F.lit(1).alias("rank"), F.lit("").alias("tag"), "n", "s"
+        )
+        probes = asked.withColumn("p", F.explode(F.array(*ends))).select(*keys, "__t", "p.*", *probe)
+        marks = data.unionByName(probes)
     totals = prefix_scan(
         marks, keys, ["at", "rank"],
-        {"cn": running_sum(F.col("n"), True), "cs": running_sum(F.col("s"), True)},
+        {"cn": running_sum(F.col("n"), True), "cs": running_sum(F.col("s"), True)}, skew,
     )
     picks = []
     for name in ranges:
@@ -289,15 +299,26 @@ def rolling_ranges(
             upper = F.max(F.when(F.col("tag") == f"{name}>", F.col(column)))
             lower = F.max(F.when(F.col("tag") == f"{name}<", F.col(column)))
             picks.append((F.coalesce(upper, F.lit(0)) - F.coalesce(lower, F.lit(0))).alias(f"{name}_{out}"))
-    stats = totals.filter("tag <> ''").groupBy(*keys, "__t").agg(*picks)
+    return totals.filter("tag <> ''").groupBy(*keys, "__t").agg(*picks)
+
+
+def at_instants(rows: DataFrame, keys: list[str], ts: str, stats: DataFrame) -> DataFrame:
+    """Attach a (keys, __t, ...) table to rows by key and instant; keys may be null."""
     stats = stats.withColumnsRenamed({k: f"__k_{k}" for k in [*keys, "__t"]})
     on = reduce(
         lambda a, b: a & b,
         [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys],
         F.col("__t") == F.col("__k___t"),
     )
-    out = rows.join(stats, on, "left")
-    return out.drop("__t", *[f"__k_{k}" for k in [*keys, "__t"]])
+    joined = rows.withColumn("__t", micros(ts)).join(stats, on, "left")
+    return joined.drop("__t", *[f"__k_{k}" for k in [*keys, "__t"]])
+
+
+def rolling_ranges(
+    df: DataFrame, keys: list[str], ts: str, value: Column, ranges: dict[str, TimeRange], skew: KeySkew | None = None
+) -> DataFrame:
+    """All rows with count and sum of ``value`` over time ranges before them: ``<name>_n``, ``<name>_s``."""
+    return at_instants(df, keys, ts, range_totals(df, keys, ts, value, ranges, skew=skew))
 
 
 # --------------------------------------------------------------------------- quantiles

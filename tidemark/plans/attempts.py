@@ -9,21 +9,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalar import processor_type
+from tidemark.functions.scalar import div0, processor_type
 from tidemark.functions.timefn import day_of_week_sunday0, days_between
 from tidemark.operators.ordered import (
     DAY_US,
     SECOND_US,
     KeySkew,
     TimeRange,
+    at_instants,
     measure_skew,
     prefix_scan,
     previous,
-    rolling_ranges,
+    range_totals,
     running_count,
     running_max,
     running_sum,
 )
+from tidemark.sources.scratch import staged
 
 def accepted() -> Column:
     return F.col("transaction_status") == "accepted"
@@ -127,6 +129,7 @@ def attempt_sequence(base: DataFrame, history: DataFrame, skew: KeySkew | None =
             "last_failure_datetime": previous(F.col("transaction_datetime")),
             "last_decline_code_raw": previous(F.col("decline_code")),
         },
+        measure_skew(base.select("invoice_id", "retries"), ["invoice_id"], "retries"),
     )
     rows = rows.withColumn("historical_collected_amount", F.coalesce("historical_collected_amount", F.lit(0.0)))
     # Joined on order and invoice: an invoice id shared by two orders must not multiply rows.
@@ -153,11 +156,9 @@ def latest_attempt(rows: DataFrame, key: str = "invoice_id") -> DataFrame:
 
 
 def success_rate_8d(base: DataFrame, key: str, out: str, targets: DataFrame | None = None) -> DataFrame:
-    """Accepted share of the key's attempts in the eight days up to one second before each attempt."""
-    rates = rolling_ranges(
-        base, [key], "transaction_datetime", accepted().cast("long"), {"__r": EIGHT_DAYS}, targets
-    )
-    return rates.withColumn(out, F.try_divide(F.col("__r_s"), F.col("__r_n"))).drop("__r_n", "__r_s")
+    """Accepted share of the key's attempts in the eight days up to one second before: (key, __t, out)."""
+    totals = range_totals(base, [key], "transaction_datetime", accepted().cast("long"), {"r": EIGHT_DAYS}, targets)
+    return totals.select(key, "__t", F.try_divide("r_s", "r_n").alias(out))
 
 
 RATES = {
@@ -173,17 +174,18 @@ UNKNOWN = (
 
 def attempt_features(fact: DataFrame, bin_tier: DataFrame, asof: Column, since: Column) -> DataFrame:
     """One row per live invoice in a declined state: everything known at its latest attempt."""
-    live = live_invoices(fact, asof, since)
+    live = staged(live_invoices(fact, asof, since), "live_invoices")
     live_orders = live.select("order_id").distinct()
-    base = base_transactions(fact, bin_tier, live_orders)
-    skew = measure_skew(fact.select("order_id", "transaction_datetime"), ["order_id"], "transaction_datetime")
-    history = order_history(invoice_summary(base), skew)
-    rows = attempt_sequence(base, history, skew)
-    scored = latest_attempt(rows.join(live.select("order_id", "invoice_id"), ["order_id", "invoice_id"], "left_semi"))
-    scored = scored.filter(~accepted())
-    # The rates read the whole history but are only asked for the rows that are scored.
+    # Seven steps below read the attempts of live orders: selected once, read by column after that.
+    base = staged(base_transactions(fact, bin_tier, live_orders), "base_transactions")
+    skew = order_skew(base)
+    rows = attempt_sequence(base, order_history(invoice_summary(base), skew), skew)
+    scored = latest_attempt(rows.join(live, ["order_id", "invoice_id"], "left_semi")).filter(~accepted())
+    # The rates read the whole history but are only asked for the instants that are scored.
+    keys = base.select("invoice_id", *ATTEMPT_ORDER, "transaction_status", *RATES)
+    asked = latest_attempt(keys).filter(~accepted())
     for key, out in RATES.items():
-        scored = success_rate_8d(base, key, out, scored)
+        scored = at_instants(scored, [key], "transaction_datetime", success_rate_8d(base, key, out, asked))
     scored = scored.join(trial_money(fact, live_orders), "order_id", "left")
 
     ts = F.col("transaction_datetime")
@@ -213,12 +215,17 @@ def attempt_features(fact: DataFrame, bin_tier: DataFrame, asof: Column, since:
     )
 
 
-def scored_attempts(fact: DataFrame) -> DataFrame:
+def order_skew(attempts: DataFrame) -> KeySkew:
+    """Orders with more attempts than one task should sort; one count over two columns."""
+    return measure_skew(attempts.select("order_id", "transaction_datetime"), ["order_id"], "transaction_datetime")
+
+
+def scored_attempts(fact: DataFrame, skew: KeySkew | None = None) -> DataFrame:
     """Visible attempts with the outcome of their invoice and the money collected before them."""
     base = fact.filter(extract_filter())
     label = base.groupBy("order_id", "invoice_id").agg(F.max(accepted().cast("int")).alias("is_eventually_successful"))
     paid = F.when(accepted(), F.col("transaction_amount")).otherwise(0.0)
-    rows = prefix_scan(base, ["order_id"], ATTEMPT_ORDER, {"__paid": running_sum(paid)})
+    rows = prefix_scan(base, ["order_id"], ATTEMPT_ORDER, {"__paid": running_sum(paid)}, skew)
     return (
         rows.withColumn("historical_collected_amount", F.coalesce("__paid", F.lit(0.0)))
         .drop("__paid")
@@ -253,8 +260,6 @@ def cltv_per_order(fact: DataFrame, ecltv: DataFrame, dedupe: bool = True) -> Da
 
     Without ``dedupe`` a repeated projection multiplies the realised value, as a plain join would.
     """
-    from tidemark.functions.scalar import div0
-
     if dedupe:
         ecltv = ecltv.groupBy("order_id").agg(F.max("cltv_pred_mean").alias("cltv_pred_mean"))
     rows = fact.filter("is_m0 = 1").join(ecltv, "order_id", "left")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import HashingTF, RegexTokenizer, VectorAssembler
@@ -169,7 +170,10 @@ def train_scorer(rows: DataFrame, roles: FeatureRoles, label: str, split: str =
     """Learn preprocessing on train, trees on train with early stopping on stop, calibration on calib."""
     pre = fit_preprocessor(rows.filter(F.col(split) == "train"), roles, label)
     ready = pre.apply(rows).withColumn("is_stop", F.col(split) == "stop")
-    trees = train_gbt_classifier(ready.filter(F.col(split).isin("train", "stop")), pre, label, **options)
+    # Boosting reads its rows once per tree level; kept on disk where memory is short.
+    fit_rows = ready.filter(F.col(split).isin("train", "stop")).persist(StorageLevel.MEMORY_AND_DISK)
+    trees = train_gbt_classifier(fit_rows, pre, label, **options)
+    fit_rows.unpersist()
     calib = raw_score(trees, ready.filter(F.col(split) == "calib"))
     return Scorer(pre, trees, isotonic_calibrate(calib, "raw_score", label))
 
@@ -242,13 +246,15 @@ def bottom_percentile_train(
     Keeps the round with the fewest positives at the bottom, then the best precision. ``rows`` are
     preprocessed and carry ``split`` train or test; test rows stop the training, as in a single hold-out.
     """
-    rows = rows.withColumn("is_stop", F.col("split") == "test")
+    rows = rows.withColumn("is_stop", F.col("split") == "test").persist(StorageLevel.MEMORY_AND_DISK)
     # Weights live in a small side table (id, weight) that each round writes anew and reads back.
     weights = rows.select(id_column).withColumn("weight", F.lit(1.0))
     best, best_key, history = None, None, []
     for n in range(rounds):
-        model = train_gbt_classifier(rows.join(weights, id_column), pre, label, weight="weight", **options)
-        scored = raw_score(model, rows)
+        weighted = rows.join(weights, id_column).persist(StorageLevel.MEMORY_AND_DISK)
+        model = train_gbt_classifier(weighted, pre, label, weight="weight", **options)
+        weighted.unpersist()
+        scored = raw_score(model, rows).persist(StorageLevel.MEMORY_AND_DISK)
         test = scored.filter("is_stop")
         cut = exact_quantiles(test, [], "raw_score", [target / 100]).first()["q"]
         low = F.col("raw_score") <= cut
@@ -266,6 +272,8 @@ def bottom_percentile_train(
             raised = hard_example_reweight(train, "raw_score", label, "weight", target + extra, target + extra + zone)
             kept = scored.filter("is_stop").select(id_column, F.lit(1.0).alias("weight"))
             weights = raised.select(id_column, "weight").unionByName(kept).checkpoint()
+        scored.unpersist()
+    rows.unpersist()
     return best, history
 
 
