@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog.registry import register
 from tidemark.operators import economics, splits
+from tidemark.operators.ordered import lookup_join, measure_skew
 from tidemark.plans import attempts, calls, forecast, leads
 
 VISIBLE = "retries IS NOT NULL AND transaction_type IN ('sale', 'capture') AND invoice_type NOT LIKE '%trial%'"
@@ -170,7 +171,8 @@ def lookup_back(i):
     times = i.attempt.groupBy("invoice_id").agg(
         F.min("transaction_datetime").alias("invoice_start"), F.max("transaction_datetime").alias("invoice_last")
     )
-    return i.attempt.join(times, "invoice_id")
+    skew = measure_skew(i.attempt.select("invoice_id", "transaction_datetime"), ["invoice_id"], "transaction_datetime")
+    return lookup_join(i.attempt, times, ["invoice_id"], skew)
 
 
 @register(

@@ -12,7 +12,16 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import clip
 from tidemark.operators.evaluation import join_keys
-from tidemark.operators.ordered import KeySkew, prefix_scan, previous, quantile_columns, running_count, running_max
+from tidemark.operators.ordered import (
+    KeySkew,
+    lookup_join,
+    measure_skew,
+    prefix_scan,
+    previous,
+    quantile_columns,
+    running_count,
+    running_max,
+)
 
 # Cost of one retry, value cap, thresholds.
 RETRY_COST = 0.1
@@ -55,8 +64,9 @@ def cutoff_frame(
 ) -> DataFrame:
     """Scored attempts with order values. Orders without a value never signed up: real zeros.
     A missing projection stays null, so such an order is never cut."""
-    hit = cltv.withColumn("__hit", F.lit(1))
-    df = pred.join(hit, "order_id", "left").withColumn("never_m0", F.col("__hit").isNull())
+    skew = measure_skew(pred, ["order_id"], ORDER[0]) if skew is None else skew
+    df = lookup_join(pred, cltv.withColumn("__hit", F.lit(1)), ["order_id"], skew)
+    df = df.withColumn("never_m0", F.col("__hit").isNull())
     df = df.withColumns(
         {
             "cltv_360": F.when(F.col("never_m0"), 0.0).otherwise(F.col("cltv_360")),
@@ -69,7 +79,8 @@ def cutoff_frame(
 
 def cutoff_frame_strict(pred: DataFrame, cltv: DataFrame, skew: KeySkew | None = None) -> DataFrame:
     """Earlier policy: orders without both values are left out."""
-    df = pred.join(cltv, "order_id").dropna(subset=["cltv_360", "ecltv_1y"])
+    skew = measure_skew(pred, ["order_id"], ORDER[0]) if skew is None else skew
+    df = lookup_join(pred, cltv, ["order_id"], skew, "inner").dropna(subset=["cltv_360", "ecltv_1y"])
     return outlook(df, skew=skew)
 
 
@@ -165,11 +176,14 @@ ABLATION_STEPS = [
 
 def ablation_frame(pred: DataFrame, cltv: DataFrame, cltv_raw: DataFrame, skew: KeySkew | None = None) -> DataFrame:
     """Scored attempts with both versions of the realised value and the order's highest retry."""
+    skew = measure_skew(pred, ["order_id"], ORDER[0]) if skew is None else skew
     raw = cltv_raw.select("order_id", F.col("cltv_360").alias("cltv_raw"))
-    df = pred.join(cltv.withColumn("__hit", F.lit(1)), "order_id", "left").join(raw, "order_id", "left")
-    df = df.withColumn("never_m0", F.col("__hit").isNull()).drop("__hit")
     top = pred.groupBy("order_id").agg(F.max("retries").alias("order_max_retry"))
-    return outlook(df, skew=skew).join(top, "order_id")
+    # One row per order from all three tables, then a single lookup.
+    values = top.join(cltv.withColumn("__hit", F.lit(1)), "order_id", "left").join(raw, "order_id", "left")
+    df = lookup_join(pred, values, ["order_id"], skew, "inner")
+    df = df.withColumn("never_m0", F.col("__hit").isNull()).drop("__hit")
+    return outlook(df, skew=skew)
 
 
 def ablation(frame: DataFrame, threshold: float = 0.05, cap: float = VALUE_CAP) -> DataFrame:

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from tidemark.operators.cleaning import long_form
 from tidemark.operators.ordered import (
     exact_quantiles,
+    lookup_join,
+    measure_skew,
     prefix_scan,
     running_sum,
 )
@@ -244,15 +246,16 @@ def bottom_percentile_table(df: DataFrame, score: str, label: str, percentiles=B
 def percentile_rank_pct(df: DataFrame, value: str, out: str = "percentile_rank") -> DataFrame:
     """Average rank of equal values as a percentage of all rows.
 
-    Ranks are computed per distinct value and joined back.
+    Ranks are computed per distinct value and looked up for each row.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
     ranked = prefix_scan(counts, [], ["__v"], {"__upto": running_sum(F.col("__c"), True)})
     n = counts.agg(F.sum("__c")).scalar()
     ranked = ranked.select(
-        "__v", ((F.col("__upto") - F.col("__c") + (F.col("__c") + 1) / 2) / n * 100).alias(out)
+        F.col("__v").alias(value), ((F.col("__upto") - F.col("__c") + (F.col("__c") + 1) / 2) / n * 100).alias(out)
     )
-    return df.join(ranked, df[value] == ranked["__v"], "left").drop("__v")
+    # A plateau of equal scores may hold most rows.
+    return lookup_join(df, ranked, [value], measure_skew(df.select(value), [value], value))
 
 
 def quantile_buckets(df: DataFrame, value: str, n: int, keys: list[str] = (), out: str = "bucket_idx") -> DataFrame:

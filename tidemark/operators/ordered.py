@@ -33,11 +33,6 @@ def micros(ts: Column | str) -> Column:
     )
 
 
-def same_key(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """Null-safe equality on all keys (a null key is a key of its own)."""
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys], F.lit(True))
-
-
 # --------------------------------------------------------------------------- scans
 
 
@@ -224,6 +219,37 @@ def _blocked_scan(df, keys, order, ordering, scans, hot, reverse):
     return out.select(*[F.col(c) for c in df.columns if c not in results], *[c.alias(n) for n, c in results.items()])
 
 
+# --------------------------------------------------------------------------- lookups
+
+
+def lookup_join(rows: DataFrame, table: DataFrame, keys: list[str], skew: KeySkew, how: str = "left") -> DataFrame:
+    """Attach a table with one row per key (or per group of one hot key) to rows.
+
+    Where no key is hot this is a plain join. Otherwise the rows of the hot keys stay where they
+    are and the table's rows for them are broadcast; the list of hot keys bounds their number as
+    long as ``table`` has one row per ``skew`` key. All other rows join as usual.
+    """
+    if how not in ("left", "inner"):
+        raise ValueError(f"how {how!r}: expected 'left' or 'inner'")
+    if skew.hot is None:
+        return _null_safe_join(rows, table, keys, how)
+    hot = F.broadcast(skew.hot.select(*[F.col(k).alias(f"__h_{k}") for k in skew.keys]))
+
+    def is_hot():
+        return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__h_{k}")) for k in skew.keys])
+
+    table_hot = table.join(hot, is_hot(), "left_semi")
+    rest = _null_safe_join(rows.join(hot, is_hot(), "left_anti"), table, keys, how)
+    hot_rows = _null_safe_join(rows.join(hot, is_hot(), "left_semi"), F.broadcast(table_hot), keys, how)
+    return rest.unionByName(hot_rows)
+
+
+def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    right = right.withColumnsRenamed({k: f"__k_{k}" for k in keys})
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys])
+    return left.join(right, on, how).drop(*[f"__k_{k}" for k in keys])
+
+
 # --------------------------------------------------------------------------- ranges
 
 

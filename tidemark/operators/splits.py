@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalar import clip, hash_fraction, split_of
 from tidemark.operators.ordered import (
     exact_quantiles,
+    lookup_join,
+    measure_skew,
     micros,
     position,
     prefix_scan,
@@ -20,10 +22,10 @@ ORDER_SALT = "retry_cutoff_v1"
 
 def maturity_filter(df: DataFrame, key: str, ts: str, days: int = 30) -> DataFrame:
     """Rows of keys that started at least ``days`` before the last instant in the data."""
-    starts = df.groupBy(F.col(key).alias("__key")).agg(F.min(ts).alias("__start"))
+    starts = df.groupBy(key).agg(F.min(ts).alias("__start"))
     last = df.agg(F.max(ts) - F.make_dt_interval(F.lit(days))).scalar()
     mature = starts.filter(F.col("__start") <= last)
-    return df.join(mature, df[key] == mature["__key"]).drop("__key", "__start")
+    return lookup_join(df, mature, [key], measure_skew(df.select(key, ts), [key], ts), "inner").drop("__start")
 
 
 def maturity_runway(df: DataFrame, last_seen: str, asof: Column, label_days: int = 90, runway_days: int = 30):
@@ -41,7 +43,7 @@ def chrono_quantile_split(df: DataFrame, key: str, ts: str, q: float = 0.85) ->
     side = starts.withColumn(
         "side", F.when(F.col("__start") < at.select("q").scalar(), "past").otherwise("oot")
     ).drop("__start")
-    return df.join(side, key)
+    return lookup_join(df, side, [key], measure_skew(df.select(key, ts), [key], ts), "inner")
 
 
 def asof_split(df: DataFrame, asof: Column, end: Column) -> DataFrame:

@@ -226,11 +226,8 @@ def scored_attempts(fact: DataFrame, skew: KeySkew | None = None) -> DataFrame:
     label = base.groupBy("order_id", "invoice_id").agg(F.max(accepted().cast("int")).alias("is_eventually_successful"))
     paid = F.when(accepted(), F.col("transaction_amount")).otherwise(0.0)
     rows = prefix_scan(base, ["order_id"], ATTEMPT_ORDER, {"__paid": running_sum(paid)}, skew)
-    return (
-        rows.withColumn("historical_collected_amount", F.coalesce("__paid", F.lit(0.0)))
-        .drop("__paid")
-        .join(label, ["order_id", "invoice_id"])
-    )
+    rows = rows.withColumn("historical_collected_amount", F.coalesce("__paid", F.lit(0.0))).drop("__paid")
+    return rows.join(label, ["order_id", "invoice_id"])
 
 
 def invoice_resolution(attempts: DataFrame, days: int = 30) -> DataFrame:
