@@ -173,9 +173,14 @@ def ses_level(i):
     return forecast.ses_level(monthly(i), KEYS)
 
 
-BACKTEST = f"""(SELECT m.call_type, m.month, l.level, s.factor, l.level * s.factor AS predicted, m.y AS actual FROM {MONTHLY} m
-  JOIN {LEVELS} l ON l.call_type = m.call_type AND l.origin = m.month - INTERVAL 3 MONTH
-  JOIN {SEASONAL} s ON s.call_type = m.call_type AND s.month_of_year = month(m.month) WHERE l.history >= 6)"""
+SPINE = f"""(SELECT call_type, unnest(generate_series(a, b + INTERVAL {{ahead}} MONTH, INTERVAL 1 MONTH))::DATE AS month FROM
+  (SELECT call_type, MIN(month) AS a, MAX(month) AS b FROM {MONTHLY} GROUP BY 1))"""
+ORIGINS = f"""(SELECT t.call_type, t.month, MAX(h.month) AS origin FROM {SPINE} t JOIN {MONTHLY} h ON h.call_type = t.call_type
+  AND h.month <= t.month - INTERVAL 3 MONTH GROUP BY 1, 2)"""
+BACKTEST = f"""(SELECT o.call_type, o.month, l.level, s.factor, l.level * s.factor AS predicted, m.y AS actual FROM {ORIGINS.format(ahead=0)} o
+  JOIN {LEVELS} l ON l.call_type = o.call_type AND l.origin = o.origin
+  JOIN {SEASONAL} s ON s.call_type = o.call_type AND s.month_of_year = month(o.month)
+  LEFT JOIN {MONTHLY} m ON m.call_type = o.call_type AND m.month = o.month WHERE l.history >= 6)"""
 
 
 @register("rolling_backtest", "call_type:s month:D level:d factor:d predicted:f actual", f"SELECT * FROM {BACKTEST}")
@@ -192,12 +197,9 @@ HOLT = f"""(WITH RECURSIVE m AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY call_
 
 @register(
     "holt_linear", "call_type:s month:D horizon raw:f forecast:f",
-    f"""WITH e AS (SELECT call_type, MIN(month) AS a, MAX(month) AS b FROM {MONTHLY} GROUP BY 1),
-          t AS (SELECT call_type, b, unnest(generate_series(a, b + INTERVAL 5 MONTH, INTERVAL 1 MONTH))::DATE AS month FROM e),
-          o AS (SELECT *, LEAST(CAST(month - INTERVAL 3 MONTH AS DATE), b) AS origin FROM t)
-        SELECT o.call_type, o.month, date_diff('month', origin, o.month) AS horizon, level + date_diff('month', origin, o.month) * trend AS raw,
+    f"""SELECT o.call_type, o.month, date_diff('month', origin, o.month) AS horizon, level + date_diff('month', origin, o.month) * trend AS raw,
           (level + date_diff('month', origin, o.month) * trend) * CASE WHEN o.month >= DATE '2001-01-01' THEN 0.9 ELSE 1 END AS forecast
-        FROM o JOIN {HOLT} h ON h.call_type = o.call_type AND h.month = o.origin WHERE h.i >= 6""",
+        FROM {ORIGINS.format(ahead=5)} o JOIN {HOLT} h ON h.call_type = o.call_type AND h.month = o.origin WHERE h.i >= 6""",
 )
 def holt_linear(i):
     return forecast.holt_linear(monthly(i), KEYS, adjust_from=F.lit("2001-01-01").cast("date"))
@@ -220,7 +222,7 @@ QUARTER = "concat(CAST(year(month) AS VARCHAR), 'Q', CAST(quarter(month) AS VARC
 @register(
     "quarter_mape_bias", "call_type:s quarter:s mape:d bias:d",
     f"""SELECT call_type, quarter, AVG(abs(e)) AS mape, AVG(e) AS bias FROM (SELECT call_type, unnest([{QUARTER}, 'all']) AS quarter,
-        (predicted - actual) / actual AS e FROM {BACKTEST}) GROUP BY 1, 2""",
+        (predicted - actual) / actual AS e FROM {BACKTEST} WHERE actual IS NOT NULL) GROUP BY 1, 2""",
 )
 def quarter_mape_bias(i):
     return forecast.quarter_mape_bias(forecast.rolling_backtest(monthly(i), KEYS), KEYS)
@@ -229,7 +231,7 @@ def quarter_mape_bias(i):
 @register(
     "quarter_sum_error", "call_type:s quarter:s actual predicted:f error_pct:d",
     f"""SELECT call_type, {QUARTER} AS quarter, SUM(actual) AS actual, SUM(predicted) AS predicted,
-        (SUM(predicted) - SUM(actual)) / SUM(actual) AS error_pct FROM {BACKTEST} GROUP BY 1, 2""",
+        (SUM(predicted) - SUM(actual)) / SUM(actual) AS error_pct FROM {BACKTEST} WHERE actual IS NOT NULL GROUP BY 1, 2""",
 )
 def quarter_sum_error(i):
     return forecast.quarter_sum_error(forecast.rolling_backtest(monthly(i), KEYS), KEYS)

@@ -104,15 +104,16 @@ def ses_level(monthly: DataFrame, keys: list[str] = (), alpha: float = ALPHA, n:
 
 
 def origin_of(targets: DataFrame, monthly: DataFrame, keys: list[str], lead: int) -> DataFrame:
-    """Last month known ``lead`` months before each target; the end of the data if that is earlier."""
-    last = monthly.groupBy(*[F.col(k).alias(f"__k_{k}") for k in keys]).agg(F.max("month").alias("__last"))
-    targets = targets.withColumn("__one", F.lit(1))
-    last = last.withColumn("__one1", F.lit(1))
-    on = F.col("__one") == F.col("__one1")
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-    joined = targets.join(last, on).drop("__one", "__one1", *[f"__k_{k}" for k in keys])
-    return joined.withColumn("origin", F.least(F.add_months("month", -lead), F.col("__last"))).drop("__last")
+    """Last month with data that is known ``lead`` months before each target; targets without one drop out."""
+    keys = list(keys)
+    spine = month_spine(monthly, keys)
+    known = F.max("__seen").over(by_month(keys).rowsBetween(Window.unboundedPreceding, 0))
+    seen = spine.join(monthly.select(*keys, "month", F.col("month").alias("__seen")), [*keys, "month"], "left")
+    origins = seen.select(*keys, F.col("month").alias("__cutoff"), known.alias("origin"))
+    last = monthly.groupBy(*keys).agg(F.max("month").alias("__last"))
+    joined = targets.join(last, keys) if keys else targets.withColumn("__last", last.scalar())
+    joined = joined.withColumn("__cutoff", F.least(F.add_months("month", -lead), F.col("__last")))
+    return joined.join(origins, [*keys, "__cutoff"], "left").drop("__cutoff", "__last")
 
 
 def rolling_origin_join(monthly: DataFrame, targets: DataFrame, keys: list[str] = (), lead: int = 3) -> DataFrame:
