@@ -8,6 +8,7 @@ from tidemark.catalog.registry import register
 from tidemark.catalog.splits import HASH, HASH_SPLIT
 from tidemark.operators import evaluation as ev
 from tidemark.operators import splits
+from tidemark.sources.scratch import staged
 
 AUC = """SELECT {g} (SUM(CASE WHEN label = 1 THEN r END) - SUM(label) * (SUM(label) + 1) / 2.0) / NULLIF(SUM(label) * SUM(1 - label), 0) AS auc,
   COUNT(*) AS n, SUM(label) AS positives FROM (SELECT *, RANK() OVER ({p} ORDER BY score) + (COUNT(*) OVER ({ps} score) - 1) / 2.0 AS r
@@ -243,7 +244,8 @@ def scan_sql():
 
 @register("univariate_auc_scan", "feature:s auc:d suspect", scan_sql())
 def univariate_auc_scan(i):
-    rows = splits.hash_split(i.order_item, "order_id").select("label", "split", *NUMS, *CATS)
+    # Read several times: split once, written once.
+    rows = staged(splits.hash_split(i.order_item, "order_id").select("label", "split", *NUMS, *CATS), "split_items")
     return ev.univariate_auc_scan(rows.filter("split = 'train'"), NUMS, CATS, "label", rows.filter("split = 'stop'"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.sources.views import VIEWS, view, view_sql
 
 CHECK_TOKENS = {
-    "K": "CAST(json_extract_string(props, '$.k') AS INT)",
+    "KEY": "CAST(json_extract_string(props, '$.k') AS INT)",
     "LEADTS": "o_orderdate + to_seconds((o_orderkey * 7919) % 86400)",
 }
 

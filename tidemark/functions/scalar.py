@@ -29,9 +29,16 @@ def safe_ratio_eps(num: Column, den: Column, eps: float = 0.001, default: float
 
 
 def hash_fraction(id_column: Column, salt: str) -> Column:
-    """Stable fraction in [0, 1): the first 16 hex digits of md5('salt:id') over 2^64."""
+    """Stable fraction in [0, 1): the first 16 hex digits of md5('salt:id') over 2^64.
+
+    Both halves are exact doubles, so their sum is the correctly rounded quotient.
+    """
     digest = F.md5(F.concat(F.lit(f"{salt}:"), id_column.cast("string")))
-    return F.conv(F.substring(digest, 1, 16), 16, 10).cast("decimal(20,0)").cast("double") / F.lit(2.0**64)
+
+    def part(start: int) -> Column:
+        return F.conv(F.substring(digest, start, 8), 16, 10).cast("double")
+
+    return part(1) * F.lit(2.0**-32) + part(9) * F.lit(2.0**-64)
 
 
 def split_of(fraction: Column, bounds: list[tuple[str, float]], last: str) -> Column:

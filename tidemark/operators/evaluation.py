@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.cleaning import long_form
 from tidemark.operators.ordered import (
+    KeySkew,
     exact_quantiles,
     lookup_join,
     measure_skew,
@@ -44,11 +45,16 @@ def score_counts(df: DataFrame, keys: list[str], score: str, label: str) -> Data
     )
 
 
+def score_skew(df: DataFrame, keys: list[str], score: str) -> KeySkew:
+    """Segments with many rows; counted before the distinct scores are."""
+    return measure_skew(df.select(*keys, score), keys, score)
+
+
 def roc_auc(df: DataFrame, score: str, label: str, keys: list[str] = ()) -> DataFrame:
     """Area under the ROC curve with ties counted half; null with a single class."""
     keys = list(keys)
     counts = score_counts(df, keys, score, label)
-    ranked = prefix_scan(counts, keys, ["score"], {"below": running_sum(F.col("neg"))})
+    ranked = prefix_scan(counts, keys, ["score"], {"below": running_sum(F.col("neg"))}, score_skew(df, keys, score))
     wins = F.sum(F.col("pos") * (F.coalesce(F.col("below"), F.lit(0.0)) + F.col("neg") / 2))
     return ranked.groupBy(*keys).agg(
         F.try_divide(wins, F.sum("pos") * F.sum("neg")).alias("auc"),
@@ -72,7 +78,7 @@ def precision_recall(df: DataFrame, score: str, label: str, keys: list[str] = ()
     counts = score_counts(df, keys, score, label)
     ranked = prefix_scan(
         counts, keys, ["score"],
-        {"tp": running_sum(F.col("pos"), True), "fp": running_sum(F.col("neg"), True)}, reverse=True,
+        {"tp": running_sum(F.col("pos"), True), "fp": running_sum(F.col("neg"), True)}, score_skew(df, keys, score), reverse=True,
     )
     return ranked.withColumn("precision", F.col("tp") / (F.col("tp") + F.col("fp")))
 
@@ -206,7 +212,7 @@ def counts_at(df: DataFrame, score: str, label: str, cuts: DataFrame, above: boo
     both = both.withColumn("__mark", F.col("id").isNotNull().cast("int") * (-1 if above else 1))
     scanned = prefix_scan(
         both, [], ["score", "__mark"],
-        {"positives": running_sum(F.col("p"), True), "n": running_sum(F.col("c"), True)}, reverse=above,
+        {"positives": running_sum(F.col("p"), True), "n": running_sum(F.col("c"), True)}, score_skew(df, [], score), reverse=above,
     )
     return scanned.filter("id IS NOT NULL").select(
         "id", F.col("score").alias("cut"), F.col("n").cast("long"), F.col("positives").cast("long")
@@ -249,7 +255,7 @@ def percentile_rank_pct(df: DataFrame, value: str, out: str = "percentile_rank")
     Ranks are computed per distinct value and looked up for each row.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
-    ranked = prefix_scan(counts, [], ["__v"], {"__upto": running_sum(F.col("__c"), True)})
+    ranked = prefix_scan(counts, [], ["__v"], {"__upto": running_sum(F.col("__c"), True)}, score_skew(df, [], value))
     n = counts.agg(F.sum("__c")).scalar()
     ranked = ranked.select(
         F.col("__v").alias(value), ((F.col("__upto") - F.col("__c") + (F.col("__c") + 1) / 2) / n * 100).alias(out)
@@ -530,7 +536,8 @@ def attribution_summary(contributions: DataFrame) -> DataFrame:
     c = contributions
     for column, rank in (("value", "__rv"), ("contribution", "__rc")):
         counts = c.groupBy("feature", column).agg(F.count(F.lit(1)).alias("__c"))
-        ranked = prefix_scan(counts, ["feature"], [column], {"__upto": running_sum(F.col("__c"), True)})
+        skew = score_skew(c, ["feature"], column)
+        ranked = prefix_scan(counts, ["feature"], [column], {"__upto": running_sum(F.col("__c"), True)}, skew)
         ranked = ranked.withColumn(rank, F.col("__upto") - F.col("__c") + (F.col("__c") + 1) / 2)
         c = join_keys(c, ranked.select("feature", column, rank), ["feature", column])
     out = c.groupBy("feature").agg(

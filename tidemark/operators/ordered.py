@@ -5,7 +5,7 @@ first. Where every key is small it is a plain window. Otherwise the rows of the
 are cut into blocks along the order column; each block is scanned on its own and the
 totals of the earlier blocks (a small table) are added. Both give the same result.
 
-The list of hot keys is bounded: with R rows there are at most R / hot_rows of them.
+The list of hot keys is bounded: by R / hot_rows for R rows, and by MAX_HOT_KEYS.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from tidemark.session import hot_rows as session_hot_rows
 
 BLOCKS_PER_HOT_SIZE = 4
+MAX_HOT_KEYS = 10_000
 
 
 def micros(ts: Column | str) -> Column:
@@ -92,7 +93,11 @@ def order_value(df: DataFrame, column: str) -> Column:
 def measure_skew(df: DataFrame, keys: list[str], order: str, hot_rows: int | None = None) -> KeySkew:
     """Find the keys with more rows than one task should sort. Runs one map-side combined count.
 
-    Measure on the widest table that the keyed steps start from and hand the result to each of them.
+    Measure on the widest, cheapest table that the keyed steps start from (before aggregation, with
+    two columns) and hand the result to each of them: too high a count only means more blocks.
+
+    The list holds the ``MAX_HOT_KEYS`` largest keys; any other key has less than one
+    ``MAX_HOT_KEYS``-th of all rows.
     """
     spark = df.sparkSession
     limit = session_hot_rows(spark) if hot_rows is None else hot_rows
@@ -101,10 +106,12 @@ def measure_skew(df: DataFrame, keys: list[str], order: str, hot_rows: int | Non
         df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("__n"), F.min(value).alias("__lo"), F.max(value).alias("__hi"))
         .filter(F.col("__n") > limit)
+        .orderBy(F.col("__n").desc())
+        .limit(MAX_HOT_KEYS)
         .withColumn("__blocks", (F.ceil(F.col("__n") / F.lit(limit)) * BLOCKS_PER_HOT_SIZE).cast("long"))
         .drop("__n")
     )
-    rows = stats.collect()  # at most rows/limit keys
+    rows = stats.collect()
     return KeySkew(keys, spark.createDataFrame(rows, stats.schema) if rows else None)
 
 
@@ -357,8 +364,10 @@ def exact_quantiles(
 
     Equal values are counted first and ranked by a scan, so no task holds all values.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
-    ranked = prefix_scan(counts, keys, [value], {"__upto": running_sum(F.col("__c"), True)})
+    given = df.filter(F.col(value).isNotNull())
+    counts = given.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
+    skew = measure_skew(given.select(*keys, value), keys, value)
+    ranked = prefix_scan(counts, keys, [value], {"__upto": running_sum(F.col("__c"), True)}, skew)
     if keys:
         sizes = counts.groupBy(*[F.col(k).alias(f"__k_{k}") for k in keys]).agg(F.sum("__c").alias("__total"))
         on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys])

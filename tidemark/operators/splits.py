@@ -59,7 +59,9 @@ def asof_split(df: DataFrame, asof: Column, end: Column) -> DataFrame:
 
 def hash_split(df: DataFrame, key: str, salt: str = ORDER_SALT, out: str = "split") -> DataFrame:
     """train / stop / calib / random_test by a stable hash of the key; no shuffle."""
-    return df.withColumn(out, split_of(hash_fraction(F.col(key), salt), HASH_BOUNDS, "random_test"))
+    # Two steps, so that the digest is computed once per row.
+    hashed = df.withColumn("__hash", hash_fraction(F.col(key), salt))
+    return hashed.withColumn(out, split_of(F.col("__hash"), HASH_BOUNDS, "random_test")).drop("__hash")
 
 
 def row_position_split(df: DataFrame, order: list[str], shares: list[tuple[str, float]], last: str) -> DataFrame:

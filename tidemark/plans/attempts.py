@@ -155,18 +155,36 @@ def latest_attempt(rows: DataFrame, key: str = "invoice_id") -> DataFrame:
     return out.select(key, "__at.*", "__row.*").select(*rows.columns)
 
 
-def success_rate_8d(base: DataFrame, key: str, out: str, targets: DataFrame | None = None) -> DataFrame:
-    """Accepted share of the key's attempts in the eight days up to one second before: (key, __t, out)."""
-    totals = range_totals(base, [key], "transaction_datetime", accepted().cast("long"), {"r": EIGHT_DAYS}, targets)
-    return totals.select(key, "__t", F.try_divide("r_s", "r_n").alias(out))
-
-
+# Keys with a trailing success rate and the names of the rates.
 RATES = {
     "super_partner_id_name": "super_partner_8d_success_rate",
     "processor_name_original": "processor_8d_success_rate",
     "bank": "bank_8d_success_rate",
 }
 
+
+def success_rates_8d(base: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """Accepted share of the attempts of the same partner, processor and bank in the eight days up to
+    one second before each target (by default each attempt): (transaction_id, rates).
+
+    The three keys are stacked into one (name, value) key, so all rates take one pass.
+    """
+    pairs = F.array(*[F.struct(F.lit(k).alias("key_name"), F.col(k).alias("key_value")) for k in RATES])
+
+    def stacked(df: DataFrame) -> DataFrame:
+        rows = df.select("transaction_id", "transaction_datetime", accepted().cast("long").alias("won"), F.explode(pairs).alias("p"))
+        return rows.select("transaction_id", "transaction_datetime", "won", "p.*")
+
+    key = ["key_name", "key_value"]
+    asked = None if targets is None else stacked(targets)
+    totals = range_totals(stacked(base), key, "transaction_datetime", F.col("won"), {"r": EIGHT_DAYS}, asked)
+    found = at_instants(stacked(base) if asked is None else asked, key, "transaction_datetime", totals)
+    rate = F.try_divide("r_s", "r_n")
+    return found.groupBy("transaction_id").agg(
+        *[F.max(F.when(F.col("key_name") == k, rate)).alias(out) for k, out in RATES.items()]
+    )
+
+
 UNKNOWN = (
     "vertical_type super_partner_id_name bin_tier card_type bank billing_state payment_frequency invoice_type"
 ).split()
@@ -184,8 +202,7 @@ def attempt_features(fact: DataFrame, bin_tier: DataFrame, asof: Column, since:
     # The rates read the whole history but are only asked for the instants that are scored.
     keys = base.select("invoice_id", *ATTEMPT_ORDER, "transaction_status", *RATES)
     asked = latest_attempt(keys).filter(~accepted())
-    for key, out in RATES.items():
-        scored = at_instants(scored, [key], "transaction_datetime", success_rate_8d(base, key, out, asked))
+    scored = scored.join(success_rates_8d(base, asked), "transaction_id")
     scored = scored.join(trial_money(fact, live_orders), "order_id", "left")
 
     ts = F.col("transaction_datetime")

@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 # Rows of one key that a single task may sort. Keys above it are split into blocks.
 HOT_ROWS_SETTING = "spark.tidemark.hotRows"
-HOT_ROWS_DEFAULT = 2_000_000
+HOT_ROWS_DEFAULT = 500_000
 
 
 def local_session(cores: str = "8", app: str = "tidemark") -> SparkSession:

@@ -1,7 +1,7 @@
 """Logical inputs (attempts, leads, calls ...) mapped onto the tables at hand.
 
 Each view is a projection of one table (or one key join) in expressions that Spark and
-other SQL engines read alike; ``{K}`` and ``{LEADTS}`` stand for the two that differ.
+other SQL engines read alike; ``{KEY}`` and ``{LEADTS}`` stand for the two that differ.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPARK_TOKENS = {
-    "K": "CAST(get_json_object(props, '$.k') AS INT)",
+    "KEY": "CAST(get_json_object(props, '$.k') AS INT)",
     "LEADTS": "o_orderdate + make_dt_interval(0, 0, 0, (o_orderkey * 7919) % 86400)",
 }
 
@@ -22,10 +22,12 @@ class View:
     source: str
     columns: dict[str, str]
     where: str | None = None
+    first: dict[str, str] | None = None  # columns the others are built from, computed once
     join: tuple[str, str] | None = None  # (other table, equality condition)
 
 
-_K = "{K}"
+_K = "k"
+_KEY = {"k": "{KEY}"}
 _WEEK = "CAST(floor((dayofyear(ts) - 1) / 7) AS BIGINT)"
 
 VIEWS: dict[str, View] = {
@@ -59,6 +61,7 @@ VIEWS: dict[str, View] = {
             "within_360": f"{_K} < 90",
             "success_probability": f"round(CAST({_K} AS DOUBLE) / 250.0, 4)",
         },
+        first=_KEY,
     ),
     "bin_tier": View(
         "region",
@@ -202,6 +205,7 @@ VIEWS: dict[str, View] = {
             "label": "CASE WHEN value > 45 THEN 1 ELSE 0 END",
             "score": f"round((CAST({_K} AS DOUBLE) + CASE WHEN value > 45 THEN 30 ELSE 0 END) / 130.0, 4)",
         },
+        first=_KEY,
     ),
 }
 
@@ -224,6 +228,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         df = df.join(table(spark, sf_dir, other), F.expr(condition))
     if spec.where:
         df = df.filter(spec.where)
+    if spec.first:
+        df = df.withColumns({c: F.expr(_fill(e, SPARK_TOKENS)) for c, e in spec.first.items()})
     return df.selectExpr(*[f"{_fill(e, SPARK_TOKENS)} AS {c}" for c, e in spec.columns.items()])
 
 
@@ -231,7 +237,10 @@ def view_sql(name: str, tokens: dict[str, str]) -> str:
     """The same view as text for another engine."""
     spec = VIEWS[name]
     columns = ", ".join(f"{_fill(e, tokens)} AS {c}" for c, e in spec.columns.items())
-    text = f"SELECT {columns} FROM {spec.source}"
+    source = spec.source
+    if spec.first:
+        source = "(SELECT *, " + ", ".join(f"{_fill(e, tokens)} AS {c}" for c, e in spec.first.items()) + f" FROM {source})"
+    text = f"SELECT {columns} FROM {source}"
     if spec.join:
         text += f" JOIN {spec.join[0]} ON {spec.join[1]}"
     if spec.where:
