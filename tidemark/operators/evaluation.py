@@ -24,16 +24,14 @@ from tidemark.operators.ordered import (
 EPS = 1e-15
 
 
-def match_keys(keys: list[str], prefix: str = "__k_") -> Column:
-    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(prefix + k)) for k in keys], F.lit(True))
-
-
 def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Null-safe join on keys that keeps one copy of them. Without keys, right is a single row."""
     if not keys:
-        return left.withColumn("__one", F.lit(1)).join(F.broadcast(right.withColumn("__one", F.lit(1))), "__one").drop("__one")
+        row = right.select(F.struct(*right.columns)).scalar()
+        return left.withColumn("__row", row).select(*left.columns, "__row.*")
     renamed = right.withColumnsRenamed({k: f"__k_{k}" for k in keys})
-    return left.join(renamed, match_keys(keys), how).drop(*[f"__k_{k}" for k in keys])
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys])
+    return left.join(renamed, on, how).drop(*[f"__k_{k}" for k in keys])
 
 
 def score_counts(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:

@@ -208,7 +208,7 @@ def score_batch(
 ) -> DataFrame:
     """Decision table: cut early below the threshold, and a fixed share of rows flagged at random."""
     check_columns(rows, REQUIRED, "columns needed for the output table")
-    scored = exact_sample(scorer.score(rows), "transaction_id", share=random_share, seed=seed)
+    scored = scorer.score(exact_sample(rows, "transaction_id", share=random_share, seed=seed))
     out = scored.select(
         "order_id", "invoice_id", "transaction_id", (F.col("success_prob") < threshold).alias("is_cutoff_early"),
         run_at.alias("cutoff_datetime"), F.col("retries").alias("cut_off_at_retry"),
