@@ -32,25 +32,35 @@ def scorer(i):
     return scoring.train_scorer(training_rows(i), ROLES, "label", **FAST)
 
 
-@register("replay_spec", "row_id segment_code_mean:d partner_mean:d retries")
+# Training rows, kept levels and smoothed label means of the two categories.
+LEARNED = """a AS (SELECT *, concat('P', CAST(CAST(json_extract_string(props, '$.k') AS INT) % 7 AS VARCHAR)) AS partner,
+    CAST(('0x' || left(md5(concat('retry_cutoff_v1:', CAST(row_id AS VARCHAR))), 16)) AS UBIGINT) / 18446744073709551616.0 AS h
+    FROM v_scored JOIN events ON event_id = row_id),
+  t AS (SELECT * FROM a WHERE h < 0.75),
+  p AS (SELECT AVG(label) AS prior FROM t),
+  c AS (SELECT 'segment_code' AS feature, segment AS value, label FROM t UNION ALL SELECT 'partner', partner, label FROM t),
+  n AS (SELECT feature, value FROM c GROUP BY 1, 2 HAVING COUNT(*) >= 50),
+  r AS (SELECT c.feature, COALESCE(n.value, '__RARE__') AS value, label FROM c LEFT JOIN n ON c.feature = n.feature AND c.value = n.value),
+  m AS (SELECT feature, value, (SUM(label) + 20 * MAX(prior)) / (COUNT(*) + 20) AS mean FROM r, p GROUP BY 1, 2)"""
+
+
+def mean_of(feature, column):
+    level = f"COALESCE((SELECT value FROM n WHERE feature = '{feature}' AND value = {column}), '__RARE__')"
+    return f"COALESCE((SELECT mean FROM m WHERE feature = '{feature}' AND m.value = {level}), (SELECT prior FROM p))"
+
+
+@register(
+    "replay_spec", "row_id segment_code_mean:d partner_mean:d retries",
+    f"""WITH {LEARNED} SELECT row_id, {mean_of('segment_code', 'segment')} AS segment_code_mean, {mean_of('partner', 'partner')} AS partner_mean,
+        CAST(json_extract_string(props, '$.k') AS INT) % 8 AS retries FROM a WHERE h >= 0.75""",
+)
 def replay_spec(i):
     rows = training_rows(i)
     pre = scoring.fit_preprocessor(rows.filter("split = 'train'"), ROLES, "label")
     return pre.apply(rows.filter("split <> 'train'"))
 
 
-@register(
-    "encode", "feature:s value:s mean:d",
-    """WITH t AS (SELECT *, concat('P', CAST(CAST(json_extract_string(props, '$.k') AS INT) % 7 AS VARCHAR)) AS partner
-           FROM v_scored JOIN events ON event_id = row_id
-           WHERE CAST(('0x' || left(md5(concat('retry_cutoff_v1:', CAST(row_id AS VARCHAR))), 16)) AS UBIGINT) / 18446744073709551616.0 < 0.75),
-         p AS (SELECT AVG(label) AS prior FROM t),
-         c AS (SELECT 'segment_code' AS feature, segment AS value, label FROM t UNION ALL SELECT 'partner', partner, label FROM t),
-         n AS (SELECT feature, value, COUNT(*) AS n FROM c GROUP BY 1, 2),
-         r AS (SELECT c.feature, CASE WHEN n >= 50 THEN c.value ELSE '__RARE__' END AS value, label
-               FROM c JOIN n ON c.feature = n.feature AND c.value = n.value)
-       SELECT feature, value, (SUM(label) + 20 * MAX(prior)) / (COUNT(*) + 20) AS mean FROM r, p GROUP BY 1, 2""",
-)
+@register("encode", "feature:s value:s mean:d", f"WITH {LEARNED} SELECT * FROM m")
 def encode(i):
     return scoring.fit_preprocessor(training_rows(i).filter("split = 'train'"), ROLES, "label").means
 
