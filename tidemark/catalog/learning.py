@@ -9,7 +9,7 @@ from tidemark.operators import evaluation as ev
 from tidemark.operators import splits
 from tidemark.plans import attempts, scoring
 from tidemark.session import ensure_checkpoint_dir
-from tidemark.sources.scratch import scratch_folder
+from tidemark.sources.scratch import scratch_folder, staged
 
 ROLES = scoring.FeatureRoles(["score", "retries"], ["segment_code", "partner"], ["processor"])
 FAST = {"max_iter": 5, "depth": 3}
@@ -131,7 +131,9 @@ def bottom_percentile_train(i):
     ensure_checkpoint_dir(i.spark)
     rows = training_rows(i).withColumn("split", F.when(F.col("split") == "train", "train").otherwise("test"))
     pre = scoring.fit_preprocessor(rows.filter("split = 'train'"), ROLES, "label")
-    _, history = scoring.bottom_percentile_train(pre.apply(rows), pre, "label", "row_id", **FAST)
+    # Every round reads the same rows: prepared once, written once.
+    ready = staged(pre.apply(rows).select("row_id", "label", "split", "processor", *pre.inputs()), "training_rows")
+    _, history = scoring.bottom_percentile_train(ready, pre, "label", "row_id", **FAST)
     return i.spark.createDataFrame(history, "iteration int, auc double, precision double, fn long, tn long")
 
 
