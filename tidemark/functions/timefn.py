@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalar import map_codes
-
 
 def days_between(start: Column, end: Column) -> Column:
     """Calendar days from start to end."""

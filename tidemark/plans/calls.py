@@ -24,7 +24,6 @@ def by_date():
     return Window.partitionBy().orderBy("date")
 
 
-
 def spine(df: DataFrame, date: str, ahead: int = 0) -> DataFrame:
     """Every day from the first to the last in the data, and ``ahead`` days more."""
     ends = df.agg(F.min(date).alias("a"), F.date_add(F.max(date), ahead).alias("b"))
