@@ -1,19 +1,24 @@
 """Corpus preparation: documents pass five stages, each the whole of what its predecessor kept.
 
 1. language ID: documents without a recognisable language go.
-2. quality rules: documents that fail go.
+2. quality rules: documents that fail the base rules or the compression bands go.
+3. n-gram Jaccard join: of each class of near duplicates the document with the smallest id stays.
+4. secret scans: secrets in the texts are replaced by their kind in brackets; n_chars follows.
+5. packing: the result, pieces of documents in token sequences.
 """
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import compression, hyperdim
+from tidemark.llm import compression, curve_packing, hyperdim, ngram_join, secret_scan
 from tidemark.sources.scratch import scratch_folder
 
 # Documents below this cosine with every language go.
 LEAST_LANGUAGE_SCORE = 0.05
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,11 +31,36 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return compression.quality(docs).where("kept").select(*docs.columns)
 
 
-STAGES = [("language ID", language_id), ("quality rules", quality_rules)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows without an id can't be told apart, so they stay."""
+    found = ngram_join.near_duplicates(docs)
+    first = found.where(F.col("doc_id") == F.col("class_id")).select("doc_id", F.col("digest").alias("_digest")).distinct()
+    marked = docs.withColumn("_digest", F.xxhash64("text"))
+    kept = marked.join(first, ["doc_id", "_digest"], "left_semi").dropDuplicates(["doc_id", "_digest"])
+    return kept.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secret_scan.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return curve_packing.pack(docs, public_tokenizers.path(TOKENIZER))
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("secret scans", secret_scans),
+    ("packing", packing),
+]
+# Learned prototypes, tokens and bands of hashes are beyond SQL; the tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the last stage; each stage is written as Parquet in the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = scratch_folder(spark, "pipeline")

@@ -6,7 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe_trie, compression, curve_packing, hyperdim, token_count, vptree
+from tidemark.llm import (
+    bpe_trie,
+    compression,
+    curve_packing,
+    hyperdim,
+    license_scan,
+    ngram_join,
+    pii,
+    secret_scan,
+    token_count,
+    vptree,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,10 +44,19 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 """
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its class, the number of other documents similar to it, and its copies."""
+    return ngram_join.near_duplicates(_table(spark, sf_dir, "documents")).drop("digest")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licenses(_table(spark, sf_dir, "documents"))
+
+
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_trie.round_trip_digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -46,6 +66,14 @@ def op6_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.drop("text")
 
 
+def op7_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(_table(spark, sf_dir, "documents"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(_table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = hyperdim.language_id(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return found.select("doc_id", "held_out", "lang_pred", "score")
@@ -55,5 +83,19 @@ def op10_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curve_packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_nearest, op3_token_counts, op5_bpe_round_trip, op6_compression_quality, op9_language_id, op10_curve_packing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_nearest,
+        op2_ngram_join,
+        op3_token_counts,
+        op4_license_scan,
+        op5_bpe_round_trip,
+        op6_compression_quality,
+        op7_disclosure,
+        op8_secret_scan,
+        op9_language_id,
+        op10_curve_packing,
+    )
+}
 ORACLES = {"op1_nearest": OP1_SQL}
