@@ -28,7 +28,7 @@ LEVEL = 3
 CHUNK, LEAST_CHUNK = 8192, 2048
 MAX_BAD_CHUNKS = 0.5
 # Lowest and highest ratio by length in bytes.
-BANDS = [(0, 0.0, 1.5), (256, 0.12, 1.0), (1024, 0.14, 0.90), (4096, 0.12, 0.85), (16384, 0.09, 0.80)]
+BANDS = [(0, 0.0, 1.5), (256, 0.12, 0.95), (1024, 0.14, 0.85), (4096, 0.12, 0.75), (16384, 0.09, 0.70)]
 
 SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"

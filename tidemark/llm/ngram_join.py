@@ -4,8 +4,8 @@
    band hashes of 7 MinHash values each, and a sketch of the lowest byte of all 224 values. Rows with equal sets
    are copies; one of them, the one with the smallest id, stands for them from here on.
 2. Rows are shuffled on band hashes. In each bucket a member picked at random (by hash, per bucket) is the hub, and
-   members whose sketch agrees with it in ``AGREE`` of the bytes are tied to it. Members that don't agree form
-   the bucket anew without the hub, until none is left, so a bucket is never expanded into pairs and no member is lost.
+   members whose sketch agrees with it in ``AGREE`` of the bytes are tied to it. The others compare their sketches with
+   each other, in pairs of blocks, and are tied to a root each. So no pair is written out and no member is lost.
 3. Ties connect to clusters (alternating stars). Within a cluster all pairs are verified on the full sets, in blocks:
    members are dealt to blocks by hash, every two blocks meet in one task group, which counts links and keeps a
    spanning set of them. No pair is written out, and a large cluster is spread over many groups.
@@ -121,20 +121,71 @@ def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def ties(members: DataFrame) -> DataFrame:
-    """node, hub: a star for each bucket, or several where its members differ."""
+    """node, hub: a star around each bucket's hub, and roots among the members that differ from it."""
     sketches = members.select("node", "sketch")
-    left = members.select("node", F.explode("bands").alias("bucket"))
-    found = None
+    buckets = members.select("node", F.explode("bands").alias("bucket"))
+    hubs = buckets.groupBy("bucket").agg(F.min_by("node", F.xxhash64("node", "bucket")).alias("hub"), F.count("*").alias("size"))
+    rows = staged(buckets.join(staged(hubs.where("size > 1").drop("size"), "hubs"), "bucket").where(F.col("node") != F.col("hub")), "buckets")
+    pairs = rows.select("node", "hub").distinct()
+    pairs = pairs.join(sketches.withColumnRenamed("sketch", "x"), "node").join(sketches.select(F.col("node").alias("hub"), F.col("sketch").alias("y")), "hub")
+    tied = staged(pairs.select("node", "hub", "x", "y").mapInArrow(agreeing, "node binary, hub binary"), "ties")
+    left = staged(rows.join(tied, ["node", "hub"], "left_anti").select("node", "bucket"), "untied")
+    blocks = left.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("blocks"), F.count("*").alias("size"))
+    rest = left.join(staged(blocks.where("size > 1").drop("size"), "blocks"), "bucket").join(sketches, "node")
+    rest = in_block_pairs(rest, "bucket", ["node", "sketch"])
+    return tied.unionByName(rest.mapInArrow(untied, "node binary, hub binary"))
+
+
+def in_block_pairs(rows: DataFrame, group: str, columns: list[str]) -> DataFrame:
+    """Rows of each group dealt to ``blocks`` blocks, one copy per pair of blocks (i <= j), the copies of a pair
+    together and in order; ``side`` is 1 for the rows of block j."""
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    i, j = F.least("block", "other"), F.greatest("block", "other")
+    rows = rows.select(F.col(group).alias("key"), i.alias("i"), j.alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), *columns)
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+
+
+def groups(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[bool, list[tuple]]]:
+    """Of rows sorted by pair of blocks: whether both blocks are one, and the values of the pair's rows."""
+    key, held = None, []
+    for batch in batches:
+        for root, i, j, *rest in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", *columns))):
+            if (root, i, j) != key:
+                if len(held) > 1:
+                    yield key[1] == key[2], held
+                key, held = (root, i, j), []
+            held.append(rest)
+    if len(held) > 1:
+        yield key[1] == key[2], held
+
+
+def local_roots(near: np.ndarray) -> np.ndarray:
+    """Smallest member of each one's component under a symmetric relation."""
+    root = np.arange(len(near))
     while True:
-        hubs = left.groupBy("bucket").agg(F.min_by("node", F.xxhash64("node", "bucket")).alias("hub"), F.count("*").alias("size"))
-        rows = staged(left.join(staged(hubs.where("size > 1").drop("size"), "hubs"), "bucket").where(F.col("node") != F.col("hub")), "buckets")
-        if rows.isEmpty():
-            return found if found is not None else rows.select("node", "hub")
-        pairs = rows.select("node", "hub").distinct()
-        pairs = pairs.join(sketches.withColumnRenamed("sketch", "x"), "node").join(sketches.select(F.col("node").alias("hub"), F.col("sketch").alias("y")), "hub")
-        tied = staged(pairs.select("node", "hub", "x", "y").mapInArrow(agreeing, "node binary, hub binary"), "ties")
-        found = tied if found is None else found.unionByName(tied)
-        left = rows.join(tied, ["node", "hub"], "left_anti").select("node", "bucket")
+        new = np.array([min(root[i], root[row].min()) if row.any() else root[i] for i, row in enumerate(near)])
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def untied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members of two blocks of one bucket, each with a root among those it agrees with."""
+    nodes, hubs = [], []
+    for _, held in groups(batches, ["node", "sketch"]):
+        table = np.frombuffer(b"".join(x[1] for x in held), np.uint8).reshape(len(held), -1)
+        near = np.stack([(table == row).mean(axis=1) >= AGREE for row in table])
+        root = local_roots(near)
+        for n in np.flatnonzero(root != np.arange(len(root))):
+            nodes.append(held[n][0])
+            hubs.append(held[root[n]][0])
+        if len(nodes) > 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(hubs, pa.binary())], names=["node", "hub"])
+            nodes, hubs = [], []
+    if nodes:
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(hubs, pa.binary())], names=["node", "hub"])
 
 
 def linked(sets: list[np.ndarray], split: int) -> np.ndarray:
@@ -176,14 +227,7 @@ def verify_group(nodes: list[bytes], sides: np.ndarray, copies: np.ndarray, text
     else:
         full[:split, split:] = near
         full[split:, :split] = near.T
-    hit = np.flatnonzero(full.any(axis=1))
-    root = np.arange(len(nodes))
-    while True:  # smallest neighbour's root, until nothing changes
-        new = np.array([min(root[i], root[full[i]].min()) if full[i].any() else root[i] for i in range(len(nodes))])
-        new = new[new]
-        if (new == root).all():
-            break
-        root = new
+    hit, root = np.flatnonzero(full.any(axis=1)), local_roots(full)
     if not len(hit):
         return None
     counts = full.astype(np.int64) @ copies
@@ -193,23 +237,11 @@ def verify_group(nodes: list[bytes], sides: np.ndarray, copies: np.ndarray, text
 
 
 def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by group; a group is handled when the next begins."""
-    key, held = None, []
-
-    def close() -> Iterator[pa.RecordBatch]:
-        if len(held) > 1:
-            nodes, sides, copies, texts = zip(*held)
-            out = verify_group(list(nodes), np.array(sides), np.array(copies, np.int64), list(texts), key[1] == key[2])
-            if out is not None:
-                yield out
-
-    for batch in batches:
-        for root, i, j, *rest in zip(*(batch.column(c).to_pylist() for c in ("root", "i", "j", "node", "side", "copies", "text"))):
-            if (root, i, j) != key:
-                yield from close()
-                key, held = (root, i, j), []
-            held.append(rest)
-    yield from close()
+    for same, held in groups(batches, ["node", "side", "copies", "text"]):
+        nodes, sides, copies, texts = zip(*held)
+        out = verify_group(list(nodes), np.array(sides), np.array(copies, np.int64), list(texts), same)
+        if out is not None:
+            yield out
 
 
 def verified(members: DataFrame, clusters: DataFrame, docs: DataFrame) -> DataFrame:
@@ -219,11 +251,7 @@ def verified(members: DataFrame, clusters: DataFrame, docs: DataFrame) -> DataFr
     rows = members.select("node", "doc_id", "digest", "copies").join(clusters, "node").join(staged(blocks, "blocks"), "root")
     texts = docs.select("doc_id", F.xxhash64("text").alias("digest"), "text")
     rows = texts.join(rows, ["doc_id", "digest"]).dropDuplicates(["node"])
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    i, j = F.least("block", "other"), F.greatest("block", "other")
-    rows = rows.select("root", i.alias("i"), j.alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "copies", "text")
-    return rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node").mapInArrow(verify, "a binary, b binary, n_links long")
+    return in_block_pairs(rows, "root", ["node", "copies", "text"]).mapInArrow(verify, "a binary, b binary, n_links long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
