@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from tidemark.session import HOT_ROWS_SETTING, local_session  # noqa: E402
+from tidemark.session import HOT_BLOCKS_SETTING, HOT_ROWS_SETTING, local_session  # noqa: E402
 
 DATA = os.environ.get("TIDEMARK_TEST_DATA", "/root/testdata/sf0.001")
 
@@ -19,8 +19,10 @@ def spark():
 def hot(spark):
     """Split keys with more than a few rows into blocks."""
     spark.conf.set(HOT_ROWS_SETTING, "5")
+    spark.conf.set(HOT_BLOCKS_SETTING, "7")
     yield
     spark.conf.unset(HOT_ROWS_SETTING)
+    spark.conf.unset(HOT_BLOCKS_SETTING)
 
 
 @pytest.fixture(scope="session")

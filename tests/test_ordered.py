@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.evaluation import average_precision, max_f1_threshold, roc_auc
 from tidemark.operators.ordered import (
     SECOND_US,
+    KeySkew,
     TimeRange,
     exact_quantiles,
     lookup_join,
@@ -166,3 +167,17 @@ def test_empty_input(spark):
     assert prefix_scan(df, ["k"], ["ts"], {"n": position()}).count() == 0
     assert rolling_ranges(df, ["k"], "ts", F.col("x"), {"r": TimeRange(SECOND_US)}).count() == 0
     assert exact_quantiles(df, [], "x", [0.5]).count() == 0
+
+
+def test_blocks_follow_the_rows_not_the_values(spark, hot):
+    """One outlier, NaN, infinity and a plateau: no block holds much more than its share, results are the plain ones."""
+    values = [float(n % 50) for n in range(600)] + [7.0] * 1200 + [1e12, float("inf"), float("nan"), None]
+    df = spark.createDataFrame(list(enumerate(values)), "id long, x double")
+    skew = measure_skew(df, [], "x")
+    assert skew.blocks == 7
+    scans = {"n": running_count(), "total": running_sum(F.lit(1).cast("decimal(10,2)"))}
+    got = prefix_scan(df, [], ["x", "id"], {**scans, "block": running_count(inclusive=True)}, skew)
+    plain = prefix_scan(df, [], ["x", "id"], scans, KeySkew([]))
+    assert {r.id: (r.n, r.total) for r in got.collect()} == {r.id: (r.n, r.total) for r in plain.collect()}
+    sizes = df.repartitionByRange(7, "x", "id").groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in sizes) < 3 * len(values) / 7

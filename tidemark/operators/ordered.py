@@ -1,11 +1,10 @@
 """Ordered computations that stay parallel when one key holds most of the rows.
 
 A plain window puts all rows of a key into one task. ``prefix_scan`` measures the keys
-first. Where every key is small it is a plain window. Otherwise the rows of the hot keys
-are cut into blocks along the order column; each block is scanned on its own and the
-totals of the earlier blocks (a small table) are added. Both give the same result.
-
-The list of hot keys is bounded: by R / hot_rows for R rows, and by MAX_HOT_KEYS.
+first. Where every key is small it is a plain window. Otherwise the rows are range-partitioned
+by key and the whole order, which cuts large keys into blocks of about equal size whatever
+their values are; each block is scanned on its own and the totals of the key's earlier blocks
+(a small table) are added. Both give the same result.
 """
 
 from __future__ import annotations
@@ -15,12 +14,13 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from tidemark.session import hot_blocks
 from tidemark.session import hot_rows as session_hot_rows
+from tidemark.sources.scratch import staged
 
-BLOCKS_PER_HOT_SIZE = 4
-MAX_HOT_KEYS = 10_000
+# Hot keys that are looked up by broadcast; more of them are joined as usual.
+BROADCAST_KEYS = 100_000
 
 
 def micros(ts: Column | str) -> Column:
@@ -75,44 +75,29 @@ _FOLD = {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min}
 
 @dataclass(frozen=True)
 class KeySkew:
-    """Hot keys of a table: (keys, lowest, highest order value, number of blocks)."""
+    """Hot keys of a table: the key columns, the hot keys (None without any), how many blocks to cut
+    the table into, and whether the hot keys are few enough to be broadcast."""
 
     keys: list[str]
     hot: DataFrame | None = field(default=None)
-
-
-def order_value(df: DataFrame, column: str) -> Column:
-    kind = df.schema[column].dataType
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return micros(column).cast("double")
-    if isinstance(kind, T.DateType):
-        return F.unix_date(column).cast("double")
-    return F.col(column).cast("double")
+    blocks: int = 1
+    few: bool = True
 
 
 def measure_skew(df: DataFrame, keys: list[str], order: str, hot_rows: int | None = None) -> KeySkew:
-    """Find the keys with more rows than one task should sort. Runs one map-side combined count.
+    """Find the keys with more rows than one task should sort. Runs one map-side combined count,
+    and a second one that writes the list only where there are such keys.
 
     Measure on the widest, cheapest table that the keyed steps start from (before aggregation, with
     two columns) and hand the result to each of them: too high a count only means more blocks.
-
-    The list holds the ``MAX_HOT_KEYS`` largest keys; any other key has less than one
-    ``MAX_HOT_KEYS``-th of all rows.
     """
-    spark = df.sparkSession
-    limit = session_hot_rows(spark) if hot_rows is None else hot_rows
-    value = order_value(df, order)
-    stats = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("__n"), F.min(value).alias("__lo"), F.max(value).alias("__hi"))
-        .filter(F.col("__n") > limit)
-        .orderBy(F.col("__n").desc())
-        .limit(MAX_HOT_KEYS)
-        .withColumn("__blocks", (F.ceil(F.col("__n") / F.lit(limit)) * BLOCKS_PER_HOT_SIZE).cast("long"))
-        .drop("__n")
-    )
-    rows = stats.collect()
-    return KeySkew(keys, spark.createDataFrame(rows, stats.schema) if rows else None)
+    limit = session_hot_rows(df.sparkSession) if hot_rows is None else hot_rows
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    total, hot = sizes.agg(F.sum("__n"), F.count_if(F.col("__n") > limit)).first()
+    if not hot:
+        return KeySkew(keys)
+    found = staged(sizes.filter(F.col("__n") > limit).select(*keys, F.lit(1).alias("__one")), "hot_keys")
+    return KeySkew(keys, found, hot_blocks(df.sparkSession, total, limit), hot <= BROADCAST_KEYS)
 
 
 def _key_window(keys: list[str], order: list[Column]):
@@ -136,9 +121,7 @@ def prefix_scan(
 ) -> DataFrame:
     """Add running values per key in the order of ``order`` (last columns break ties).
 
-    ``reverse`` walks from the last row to the first. The first order column must be a
-    number, a date or a timestamp. Rows of one key with the very same first order value
-    stay in one block.
+    ``reverse`` walks from the last row to the first.
     """
     if skew is None:
         skew = measure_skew(df, keys, order[0])
@@ -146,33 +129,13 @@ def prefix_scan(
     if skew.hot is None:
         window = _key_window(keys, ordering)
         return df.withColumns({name: _local(s, window) for name, s in scans.items()})
-    return _blocked_scan(df, keys, order, ordering, scans, skew.hot, reverse)
+    return _blocked_scan(df, keys, order, ordering, scans, skew.blocks, reverse)
 
 
-def _blocked_scan(df, keys, order, ordering, scans, hot, reverse):
-    hot = hot.withColumnsRenamed({k: f"__hot_{k}" for k in keys})
-    match = reduce(
-        lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__hot_{k}")) for k in keys], F.lit(True)
-    )
-    value = order_value(df, order[0])
-    span = F.col("__hi") - F.col("__lo")
-    block = F.when(
-        F.col("__blocks").isNotNull() & (span > 0),
-        F.least(
-            F.floor((value - F.col("__lo")) / span * F.col("__blocks")).cast("long"),
-            F.col("__blocks") - 1,
-        ),
-    ).otherwise(F.lit(0).cast("long"))
-    tagged = (
-        df.join(F.broadcast(hot), match, "left")
-        .withColumn("__block", F.coalesce(block, F.lit(0).cast("long")))
-        .withColumn("__is_hot", F.col("__blocks").isNotNull())
-        .drop("__lo", "__hi", "__blocks", *[f"__hot_{k}" for k in keys])
-    )
-    # Null order values sort first; keep them ahead of the first block.
-    tagged = tagged.withColumn(
-        "__block", F.when(F.col(order[0]).isNull(), F.lit(-1).cast("long")).otherwise(F.col("__block"))
-    )
+def _blocked_scan(df, keys, order, ordering, scans, blocks, reverse):
+    ranged = df.repartitionByRange(blocks, *keys, *order)
+    # Written once: block numbers must be the same for the totals and the rows.
+    tagged = staged(ranged.withColumn("__block", F.spark_partition_id().cast("long")), "blocks")
 
     last_of = F.min if reverse else F.max
     row_order = F.struct(*[F.col(c) for c in order])
@@ -182,7 +145,7 @@ def _blocked_scan(df, keys, order, ordering, scans, hot, reverse):
             folds.append(last_of(F.struct(row_order.alias("o"), s.expr.alias("v"))).alias(f"__c_{name}"))
         else:
             folds.append(_FOLD[s.kind](s.expr).alias(f"__c_{name}"))
-    per_block = tagged.filter("__is_hot").groupBy(*keys, "__block").agg(*folds)
+    per_block = tagged.groupBy(*keys, "__block").agg(*folds)
     block_order = F.col("__block").desc() if reverse else F.col("__block").asc()
     earlier = _key_window(keys, [block_order])
     carried = {}
@@ -208,13 +171,13 @@ def _blocked_scan(df, keys, order, ordering, scans, hot, reverse):
         [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys],
         (F.col("__block") == F.col("__k_block")),
     )
-    out = local.join(carry, on & F.col("__is_hot"), "left")
+    out = local.join(carry, on, "left")
     results = {}
     for name, s in scans.items():
         here, before = F.col(f"__l_{name}"), F.col(f"__c_{name}")
         if s.kind == "sum":
-            both = F.coalesce(here, before) + F.when(here.isNull(), 0).otherwise(F.coalesce(before, here * 0))
-            results[name] = both
+            before = before.cast(local.schema[f"__l_{name}"].dataType)
+            results[name] = F.when(here.isNull(), before).when(before.isNull(), here).otherwise(here + before)
         elif s.kind == "count":
             results[name] = here + F.coalesce(before, F.lit(0))
         elif s.kind == "max":
@@ -232,20 +195,22 @@ def _blocked_scan(df, keys, order, ordering, scans, hot, reverse):
 def lookup_join(rows: DataFrame, table: DataFrame, keys: list[str], skew: KeySkew, how: str = "left") -> DataFrame:
     """Attach a table with one row per key (or per group of one hot key) to rows.
 
-    Where no key is hot this is a plain join. Otherwise the rows of the hot keys stay where they
-    are and the table's rows for them are broadcast; the list of hot keys bounds their number as
-    long as ``table`` has one row per ``skew`` key. All other rows join as usual.
+    Where no key is hot, or very many are, this is a plain join, whose skewed partitions Spark splits.
+    Otherwise the rows of the hot keys stay where they are and the table's rows for them are
+    broadcast, after a count of them. All other rows join as usual.
     """
     if how not in ("left", "inner"):
         raise ValueError(f"how {how!r}: expected 'left' or 'inner'")
-    if skew.hot is None:
+    if skew.hot is None or not skew.few:
         return _null_safe_join(rows, table, keys, how)
     hot = F.broadcast(skew.hot.select(*[F.col(k).alias(f"__h_{k}") for k in skew.keys]))
 
     def is_hot():
         return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__h_{k}")) for k in skew.keys])
 
-    table_hot = table.join(hot, is_hot(), "left_semi")
+    table_hot = staged(table.join(hot, is_hot(), "left_semi"), "hot_rows")
+    if table_hot.count() > BROADCAST_KEYS:
+        return _null_safe_join(rows, table, keys, how)
     rest = _null_safe_join(rows.join(hot, is_hot(), "left_anti"), table, keys, how)
     hot_rows = _null_safe_join(rows.join(hot, is_hot(), "left_semi"), F.broadcast(table_hot), keys, how)
     return rest.unionByName(hot_rows)

@@ -31,6 +31,11 @@ def accepted() -> Column:
     return F.col("transaction_status") == "accepted"
 
 
+def money(amount: Column) -> Column:
+    """Amounts as decimals: sums are exact, whatever the order of the rows."""
+    return amount.cast("decimal(18,6)")
+
+
 ATTEMPT_ORDER = ["transaction_datetime", "transaction_id"]
 EIGHT_DAYS = TimeRange(8 * DAY_US, SECOND_US, closed_end=True)
 
@@ -119,7 +124,7 @@ def attempt_sequence(base: DataFrame, history: DataFrame, skew: KeySkew | None =
         base, ["order_id"], ATTEMPT_ORDER,
         {
             "max_retry_in_order": running_max(F.col("retries"), inclusive=True),
-            "historical_collected_amount": running_sum(F.when(accepted(), F.col("transaction_amount")).otherwise(0.0)),
+            "historical_collected_amount": running_sum(money(F.when(accepted(), F.col("transaction_amount")).otherwise(0.0))),
         },
         skew,
     )
@@ -131,7 +136,7 @@ def attempt_sequence(base: DataFrame, history: DataFrame, skew: KeySkew | None =
         },
         measure_skew(base.select("invoice_id", "retries"), ["invoice_id"], "retries"),
     )
-    rows = rows.withColumn("historical_collected_amount", F.coalesce("historical_collected_amount", F.lit(0.0)))
+    rows = rows.withColumn("historical_collected_amount", F.coalesce(F.col("historical_collected_amount").cast("double"), F.lit(0.0)))
     # Joined on order and invoice: an invoice id shared by two orders must not multiply rows.
     rows = rows.join(history, ["order_id", "invoice_id"])
     past_sum, past_n = F.coalesce("sum_past_max_retries", F.lit(0)), F.coalesce("count_past_invoices", F.lit(0))
@@ -143,16 +148,20 @@ def trial_money(fact: DataFrame, live_orders: DataFrame) -> DataFrame:
         fact.filter(F.col("invoice_type").like("%trial%"))
         .join(live_orders, "order_id", "left_semi")
         .groupBy("order_id")
-        .agg(F.sum(F.when(accepted(), F.col("transaction_amount")).otherwise(0.0)).alias("trial_collected_amount"))
+        .agg(F.sum(money(F.when(accepted(), F.col("transaction_amount")).otherwise(0.0))).cast("double").alias("trial_collected_amount"))
     )
 
 
-def latest_attempt(rows: DataFrame, key: str = "invoice_id") -> DataFrame:
+# An invoice id may be shared by two orders.
+INVOICE = ["order_id", "invoice_id"]
+
+
+def latest_attempt(rows: DataFrame, keys: list[str] = INVOICE) -> DataFrame:
     """The most recent attempt per key. A maximum of (time, id, row) combines on the map side."""
-    payload = [c for c in rows.columns if c not in (key, *ATTEMPT_ORDER)]
+    payload = [c for c in rows.columns if c not in (*keys, *ATTEMPT_ORDER)]
     newest = F.max_by(F.struct(*payload), F.struct(*ATTEMPT_ORDER))
-    out = rows.groupBy(key).agg(F.max(F.struct(*ATTEMPT_ORDER)).alias("__at"), newest.alias("__row"))
-    return out.select(key, "__at.*", "__row.*").select(*rows.columns)
+    out = rows.groupBy(*keys).agg(F.max(F.struct(*ATTEMPT_ORDER)).alias("__at"), newest.alias("__row"))
+    return out.select(*keys, "__at.*", "__row.*").select(*rows.columns)
 
 
 # Keys with a trailing success rate and the names of the rates.
@@ -200,9 +209,9 @@ def attempt_features(fact: DataFrame, bin_tier: DataFrame, asof: Column, since:
     rows = attempt_sequence(base, order_history(invoice_summary(base), skew), skew)
     scored = latest_attempt(rows.join(live, ["order_id", "invoice_id"], "left_semi")).filter(~accepted())
     # The rates read the whole history but are only asked for the instants that are scored.
-    keys = base.select("invoice_id", *ATTEMPT_ORDER, "transaction_status", *RATES)
-    asked = latest_attempt(keys).filter(~accepted())
-    scored = scored.join(success_rates_8d(base, asked), "transaction_id")
+    slim = base.select(*INVOICE, *ATTEMPT_ORDER, "transaction_status", *RATES).join(live, INVOICE, "left_semi")
+    asked = latest_attempt(slim).filter(~accepted())
+    scored = scored.join(success_rates_8d(base, asked), "transaction_id", "left")
     scored = scored.join(trial_money(fact, live_orders), "order_id", "left")
 
     ts = F.col("transaction_datetime")
@@ -241,9 +250,9 @@ def scored_attempts(fact: DataFrame, skew: KeySkew | None = None) -> DataFrame:
     """Visible attempts with the outcome of their invoice and the money collected before them."""
     base = fact.filter(extract_filter())
     label = base.groupBy("order_id", "invoice_id").agg(F.max(accepted().cast("int")).alias("is_eventually_successful"))
-    paid = F.when(accepted(), F.col("transaction_amount")).otherwise(0.0)
+    paid = money(F.when(accepted(), F.col("transaction_amount")).otherwise(0.0))
     rows = prefix_scan(base, ["order_id"], ATTEMPT_ORDER, {"__paid": running_sum(paid)}, skew)
-    rows = rows.withColumn("historical_collected_amount", F.coalesce("__paid", F.lit(0.0))).drop("__paid")
+    rows = rows.withColumn("historical_collected_amount", F.coalesce(F.col("__paid").cast("double"), F.lit(0.0))).drop("__paid")
     return rows.join(label, ["order_id", "invoice_id"])
 
 
