@@ -125,7 +125,7 @@ def test_backtest_uses_nothing_after_the_origin(spark):
 def test_scorer(spark, data, tmp_path):
     i = Inputs(spark, data.replace("sf0.001", "sf0.01"))
     rows = learning.training_rows(i).cache()
-    model = scoring.train_scorer(rows, learning.ROLES, "label", **learning.FAST)
+    model = scoring.train_scorer(rows, learning.ROLES, "label", boost=learning.BOOST)
     scored = model.score(rows).cache()
     metrics = {r.split: r for r in ev.eval_split(scored, "success_prob", "label", "split").collect()}
     assert metrics["random_test"].auc > 0.7 and metrics["random_test"].brier < 0.25
@@ -146,7 +146,7 @@ def test_scorer(spark, data, tmp_path):
 
 
 def test_score_batch_flags_exactly_a_tenth(spark, data):
-    out = learning.score_batch(Inputs(spark, data)).cache()
+    out = learning.decisions(Inputs(spark, data)).cache()
     n = out.count()
     assert n > 0 and out.filter("random_selection").count() == int(n * 0.1)
 
@@ -160,7 +160,7 @@ def test_linear_attribution_is_exact(spark, data):
 
 def test_daily_forecast(spark, data):
     i = Inputs(spark, data.replace("sf0.001", "sf0.01"))
-    out = scoring.daily_forecast(i.daily_call, i.order_item, folds=2, max_iter=4, depth=3)
+    out = scoring.daily_forecast(i.daily_call, i.order_item, folds=2, boost=learning.CALL_BOOST)
     future = out.future.collect()
     last = i.daily_call.agg(F.max("call_date")).first()[0]
     assert len(future) == 14 and all(r.predicted_calls >= 0 and r.date > last for r in future)

@@ -98,7 +98,7 @@ def keyword_flags(i):
     ) + " FROM v_credit_response",
 )
 def employer_flags(i):
-    flags = text.pattern_flags(F.trim(F.col("employer")), text.EMPLOYER_FLAGS)
+    flags = text.pattern_flags(F.col("employer"), text.EMPLOYER_FLAGS)
     return i.credit_response.select("person_id", *[c.alias(n) for n, c in flags.items()])
 
 

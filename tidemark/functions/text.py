@@ -57,7 +57,8 @@ def pattern_flag(text: Column, pattern: str) -> Column:
 
 
 def pattern_flags(text: Column, patterns: dict[str, str]) -> dict[str, Column]:
-    return {name: pattern_flag(text, p) for name, p in patterns.items()}
+    """One flag per pattern; spaces around the text don't count."""
+    return {name: pattern_flag(F.trim(text), p) for name, p in patterns.items()}
 
 
 def state_code(text: Column) -> Column:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.sources.scratch import checked
+
 
 def numeric_columns(df: DataFrame, skip: tuple[str, ...] = ()) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType) and f.name not in skip]
@@ -106,13 +108,14 @@ def kept_levels(counts: DataFrame, min_count: int) -> DataFrame:
 def rare_pool(df: DataFrame, columns: list[str], min_count: int = 50, keep: DataFrame | None = None) -> DataFrame:
     """Replace levels seen fewer than ``min_count`` times; nulls stay null.
 
-    ``keep`` replays an earlier list of kept levels. Each column is joined to its kept
-    levels; Spark broadcasts the list when it is small and shuffles otherwise.
+    ``keep`` replays an earlier list of kept levels. Each column is joined to its kept levels;
+    the list is broadcast after a count of it, so the rows stay where they are.
     """
     if keep is None:
         keep = kept_levels(level_counts(df, columns), min_count)
+    keep, side = checked(keep, "levels")
     for c in columns:
-        levels = keep.filter(F.col("feature") == c).select(F.col("value").alias("__level"))
+        levels = side(keep.filter(F.col("feature") == c).select(F.col("value").alias("__level")))
         df = df.join(levels, F.col(c).cast("string") == F.col("__level"), "left").withColumn(
             c, F.when(F.col(c).isNotNull() & F.col("__level").isNull(), F.lit(RARE)).otherwise(F.col(c).cast("string"))
         ).drop("__level")

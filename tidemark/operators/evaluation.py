@@ -20,6 +20,7 @@ from tidemark.operators.ordered import (
     prefix_scan,
     running_sum,
 )
+from tidemark.sources.scratch import checked
 
 EPS = 1e-15
 
@@ -272,6 +273,9 @@ def quantile_buckets(df: DataFrame, value: str, n: int, keys: list[str] = (), ou
     edges = exact_quantiles(df, keys, value, probs).groupBy(*keys).agg(
         F.array_sort(F.collect_set("q")).alias("__edges")  # n + 1 numbers
     )
+    if keys:  # one row per key; a report has one key per column
+        edges, side = checked(edges, "edges")
+        edges = side(edges)
     joined = join_keys(df, edges, keys)
     v, e = F.col(value), F.col("__edges")
     below = F.size(F.filter(e, lambda x: x < v))
@@ -330,7 +334,8 @@ def univariate_auc_scan(
     if categorical:
         prior = train.agg(F.avg(label)).scalar()
         enc = long_form(train, categorical, [label], "string").groupBy("feature", "value").agg(F.avg(label).alias("__m"))
-        cells = join_keys(long_form(stop, categorical, [label], "string"), enc, ["feature", "value"])
+        enc, side = checked(enc, "means")
+        cells = join_keys(long_form(stop, categorical, [label], "string"), side(enc), ["feature", "value"])
         cells = cells.withColumn("__m", F.coalesce("__m", prior))
         parts.append(roc_auc(cells, "__m", label, ["feature"]))
     out = reduce(DataFrame.unionByName, parts)

@@ -283,11 +283,12 @@ def cltv_per_order(fact: DataFrame, ecltv: DataFrame, dedupe: bool = True) -> Da
 
     Without ``dedupe`` a repeated projection multiplies the realised value, as a plain join would.
     """
-    if dedupe:
-        ecltv = ecltv.groupBy("order_id").agg(F.max("cltv_pred_mean").alias("cltv_pred_mean"))
+    # One row per order either way; how often it would have come is a number, not rows.
+    ecltv = ecltv.groupBy("order_id").agg(F.max("cltv_pred_mean").alias("cltv_pred_mean"), F.count(F.lit(1)).alias("__times"))
     rows = fact.filter("is_m0 = 1").join(ecltv, "order_id", "left")
     inside = F.col("within_360")
     sales = F.sum(F.when((F.col("is_sale") == 1) & inside, F.col("transaction_amount")).otherwise(0.0))
     # Per order the distinct count of its own id is 1 when any row is inside the window.
     orders = F.max(F.when(inside, 1).otherwise(0))
-    return rows.groupBy("order_id").agg(div0(sales, orders).alias("cltv_360"), F.max("cltv_pred_mean").alias("ecltv_1y"))
+    times = F.lit(1) if dedupe else F.coalesce(F.max("__times"), F.lit(1))
+    return rows.groupBy("order_id").agg(div0(sales * times, orders).alias("cltv_360"), F.max("cltv_pred_mean").alias("ecltv_1y"))

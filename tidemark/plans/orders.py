@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.cleaning import numeric_columns, text_columns
+
 
 def label_conflicts(df: DataFrame, key: str, label: str) -> DataFrame:
     """Keys with more than one label."""
@@ -45,6 +47,17 @@ def order_rollup(rows: DataFrame) -> DataFrame:
     )
 
 
+def rollup_by_role(rows: DataFrame, key: str, order: list[str], skip: tuple[str, ...] = ()) -> DataFrame:
+    """One row per key whatever the columns: number of rows, sum and maximum of every numeric column,
+    first known value of every text column in row order. Columns that come out constant can be dropped
+    with ``drop_constant_columns``."""
+    left_out = (key, *order, *skip)
+    numbers, texts = numeric_columns(rows, left_out), text_columns(rows, left_out)
+    cells = [F.count(F.lit(1)).alias("n_rows")]
+    cells += [f(c).alias(f"{c}_{name}") for c in numbers for name, f in (("sum", F.sum), ("max", F.max))]
+    return rows.groupBy(key).agg(*cells, *[first_value(c, order).alias(c) for c in texts])
+
+
 def group_share(df: DataFrame, keys: list[str]) -> DataFrame:
     """Rows per group and share of all rows."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))

@@ -1,8 +1,11 @@
 """Training, calibration and batch scoring with Spark ML.
 
 Categories become smoothed label means learned on the training rows only, kept as a table and
-applied by joins, so no list of levels passes through the driver. Calibration works on score
-bins, so its input is bounded whatever the number of rows.
+applied by joins, so no list of levels passes through the driver. Calibration learns from the
+distinct scores, which boosted trees keep few.
+
+Boosting grows the trees, reads the loss of every tree count on the rows set aside for it, and keeps
+the count after which the loss has not fallen for ``patience`` trees (``Boost``).
 """
 
 from __future__ import annotations
@@ -30,10 +33,60 @@ from tidemark.operators.evaluation import (
 from tidemark.operators.ordered import exact_quantiles, position, prefix_scan, previous
 from tidemark.operators.splits import exact_sample, fold_roles, hard_example_reweight, linear_recency_weight
 from tidemark.plans import calls
+from tidemark.sources.scratch import checked, staged
 from tidemark.sources.tables import PREDICTION_SCHEMA, check_columns, conform, load_spec, save_spec
 
 SMOOTHING = 20.0
-SCORE_BINS = 10_000
+# Counts per text column that tokens are hashed into.
+TEXT_WIDTH = 1 << 12
+
+
+@dataclass(frozen=True)
+class Boost:
+    """How far to boost: at most ``max_iter`` trees of ``depth``, until ``patience`` trees brought nothing."""
+
+    max_iter: int = 2000
+    depth: int = 7
+    step: float = 0.1
+    patience: int = 50
+    seed: int = 42
+    first: int = 32  # trees grown before the first look at the loss; doubled while it still falls
+
+
+CLASSIFY = Boost()
+REGRESS = Boost(depth=6, patience=75)
+
+
+def best_count(losses: list[float], patience: int) -> tuple[int, bool]:
+    """Number of trees with the lowest loss up to the point where patience ran out, and whether it did."""
+    best = 0
+    for n, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = n
+        elif n - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
+def boosted(learner, rows: DataFrame, stop: str, boost: Boost):
+    """The learner fitted on rows not marked ``stop``, with as many trees as serve the marked ones.
+
+    Trees are grown in rounds of doubled length, as long as patience has not run out; the trees before a
+    round's end are the same in every round, so the last fit repeats the best count."""
+    fit, held = rows.filter(~F.col(stop)), rows.filter(F.col(stop))
+    size, model = min(boost.first, boost.max_iter), None
+    if held.isEmpty():
+        return learner.setMaxIter(size).fit(fit)
+    while True:
+        model = learner.setMaxIter(size).fit(fit)
+        if isinstance(learner, GBTRegressor):
+            losses = model.evaluateEachIteration(held, "absolute")
+        else:
+            losses = model.evaluateEachIteration(held)
+        count, done = best_count(losses, boost.patience)
+        if done or size == boost.max_iter:
+            return model if count == size else learner.setMaxIter(count).fit(fit)
+        size = min(2 * size, boost.max_iter)
 
 
 @dataclass
@@ -75,10 +128,13 @@ class Preprocessor:
         check_columns(df, self.roles.names(), "model features")
         cats = self.roles.categorical
         df = impute_by_role(df, self.roles.numeric, [*cats, *self.roles.text])
+        if not cats:
+            return df
         df = rare_pool(df, cats, keep=self.levels)
+        learned, side = checked(self.means, "means")
         for c in cats:
-            means = self.means.filter(F.col("feature") == c).select(F.col("value").alias("__v"), F.col("mean").alias(f"{c}_mean"))
-            df = df.join(means, F.col(c) == F.col("__v"), "left").drop("__v")
+            means = learned.filter(F.col("feature") == c).select(F.col("value").alias("__v"), F.col("mean").alias(f"{c}_mean"))
+            df = df.join(side(means), F.col(c) == F.col("__v"), "left").drop("__v")
             df = df.withColumn(f"{c}_mean", F.coalesce(f"{c}_mean", F.lit(self.prior)))
         return df
 
@@ -103,7 +159,7 @@ def fit_preprocessor(train: DataFrame, roles: FeatureRoles, label: str, min_coun
     return Preprocessor(roles, levels, means, prior)
 
 
-def text_stages(columns: list[str], width: int = 64) -> list:
+def text_stages(columns: list[str], width: int = TEXT_WIDTH) -> list:
     """Tokens hashed into a fixed number of counts per text column."""
     stages = []
     for c in columns:
@@ -122,17 +178,18 @@ def encode(pre: Preprocessor) -> list:
 
 
 def train_gbt_classifier(
-    rows: DataFrame, pre: Preprocessor, label: str, stop: str = "is_stop", weight: str | None = None,
-    max_iter: int = 20, depth: int = 4, step: float = 0.1, seed: int = 42,
+    rows: DataFrame, pre: Preprocessor, label: str, stop: str = "is_stop", weight: str | None = None, boost: Boost = CLASSIFY
 ) -> PipelineModel:
     """Boosted trees on preprocessed rows; rows marked ``stop`` decide when to stop."""
-    gbt = GBTClassifier(
-        featuresCol="features", labelCol=label, maxIter=max_iter, maxDepth=depth, stepSize=step, seed=seed,
-        validationIndicatorCol=stop,
-    )
+    gbt = GBTClassifier(featuresCol="features", labelCol=label, maxDepth=boost.depth, stepSize=boost.step, seed=boost.seed)
     if weight is not None:
         gbt = gbt.setWeightCol(weight)
-    return Pipeline(stages=[*encode(pre), gbt]).fit(rows)
+    coder = Pipeline(stages=encode(pre)).fit(rows)
+    vectors = coder.transform(rows).select("features", label, stop, *([weight] if weight else []))
+    vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
+    trees = boosted(gbt, vectors, stop, boost)
+    vectors.unpersist()
+    return PipelineModel([*coder.stages, trees])
 
 
 def raw_score(model: PipelineModel, df: DataFrame, out: str = "raw_score") -> DataFrame:
@@ -141,11 +198,9 @@ def raw_score(model: PipelineModel, df: DataFrame, out: str = "raw_score") -> Da
     return scored.drop(*extra, *[c for c in scored.columns if c.endswith(("_tokens", "_hashed"))])
 
 
-def isotonic_calibrate(scored: DataFrame, score: str, label: str, bins: int = SCORE_BINS) -> IsotonicRegressionModel:
-    """Monotone map from score to probability, learned on weighted score bins."""
-    table = scored.groupBy(F.round(F.col(score) * bins, 0).alias("__bin")).agg(
-        F.avg(score).alias("score"), F.avg(label).alias("rate"), F.count(F.lit(1)).cast("double").alias("weight")
-    )
+def isotonic_calibrate(scored: DataFrame, score: str, label: str) -> IsotonicRegressionModel:
+    """Monotone map from score to probability, learned on the distinct scores, weighted by their rows."""
+    table = scored.groupBy(F.col(score).alias("score")).agg(F.avg(label).alias("rate"), F.count(F.lit(1)).cast("double").alias("weight"))
     return IsotonicRegression(featuresCol="score", labelCol="rate", weightCol="weight", predictionCol="calibrated").fit(table)
 
 
@@ -166,14 +221,11 @@ class Scorer:
         return calibrated(self.isotonic, raw, "raw_score", out)
 
 
-def train_scorer(rows: DataFrame, roles: FeatureRoles, label: str, split: str = "split", **options) -> Scorer:
+def train_scorer(rows: DataFrame, roles: FeatureRoles, label: str, split: str = "split", boost: Boost = CLASSIFY) -> Scorer:
     """Learn preprocessing on train, trees on train with early stopping on stop, calibration on calib."""
     pre = fit_preprocessor(rows.filter(F.col(split) == "train"), roles, label)
     ready = pre.apply(rows).withColumn("is_stop", F.col(split) == "stop")
-    # Boosting reads its rows once per tree level; kept on disk where memory is short.
-    fit_rows = ready.filter(F.col(split).isin("train", "stop")).persist(StorageLevel.MEMORY_AND_DISK)
-    trees = train_gbt_classifier(fit_rows, pre, label, **options)
-    fit_rows.unpersist()
+    trees = train_gbt_classifier(ready.filter(F.col(split).isin("train", "stop")), pre, label, boost=boost)
     calib = raw_score(trees, ready.filter(F.col(split) == "calib"))
     return Scorer(pre, trees, isotonic_calibrate(calib, "raw_score", label))
 
@@ -239,7 +291,7 @@ def score_summary(ranked: DataFrame, probability: str) -> DataFrame:
 
 def bottom_percentile_train(
     rows: DataFrame, pre: Preprocessor, label: str, id_column: str, target: float = 25.0, extra: float = 15.0,
-    zone: float = 10.0, rounds: int = 3, **options,
+    zone: float = 10.0, rounds: int = 3, boost: Boost = CLASSIFY,
 ) -> tuple[PipelineModel, list[dict]]:
     """Train, look at the lowest ``target`` percent, raise the weights of what went wrong there, repeat.
 
@@ -252,7 +304,7 @@ def bottom_percentile_train(
     best, best_key, history = None, None, []
     for n in range(rounds):
         weighted = rows.join(weights, id_column).persist(StorageLevel.MEMORY_AND_DISK)
-        model = train_gbt_classifier(weighted, pre, label, weight="weight", **options)
+        model = train_gbt_classifier(weighted, pre, label, weight="weight", boost=boost)
         weighted.unpersist()
         scored = raw_score(model, rows).persist(StorageLevel.MEMORY_AND_DISK)
         test = scored.filter("is_stop")
@@ -329,32 +381,30 @@ def call_features(df: DataFrame) -> DataFrame:
 
 
 def train_gbt_regressor(
-    rows: DataFrame, label: str, weight: str | None = None, stop: str | None = None, max_iter: int = 20, depth: int = 4,
-    step: float = 0.1, seed: int = 42,
+    rows: DataFrame, label: str, weight: str | None = None, stop: str | None = None, boost: Boost = REGRESS, trees: int | None = None
 ):
-    gbt = GBTRegressor(featuresCol="features", labelCol=label, maxIter=max_iter, maxDepth=depth, stepSize=step, seed=seed, lossType="absolute")
+    """Boosted trees for the absolute error; with ``stop`` marked rows decide the number of trees, else it is given."""
+    gbt = GBTRegressor(featuresCol="features", labelCol=label, maxDepth=boost.depth, stepSize=boost.step, seed=boost.seed, lossType="absolute")
     if weight is not None:
         gbt = gbt.setWeightCol(weight)
-    if stop is not None:
-        gbt = gbt.setValidationIndicatorCol(stop)
-    return gbt.fit(rows)
+    return gbt.setMaxIter(trees or boost.max_iter).fit(rows) if stop is None else boosted(gbt, rows, stop, boost)
 
 
 def daily_table(items_calls: DataFrame, items: DataFrame, ahead: int = 0) -> DataFrame:
     return calls.ratio_target(calls.daily_feature_table(items_calls, items, ahead=ahead))
 
 
-def walk_forward(clean: DataFrame, folds: int, test: int, val: int, **options) -> tuple[DataFrame, int]:
+def walk_forward(clean: DataFrame, folds: int, test: int, val: int, boost: Boost = REGRESS) -> tuple[DataFrame, int]:
     """Predictions of every fold's test days and the mean number of trees.
 
-    One row per day: the table is cached and each fold reads its part of it.
+    One row per day: the table is written once and each fold reads its part of it.
     """
-    parts = fold_roles(clean, ["date"], folds, test, val).cache()
+    parts = staged(fold_roles(clean, ["date"], folds, test, val), "folds")
     trees, predictions = [], None
     for f in range(1, folds + 1):
         fold = parts.filter(F.col("fold") == f)
         fit = fold.filter(F.col("role") != "test").withColumn("is_stop", F.col("role") == "val")
-        model = train_gbt_regressor(fit, "target_ratio", "sample_weight", "is_stop", **options)
+        model = train_gbt_regressor(fit, "target_ratio", "sample_weight", "is_stop", boost)
         trees.append(model.getNumTrees)
         out = model.transform(fold.filter("role = 'test'")).select(
             "fold", "date", F.col("num_calls").alias("actual_calls"),
@@ -375,19 +425,21 @@ class CallForecast:
 
 def daily_forecast(
     call_rows: DataFrame, items: DataFrame, horizon: int = 14, folds: int = 5, test: int = 60, val: int = 30,
-    holdout: int = 5, **options,
+    holdout: int = 5, boost: Boost = REGRESS,
 ) -> CallForecast:
     """Walk-forward report, hold-out check and forecast of the next days.
 
     The last ``holdout`` days are kept out; the final model uses the mean number of trees of the folds.
     """
-    table = call_features(daily_table(call_rows, items, ahead=horizon)).cache()
+    table = call_features(daily_table(call_rows, items, ahead=horizon))
+    table = staged(table, "daily")
     last_day = call_rows.agg(F.max("call_date")).scalar()
     clean = linear_recency_weight(calls.clean_rows(table.filter(F.col("date") <= last_day)), ["date"])
-    marked = prefix_scan(clean, [], ["date"], {"from_end": position()}, reverse=True).cache()
+    marked = prefix_scan(clean, [], ["date"], {"from_end": position()}, reverse=True)
+    marked = staged(marked, "marked")
     train = marked.filter(F.col("from_end") > holdout).drop("from_end")
-    predictions, trees = walk_forward(train, folds, test, val, **options)
-    final = train_gbt_regressor(train, "target_ratio", "sample_weight", max_iter=trees, **{k: v for k, v in options.items() if k != "max_iter"})
+    predictions, trees = walk_forward(train, folds, test, val, boost)
+    final = train_gbt_regressor(train, "target_ratio", "sample_weight", boost=boost, trees=trees)
 
     def predict(rows):
         return final.transform(rows).withColumn(
