@@ -27,7 +27,7 @@ def odd_documents() -> list[tuple]:
     near = a.replace("river", "stream", 1)
     texts = [
         None, "", " ", "\n\n", "a", "one two three", "\u0001x\u0002", "<|endoftext|> hi <|startoftext|>", "Σίσυφος ΣΑΣ é ﬁ 日本語 🙂🙂", "՘ Ɤ odd letters",
-        a, a, near, prose(300, 2), prose(60, 3), prose(120_000, 4), "x" * 50_000, "1 " * 3000, "a.b" * 4000, "-" * 3000 + "\n" * 500, "\x1c\x85    end",
+        a, a, near, prose(300, 2), prose(60, 3), prose(120_000, 4), "x" * 50_000, "1 " * 3000, "a.b" * 4000, "-" * 3000 + "\n" * 500, "\x1c\x85    end", "*** !!!", " *** !!!",
     ]
     rows = [(n, t, "en" if n % 4 else None, None if n % 5 == 0 else f"s{n}", None if t is None else len(t)) for n, t in enumerate(texts)]
     return rows + [rows[10], rows[13], rows[13], (None, prose(80, 9), "en", "s", 1), (None, None, None, None, None)]
@@ -70,7 +70,7 @@ def near_pairs(rows: list[tuple]) -> tuple[list[int], list[int | None]]:
     """Per row the number of similar rows and the class id, over all pairs."""
     sets = []
     for doc_id, text in rows:
-        words = re.findall(r"\w+", (text or "").lower())
+        words = re.findall(r"\w+", (text or "").lower()) or list(filter(None, [(text or "").strip()]))
         sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words and doc_id is not None else set())
     links, parent = [0] * len(rows), list(range(len(rows)))
 

@@ -16,7 +16,7 @@ Band and row counts: two texts of similarity s share a band with probability 1 -
 Pairs of one cluster are all verified, whether they share a band or not.
 
 Words are runs of letters, digits and underscores in lower case. A text of one to four words has one gram, the
-whole; a text without a word (or null) has no link and is its own class. Rows without a doc id take no part: class id null, no
+whole; signs without a word count as one word; an empty text (or null) has no link and is its own class. Rows without a doc id take no part: class id null, no
 links. Repeated rows are copies. Other columns are not read.
 """
 
@@ -58,7 +58,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def gram_sets(texts: list[str]) -> list[np.ndarray]:
     """Sorted distinct gram hashes of each text."""
     code: dict[str, int] = {}
-    coded = [np.array([code.setdefault(w, len(code)) for w in WORDS.findall(t.lower())], np.int64) for t in texts]
+    # Without any word, what is left between the spaces at both ends stands for one.
+    split = [WORDS.findall(t.lower()) or list(filter(None, [t.strip()])) for t in texts]
+    coded = [np.array([code.setdefault(w, len(code)) for w in words], np.int64) for words in split]
     hashes = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in code], np.uint64)
     out = []
     for words in coded:
