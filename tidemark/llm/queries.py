@@ -33,10 +33,11 @@ OP1_SQL = """
 WITH rows AS (
   SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(embedding, x -> x <> 0)) > 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 far AS (
-  SELECT q.vec_id AS query_id, r.vec_id, list_distance(q.v, r.v) AS score
+  SELECT q.vec_id AS query_id, r.vec_id, sqrt(list_reduce(list_transform(list_zip(q.v, r.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])),
+    lambda a, b: a + b)) AS score
   FROM rows q JOIN rows r ON q.vec_id <> r.vec_id WHERE q.vec_id % 100 = 0),
 ranked AS (
   SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank, vec_id, score FROM far)
