@@ -24,7 +24,8 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
         # Large star: larger neighbours of a node point at the smallest of the node and its neighbours.
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        # Written first, so that the join shuffles both sides and Spark can split a node with many neighbours.
+        least = staged(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
         large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b")).distinct()
         large = staged(large, "links")
         # Small star: a node and its smaller neighbours point at the smallest of them.
