@@ -167,3 +167,16 @@ def test_daily_forecast(spark, data):
     report = {r.fold: r for r in out.fold_report.collect()}
     assert set(report) == {1, 2} and all(r.n == 60 and r.mae_share < 1.0 for r in report.values())
     assert out.holdout.count() == 5 and out.trees >= 1
+
+
+def test_registered_training_has_the_whole_budget():
+    """500 to 2,000 trees of depth 3 to 7, patience 50 and more, as in the jobs they stand for."""
+    for boost, depth, patience in ((learning.BOOST, 7, 50), (learning.CALL_BOOST, 6, 75)):
+        assert (boost.max_iter, boost.depth, boost.patience) == (2000, depth, patience)
+
+
+def test_without_stop_rows_all_trees_are_grown(spark):
+    rows = spark.createDataFrame([(float(n % 7), float(n % 2), False) for n in range(60)], "x double, label double, is_stop boolean")
+    pre = scoring.fit_preprocessor(rows, scoring.FeatureRoles(["x"]), "label")
+    model = scoring.train_gbt_classifier(rows, pre, "label", boost=scoring.Boost(max_iter=5, depth=2, first=2))
+    assert model.stages[-1].getNumTrees == 5

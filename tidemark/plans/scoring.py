@@ -33,6 +33,7 @@ from tidemark.operators.evaluation import (
 from tidemark.operators.ordered import exact_quantiles, position, prefix_scan, previous
 from tidemark.operators.splits import exact_sample, fold_roles, hard_example_reweight, linear_recency_weight
 from tidemark.plans import calls
+from tidemark.session import ensure_checkpoint_dir
 from tidemark.sources.scratch import checked, staged
 from tidemark.sources.tables import PREDICTION_SCHEMA, check_columns, conform, load_spec, save_spec
 
@@ -72,11 +73,14 @@ def boosted(learner, rows: DataFrame, stop: str, boost: Boost):
     """The learner fitted on rows not marked ``stop``, with as many trees as serve the marked ones.
 
     Trees are grown in rounds of doubled length, as long as patience has not run out; the trees before a
-    round's end are the same in every round, so the last fit repeats the best count."""
+    round's end are the same in every round, so the last fit repeats the best count. Without marked rows nothing
+    can end it early: all ``max_iter`` trees are grown."""
     fit, held = rows.filter(~F.col(stop)), rows.filter(F.col(stop))
-    size, model = min(boost.first, boost.max_iter), None
+    # Long boosting needs its row errors cut off from their history now and then, which asks for this folder.
+    ensure_checkpoint_dir(rows.sparkSession)
     if held.isEmpty():
-        return learner.setMaxIter(size).fit(fit)
+        return learner.setMaxIter(boost.max_iter).fit(fit)
+    size, model = min(boost.first, boost.max_iter), None
     while True:
         model = learner.setMaxIter(size).fit(fit)
         if isinstance(learner, GBTRegressor):
