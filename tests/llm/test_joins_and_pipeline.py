@@ -35,6 +35,18 @@ def test_nearest_is_exact_at_factor_one(spark):
     assert got == plain_nearest(rows, {i for i, *_ in rows if i is not None and i % 50 == 0})
 
 
+@pytest.mark.parametrize("dims, scale", [(64, 1.0), (128, 8.0), (384, 10.0)])
+def test_nearest_among_hundreds_of_copies(spark, dims, scale):
+    """The smallest ids come first, however the rounding of the quick distances falls."""
+    rng = np.random.default_rng(dims)
+    plain = rng.normal(size=(302, dims))
+    plain = (scale * plain / np.linalg.norm(plain, axis=1)[:, None]).astype(np.float32)
+    rows = [(n, plain[n % 2 if n < 800 else n % 300 + 2].tolist(), "x") for n in rng.permutation(1000).tolist()]
+    table = spark.createDataFrame(rows, VECTORS)
+    got = sorted(map(tuple, vptree.nearest(table, table.where(F.col("vec_id") % 50 == 0), shard_rows=400).collect()))
+    assert got == plain_nearest(rows, {i for i, *_ in rows if i % 50 == 0})
+
+
 def test_larger_factor_skips_more_and_keeps_recall(spark, data):
     table = spark.read.parquet(f"{data}/embeddings.parquet")
     asked = table.where("vec_id % 10 = 0")

@@ -36,6 +36,7 @@ SHARD_ROWS, BLOCK_QUERIES = 8192, 256
 RESULT = "query_id long, vec_id long, score double"
 # Room for rounding when a bound is compared with a distance.
 SLACK = 1e-9
+EPS = np.finfo(np.float64).eps
 
 
 def distances(rows: np.ndarray, point: np.ndarray) -> np.ndarray:
@@ -48,11 +49,17 @@ def distances(rows: np.ndarray, point: np.ndarray) -> np.ndarray:
 
 
 def quick(rows: np.ndarray, points: np.ndarray) -> np.ndarray:
-    """Distances of all rows to all points (rows x points), for pruning and preselection."""
+    """Distances of all rows to all points (rows x points), for preselection; ``blur`` bounds the error of their squares."""
     square = (rows * rows).sum(1)[:, None] + (points * points).sum(1)[None, :] - 2 * rows @ points.T
     return np.sqrt(np.maximum(square, 0))
 
 
+def blur(rows: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Per point, room for the rounding of ``quick`` in squared distances: three sums of as many terms as there are
+    dimensions, none above |x|^2 + |q|^2 in total, which cancel when the distance is small."""
+    return 4 * EPS * (rows.shape[1] + 4) * ((rows * rows).sum(1).max() + (points * points).sum(1))
+
+
 class Tree:
     """Rows are reordered so that every node owns a range; ``nodes`` lists (low, high, vantage row, median,
     largest inner, smallest outer, largest outer, inner child, outer child), leaves without children."""
@@ -84,6 +91,12 @@ class Tree:
         """Per query the candidates kept: at least the k nearest (with ties) when factor is 1."""
         found = [[] for _ in query_ids]
         best = np.full((len(query_ids), k), np.inf)
+        room = blur(self.rows, queries) if len(self.ids) else np.zeros(len(query_ids))
+
+        def limit(who: np.ndarray) -> np.ndarray:
+            """The k-th best distance so far, with room for its own rounding and that of what it is compared with."""
+            tau = best[who].max(axis=1)
+            return np.sqrt(tau * tau + 2 * room[who]) * (1 + SLACK) + SLACK
 
         def offer(low: int, high: int, who: np.ndarray, far: np.ndarray) -> None:
             """Rows low to high with distances far (rows x who)."""
@@ -91,15 +104,14 @@ class Tree:
             far = np.where(own, np.inf, far)
             merged = np.concatenate([best[who], far.T], axis=1)
             best[who] = np.partition(merged, k - 1, axis=1)[:, :k]
-            tau = best[who].max(axis=1) * (1 + SLACK) + SLACK
-            near = (far.T <= tau[:, None]) & np.isfinite(far.T)
+            near = (far.T <= limit(who)[:, None]) & np.isfinite(far.T)
             for n in np.flatnonzero(near.any(axis=1)):
                 found[who[n]].append(low + np.flatnonzero(near[n]))
 
         todo = [(0, np.arange(len(query_ids)), np.zeros(len(query_ids)))] if len(self.ids) else []
         while todo:
             node, who, bound = todo.pop()
-            alive = bound * factor <= best[who].max(axis=1) * (1 + SLACK) + SLACK
+            alive = bound * factor <= limit(who)
             who, bound = who[alive], bound[alive]
             if not len(who):
                 continue
@@ -107,9 +119,9 @@ class Tree:
             if inner < 0:
                 offer(low, high, who, quick(self.rows[low:high], queries[who]))
                 continue
-            far = quick(self.rows[vantage : vantage + 1], queries[who])
-            offer(vantage, vantage + 1, who, far)
-            d = far[0]
+            # From differences, so that the rounding of ``quick`` does not enter the triangle inequality.
+            d = np.sqrt(np.square(queries[who] - self.rows[vantage]).sum(1))
+            offer(vantage, vantage + 1, who, d[None, :])
             to_inner = np.maximum(bound, d - inner_most)
             to_outer = np.maximum(bound, np.maximum(outer_least - d, d - outer_most))
             closer = d < median
