@@ -50,6 +50,33 @@ def test_token_counts_of_many_blocks(spark, docs, monkeypatch):
     assert got == {i: len(ids_by(BYTE, t)) for i, t, *_ in rows}
 
 
+def test_token_counts_of_short_documents_after_a_long_one(monkeypatch):
+    """A block that starts inside an Arrow batch is closed before its places run out."""
+    import pyarrow as pa
+    import pyspark
+
+    class Task:
+        get = staticmethod(lambda: type("T", (), {"partitionId": lambda self: 0})())
+
+    monkeypatch.setattr(pyspark, "TaskContext", Task)
+    monkeypatch.setattr(token_count, "BLOCK_BYTES", 1_000_000_000)
+    sizes = [58_999, 70_000, 3]
+    batches, at = [], 0
+    for n in sizes:
+        batches.append(pa.RecordBatch.from_arrays([pa.array(range(at, at + n), pa.int64()), pa.array(["a b"] * n)], names=["doc_id", "text"]))
+        at += n
+    posted = list(token_count.postings(BYTE)(iter(batches)))
+    heads = [pa.ipc.open_stream(p[0].as_py()).read_next_batch() for b in posted for w, p in zip(b.column("word"), [[x] for x in b.column("payload")]) if w.as_py() is None]
+    assert [i for h in heads for i in h.column("doc_id").to_pylist()] == list(range(at)) and max(h.num_rows for h in heads) <= 65_536
+    places = {}
+    for b in posted:
+        for w, n, p in zip(b.column("word").to_pylist(), b.column("block").to_pylist(), b.column("payload").to_pylist()):
+            if w is not None:
+                places.setdefault((n, w), []).extend(np.frombuffer(p, np.uint16).tolist())
+    assert sorted(len(x) for x in places.values()) == sorted(h.num_rows for h in heads for _ in range(2))
+    assert all(sorted(x) == list(range(len(x))) for x in places.values())
+
+
 @pytest.mark.parametrize("path", [BYTE, WORD])
 def test_round_trip(docs, empty, path):
     got = rows_of(bpe_trie.round_trip_digest(docs, path))

@@ -31,6 +31,8 @@ from tidemark.llm.bpe_trie import BYTE_LEVEL_PATTERN, UNSTABLE
 from tidemark.llm.common import shipped, slices, texts_of
 
 BLOCK_DOCS, BLOCK_BYTES = 60_000, 32_000_000
+# Places in a block are two bytes.
+PLACES = 1 << 16
 SPREAD = 32
 STATE = 4_000_000
 POSTINGS = "salt int, word string, block long, payload binary"
@@ -87,6 +89,10 @@ class Block:
             self.ids.append(i)
             self.sizes.append(len(text.encode("utf-8", "surrogatepass")))
 
+    def room(self) -> int:
+        """Documents that still have a place number."""
+        return PLACES - len(self.ids)
+
     def full(self) -> bool:
         return len(self.ids) >= BLOCK_DOCS or sum(self.sizes) >= BLOCK_BYTES
 
@@ -122,10 +128,14 @@ def postings(path: str):
 
         count, block, number = counter(path), Block(), TaskContext.get().partitionId() << 24
         for batch in slices(batches):
-            block.add(batch.column("doc_id").to_pylist(), texts_of(batch), count.split)
-            if block.full():
-                yield from block.rows(number)
-                block, number = Block(), number + 1
+            ids, texts, at = batch.column("doc_id").to_pylist(), texts_of(batch), 0
+            while at < len(ids):
+                stop = at + block.room()
+                block.add(ids[at:stop], texts[at:stop], count.split)
+                at = stop
+                if block.full():
+                    yield from block.rows(number)
+                    block, number = Block(), number + 1
         if block.ids:
             yield from block.rows(number)
 
