@@ -256,6 +256,19 @@ def test_personal_data(spark, docs, empty):
     assert len(odd) == len(helpers.odd_documents()) and pii.digest(empty).count() == 0
 
 
+def test_terms_far_from_the_entity(spark):
+    """Name in the head, address in the foot: the word goes at every place of those documents, however far away."""
+    far = " ".join(helpers.prose(60, 5).split())
+    rows = [(n, f"zephyrine signs {far} zephyrine {far} vex@corp.example zephyrine", "en", "s", 0) for n in range(4)]
+    rows += [(200 + n, helpers.prose(60, n) + " signs", "en", "s", 0) for n in range(30)]
+    table = helpers.documents(spark, rows)
+    found = {r.doc_id: r.spans for r in pii.digest(table).collect()}
+    words = [rows[0][1][int(a) : int(e)] for k, a, e in (x.split(":") for x in found[0].split(",")) if k == "term"]
+    assert words.count("zephyrine") == 3 and "signs" not in words and "corp" not in words
+    assert "zephyrine" not in {r.doc_id: r.sanitised for r in pii.sanitise(table).collect()}[0]
+    assert all("term" not in found[200 + n] for n in range(30))
+
+
 def secret_rows():
     import random
 

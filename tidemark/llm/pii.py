@@ -1,14 +1,14 @@
 """Information-theoretic sanitisation of personal data, in DataFrame functions only.
 
 Base spans are pattern matches that pass a test (address parts, Luhn digit, number of digits). The values found are
-the protected entities. A term next to an entity can give it away: over the whole corpus, with p as shares of documents,
+the protected entities. A term in the documents of an entity can give it away: over the whole corpus, with p as shares of documents,
 
     disclosure(term, entity) = log(p(term, entity) / (p(term) p(entity))) / -log(p(entity))
 
-is 0 for independent ones and 1 for a term that occurs with the entity only. Co-occurrence means that the term
-stands within ``spans.AROUND`` characters of the entity, not beyond the next match of the same kind. Terms
-with a disclosure of at least ``DISCLOSURE``, seen with the entity in ``SUPPORT`` documents or more, become spans of
-kind ``term`` wherever they stand next to that entity. ``sanitise`` replaces spans by their kind (generalises) or
+is 0 for independent ones and 1 for a term that occurs with the entity only. Co-occurrence means that term and entity
+stand in one document, however far apart. Terms with a disclosure of at least ``DISCLOSURE``, seen with the entity
+in ``SUPPORT`` documents or more, become spans of kind ``term`` at every place in the documents that hold the entity,
+but inside base spans. ``sanitise`` replaces spans by their kind (generalises) or
 removes them.
 
 Terms are words of four letters or more in lower case. Every row counts as a document, repeated rows too. Null text
@@ -59,7 +59,7 @@ def phone_fits(m: Column) -> Column:
 
 
 def base_spans(docs: DataFrame, row: str | None = None) -> DataFrame:
-    """row, doc_id, spans: the base spans of every row."""
+    """row, doc_id, spans, plain: the base spans (kind, start, end, match) of every row, and the text of rows with any."""
     plain = docs.select((F.col(row) if row else F.monotonically_increasing_id()).alias("row"), "doc_id", spans.unmarked(F.col("text")).alias("plain"))
     kinds = [
         ("email", EMAIL, lambda m: F.lit(True), F.col("plain").contains("@")),
@@ -67,52 +67,55 @@ def base_spans(docs: DataFrame, row: str | None = None) -> DataFrame:
         ("card", CARD, card_fits, None),
         ("phone", PHONE, phone_fits, F.col("plain").contains("+")),
     ]
-    return spans.with_spans(plain, "plain", kinds, "spans").drop("plain")
-
-
-def contexts(found: DataFrame) -> DataFrame:
-    """row, entity, term, start, end: words around each base span."""
-    one = found.select("row", F.explode("spans").alias("s"))
-    # A word cut by the edge of the kept text is left out.
-    before = F.when(F.length("s.before") == spans.AROUND, F.regexp_replace("s.before", r"^\p{L}+", "")).otherwise(F.col("s.before"))
-    after = F.when(F.length("s.after") == spans.AROUND, F.regexp_replace("s.after", r"\p{L}+$", "")).otherwise(F.col("s.after"))
-    sides = F.array(
-        F.struct(before.alias("t"), (F.col("s.start") - F.length(before)).alias("at")),
-        F.struct(after.alias("t"), F.col("s.end").alias("at")),
-    )
-    side = one.select("row", F.concat_ws(":", "s.kind", "s.match").alias("entity"), F.explode(sides).alias("x"))
-    words = spans.with_spans(side.select("row", "entity", F.col("x.at").alias("at"), F.col("x.t").alias("plain")), "plain", [("term", TERM, lambda m: F.lit(True), None)], "words")
-    near = words.select("row", "entity", "at", F.explode("words").alias("w"))
-    return near.select("row", "entity", F.lower("w.match").alias("term"), (F.col("at") + F.col("w.start")).alias("start"), (F.col("at") + F.col("w.end")).alias("end"))
+    found = spans.with_spans(plain, "plain", kinds, "spans")
+    slim = F.transform("spans", lambda s: F.struct(*[s[c].alias(c) for c in ("kind", "start", "end", "match")]))
+    return found.select("row", "doc_id", slim.alias("spans"), F.when(F.size("spans") > 0, F.col("plain")).alias("plain"))
+
+
+def worded(text: Column) -> Column:
+    """The distinct terms of a text."""
+    return F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({TERM})"), F.lit(1))), F.lower))
+
+
+def together(docs: DataFrame, found: DataFrame, total: int, disclosure: float, support: int) -> DataFrame:
+    """row, entity, term, n_entity, n_term: what occurs in one document, without pairs that can't reach the thresholds.
+
+    A pair is met in at most n_entity documents, so its disclosure is log(total / n_term) / log(total / n_entity) at most."""
 
+    def most_documents(n: Column) -> Column:
+        return F.lit(float(total) ** (1 - disclosure) * (1 + 1e-9)) * F.pow(n, F.lit(disclosure))
 
-def revealing(docs: DataFrame, near: DataFrame, found: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+    some = found.where(F.size("spans") > 0)
+    holds = some.select("row", F.explode(F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["match"])))).alias("entity"))
+    entities = holds.groupBy("entity").agg(F.count("*").alias("n_entity")).where((F.col("n_entity") >= support) & (F.col("n_entity") < total))
+    held = staged(holds.join(entities, "entity"), "entities")
+    largest = held.agg(F.max("n_entity")).first()[0] or 0
+    terms = docs.select(F.explode(worded(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    terms = terms.where((F.col("n_term") >= support) & (F.col("n_term") <= most_documents(F.lit(float(largest)))))
+    words = some.select("row", F.explode(worded(F.col("plain"))).alias("term")).join(terms, "term")
+    both = words.join(held, "row").where(F.col("n_term") <= most_documents(F.col("n_entity")))
+    return both.select("row", "entity", "term", "n_entity", "n_term")
+
+
+def revealing(both: DataFrame, total: int, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """entity, term, disclosure: pairs above the thresholds."""
-    both = near.select("entity", "term", "row").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
-    entities = (
-        found.select("row", F.explode("spans").alias("s"))
-        .select("row", F.concat_ws(":", "s.kind", "s.match").alias("entity"))
-        .distinct()
-        .groupBy("entity")
-        .agg(F.count("*").alias("n_entity"))
-        .where(F.col("n_entity") >= support)
-    )
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(f"({TERM})"), F.lit(1)))
-    terms = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")).where(F.col("n_term") >= support)
-    total = found.count()
-    pairs = both.join(entities, "entity").join(terms, "term")
+    pairs = both.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term")).where(F.col("n_both") >= support)
     gain = F.log(F.col("n_both") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity")))
     share = gain / F.log(F.lit(float(total)) / F.col("n_entity"))
-    return pairs.where(F.col("n_entity") < total).select("entity", "term", share.alias("disclosure")).where(F.col("disclosure") >= disclosure)
+    return pairs.select("entity", "term", share.alias("disclosure")).where(F.col("disclosure") >= disclosure)
 
 
 def all_spans(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT, row: str | None = None) -> DataFrame:
     """row, doc_id, base, terms: base spans and term spans (kind, start, end) of every row."""
     found = staged(base_spans(docs, row), "personal")
-    near = staged(contexts(found.where(F.size("spans") > 0)), "contexts")
-    pairs = revealing(docs, near, found, disclosure, support)
-    hits = near.join(pairs, ["entity", "term"]).select("row", F.struct(F.lit("term").alias("kind"), "start", "end").alias("s"))
-    terms = hits.groupBy("row").agg(F.collect_set("s").alias("terms"))
+    total = found.count()
+    both = staged(together(docs, found, total, disclosure, support), "together")
+    hits = both.join(revealing(both, total, disclosure, support), ["entity", "term"]).groupBy("row").agg(F.collect_set("term").alias("hits"))
+    rows = found.join(hits, "row").select("row", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("base"), "plain", "hits")
+    places = spans.with_spans(rows, "plain", [("term", TERM, lambda m: F.array_contains("hits", F.lower(m)), None)], "places")
+    places = staged(places.select("row", "base", F.transform("places", lambda w: F.struct(w["kind"].alias("kind"), w["start"].alias("start"), w["end"].alias("end"))).alias("places")), "places")
+    # Words inside a base span go with it.
+    terms = places.select("row", F.filter("places", lambda w: ~F.exists("base", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"]))).alias("terms"))
     slim = found.select("row", "doc_id", F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("base"))
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
     return slim.join(terms, "row", "left").select("row", "doc_id", "base", F.coalesce("terms", none).alias("terms"))
