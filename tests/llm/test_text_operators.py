@@ -221,6 +221,22 @@ def test_licenses(spark, docs, empty):
     assert license_scan.licenses(empty).count() == 0
 
 
+def test_reworded_licenses(spark):
+    """One changed inner word of any template of more than K + K words, and a page header inside one."""
+    rows, want = [], {}
+    for n, (label, text) in enumerate(license_scan.TEMPLATES):
+        words = text.split()
+        for at in range(1, len(words) - 1) if len(words) > 8 else ():
+            want[len(rows)] = label
+            rows.append((len(rows), " ".join(["so", *words[:at], "zzz", *words[at + 1 :], "end"]), "en", "s", 0))
+        if len(words) > 16:
+            want[len(rows)] = label
+            rows.append((len(rows), " ".join([*words[:8], "page 7 of the big book", *words[8:]]), "en", "s", 0))
+    rows.append((len(rows), "this program is free software and the river runs under the terms of the lake", "en", "s", 0))
+    got = {r.doc_id: r for r in license_scan.licenses(helpers.documents(spark, rows)).collect()}
+    assert all(label in got[i].labels.split(",") for i, label in want.items()) and got[len(rows) - 1].labels == ""
+
+
 def personal_rows():
     texts = [
         "mail a.b+c@x-y.example.org, then a@b.c_d@e.f and @no", "1.2.3.4.5.6.7.8 999.1.1.1 010.000.1.255", "4111 1111 1111 1111 and 4111-1111-1111-1112 4111111111111111",
