@@ -140,6 +140,25 @@ def test_compression_bands_reject_both_ends():
     assert compression.judge(mixed.encode(), pack)[1] > 0.3
 
 
+def test_long_text_with_a_bad_third():
+    """Noise or one repeated line in a third of a long text, which the ratio of the whole averages away."""
+    import base64
+    import random
+
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=compression.LEVEL)
+    random.seed(5)
+    size = compression.CHUNK
+    rng = np.random.default_rng(5)
+    clean = " ".join("".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 9))) for _ in range(20_000))[: 10 * size].encode()
+    assert len(clean) == 10 * size and compression.judge(clean, pack)[1:] == (0.0, True)
+    for bad in (base64.b64encode(random.randbytes(5 * size))[: 5 * size], (b"the same line again\n" * size)[: 5 * size]):
+        ratio, share, fine = compression.judge(clean + bad, pack)
+        low, high = compression.limits(15 * size)
+        assert low <= ratio <= high and 0.3 < share < 0.4 and not fine
+
+
 def test_language_id(spark, docs, empty, data):
     table = spark.read.parquet(f"{data}/documents.parquet")
     got = hyperdim.language_id(table).collect()

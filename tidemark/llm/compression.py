@@ -26,7 +26,7 @@ from tidemark.llm.common import shipped, slices, texts_of
 
 LEVEL = 3
 CHUNK, LEAST_CHUNK = 8192, 2048
-MAX_BAD_CHUNKS = 0.5
+MAX_BAD_CHUNKS = 0.25
 # Lowest and highest ratio by length in bytes.
 BANDS = [(0, 0.0, 1.5), (256, 0.12, 0.95), (1024, 0.14, 0.85), (4096, 0.12, 0.75), (16384, 0.09, 0.70)]
 
