@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import (
+    alignment,
     bpe_trie,
     compression,
     curve_packing,
@@ -84,6 +85,11 @@ def op10_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curve_packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.align(_table(spark, sf_dir, "documents"), *paths)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -97,6 +103,7 @@ QUERIES = {
         op8_secret_scan,
         op9_language_id,
         op10_curve_packing,
+        op11_token_alignment,
     )
 }
 ORACLES = {"op1_nearest": OP1_SQL}
