@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import (
+    additive_quality,
     alignment,
     bpe_trie,
     compression,
@@ -153,6 +154,10 @@ LEFT JOIN found f ON f.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN joined j
 """
 
 
+def op13_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return additive_quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -168,6 +173,7 @@ QUERIES = {
         op10_curve_packing,
         op11_token_alignment,
         op12_conversation_repair,
+        op13_additive_quality,
     )
 }
 ORACLES = {"op1_nearest": OP1_SQL, "op12_conversation_repair": OP12_SQL}
