@@ -178,5 +178,5 @@ def test_registered_training_has_the_whole_budget():
 def test_without_stop_rows_all_trees_are_grown(spark):
     rows = spark.createDataFrame([(float(n % 7), float(n % 2), False) for n in range(60)], "x double, label double, is_stop boolean")
     pre = scoring.fit_preprocessor(rows, scoring.FeatureRoles(["x"]), "label")
-    model = scoring.train_gbt_classifier(rows, pre, "label", boost=scoring.Boost(max_iter=5, depth=2, first=2))
-    assert model.stages[-1].getNumTrees == 5
+    model = scoring.train_gbt_classifier(rows, pre, "label", boost=scoring.Boost(max_iter=5, depth=2, chunk=2))
+    assert len(model.trees) == 5

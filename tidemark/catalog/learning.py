@@ -22,7 +22,10 @@ BOOST, CALL_BOOST = scoring.CLASSIFY, scoring.REGRESS
 
 
 def training_rows(i):
-    """Labelled rows with a number that carries signal, categories, a text and a stable split."""
+    """Labelled rows with a number that carries signal, categories, a text and a stable split.
+
+    The labels of 3 in 20 rows are turned round by a rule on the row's id that no feature holds, so a model can't go on
+    getting better for ever."""
     k = F.get_json_object("props", "$.k").cast("int")
     rows = i.scored.join(
         i.events.select(
@@ -31,29 +34,59 @@ def training_rows(i):
         ),
         "row_id",
     ).withColumn("segment_code", F.col("segment"))
+    rows = rows.withColumn("label", F.when(F.col("row_id") * 7919 % 20 < 3, 1 - F.col("label")).otherwise(F.col("label")))
     # By order: all rows of an order are on one side.
     return splits.hash_split(rows, "order_id")
 
 
+_trained: dict[tuple[str, str], str] = {}
+
+
+def artifact(i) -> str:
+    """Folder of the trained scorer. The training job runs once for a table; what scores, checks and explains reads
+    its artifact from the shared folder."""
+    key = (i.spark.sparkContext.applicationId, i.sf_dir)
+    if key not in _trained:
+        path = scratch_folder(i.spark, "artifact")
+        model = scoring.train_scorer(training_rows(i), ROLES, "label", boost=BOOST, fold_key="order_id")
+        scoring.save_artifact(model, path, {"threshold": 0.05})
+        _trained[key] = path
+    return _trained[key]
+
+
 def scorer(i):
-    return scoring.train_scorer(training_rows(i), ROLES, "label", boost=BOOST)
+    return scoring.load_artifact(i.spark, artifact(i))[0]
+
+
+def part_of(salt):
+    return f"CAST(('0x' || left(md5(concat('{salt}:', CAST(order_id AS VARCHAR))), 16)) AS UBIGINT) / 18446744073709551616.0"
 
 
-# Training rows, kept levels and smoothed label means of the two categories.
-LEARNED = """a AS (SELECT *, concat('P', CAST(CAST(json_extract_string(props, '$.k') AS INT) % 7 AS VARCHAR)) AS partner,
-    CAST(('0x' || left(md5(concat('retry_cutoff_v1:', CAST(order_id AS VARCHAR))), 16)) AS UBIGINT) / 18446744073709551616.0 AS h
-    FROM v_scored JOIN events ON event_id = row_id),
+# All rows with their fractions for split and fold, and the label as given or turned round.
+LABELLED = f"""a AS (SELECT * EXCLUDE (label), CASE WHEN row_id * 7919 % 20 < 3 THEN 1 - label ELSE label END AS label,
+    concat('P', CAST(CAST(json_extract_string(props, '$.k') AS INT) % 7 AS VARCHAR)) AS partner,
+    {part_of('retry_cutoff_v1')} AS h, CAST(floor({part_of('cross_fit')} * 5) AS INT) AS fold
+    FROM v_scored JOIN events ON event_id = row_id)"""
+# Training rows, kept levels, and smoothed label means of the two categories: for new rows (fold -1) and without one fold.
+LEARNED = LABELLED + """,
   t AS (SELECT * FROM a WHERE h < 0.75),
-  p AS (SELECT AVG(label) AS prior FROM t),
-  c AS (SELECT 'segment_code' AS feature, segment AS value, label FROM t UNION ALL SELECT 'partner', partner, label FROM t),
+  c AS (SELECT 'segment_code' AS feature, segment AS value, label, fold FROM t UNION ALL SELECT 'partner', partner, label, fold FROM t),
   n AS (SELECT feature, value FROM c GROUP BY 1, 2 HAVING COUNT(*) >= 50),
-  r AS (SELECT c.feature, COALESCE(n.value, '__RARE__') AS value, label FROM c LEFT JOIN n ON c.feature = n.feature AND c.value = n.value),
-  m AS (SELECT feature, value, (SUM(label) + 20 * MAX(prior)) / (COUNT(*) + 20) AS mean FROM r, p GROUP BY 1, 2)"""
+  r AS (SELECT c.feature, COALESCE(n.value, '__RARE__') AS value, label, fold FROM c LEFT JOIN n ON c.feature = n.feature AND c.value = n.value),
+  asked AS (SELECT DISTINCT feature, value, fold FROM r UNION SELECT DISTINCT feature, value, -1 FROM r),
+  m AS (SELECT q.feature, q.value, q.fold, (COALESCE((SELECT SUM(label) FROM r WHERE r.feature = q.feature AND r.value = q.value AND r.fold <> q.fold), 0)
+      + 20 * (SELECT AVG(label) FROM t WHERE t.fold <> q.fold))
+      / ((SELECT COUNT(*) FROM r WHERE r.feature = q.feature AND r.value = q.value AND r.fold <> q.fold) + 20) AS mean FROM asked q),
+  p AS (SELECT AVG(label) AS prior FROM t)"""
 
 
-def mean_of(feature, column):
+def mean_of(feature, column, fold="-1"):
     level = f"COALESCE((SELECT value FROM n WHERE feature = '{feature}' AND value = {column}), '__RARE__')"
-    return f"COALESCE((SELECT mean FROM m WHERE feature = '{feature}' AND m.value = {level}), (SELECT prior FROM p))"
+    return f"COALESCE((SELECT mean FROM m WHERE feature = '{feature}' AND m.value = {level} AND m.fold = {fold}), (SELECT prior FROM p))"
+
+
+def preprocessor(i):
+    return scoring.fit_preprocessor(training_rows(i).filter("split = 'train'"), ROLES, "label", fold_key="order_id")
 
 
 @register(
@@ -62,14 +95,22 @@ def mean_of(feature, column):
         CAST(json_extract_string(props, '$.k') AS INT) % 8 AS retries FROM a WHERE h >= 0.75""",
 )
 def replay_spec(i):
-    rows = training_rows(i)
-    pre = scoring.fit_preprocessor(rows.filter("split = 'train'"), ROLES, "label")
-    return pre.apply(rows.filter("split <> 'train'"))
+    return preprocessor(i).apply(training_rows(i).filter("split <> 'train'"))
+
+
+@register(
+    "cross_fitted_rows", "row_id segment_code_mean:d partner_mean:d",
+    f"""WITH {LEARNED} SELECT row_id, {mean_of('segment_code', 'segment', 'a.fold')} AS segment_code_mean,
+        {mean_of('partner', 'partner', 'a.fold')} AS partner_mean FROM a WHERE h < 0.75""",
+)
+def cross_fitted_rows(i):
+    """Training rows as the trees see them: label means without the row's own fold of orders."""
+    return preprocessor(i).apply(training_rows(i).filter("split = 'train'"), F.lit(True))
 
 
-@register("encode", "feature:s value:s mean:d", f"WITH {LEARNED} SELECT * FROM m")
+@register("encode", "feature:s value:s fold mean:d", f"WITH {LEARNED} SELECT * FROM m")
 def encode(i):
-    return scoring.fit_preprocessor(training_rows(i).filter("split = 'train'"), ROLES, "label").means
+    return preprocessor(i).means
 
 
 def flag(value: bool):
@@ -77,43 +118,53 @@ def flag(value: bool):
 
 
 # Split of every training row.
-SIDES = """s AS (SELECT *, CASE WHEN h < 0.75 THEN 'train' WHEN h < 0.85 THEN 'stop' WHEN h < 0.95 THEN 'calib' ELSE 'random_test' END
-    AS split FROM (SELECT row_id, label, CAST(('0x' || left(md5(concat('retry_cutoff_v1:', CAST(order_id AS VARCHAR))), 16)) AS UBIGINT)
-    / 18446744073709551616.0 AS h FROM v_scored JOIN events ON event_id = row_id))"""
+SIDES = LABELLED + """, s AS (SELECT *, CASE WHEN h < 0.75 THEN 'train' WHEN h < 0.85 THEN 'stop' WHEN h < 0.95 THEN 'calib' ELSE 'random_test' END
+    AS split FROM a)"""
+# Rank sum of the score per split, ties at their mean rank.
+SCORE_AUC = """(SELECT split, (SUM(CASE WHEN label = 1 THEN rk ELSE 0 END) - SUM(label) * (SUM(label) + 1) / 2.0) / NULLIF(SUM(label) * SUM(1 - label), 0) AS auc
+    FROM (SELECT split, label, RANK() OVER (PARTITION BY split ORDER BY score) + (COUNT(*) OVER (PARTITION BY split, score) - 1) / 2.0 AS rk FROM s)
+    GROUP BY split)"""
 
 
 @register(
-    "train_gbt_classifier", "split:s n_rows many_trees beats_chance beats_prior",
-    f"WITH {SIDES} SELECT split, COUNT(*) AS n_rows, 1 AS many_trees, 1 AS beats_chance, 1 AS beats_prior FROM s GROUP BY split",
+    "train_gbt_classifier", "split:s n_rows n_positive score_auc:f mean_where_calibrated:f beats_score beats_prior",
+    f"""WITH {SIDES} SELECT s.split, COUNT(*) AS n_rows, SUM(label) AS n_positive, MAX(auc) AS score_auc,
+        CASE WHEN s.split = 'calib' THEN AVG(label) END AS mean_where_calibrated, 1 AS beats_score, 1 AS beats_prior
+        FROM s JOIN {SCORE_AUC} u ON u.split = s.split GROUP BY s.split""",
 )
 def train_gbt_classifier(i):
-    """Rows per split; more than one tree, AUC above 0.7, squared error below that of the mean label."""
-    rows = training_rows(i)
-    model = scoring.train_scorer(rows, ROLES, "label", boost=BOOST)
-    scored = staged(model.score(rows).select("split", "label", "success_prob"), "scored")
-    unseen = scored.filter("split <> 'train'")
-    auc = ev.roc_auc(unseen, "success_prob", "label").first()["auc"]
+    """Rows and positives per split, the AUC of the best single feature, the mean probability on the calibration rows
+    (which isotonic calibration makes the mean label). On rows not trained on the model ranks at least about as well as
+    that feature alone, and its squared error is below that of the mean label."""
+    scored = staged(scorer(i).score(training_rows(i)).select("split", "label", "score", "success_prob"), "scored")
     error = F.avg(F.pow(F.col("success_prob") - F.col("label"), F.lit(2.0)))
+    unseen = scored.filter("split <> 'train'")
+    gain = ev.roc_auc(unseen, "success_prob", "label").first()["auc"] - ev.roc_auc(unseen, "score", "label").first()["auc"]
     loss, plain = unseen.select(error, F.var_pop("label")).first()
-    facts = {"many_trees": flag(model.trees.stages[-1].getNumTrees > 1), "beats_chance": flag(auc > 0.7), "beats_prior": flag(loss < plain)}
-    return scored.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows")).withColumns(facts)
+    alone = ev.roc_auc(scored, "score", "label", ["split"]).select("split", F.col("auc").alias("score_auc"))
+    found = scored.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("label").alias("n_positive"), F.avg("success_prob").alias("__mean"),
+    )
+    return found.join(alone, "split").withColumns(
+        {"mean_where_calibrated": F.when(F.col("split") == "calib", F.col("__mean")), "beats_score": flag(gain > -0.02), "beats_prior": flag(loss < plain)}
+    )
 
 
 @register(
-    "isotonic_calibrate", "n_rows is_monotone in_range keeps_mean",
-    f"WITH {SIDES} SELECT COUNT(*) AS n_rows, 1 AS is_monotone, 1 AS in_range, 1 AS keeps_mean FROM s WHERE split = 'calib'",
+    "isotonic_calibrate", "n_rows n_positive mean_probability:f is_monotone in_range",
+    f"""WITH {SIDES} SELECT COUNT(*) AS n_rows, SUM(label) AS n_positive, AVG(label) AS mean_probability, 1 AS is_monotone, 1 AS in_range
+        FROM s WHERE split = 'calib'""",
 )
 def isotonic_calibrate(i):
     """Higher scores never get lower probabilities; on its own rows the mean probability is the mean label."""
     scored = scorer(i).score(training_rows(i).filter("split = 'calib'"))
     table = staged(scored.groupBy("raw_score", "success_prob").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("won")), "calibrated")
     before = prefix_scan(table, [], ["raw_score"], {"top": running_max(F.col("success_prob"))})
-    off = F.abs(F.sum(F.col("success_prob") * F.col("n")) - F.sum("won")) / F.sum("n")
     return before.agg(
-        F.sum("n").alias("n_rows"),
+        F.sum("n").alias("n_rows"), F.sum("won").alias("n_positive"),
+        (F.sum(F.col("success_prob") * F.col("n")) / F.sum("n")).alias("mean_probability"),
         F.min((F.coalesce("top", F.lit(0.0)) <= F.col("success_prob") + 1e-9).cast("int")).alias("is_monotone"),
         F.min(F.col("success_prob").between(0, 1).cast("int")).alias("in_range"),
-        (off < 1e-6).cast("int").alias("keeps_mean"),
     )
 
 
@@ -137,10 +188,7 @@ def score_batch(i):
 
 
 def decisions(i):
-    # The artifact goes through the shared folder, as it does between the training and the scoring job.
-    path = scratch_folder(i.spark, "artifact")
-    scoring.save_artifact(scorer(i), path, {"threshold": 0.05})
-    model, spec = scoring.load_artifact(i.spark, path)
+    model, spec = scoring.load_artifact(i.spark, artifact(i))
     extra = training_rows(i).select(F.col("row_id").alias("transaction_id"), "score", "segment_code", "partner", "processor")
     rows = attempts.scored_attempts(i.attempt).join(extra, "transaction_id")
     return scoring.score_batch(model, rows, F.expr("TIMESTAMP_NTZ '2024-02-01 00:00:00'"), spec["threshold"])
@@ -181,40 +229,66 @@ def score_hard_label(i):
 
 
 @register(
-    "bottom_percentile_train", "iteration ranks_well precision_known n_low",
-    f"""WITH {SIDES} SELECT n AS iteration, 1 AS ranks_well, 1 AS precision_known, 1 AS n_low FROM range(1, 4) t(n)
-        WHERE EXISTS (SELECT 1 FROM s)""",
+    "bottom_percentile_train", "iteration n_test n_positive precision_known n_low",
+    f"""WITH {SIDES} SELECT n AS iteration, COUNT(*) AS n_test, SUM(label) AS n_positive, 1 AS precision_known, 1 AS n_low
+        FROM s, range(1, 4) t(n) WHERE split <> 'train' GROUP BY n""",
 )
 def bottom_percentile_train(i):
     ensure_checkpoint_dir(i.spark)
     rows = training_rows(i).withColumn("split", F.when(F.col("split") == "train", "train").otherwise("test"))
-    pre = scoring.fit_preprocessor(rows.filter("split = 'train'"), ROLES, "label")
+    pre = scoring.fit_preprocessor(rows.filter("split = 'train'"), ROLES, "label", fold_key="order_id")
     # Every round reads the same rows: prepared once, written once.
-    ready = staged(pre.apply(rows).select("row_id", "label", "split", "processor", *pre.inputs()), "training_rows")
+    ready = staged(pre.apply(rows, F.col("split") == "train").select("row_id", "label", "split", "processor", *pre.inputs()), "training_rows")
     _, history = scoring.bottom_percentile_train(ready, pre, "label", "row_id", boost=BOOST)
     found = i.spark.createDataFrame(history, "iteration int, auc double, precision double, fn long, tn long")
+    test = ready.filter("split = 'test'").agg(F.count(F.lit(1)).alias("n_test"), F.sum("label").alias("n_positive"))
     # A quarter of the test rows or more lies at or below the cut.
-    quarter = ready.filter("split = 'test'").count() // 4
+    n_test, n_positive = test.first()
     return found.select(
-        "iteration", (F.col("auc") > 0.7).cast("int").alias("ranks_well"), F.col("precision").between(0, 1).cast("int").alias("precision_known"),
-        (F.col("fn") + F.col("tn") >= quarter).cast("int").alias("n_low"),
+        "iteration", F.lit(n_test).alias("n_test"), F.lit(n_positive).alias("n_positive"),
+        F.col("precision").between(0, 1).cast("int").alias("precision_known"),
+        (F.col("fn") + F.col("tn") >= n_test // 4).cast("int").alias("n_low"),
     )
 
 
+def explained_rows(i, pre):
+    held = pre.apply(training_rows(i).filter("split IN ('calib', 'random_test')"))
+    return held.withColumn("order", F.xxhash64("row_id", F.lit(42)))
+
+
 @register(
-    "permutation_importance", "feature:s is_strongest is_toxic_known",
-    """SELECT * FROM (VALUES ('partner_mean', 0, 1), ('retries', 0, 1), ('score', 1, 1), ('segment_code_mean', 0, 1))
-        t(feature, is_strongest, is_toxic_known)""",
+    "permutation_importance", "feature:s is_strongest is_toxic_known error_known",
+    """SELECT * FROM (VALUES ('partner_mean', 0, 1, 1), ('retries', 0, 1, 1), ('score', 1, 1, 1), ('segment_code_mean', 0, 1, 1))
+        t(feature, is_strongest, is_toxic_known, error_known)""",
 )
 def permutation_importance(i):
-    """The score carries the signal of the fixture."""
-    rows = training_rows(i)
-    model = scoring.train_scorer(rows, ROLES, "label", boost=BOOST)
-    held = model.pre.apply(rows.filter("split IN ('calib', 'random_test')")).withColumn("order", F.xxhash64("row_id", F.lit(42)))
-    found = scoring.permutation_importance(model.trees, held, model.pre.inputs(), "label", ["order", "row_id"])
+    """The score carries the signal of the fixture; every importance comes with its standard error over the draws."""
+    model = scorer(i)
+    held = explained_rows(i, model.pre)
+    found = staged(scoring.permutation_importance(model.trees, held, model.pre.inputs(), "label", ["order", "row_id"]), "importance")
     top = found.agg(F.max_by("feature", "importance")).scalar()
     known = (F.col("is_toxic") == (F.col("importance") <= 0).cast("int")).cast("int")
-    return found.select("feature", (F.col("feature") == top).cast("int").alias("is_strongest"), known.alias("is_toxic_known"))
+    return found.select(
+        "feature", (F.col("feature") == top).cast("int").alias("is_strongest"), known.alias("is_toxic_known"),
+        (F.col("standard_error") >= 0).cast("int").alias("error_known"),
+    )
+
+
+@register(
+    "permuted_rows", "draw n_rows n_scores score_total:d squares:d retries_total",
+    f"""WITH {SIDES}, x AS (SELECT score, CAST(json_extract_string(props, '$.k') AS INT) % 8 AS retries FROM s WHERE split IN ('calib', 'random_test'))
+        SELECT d AS draw, COUNT(*) AS n_rows, COUNT(DISTINCT score) AS n_scores, SUM(score) AS score_total, SUM(score * score) AS squares,
+          SUM(retries) AS retries_total FROM x, range(3) t(d) GROUP BY d""",
+)
+def permuted_rows(i):
+    """Each draw's shuffled values are the values themselves in another order."""
+    rows = training_rows(i).filter("split IN ('calib', 'random_test')").select("row_id", "score", "retries")
+    rows = rows.withColumn("order", F.xxhash64("row_id", F.lit(42)))
+    out = scoring.shuffled_rows(rows, ["score", "retries"], ["order", "row_id"], 3)
+    return out.groupBy("draw").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("p_score").alias("n_scores"), F.sum("p_score").alias("score_total"),
+        F.sum(F.col("p_score") * F.col("p_score")).alias("squares"), F.sum("p_retries").alias("retries_total"),
+    )
 
 
 COEF = {"transaction_amount": 0.02, "retries": -0.4, "offer_amount": 0.01}

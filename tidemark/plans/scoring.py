@@ -4,24 +4,23 @@ Categories become smoothed label means learned on the training rows only, kept a
 applied by joins, so no list of levels passes through the driver. Calibration learns from the
 distinct scores, which boosted trees keep few.
 
-Boosting grows the trees, reads the loss of every tree count on the rows set aside for it, and keeps
-the count after which the loss has not fallen for ``patience`` trees (``Boost``).
+Boosting (``boosting``) adds trees to what has been grown, reads the loss of every tree count on the rows set aside for
+it, and keeps the count after which the loss has not fallen for ``patience`` trees (``Boost``).
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import HashingTF, RegexTokenizer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression, IsotonicRegressionModel
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import HashingTF, RegexTokenizer, VarianceThresholdSelector, VectorAssembler
+from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalar import confidence_tier
+from tidemark.functions.scalar import confidence_tier, hash_fraction
 from tidemark.operators.cleaning import impute_by_role, kept_levels, level_counts, long_form, rare_pool
 from tidemark.operators.evaluation import (
     linear_contributions,
@@ -30,10 +29,10 @@ from tidemark.operators.evaluation import (
     regression_errors,
     roc_auc,
 )
-from tidemark.operators.ordered import exact_quantiles, position, prefix_scan, previous
+from tidemark.operators.ordered import exact_quantiles, position, prefix_scan
 from tidemark.operators.splits import exact_sample, fold_roles, hard_example_reweight, linear_recency_weight
-from tidemark.plans import calls
-from tidemark.session import ensure_checkpoint_dir
+from tidemark.plans import boosting, calls
+from tidemark.plans.boosting import CLASSIFY, REGRESS, Boost, BoostedModel
 from tidemark.sources.scratch import checked, staged
 from tidemark.sources.tables import PREDICTION_SCHEMA, check_columns, conform, load_spec, save_spec
 
@@ -42,57 +41,6 @@ SMOOTHING = 20.0
 TEXT_WIDTH = 1 << 12
 
 
-@dataclass(frozen=True)
-class Boost:
-    """How far to boost: at most ``max_iter`` trees of ``depth``, until ``patience`` trees brought nothing."""
-
-    max_iter: int = 2000
-    depth: int = 7
-    step: float = 0.1
-    patience: int = 50
-    seed: int = 42
-    first: int = 32  # trees grown before the first look at the loss; doubled while it still falls
-
-
-CLASSIFY = Boost()
-REGRESS = Boost(depth=6, patience=75)
-
-
-def best_count(losses: list[float], patience: int) -> tuple[int, bool]:
-    """Number of trees with the lowest loss up to the point where patience ran out, and whether it did."""
-    best = 0
-    for n, loss in enumerate(losses):
-        if loss < losses[best]:
-            best = n
-        elif n - best >= patience:
-            return best + 1, True
-    return best + 1, False
-
-
-def boosted(learner, rows: DataFrame, stop: str, boost: Boost):
-    """The learner fitted on rows not marked ``stop``, with as many trees as serve the marked ones.
-
-    Trees are grown in rounds of doubled length, as long as patience has not run out; the trees before a
-    round's end are the same in every round, so the last fit repeats the best count. Without marked rows nothing
-    can end it early: all ``max_iter`` trees are grown."""
-    fit, held = rows.filter(~F.col(stop)), rows.filter(F.col(stop))
-    # Long boosting needs its row errors cut off from their history now and then, which asks for this folder.
-    ensure_checkpoint_dir(rows.sparkSession)
-    if held.isEmpty():
-        return learner.setMaxIter(boost.max_iter).fit(fit)
-    size, model = min(boost.first, boost.max_iter), None
-    while True:
-        model = learner.setMaxIter(size).fit(fit)
-        if isinstance(learner, GBTRegressor):
-            losses = model.evaluateEachIteration(held, "absolute")
-        else:
-            losses = model.evaluateEachIteration(held)
-        count, done = best_count(losses, boost.patience)
-        if done or size == boost.max_iter:
-            return model if count == size else learner.setMaxIter(count).fit(fit)
-        size = min(2 * size, boost.max_iter)
-
-
 @dataclass
 class FeatureRoles:
     numeric: list[str]
@@ -118,49 +66,85 @@ def banned_columns(roles: FeatureRoles, banned: list[str]) -> list[str]:
     return sorted(set(roles.names()) & set(banned))
 
 
+# The part of the means table that rows outside the training rows get.
+NEW_ROWS = -1
+
+
+def fold_of(key: str, folds: int) -> Column:
+    """Fold of a row by its key, so rows of one key share it; null keys are in fold 0."""
+    return F.coalesce(F.floor(hash_fraction(F.col(key), "cross_fit") * folds).cast("int"), F.lit(0))
+
+
 @dataclass
 class Preprocessor:
-    """Everything learned from training rows that new rows need: kept levels, level means, prior."""
+    """Everything learned from training rows that new rows need: kept levels, level means, prior.
+
+    ``means`` has one row per (feature, value, fold): fold -1 for new rows, and one per fold of training rows that
+    leaves the labels of that fold out, so no training row sees its own label in its features."""
 
     roles: FeatureRoles
     levels: DataFrame
     means: DataFrame
     prior: float
+    fold_key: str | None = None
+    folds: int = 5
 
-    def apply(self, df: DataFrame) -> DataFrame:
-        """Pool unseen and rare levels, impute, and replace categories by their label means."""
+    def apply(self, df: DataFrame, training: Column | None = None) -> DataFrame:
+        """Pool unseen and rare levels, impute, and replace categories by their label means. Rows for which
+        ``training`` holds are those the means were learned on."""
         check_columns(df, self.roles.names(), "model features")
         cats = self.roles.categorical
         df = impute_by_role(df, self.roles.numeric, [*cats, *self.roles.text])
         if not cats:
             return df
         df = rare_pool(df, cats, keep=self.levels)
+        own = F.lit(NEW_ROWS)
+        if training is not None and self.fold_key is not None:
+            own = F.when(training, fold_of(self.fold_key, self.folds)).otherwise(NEW_ROWS)
+        df = df.withColumn("__own", own)
         learned, side = checked(self.means, "means")
         for c in cats:
-            means = learned.filter(F.col("feature") == c).select(F.col("value").alias("__v"), F.col("mean").alias(f"{c}_mean"))
-            df = df.join(side(means), F.col(c) == F.col("__v"), "left").drop("__v")
+            means = learned.filter(F.col("feature") == c).select(F.col("value").alias("__v"), F.col("fold").alias("__f"), F.col("mean").alias(f"{c}_mean"))
+            df = df.join(side(means), (F.col(c) == F.col("__v")) & (F.col("__own") == F.col("__f")), "left").drop("__v", "__f")
             df = df.withColumn(f"{c}_mean", F.coalesce(f"{c}_mean", F.lit(self.prior)))
-        return df
+        return df.drop("__own")
 
     def inputs(self) -> list[str]:
         return [*self.roles.numeric, *[f"{c}_mean" for c in self.roles.categorical]]
 
 
-def fit_preprocessor(train: DataFrame, roles: FeatureRoles, label: str, min_count: int = 50) -> Preprocessor:
-    """Learn on the training rows only."""
+def fit_preprocessor(
+    train: DataFrame, roles: FeatureRoles, label: str, min_count: int = 50, fold_key: str | None = None, folds: int = 5
+) -> Preprocessor:
+    """Learn on the training rows only. With ``fold_key`` the means for training rows are cross-fitted: one aggregate
+    per (feature, value, fold), and each fold gets the total less its own part, of the values and of the prior."""
     cats = roles.categorical
     filled = impute_by_role(train, roles.numeric, cats)
     spark = train.sparkSession
-    prior = float(train.agg(F.avg(label)).first()[0] or 0.0)
+    filled = filled.withColumn("__fold", fold_of(fold_key, folds) if fold_key else F.lit(0))
+    by_fold = {r["fold"]: (r["won"] or 0.0, r["n"]) for r in filled.groupBy(F.col("__fold").alias("fold")).agg(F.sum(F.col(label).cast("double")).alias("won"), F.count(label).alias("n")).collect()}
+    won, n = (float(sum(x[k] for x in by_fold.values())) for k in (0, 1))
+    prior = won / n if n else 0.0
     if not cats:
-        empty = spark.createDataFrame([], "feature string, value string")
-        return Preprocessor(roles, empty, empty.withColumn("mean", F.lit(0.0)), prior)
+        empty = spark.createDataFrame([], "feature string, value string, fold int, mean double")
+        return Preprocessor(roles, empty.select("feature", "value"), empty, prior, fold_key, folds)
     levels = kept_levels(level_counts(filled, cats), min_count)
     pooled = rare_pool(filled, cats, keep=levels)
-    means = long_form(pooled, cats, [label], "string").groupBy("feature", "value").agg(
-        ((F.sum(label) + SMOOTHING * prior) / (F.count(F.lit(1)) + SMOOTHING)).alias("mean")
+    parts = long_form(pooled, cats, [label, "__fold"], "string").groupBy("feature", "value", F.col("__fold").alias("fold")).agg(
+        F.sum(F.col(label).cast("double")).alias("won"), F.count(label).alias("n")
     )
-    return Preprocessor(roles, levels, means, prior)
+    parts = staged(parts, "level_folds")
+    totals = parts.groupBy("feature", "value").agg(F.sum("won").alias("__won"), F.sum("n").alias("__n"))
+    means = totals.select("feature", "value", F.lit(NEW_ROWS).alias("fold"), ((F.col("__won") + SMOOTHING * prior) / (F.col("__n") + SMOOTHING)).alias("mean"))
+    if fold_key is not None:
+        # Label mean of all other folds; the prior where there is none.
+        others = F.lit(prior)
+        for f, (w, m) in sorted(by_fold.items()):
+            if n > m:
+                others = F.when(F.col("fold") == f, F.lit((won - w) / (n - m))).otherwise(others)
+        left = (F.col("__won") - F.col("won") + SMOOTHING * others) / (F.col("__n") - F.col("n") + SMOOTHING)
+        means = means.unionByName(parts.join(totals, ["feature", "value"]).select("feature", "value", "fold", left.alias("mean")))
+    return Preprocessor(roles, levels, means, prior, fold_key, folds)
 
 
 def text_stages(columns: list[str], width: int = TEXT_WIDTH) -> list:
@@ -177,29 +161,23 @@ def encode(pre: Preprocessor) -> list:
     vectors = [f"{c}_hashed" for c in pre.roles.text]
     return [
         *text_stages(pre.roles.text),
-        VectorAssembler(inputCols=[*pre.inputs(), *vectors], outputCol="features", handleInvalid="keep"),
+        VectorAssembler(inputCols=[*pre.inputs(), *vectors], outputCol="every_feature", handleInvalid="keep"),
+        # Token counts no training row has can't split anything: they stay out of the trees' statistics.
+        VarianceThresholdSelector(featuresCol="every_feature", outputCol="features"),
     ]
 
 
 def train_gbt_classifier(
     rows: DataFrame, pre: Preprocessor, label: str, stop: str = "is_stop", weight: str | None = None, boost: Boost = CLASSIFY
-) -> PipelineModel:
+) -> BoostedModel:
     """Boosted trees on preprocessed rows; rows marked ``stop`` decide when to stop."""
-    gbt = GBTClassifier(featuresCol="features", labelCol=label, maxDepth=boost.depth, stepSize=boost.step, seed=boost.seed)
-    if weight is not None:
-        gbt = gbt.setWeightCol(weight)
     coder = Pipeline(stages=encode(pre)).fit(rows)
-    vectors = coder.transform(rows).select("features", label, stop, *([weight] if weight else []))
-    vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
-    trees = boosted(gbt, vectors, stop, boost)
-    vectors.unpersist()
-    return PipelineModel([*coder.stages, trees])
+    return boosting.model_of(boosting.boosted(coder.transform(rows), label, stop, boost, weight), coder)
 
 
-def raw_score(model: PipelineModel, df: DataFrame, out: str = "raw_score") -> DataFrame:
-    scored = model.transform(df).withColumn(out, vector_to_array("probability")[1])
-    extra = {"features", "rawPrediction", "probability", "prediction"}
-    return scored.drop(*extra, *[c for c in scored.columns if c.endswith(("_tokens", "_hashed"))])
+def raw_score(model: BoostedModel, df: DataFrame) -> DataFrame:
+    scored = model.transform(df, "raw_score")
+    return scored.drop("every_feature", "features", *[c for c in scored.columns if c.endswith(("_tokens", "_hashed"))])
 
 
 def isotonic_calibrate(scored: DataFrame, score: str, label: str) -> IsotonicRegressionModel:
@@ -217,7 +195,7 @@ class Scorer:
     """Preprocessing, trees and calibration as one artifact."""
 
     pre: Preprocessor
-    trees: PipelineModel
+    trees: BoostedModel
     isotonic: IsotonicRegressionModel
 
     def score(self, df: DataFrame, out: str = "success_prob") -> DataFrame:
@@ -225,10 +203,15 @@ class Scorer:
         return calibrated(self.isotonic, raw, "raw_score", out)
 
 
-def train_scorer(rows: DataFrame, roles: FeatureRoles, label: str, split: str = "split", boost: Boost = CLASSIFY) -> Scorer:
-    """Learn preprocessing on train, trees on train with early stopping on stop, calibration on calib."""
-    pre = fit_preprocessor(rows.filter(F.col(split) == "train"), roles, label)
-    ready = pre.apply(rows).withColumn("is_stop", F.col(split) == "stop")
+def train_scorer(
+    rows: DataFrame, roles: FeatureRoles, label: str, split: str = "split", boost: Boost = CLASSIFY, fold_key: str | None = None
+) -> Scorer:
+    """Learn preprocessing on train, trees on train with early stopping on stop, calibration on calib.
+
+    With ``fold_key`` training rows get label means that leave their own fold of keys out."""
+    pre = fit_preprocessor(rows.filter(F.col(split) == "train"), roles, label, fold_key=fold_key)
+    ready = pre.apply(rows, F.col(split) == "train").withColumn("is_stop", F.col(split) == "stop")
+    ready = staged(ready, "ready")
     trees = train_gbt_classifier(ready.filter(F.col(split).isin("train", "stop")), pre, label, boost=boost)
     calib = raw_score(trees, ready.filter(F.col(split) == "calib"))
     return Scorer(pre, trees, isotonic_calibrate(calib, "raw_score", label))
@@ -237,12 +220,12 @@ def train_scorer(rows: DataFrame, roles: FeatureRoles, label: str, split: str =
 def save_artifact(scorer: Scorer, path: str, spec: dict) -> None:
     """Folder with models, learned tables and a JSON spec (roles, prior, thresholds, metrics ...)."""
     spark = scorer.pre.means.sparkSession
-    scorer.trees.write().overwrite().save(f"{path}/trees")
+    scorer.trees.write(f"{path}/trees")
     scorer.isotonic.write().overwrite().save(f"{path}/isotonic")
     scorer.pre.levels.write.mode("overwrite").parquet(f"{path}/levels")
     scorer.pre.means.write.mode("overwrite").parquet(f"{path}/means")
     roles = scorer.pre.roles
-    learned = {"numeric": roles.numeric, "categorical": roles.categorical, "text": roles.text, "prior": scorer.pre.prior}
+    learned = {"numeric": roles.numeric, "categorical": roles.categorical, "text": roles.text, "prior": scorer.pre.prior, "fold_key": scorer.pre.fold_key, "folds": scorer.pre.folds}
     save_spec(spark, {**spec, "preprocess": learned}, f"{path}/spec")
 
 
@@ -251,9 +234,9 @@ def load_artifact(spark, path: str) -> tuple[Scorer, dict]:
     p = spec["preprocess"]
     pre = Preprocessor(
         FeatureRoles(p["numeric"], p["categorical"], p["text"]), spark.read.parquet(f"{path}/levels"),
-        spark.read.parquet(f"{path}/means"), p["prior"],
+        spark.read.parquet(f"{path}/means"), p["prior"], p["fold_key"], p["folds"],
     )
-    return Scorer(pre, PipelineModel.load(f"{path}/trees"), IsotonicRegressionModel.load(f"{path}/isotonic")), spec
+    return Scorer(pre, BoostedModel.read(spark, f"{path}/trees"), IsotonicRegressionModel.load(f"{path}/isotonic")), spec
 
 
 REQUIRED = ["order_id", "invoice_id", "transaction_id", "retries", "historical_collected_amount"]
@@ -296,21 +279,19 @@ def score_summary(ranked: DataFrame, probability: str) -> DataFrame:
 def bottom_percentile_train(
     rows: DataFrame, pre: Preprocessor, label: str, id_column: str, target: float = 25.0, extra: float = 15.0,
     zone: float = 10.0, rounds: int = 3, boost: Boost = CLASSIFY,
-) -> tuple[PipelineModel, list[dict]]:
+) -> tuple[BoostedModel, list[dict]]:
     """Train, look at the lowest ``target`` percent, raise the weights of what went wrong there, repeat.
 
     Keeps the round with the fewest positives at the bottom, then the best precision. ``rows`` are
     preprocessed and carry ``split`` train or test; test rows stop the training, as in a single hold-out.
     """
-    rows = rows.withColumn("is_stop", F.col("split") == "test").persist(StorageLevel.MEMORY_AND_DISK)
+    rows = staged(rows.withColumn("is_stop", F.col("split") == "test"), "rows")
     # Weights live in a small side table (id, weight) that each round writes anew and reads back.
     weights = rows.select(id_column).withColumn("weight", F.lit(1.0))
     best, best_key, history = None, None, []
     for n in range(rounds):
-        weighted = rows.join(weights, id_column).persist(StorageLevel.MEMORY_AND_DISK)
-        model = train_gbt_classifier(weighted, pre, label, weight="weight", boost=boost)
-        weighted.unpersist()
-        scored = raw_score(model, rows).persist(StorageLevel.MEMORY_AND_DISK)
+        model = train_gbt_classifier(rows.join(weights, id_column), pre, label, weight="weight", boost=boost)
+        scored = staged(raw_score(model, rows).select(id_column, "raw_score", label, "is_stop"), "scored")
         test = scored.filter("is_stop")
         cut = exact_quantiles(test, [], "raw_score", [target / 100]).first()["q"]
         low = F.col("raw_score") <= cut
@@ -327,28 +308,70 @@ def bottom_percentile_train(
             train = scored.filter(~F.col("is_stop")).select(id_column, "raw_score", label).join(weights, id_column)
             raised = hard_example_reweight(train, "raw_score", label, "weight", target + extra, target + extra + zone)
             kept = scored.filter("is_stop").select(id_column, F.lit(1.0).alias("weight"))
-            weights = raised.select(id_column, "weight").unionByName(kept).checkpoint()
-        scored.unpersist()
-    rows.unpersist()
+            weights = raised.select(id_column, "weight").unionByName(kept)
+            weights = staged(weights, "weights")
     return best, history
 
 
-def permutation_importance(model: PipelineModel, rows: DataFrame, features: list[str], label: str, order: list[str]):
-    """Rise in log loss when one feature is shuffled; features at or below 0 do harm.
+def permuted(rank: Column, n: int, key: int, rounds: int = 6) -> Column:
+    """A keyed bijection of the ranks 0 to ``n`` - 1.
 
-    Rows take the value of their neighbour in a pseudo-random order. Every feature gets its own
-    copy of the rows, and all copies are scored in one pass.
-    """
-    df = prefix_scan(rows, [], order, {f"__s_{c}": previous(F.col(c)) for c in features})
+    Alternating Feistel rounds on the cells of a grid of about the square root of ``n`` rows and columns; a rank that leaves
+    the range is mapped on until it is back. At most one grid row lies outside, so small ranges are back within that
+    many steps and large ones, in practice, after one or two."""
+    down = max(1, math.isqrt(max(n - 1, 0)) + 1)
+    across = max(1, -(-n // down))
+    outside = down * across - n
+
+    def turn(x: Column, number: Column) -> Column:
+        lower = F.pmod(x.l + F.pmod(F.xxhash64(x.r, number, F.lit(key)), F.lit(down)), F.lit(down))
+        right = F.pmod(x.r + F.pmod(F.xxhash64(x.l, number, F.lit(key)), F.lit(across)), F.lit(across))
+        even = number % 2 == 0
+        return F.struct(F.when(even, lower).otherwise(x.l).alias("l"), F.when(even, x.r).otherwise(right).alias("r"))
+
+    def once(x: Column) -> Column:
+        start = F.struct(F.floor(x / across).cast("long").alias("l"), F.pmod(x, F.lit(across)).cast("long").alias("r"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), start, turn, lambda x: x.l * across + x.r)
+
+    first = once(rank.cast("long"))
+    if outside == 0:
+        return first
+    # Every step outside is another of the ``outside`` places, so as many steps always suffice.
+    steps = F.sequence(F.lit(1), F.lit(min(outside, 64)))
+    return F.aggregate(steps, first, lambda x, _: F.when(x >= n, once(x)).otherwise(x))
+
+
+def shuffled_rows(rows: DataFrame, features: list[str], order: list[str], draws: int, seed: int = 42) -> DataFrame:
+    """Each row once per draw with the features of another row (``p_<feature>``): a permutation of all rows per draw,
+    joined on the rank of the row, which is computed once."""
+    ranked = staged(prefix_scan(rows, [], order, {"__rank": position()}).withColumn("__rank", F.col("__rank") - 1), "ranked")
+    n = ranked.count()
+    keys = F.array(*[F.struct(F.lit(d).alias("draw"), permuted(F.col("__rank"), n, seed + d).alias("to")) for d in range(draws)])
+    asked = ranked.withColumn("__x", F.explode(keys)).withColumns({"draw": F.col("__x.draw"), "__to": F.col("__x.to")}).drop("__x", "__rank")
+    partner = ranked.select(F.col("__rank").alias("__to"), *[F.col(c).alias(f"p_{c}") for c in features])
+    return asked.join(partner, "__to").drop("__to")
+
+
+def permutation_importance(
+    model: BoostedModel, rows: DataFrame, features: list[str], label: str, order: list[str], draws: int = 5, seed: int = 42
+) -> DataFrame:
+    """Mean rise in log loss when one feature is shuffled, and its standard error over the draws; features at or
+    below 0 do harm. Every feature gets its own copy of the rows, and all copies of all draws are scored in one pass."""
+    df = shuffled_rows(rows, features, order, draws, seed)
     variants = [F.struct(F.lit("").alias("shuffled"), *[F.col(c).alias(f"v_{c}") for c in features])]
     for f in features:
-        cells = [F.coalesce(f"__s_{c}", F.col(c)).alias(f"v_{c}") if c == f else F.col(c).alias(f"v_{c}") for c in features]
+        cells = [F.col(f"p_{c}" if c == f else c).alias(f"v_{c}") for c in features]
         variants.append(F.struct(F.lit(f).alias("shuffled"), *cells))
     wide = df.withColumn("__x", F.explode(F.array(*variants)))
     wide = wide.withColumns({"shuffled": F.col("__x.shuffled"), **{c: F.col(f"__x.v_{c}") for c in features}})
-    losses = raw_score(model, wide).groupBy("shuffled").agg(log_loss_of(F.col("raw_score"), F.col(label)).alias("loss"))
-    base = losses.filter("shuffled = ''").select("loss").scalar()
-    out = losses.filter("shuffled <> ''").select(F.col("shuffled").alias("feature"), (F.col("loss") - base).alias("importance"))
+    # A few rows, one per draw and feature.
+    losses = staged(raw_score(model, wide).groupBy("draw", "shuffled").agg(log_loss_of(F.col("raw_score"), F.col(label)).alias("loss")), "losses")
+    base = losses.filter("shuffled = ''").select("draw", F.col("loss").alias("base"))
+    rises = losses.filter("shuffled <> ''").join(base, "draw")
+    out = rises.groupBy(F.col("shuffled").alias("feature")).agg(
+        F.avg(F.col("loss") - F.col("base")).alias("importance"),
+        (F.coalesce(F.stddev_samp(F.col("loss") - F.col("base")), F.lit(0.0)) / F.sqrt(F.count(F.lit(1)))).alias("standard_error"),
+    )
     return out.withColumn("is_toxic", (F.col("importance") <= 0).cast("int"))
 
 
@@ -386,12 +409,9 @@ def call_features(df: DataFrame) -> DataFrame:
 
 def train_gbt_regressor(
     rows: DataFrame, label: str, weight: str | None = None, stop: str | None = None, boost: Boost = REGRESS, trees: int | None = None
-):
+) -> BoostedModel:
     """Boosted trees for the absolute error; with ``stop`` marked rows decide the number of trees, else it is given."""
-    gbt = GBTRegressor(featuresCol="features", labelCol=label, maxDepth=boost.depth, stepSize=boost.step, seed=boost.seed, lossType="absolute")
-    if weight is not None:
-        gbt = gbt.setWeightCol(weight)
-    return gbt.setMaxIter(trees or boost.max_iter).fit(rows) if stop is None else boosted(gbt, rows, stop, boost)
+    return boosting.model_of(boosting.boosted(rows, label, stop, boost, weight, boosting.ABSOLUTE, trees))
 
 
 def daily_table(items_calls: DataFrame, items: DataFrame, ahead: int = 0) -> DataFrame:
@@ -409,8 +429,8 @@ def walk_forward(clean: DataFrame, folds: int, test: int, val: int, boost: Boost
         fold = parts.filter(F.col("fold") == f)
         fit = fold.filter(F.col("role") != "test").withColumn("is_stop", F.col("role") == "val")
         model = train_gbt_regressor(fit, "target_ratio", "sample_weight", "is_stop", boost)
-        trees.append(model.getNumTrees)
-        out = model.transform(fold.filter("role = 'test'")).select(
+        trees.append(len(model.trees))
+        out = model.transform(fold.filter("role = 'test'"), "prediction").select(
             "fold", "date", F.col("num_calls").alias("actual_calls"),
             calls.ratio_to_calls(F.col("prediction"), F.col("anchor_7d")).alias("predicted_calls"),
         )
@@ -446,7 +466,7 @@ def daily_forecast(
     final = train_gbt_regressor(train, "target_ratio", "sample_weight", boost=boost, trees=trees)
 
     def predict(rows):
-        return final.transform(rows).withColumn(
+        return final.transform(rows, "prediction").withColumn(
             "predicted_calls", calls.ratio_to_calls(F.col("prediction"), F.col("anchor_7d"))
         )
 

@@ -27,6 +27,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store after its last reader."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def checked(df: DataFrame, name: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """A lookup table written once, and how to join parts of it: by broadcast where its rows, counted,
     are few, else as it is."""
