@@ -208,10 +208,12 @@ def test_packing_in_partitions(docs, monkeypatch):
     assert len({s >> 40 for s in sequences}) > 3
 
 
-def test_hilbert_steps_touch():
+def test_hilbert_steps_touch(spark):
     """Cells that follow each other on the curve are neighbours, and every cell has its own place."""
     cells = np.array([[x, y, z] for x in range(8) for y in range(8) for z in range(8)])
-    key = curve_packing.hilbert_key(cells, 3)
+    rows = spark.createDataFrame([(n, *map(int, c)) for n, c in enumerate(cells)], "n long, a long, b long, c long")
+    placed = curve_packing.hilbert_key([F.col("a"), F.col("b"), F.col("c")], 3)(rows)
+    key = np.array([r.key for r in placed.orderBy("n").collect()])
     assert sorted(key) == list(range(512))
     walk = cells[np.argsort(key)]
     assert (np.abs(np.diff(walk, axis=0)).sum(axis=1) == 1).all()

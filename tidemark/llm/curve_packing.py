@@ -3,25 +3,27 @@
 1. One pass tokenises every whole text and projects the document's hashed token vector (a +1/-1 vector per
    token id and dimension, averaged over the tokens) to ``DIMS`` numbers; ids, numbers and sizes are written once.
 2. The numbers, scaled by the corpus mean and spread, are cut into ``2 ** BITS`` steps; their cell's place on the
-   Hilbert curve is the sort key. Equal keys (copies) are told apart by doc id and a digest, so a large group of
+   Hilbert curve, an expression, is the sort key, so the ids go through no Python process between their file and the shuffle. Equal keys (copies) are told apart by doc id and a digest, so a large group of
    copies is spread over partitions too.
 3. Rows are range-partitioned by key, and each partition lays its ids end to end into sequences of ``length``
    tokens, cutting documents where a sequence is full. Only the last sequence of a partition is padded.
 
-Null text counts as empty: the document is its end id alone. Repeated rows are packed once each. The number of
+Null text counts as empty: the document is its end id alone. Repeated rows are packed once each, rows with a null doc id
+too. A very long text is tokenised alone and cut over as many sequences as it needs. An empty table gives no rows. Columns
+other than doc_id and text are not read, whatever their names. The number of
 partitions follows from the tokens (``PART_TOKENS`` each).
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import tiktoken
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -45,9 +47,7 @@ class Ids:
         import json
         import re
 
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.path, self._library = path, None
         spec = json.load(open(path, encoding="utf-8"))
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         back = {c: b for b, c in enumerate(byte_alphabet())}
@@ -58,6 +58,15 @@ class Ids:
         )
         self.doubled = re.compile(r"\s\s")
 
+    @property
+    def library(self) -> Tokenizer:
+        """Loaded when a text asks for it."""
+        if self._library is None:
+            self._library = Tokenizer.from_file(self.path)
+            self._library.no_truncation()
+            self._library.no_padding()
+        return self._library
+
     def encode(self, text: str) -> np.ndarray:
         if UNSTABLE.search(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -96,51 +105,51 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
     return shipped(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n long, ids binary, point array<double>")
 
 
-def hilbert_key(cells: np.ndarray, bits: int) -> np.ndarray:
-    """Place of each cell (a row of ``dims`` whole numbers below ``2 ** bits``) on the Hilbert curve."""
-    x = cells.astype(np.int64).T.copy()
-    dims = len(x)
-    # From the top bit down: where a coordinate's bit is set the lower bits of the first axis flip, else they are
-    # exchanged with that axis; this turns each sub-cube so that curve pieces join.
-    bit = 1 << (bits - 1)
-    while bit > 1:
-        low = bit - 1
-        for d in range(dims):
-            up = (x[d] & bit) != 0
-            x[0] = np.where(up, x[0] ^ low, x[0])
-            swap = np.where(up, 0, (x[0] ^ x[d]) & low)
-            x[0] ^= swap
-            x[d] ^= swap
-        bit >>= 1
-    for d in range(1, dims):
-        x[d] ^= x[d - 1]
-    flips, bit = np.zeros_like(x[0]), 1 << (bits - 1)
-    while bit > 1:
-        flips = np.where(x[-1] & bit, flips ^ (bit - 1), flips)
-        bit >>= 1
-    x ^= flips
-    key = np.zeros_like(x[0])
-    for b in range(bits - 1, -1, -1):
-        for d in range(dims):
-            key = key << 1 | (x[d] >> b & 1)
-    return key
+def hilbert_key(cells: list[Column], bits: int) -> Callable[[DataFrame], DataFrame]:
+    """Adds ``key``, the place on the Hilbert curve of the cell given by whole numbers below ``2 ** bits``."""
+    names = [f"x{d}" for d in range(len(cells))]
+    falling = F.array(*[F.lit(1 << b).cast("long") for b in range(bits - 1, 0, -1)])
+
+    def turn(x: Column, bit: Column) -> Column:
+        # Where a coordinate's bit is set the lower bits of the first axis flip, else they are exchanged with that
+        # axis; this turns each sub-cube so that curve pieces join.
+        low, first, out = bit - 1, x["x0"], []
+        first = F.when(first.bitwiseAND(bit) != 0, first.bitwiseXOR(low)).otherwise(first)
+        for name in names[1:]:
+            up, swap = x[name].bitwiseAND(bit) != 0, first.bitwiseXOR(x[name]).bitwiseAND(low)
+            out.append(F.when(up, x[name]).otherwise(x[name].bitwiseXOR(swap)).alias(name))
+            first = F.when(up, first.bitwiseXOR(low)).otherwise(first.bitwiseXOR(swap))
+        return F.struct(first.alias("x0"), *out)
+
+    def flip(so_far: Column, bit: Column, last: Column) -> Column:
+        return F.when(last.bitwiseAND(bit) != 0, so_far.bitwiseXOR(bit - 1)).otherwise(so_far)
+
+    def add(rows: DataFrame) -> DataFrame:
+        start = F.struct(*[c.cast("long").alias(n) for n, c in zip(names, cells)])
+        rows = rows.withColumn("_turned", F.aggregate(falling, start, turn))
+        for before, name in zip(["", *names], names):
+            # Each coordinate by the difference to the one before it.
+            rows = rows.withColumn(f"_{name}", F.col(f"_turned.{name}") if not before else F.col(f"_turned.{name}").bitwiseXOR(F.col(f"_{before}")))
+        rows = rows.withColumn("_flips", F.aggregate(falling, F.lit(0).cast("long"), lambda f, bit: flip(f, bit, F.col(f"_{names[-1]}"))))
+        key = F.lit(0).cast("long")
+        for b in range(bits - 1, -1, -1):
+            for name in names:
+                place = F.shiftright(F.col(f"_{name}").bitwiseXOR(F.col("_flips")), b).bitwiseAND(F.lit(1).cast("long"))
+                key = F.shiftleft(key, 1).bitwiseOR(place)
+        return rows.withColumn("key", key).drop("_turned", "_flips", *[f"_{n}" for n in names])
+
+    return add
 
 
 def with_key(rows: DataFrame) -> DataFrame:
     """Add the curve key; the scale is the corpus mean and spread of each number."""
     stats = rows.select(*[f(F.col("point")[d]).alias(f"{f.__name__}{d}") for d in range(DIMS) for f in (F.avg, F.stddev_pop)]).first()
-    mean = np.array([stats[f"avg{d}"] or 0.0 for d in range(DIMS)])
-    spread = np.array([stats[f"stddev_pop{d}"] or 1.0 for d in range(DIMS)])
-
-    @F.pandas_udf("long")
-    def key(points):
-        import pandas as pd
-
-        z = (np.array(points.tolist(), np.float64).reshape(len(points), DIMS) - mean) / spread
-        cells = np.clip((z + 3) / 6 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
-        return pd.Series(hilbert_key(cells, BITS))
-
-    return rows.withColumn("key", key("point"))
+    cells = []
+    for d in range(DIMS):
+        mean, spread = float(stats[f"avg{d}"] or 0.0), float(stats[f"stddev_pop{d}"] or 1.0)
+        cell = F.floor(((F.col("point")[d] - mean) / spread + 3) / 6 * (1 << BITS))
+        cells.append(F.greatest(F.lit(0), F.least(F.lit((1 << BITS) - 1), cell)))
+    return hilbert_key(cells, BITS)(rows)
 
 
 def lay_out(length: int):
@@ -151,7 +160,7 @@ def lay_out(length: int):
 
         sequence, filled = TaskContext.get().partitionId() << 40, 0
         names = [f.split()[0] for f in PIECES.split(", ")]
-        for batch in batches:
+        for batch in slices(batches, "ids"):
             out = []
             for doc, n, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "ids"))):
                 ids = np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype("<u4")
