@@ -6,6 +6,7 @@ from tidemark.catalog.registry import REGISTRY, Entry, register  # noqa: F401
 def load() -> dict[str, "Entry"]:
     from tidemark.catalog import (  # noqa: F401
         aggregates,
+        cutoffs,
         economics,
         evaluation,
         forecasting,

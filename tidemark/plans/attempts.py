@@ -37,6 +37,8 @@ def money(amount: Column) -> Column:
 
 
 ATTEMPT_ORDER = ["transaction_datetime", "transaction_id"]
+# An invoice id may be shared by two orders.
+INVOICE = ["order_id", "invoice_id"]
 EIGHT_DAYS = TimeRange(8 * DAY_US, SECOND_US, closed_end=True)
 
 
@@ -58,15 +60,23 @@ def live_invoices(fact: DataFrame, asof: Column, since: Column, max_retries: int
     )
 
 
-def base_transactions(fact: DataFrame, bin_tier: DataFrame, live_orders: DataFrame) -> DataFrame:
-    """All visible attempts of the live orders, with the tier of their bin.
+# What the features read of an attempt.
+USED = (
+    "order_id invoice_id transaction_id transaction_datetime retries transaction_status transaction_amount offer_amount decline_code invoice_sequence "
+    "processor_name_original vertical_type_bin vertical_type super_partner_id_name card_type bank billing_state payment_frequency invoice_type"
+).split()
+
+
+def base_transactions(fact: DataFrame, bin_tier: DataFrame, orders: DataFrame | None = None) -> DataFrame:
+    """All visible attempts (of the given orders), with the tier of their bin.
 
     The tier table is one row per bin (see ``unique_dimension``), so it cannot fan out.
     """
+    visible = fact.filter(extract_filter()).select(*USED)
+    if orders is not None:
+        visible = visible.join(orders, "order_id", "left_semi")
     return (
-        fact.filter(extract_filter())
-        .join(live_orders, "order_id", "left_semi")
-        .join(unique_dimension(bin_tier, "vertical_type_bin", "bin_tier"), "vertical_type_bin", "left")
+        visible.join(unique_dimension(bin_tier, "vertical_type_bin", "bin_tier"), "vertical_type_bin", "left")
         .withColumn("offer_minus_payment", F.col("offer_amount") - F.col("transaction_amount"))
     )
 
@@ -129,12 +139,12 @@ def attempt_sequence(base: DataFrame, history: DataFrame, skew: KeySkew | None =
         skew,
     )
     rows = prefix_scan(
-        rows, ["invoice_id"], ["retries", *ATTEMPT_ORDER],
+        rows, INVOICE, ["retries", *ATTEMPT_ORDER],
         {
             "last_failure_datetime": previous(F.col("transaction_datetime")),
             "last_decline_code_raw": previous(F.col("decline_code")),
         },
-        measure_skew(base.select("invoice_id", "retries"), ["invoice_id"], "retries"),
+        measure_skew(base.select(*INVOICE, "retries"), INVOICE, "retries"),
     )
     rows = rows.withColumn("historical_collected_amount", F.coalesce(F.col("historical_collected_amount").cast("double"), F.lit(0.0)))
     # Joined on order and invoice: an invoice id shared by two orders must not multiply rows.
@@ -143,19 +153,16 @@ def attempt_sequence(base: DataFrame, history: DataFrame, skew: KeySkew | None =
     return rows.withColumn("avg_retry_in_order", (past_sum + F.col("retries")) / (past_n + F.lit(1.0)))
 
 
-def trial_money(fact: DataFrame, live_orders: DataFrame) -> DataFrame:
+def trial_money(fact: DataFrame, orders: DataFrame | None = None) -> DataFrame:
+    trials = fact.filter(F.col("invoice_type").like("%trial%")).select("order_id", "transaction_status", "transaction_amount")
+    if orders is not None:
+        trials = trials.join(orders, "order_id", "left_semi")
     return (
-        fact.filter(F.col("invoice_type").like("%trial%"))
-        .join(live_orders, "order_id", "left_semi")
-        .groupBy("order_id")
+        trials.groupBy("order_id")
         .agg(F.sum(money(F.when(accepted(), F.col("transaction_amount")).otherwise(0.0))).cast("double").alias("trial_collected_amount"))
     )
 
 
-# An invoice id may be shared by two orders.
-INVOICE = ["order_id", "invoice_id"]
-
-
 def latest_attempt(rows: DataFrame, keys: list[str] = INVOICE) -> DataFrame:
     """The most recent attempt per key. A maximum of (time, id, row) combines on the map side."""
     payload = [c for c in rows.columns if c not in (*keys, *ATTEMPT_ORDER)]
@@ -199,21 +206,52 @@ UNKNOWN = (
 ).split()
 
 
+def attempt_states(base: DataFrame, skew: KeySkew) -> DataFrame:
+    """Every attempt with what was known at it: running values of its order and invoice, and the order's earlier invoices
+    (whose outcomes count as far as the table knows them)."""
+    return attempt_sequence(base, order_history(invoice_summary(base), skew), skew)
+
+
 def attempt_features(fact: DataFrame, bin_tier: DataFrame, asof: Column, since: Column) -> DataFrame:
     """One row per live invoice in a declined state: everything known at its latest attempt."""
     live = staged(live_invoices(fact, asof, since), "live_invoices")
     live_orders = live.select("order_id").distinct()
     # Seven steps below read the attempts of live orders: selected once, read by column after that.
     base = staged(base_transactions(fact, bin_tier, live_orders), "base_transactions")
-    skew = order_skew(base)
-    rows = attempt_sequence(base, order_history(invoice_summary(base), skew), skew)
-    scored = latest_attempt(rows.join(live, ["order_id", "invoice_id"], "left_semi")).filter(~accepted())
+    states = attempt_states(base, order_skew(base))
+    scored = latest_attempt(states.join(live, INVOICE, "left_semi")).filter(~accepted())
     # The rates read the whole history but are only asked for the instants that are scored.
     slim = base.select(*INVOICE, *ATTEMPT_ORDER, "transaction_status", *RATES).join(live, INVOICE, "left_semi")
     asked = latest_attempt(slim).filter(~accepted())
-    scored = scored.join(success_rates_8d(base, asked), "transaction_id", "left")
-    scored = scored.join(trial_money(fact, live_orders), "order_id", "left")
+    return feature_table(scored, success_rates_8d(base, asked), trial_money(fact, live_orders))
+
+
+def training_frame(fact: DataFrame, bin_tier: DataFrame, days: int = 30) -> DataFrame:
+    """One row per past decline of a mature invoice: the features of ``attempt_features`` as they stood at that attempt,
+    the invoice's start, last attempt and time of resolution, and its final label.
+
+    Mature invoices started ``days`` or more before the last attempt in the data, so their label no longer changes. The states
+    are those of every row of the same scans that scoring reads at the latest row; the rates are asked at the declines."""
+    base = staged(base_transactions(fact, bin_tier), "base_transactions")
+    skew = order_skew(base)
+    spans = base.groupBy(*INVOICE).agg(
+        F.min("transaction_datetime").alias("invoice_start"), F.max("transaction_datetime").alias("invoice_last_txn"),
+        F.min(F.when(accepted(), F.col("transaction_datetime"))).alias("__paid_at"),
+    )
+    last = base.agg(F.max("transaction_datetime") - F.make_dt_interval(F.lit(days))).scalar()
+    late = F.col("invoice_start") + F.make_dt_interval(F.lit(days))
+    mature = staged(
+        spans.filter(F.col("invoice_start") <= last).withColumn("resolved_at", F.coalesce("__paid_at", late)).drop("__paid_at"), "mature_invoices"
+    )
+    states = attempt_states(base, skew).filter(~accepted())
+    asked = base.select(*INVOICE, *ATTEMPT_ORDER, "transaction_status", *RATES).filter(~accepted()).join(mature, INVOICE, "left_semi")
+    frame = feature_table(states.join(mature, INVOICE, "left_semi"), success_rates_8d(base, asked), trial_money(fact))
+    return frame.join(mature, INVOICE)
+
 
+def feature_table(rows: DataFrame, rates: DataFrame, trials: DataFrame) -> DataFrame:
+    """The columns that models read, from attempts with their states, rates by transaction and trial money by order."""
+    rows = rows.join(rates, "transaction_id", "left").join(trials, "order_id", "left")
     ts = F.col("transaction_datetime")
     minus_one = {
         c: F.coalesce(F.col(c).cast("double"), F.lit(-1.0))
@@ -222,7 +260,7 @@ def attempt_features(fact: DataFrame, bin_tier: DataFrame, asof: Column, since:
     minus_one.update(
         {c: F.coalesce(F.col(c), F.lit(-1)) for c in ("max_retry_in_order", "last_invoice_retry", "consecutive_success_retry_0")}
     )
-    return scored.select(
+    return rows.select(
         "order_id", "invoice_id", "transaction_id", "transaction_datetime",
         F.col("invoice_sequence").alias("invoice_number"), "retries", "transaction_status",
         processor_type(F.col("processor_name_original")).alias("processor_type"),
