@@ -12,31 +12,35 @@ from tidemark.plans import calls, forecast
 VOLUME_COLUMNS = "num_core_txn num_casc_txn num_core_m0 num_casc_m0".split()
 
 
-def daily_sql(h, ahead=0, predict=False):
+def daily_sql(h, ahead=0, key=""):
+    """The daily table, of every series of ``key`` where it is given."""
     week = 20 if h == 14 else 14
+    k, part = (f"{key}, ", f"PARTITION BY {key} ") if key else ("", "")
+    same, group = (f"USING ({k}date)", f"GROUP BY {key}" if key else "")
     lags = ", ".join(f"LAG({c}, {h}) OVER o AS {c}_{h}d_ago" for c in VOLUME_COLUMNS)
-    gap = "OVER (ORDER BY date ROWS BETWEEN {a} PRECEDING AND " + str(h) + " PRECEDING)"
+    gap = f"OVER ({part}ORDER BY date ROWS BETWEEN {{a}} PRECEDING AND {h} PRECEDING)"
     avg = ", ".join(f"AVG({c}) {gap.format(a=h + 2)} AS rolling_avg_{c[4:]}_3d" for c in VOLUME_COLUMNS)
-    return f"""(WITH {HOLIDAY_SQL}, s AS (SELECT unnest(generate_series((SELECT MIN(call_date) FROM v_daily_call),
-        (SELECT MAX(call_date) + {ahead} FROM v_daily_call), INTERVAL 1 DAY))::DATE AS date),
-      d AS (SELECT date, strftime(date, '%a') AS day_name, day(date) AS day_of_month, strftime(date, '%b') AS month_name,
+    return f"""(WITH {HOLIDAY_SQL}, s AS (SELECT {k}unnest(days)::DATE AS date FROM (SELECT {k}generate_series(MIN(call_date), MAX(call_date) + {ahead},
+        INTERVAL 1 DAY) AS days FROM v_daily_call {group})),
+      d AS (SELECT {k}date, strftime(date, '%a') AS day_name, day(date) AS day_of_month, strftime(date, '%b') AS month_name,
         CASE WHEN day(date) IN (1, 3, 15) OR isodow(date) IN (5, 6) THEN 1 ELSE 0 END AS is_billing_day,
         CASE WHEN hol.d IS NULL THEN 0 ELSE 1 END AS is_holiday FROM s LEFT JOIN hol ON hol.d = s.date),
       x AS (SELECT *, MAX(CASE WHEN is_billing_day = 1 THEN date END) OVER p AS lb, MIN(CASE WHEN is_billing_day = 1 THEN date END) OVER f AS nb,
         MAX(CASE WHEN is_holiday = 1 THEN date END) OVER p AS lh, MIN(CASE WHEN is_holiday = 1 THEN date END) OVER f AS nh FROM d
-        WINDOW p AS (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
-      c AS (SELECT call_date AS date, COUNT(*) AS num_calls FROM v_daily_call GROUP BY 1),
+        WINDOW p AS ({part}ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+          f AS ({part}ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+      c AS (SELECT {k}call_date AS date, COUNT(*) AS num_calls FROM v_daily_call GROUP BY ALL),
       t AS (SELECT transaction_date AS date, COUNT(*) FILTER (cascade_type IS NULL) AS num_core_txn,
         COUNT(*) FILTER (cascade_type IS NOT NULL) AS num_casc_txn FROM v_order_item GROUP BY 1),
       m AS (SELECT order_date AS date, COUNT(*) FILTER (cascade_type IS NULL AND is_m0 = 1) AS num_core_m0,
         COUNT(*) FILTER (cascade_type IS NOT NULL AND is_m0 = 1) AS num_casc_m0 FROM v_order_item GROUP BY 1)
-      SELECT date, day_name, day_of_month, month_name, is_billing_day, is_holiday, num_calls, {lags},
+      SELECT {k}date, day_name, day_of_month, month_name, is_billing_day, is_holiday, num_calls, {lags},
         CASE WHEN date - lh <= 2 OR nh - date <= 2 THEN 1 ELSE 0 END AS is_near_holiday, date - lb AS days_since_billing_day,
         nb - date AS days_until_billing_day, {avg}, LAG(num_calls, {h}) OVER o AS calls_{h}d_ago,
         AVG(num_calls) {gap.format(a=h + 2)} AS rolling_avg_calls_3d, AVG(num_calls) {gap.format(a=week)} AS rolling_avg_calls_7d,
         AVG(num_calls) {gap.format(a=h + 29)} AS rolling_avg_calls_30d,
-        LAG(num_calls, 14) OVER o / NULLIF(AVG(num_calls) OVER (ORDER BY date ROWS BETWEEN 20 PRECEDING AND 14 PRECEDING), 0) AS dow_historical_ratio_14d
-      FROM x LEFT JOIN c USING (date) LEFT JOIN t USING (date) LEFT JOIN m USING (date) WINDOW o AS (ORDER BY date))"""
+        LAG(num_calls, 14) OVER o / NULLIF(AVG(num_calls) OVER ({part}ORDER BY date ROWS BETWEEN 20 PRECEDING AND 14 PRECEDING), 0) AS dow_historical_ratio_14d
+      FROM x LEFT JOIN c {same} LEFT JOIN t USING (date) LEFT JOIN m USING (date) WINDOW o AS ({part}ORDER BY date))"""
 
 
 def daily_columns(h):
@@ -64,8 +68,37 @@ def daily_feature_table_7(i):
     f"SELECT * FROM {daily_sql(14, ahead=14)} WHERE date > (SELECT MAX(call_date) FROM v_daily_call)",
 )
 def future_feature_rows(i):
-    table = calls.daily_feature_table(i.daily_call, i.order_item, ahead=14)
-    return table.filter(F.col("date") > i.daily_call.agg(F.max("call_date")).scalar())
+    return calls.after_the_data(calls.daily_feature_table(i.daily_call, i.order_item, ahead=14), i.daily_call)
+
+
+# The series of the registered queries.
+DAILY_KEY, LOG_KEY = ["call_type"], ["line"]
+
+
+@register(
+    "daily_feature_series", "call_type:s " + daily_columns(14) + " dow_historical_ratio_14d:d", f"SELECT * FROM {daily_sql(14, ahead=14, key='call_type')}"
+)
+def daily_feature_series(i):
+    """Every call type on its own calendar, with the days to come."""
+    return calls.daily_feature_table(i.daily_call, i.order_item, ahead=14, keys=DAILY_KEY)
+
+
+@register(
+    "future_feature_series", "call_type:s date:D num_core_txn_14d_ago calls_14d_ago rolling_avg_calls_30d:d",
+    f"""SELECT * FROM {daily_sql(14, ahead=14, key='call_type')} x WHERE date > (SELECT MAX(call_date) FROM v_daily_call c WHERE c.call_type = x.call_type)""",
+)
+def future_feature_series(i):
+    return calls.after_the_data(daily_feature_series(i), i.daily_call, keys=DAILY_KEY)
+
+
+@register(
+    "ratio_target_series", "call_type:s date:D anchor_7d:d target_ratio:d historical_ratio_14d:d",
+    f"""SELECT call_type, date, rolling_avg_calls_7d AS anchor_7d, num_calls / (rolling_avg_calls_7d + 1) AS target_ratio,
+        calls_14d_ago / (LAG(rolling_avg_calls_7d, 14) OVER (PARTITION BY call_type ORDER BY date) + 1) AS historical_ratio_14d
+        FROM {daily_sql(14, key='call_type')}""",
+)
+def ratio_target_series(i):
+    return calls.ratio_target(calls.daily_feature_table(i.daily_call, i.order_item, keys=DAILY_KEY), keys=DAILY_KEY)
 
 
 @register(
@@ -89,6 +122,51 @@ PROFILE = f"""(SELECT call_date, day_of_week, slot_minute, actual_pct_volume, av
   LEFT JOIN {FUTURE_AVG} a ON f.day_of_week = a.day_of_week AND f.slot_minute = a.slot_minute)"""
 
 
+# The same with a series key; days and slots to come are those of each line.
+LINE_SHARES = """(SELECT line, call_date, strftime(call_date, '%a') AS day_of_week, slot_minute,
+    calls_count * 100.0 / SUM(calls_count) OVER (PARTITION BY line, call_date) AS pct
+  FROM (SELECT line, CAST(call_start_at AS DATE) AS call_date, (hour(call_start_at) * 60 + minute(call_start_at)) // 30 * 30 AS slot_minute,
+      COUNT(DISTINCT call_id) AS calls_count FROM v_call_log GROUP BY ALL)
+  WHERE slot_minute BETWEEN CASE WHEN isodow(call_date) <= 5 THEN 300 ELSE 420 END AND CASE WHEN isodow(call_date) <= 5 THEN 1080 ELSE 960 END)"""
+LINE_PROFILE = f"""(WITH sh AS {LINE_SHARES},
+    ends AS (SELECT line, MAX(call_date) AS last FROM sh GROUP BY 1),
+    past AS (SELECT p.line, p.call_date, p.slot_minute, ROUND(MAX(p.pct), 4) AS actual_pct_volume, ROUND(AVG(e.pct), 4) AS avg_pct,
+      ROUND(MIN(e.pct), 4) AS min_pct, ROUND(MAX(e.pct), 4) AS max_pct FROM sh p LEFT JOIN sh e ON e.line = p.line AND e.slot_minute = p.slot_minute
+        AND e.day_of_week = p.day_of_week AND e.call_date < p.call_date AND 3 >= (SELECT COUNT(*) FROM sh n WHERE n.line = p.line
+          AND n.slot_minute = p.slot_minute AND n.day_of_week = p.day_of_week AND n.call_date < p.call_date AND n.call_date >= e.call_date)
+      GROUP BY p.line, p.call_date, p.slot_minute),
+    next AS (SELECT f.line, f.call_date, f.slot_minute, NULL::DOUBLE AS actual_pct_volume, ROUND(AVG(e.pct), 4) AS avg_pct, ROUND(MIN(e.pct), 4) AS min_pct,
+      ROUND(MAX(e.pct), 4) AS max_pct FROM (SELECT line, last + CAST(n AS INT) AS call_date, slot_minute FROM ends, range(1, 15) t(n),
+        (SELECT DISTINCT line AS l, slot_minute FROM sh) WHERE l = line) f LEFT JOIN sh e ON e.line = f.line AND e.slot_minute = f.slot_minute
+        AND e.day_of_week = strftime(f.call_date, '%a') AND 3 >= (SELECT COUNT(*) FROM sh n WHERE n.line = f.line AND n.slot_minute = f.slot_minute
+          AND n.day_of_week = e.day_of_week AND n.call_date >= e.call_date)
+      WHERE f.slot_minute >= CASE WHEN isodow(f.call_date) <= 5 THEN 300 ELSE 420 END AND f.slot_minute < CASE WHEN isodow(f.call_date) <= 5 THEN 1080 ELSE 960 END
+      GROUP BY f.line, f.call_date, f.slot_minute)
+    SELECT *, strftime(call_date, '%a') AS day_of_week FROM past UNION ALL SELECT *, strftime(call_date, '%a') FROM next)"""
+
+
+def line_profile(i):
+    return calls.intraday_profile(i.call_log, F.to_date("call_date"), keys=LOG_KEY)
+
+
+@register(
+    "intraday_profile_series", "line:s call_date:D day_of_week:s slot_minute actual_pct_volume:f avg_pct:f min_pct:f max_pct:f", f"SELECT * FROM {LINE_PROFILE}"
+)
+def intraday_profile_series(i):
+    return line_profile(i)
+
+
+@register(
+    "intraday_allocate_series", "line:s date:D day_of_week:s slot_minute predicted_calls_30mins:d",
+    f"""WITH d AS (SELECT line, CAST(call_start_at AS DATE) + 14 AS date, COUNT(*) AS predicted_calls FROM v_call_log GROUP BY ALL)
+        SELECT d.line, date, strftime(date, '%a') AS day_of_week, slot_minute, predicted_calls * avg_pct * 0.01 AS predicted_calls_30mins
+        FROM d LEFT JOIN {LINE_PROFILE} p ON p.call_date = d.date AND p.line = d.line""",
+)
+def intraday_allocate_series(i):
+    daily = i.call_log.groupBy("line", F.date_add(F.to_date("call_start_at"), 14).alias("date")).agg(F.count(F.lit(1)).alias("predicted_calls"))
+    return calls.intraday_allocate(daily, line_profile(i), LOG_KEY)
+
+
 def profile(i):
     return calls.intraday_profile(i.call_log, F.to_date("call_date"))
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.catalog.forecasting import daily_sql
 from tidemark.catalog.registry import register
 from tidemark.operators import evaluation as ev
 from tidemark.operators import splits
@@ -332,24 +333,72 @@ def daily_forecast(i):
     return future.select("date", (F.col("predicted_calls") >= 0).cast("int").alias("is_known"))
 
 
+_pooled: dict[tuple[str, str], scoring.CallForecast] = {}
+
+
+def pooled_forecast(i) -> scoring.CallForecast:
+    """One model over all call types, trained once for a table."""
+    key = (i.spark.sparkContext.applicationId, i.sf_dir)
+    if key not in _pooled:
+        _pooled[key] = scoring.daily_forecast(i.daily_call, i.order_item, boost=CALL_BOOST, keys=["call_type"])
+    return _pooled[key]
+
+
+# Days that can be learned from, and their place among the distinct days.
+def usable_sql(key=""):
+    target = f"LAG(rolling_avg_calls_7d, 14) OVER ({'PARTITION BY ' + key if key else ''} ORDER BY date)"
+    return f"""u AS (SELECT * FROM (SELECT *, calls_14d_ago / ({target} + 1) AS hr FROM {daily_sql(14, key=key)})
+      WHERE num_calls IS NOT NULL AND rolling_avg_calls_7d IS NOT NULL AND rolling_avg_calls_30d IS NOT NULL AND hr IS NOT NULL),
+    o AS (SELECT date, ROW_NUMBER() OVER (ORDER BY date) AS p, COUNT(*) OVER () AS n FROM (SELECT DISTINCT date FROM u))"""
+
+
+@register(
+    "daily_forecast_series", "call_type:s date:D is_known",
+    f"""SELECT call_type, date, 1 AS is_known FROM {daily_sql(14, ahead=14, key='call_type')} x
+        WHERE date > (SELECT MAX(call_date) FROM v_daily_call c WHERE c.call_type = x.call_type)
+          AND rolling_avg_calls_7d IS NOT NULL AND dow_historical_ratio_14d IS NOT NULL""",
+)
+def daily_forecast_series(i):
+    """One prediction per call type for each of its next 14 days for which the past suffices."""
+    return pooled_forecast(i).future.select("call_type", "date", (F.col("predicted_calls") >= 0).cast("int").alias("is_known"))
+
+
+@register(
+    "fold_report_series", "call_type:s fold n actual:d mae_share_known",
+    f"""WITH {usable_sql('call_type')} SELECT call_type, fold, COUNT(*) AS n, SUM(num_calls) AS actual, 1 AS mae_share_known
+        FROM u JOIN (SELECT date, p, n - 5 AS m FROM o WHERE p <= n - 5) USING (date), range(1, 6) t(fold)
+        WHERE p > m - (6 - fold) * 60 AND p <= m - (5 - fold) * 60 GROUP BY 1, 2""",
+)
+def fold_report_series(i):
+    """Days and calls of every series in every fold's test days, as they stand in the job's predictions, and that its errors are known."""
+    made = pooled_forecast(i)
+    errors = made.fold_report.select("fold", "call_type", (F.col("mae_share") >= 0).cast("int").alias("mae_share_known"))
+    rows = made.folds.groupBy("fold", "call_type").agg(F.count(F.lit(1)).alias("n"), F.sum("actual_calls").alias("actual"))
+    return rows.join(errors, ["fold", "call_type"])
+
+
 @register(
-    "train_gbt_regressor", "fold n is_close",
-    "SELECT fold, 60 AS n, 1 AS is_close FROM range(1, 6) t(fold) WHERE EXISTS (SELECT 1 FROM v_daily_call)",
+    "train_gbt_regressor", "fold n first_day:D last_day:D actual:d is_close",
+    f"""WITH {usable_sql()} SELECT fold, COUNT(*) AS n, MIN(date) AS first_day, MAX(date) AS last_day, SUM(num_calls) AS actual, 1 AS is_close
+        FROM u JOIN o USING (date), range(1, 6) t(fold) WHERE p > o.n - (6 - fold) * 60 AND p <= o.n - (5 - fold) * 60 GROUP BY fold""",
 )
 def train_gbt_regressor(i):
-    table = scoring.call_features(scoring.daily_table(i.daily_call, i.order_item))
+    """Test days and calls of every fold, and that the mean error is below the mean number of calls."""
+    table = scoring.daily_table(i.daily_call, i.order_item)
     clean = splits.linear_recency_weight(scoring.calls.clean_rows(table), ["date"])
     predictions, _ = scoring.walk_forward(clean, folds=5, test=60, val=30, boost=CALL_BOOST)
-    errors = ev.regression_errors(predictions, "actual_calls", "predicted_calls", ["fold"])
-    return errors.select("fold", "n", (F.col("mae_share") < 1).cast("int").alias("is_close"))
+    errors = ev.regression_errors(predictions, "actual_calls", "predicted_calls", ["fold"]).select("fold", (F.col("mae_share") < 1).cast("int").alias("is_close"))
+    rows = predictions.groupBy("fold").agg(
+        F.count(F.lit(1)).alias("n"), F.min("date").alias("first_day"), F.max("date").alias("last_day"), F.sum("actual_calls").alias("actual")
+    )
+    return rows.join(errors, "fold")
 
 
 @register(
-    "avg_best_iteration_refit", "n_days n_known has_trees",
-    "SELECT 5 AS n_days, 5 AS n_known, 1 AS has_trees WHERE EXISTS (SELECT 1 FROM v_daily_call)",
+    "avg_best_iteration_refit", "date:D actual_calls is_known has_trees",
+    f"WITH {usable_sql()} SELECT date, num_calls AS actual_calls, 1 AS is_known, 1 AS has_trees FROM u JOIN o USING (date) WHERE p > n - 5",
 )
 def avg_best_iteration_refit(i):
     """The days held out, predicted with the mean number of trees of the folds."""
     result = scoring.daily_forecast(i.daily_call, i.order_item, boost=CALL_BOOST)
-    known = F.col("actual_calls").isNotNull() & F.col("predicted_calls").isNotNull()
-    return result.holdout.agg(F.count(F.lit(1)).alias("n_days"), F.count_if(known).alias("n_known"), flag(result.trees >= 1).alias("has_trees"))
+    return result.holdout.select("date", "actual_calls", F.col("predicted_calls").isNotNull().cast("int").alias("is_known"), flag(result.trees >= 1).alias("has_trees"))

@@ -116,8 +116,12 @@ def walk_forward_folds(n_rows: Column, folds: int, test: int, val: int, spark) -
     )
 
 
-def fold_roles(df: DataFrame, order: list[str], folds: int, test: int, val: int) -> DataFrame:
-    """Each row once per fold it belongs to, with its role: (fold, role)."""
+def fold_roles(df: DataFrame, order: list[str], folds: int, test: int, val: int, by: str | None = None) -> DataFrame:
+    """Each row once per fold it belongs to, with its role: (fold, role). With ``by`` (a date) the positions are those of
+    the distinct dates, so the rows of all series on a day have the same role."""
+    if by is not None:
+        days = fold_roles(df.select(by).distinct(), [by], folds, test, val)
+        return df.join(days, by).select(*df.columns, "fold", "role")
     ranked = prefix_scan(df, [], order, {"__pos": position()})
     n = df.agg(F.count(F.lit(1))).scalar()
     pos = F.col("__pos")
@@ -158,8 +162,10 @@ def class_weight(df: DataFrame, label: str, keys: list[str] = ()) -> DataFrame:
     )
 
 
-def linear_recency_weight(df: DataFrame, order: list[str], low: float = 1.0, high: float = 5.0) -> DataFrame:
-    """Weights evenly spaced from low to high in time order."""
+def linear_recency_weight(df: DataFrame, order: list[str], low: float = 1.0, high: float = 5.0, by: str | None = None) -> DataFrame:
+    """Weights evenly spaced from low to high in time order; with ``by`` (a date) over the distinct dates."""
+    if by is not None:
+        return df.join(linear_recency_weight(df.select(by).distinct(), [by], low, high), by).select(*df.columns, "sample_weight")
     ranked = prefix_scan(df, [], order, {"__pos": position()})
     n = df.agg(F.count(F.lit(1))).scalar()
     step = F.try_divide(F.lit(high - low), (n - 1).cast("double"))

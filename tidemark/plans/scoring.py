@@ -400,11 +400,27 @@ CALL_FEATURES = [
 ]
 
 
-def call_features(df: DataFrame) -> DataFrame:
+SERIES_EFFECT = "series_mean"
+
+
+def call_features(df: DataFrame, extra: list[str] = ()) -> DataFrame:
     """Day and month as numbers, missing numbers as -1, one vector."""
     df = df.withColumns({"weekday": F.weekday("date"), "month_number": F.month("date")})
     df = df.fillna(-1, CALL_FEATURES)
-    return VectorAssembler(inputCols=CALL_FEATURES, outputCol="features").transform(df)
+    return VectorAssembler(inputCols=[*CALL_FEATURES, *extra], outputCol="features").transform(df)
+
+
+def series_effects(fit: DataFrame) -> Preprocessor:
+    """Smoothed mean of the target ratio of every series (column ``series``), learned on ``fit``; its own rows get means
+    that leave out their fold of days."""
+    return fit_preprocessor(fit, FeatureRoles([], ["series"]), "target_ratio", min_count=1, fold_key="date")
+
+
+def with_effects(rows: DataFrame, effects: Preprocessor | None, training: Column | None = None) -> DataFrame:
+    """The feature vector; with many series also what the series does on average."""
+    if effects is None:
+        return call_features(rows)
+    return call_features(effects.apply(rows, training), [SERIES_EFFECT])
 
 
 def train_gbt_regressor(
@@ -414,28 +430,32 @@ def train_gbt_regressor(
     return boosting.model_of(boosting.boosted(rows, label, stop, boost, weight, boosting.ABSOLUTE, trees))
 
 
-def daily_table(items_calls: DataFrame, items: DataFrame, ahead: int = 0) -> DataFrame:
-    return calls.ratio_target(calls.daily_feature_table(items_calls, items, ahead=ahead))
+def daily_table(items_calls: DataFrame, items: DataFrame, ahead: int = 0, keys: list[str] = ()) -> DataFrame:
+    return calls.ratio_target(calls.daily_feature_table(items_calls, items, ahead=ahead, keys=keys), keys=keys)
 
 
-def walk_forward(clean: DataFrame, folds: int, test: int, val: int, boost: Boost = REGRESS) -> tuple[DataFrame, int]:
+def walk_forward(clean: DataFrame, folds: int, test: int, val: int, boost: Boost = REGRESS, keys: list[str] = ()) -> tuple[DataFrame, int]:
     """Predictions of every fold's test days and the mean number of trees.
 
-    One row per day: the table is written once and each fold reads its part of it.
+    Folds are cut by date, so all series of a day have one role, and one model per fold learns from all of them. The
+    table is written once and each fold reads its part of it.
     """
-    parts = staged(fold_roles(clean, ["date"], folds, test, val), "folds")
+    parts = staged(fold_roles(clean, ["date"], folds, test, val, by="date" if keys else None), "folds")
     trees, predictions = [], None
     for f in range(1, folds + 1):
         fold = parts.filter(F.col("fold") == f)
-        fit = fold.filter(F.col("role") != "test").withColumn("is_stop", F.col("role") == "val")
+        seen = F.col("role") == "train"
+        effects = series_effects(fold.filter(seen)) if keys else None
+        ready = with_effects(fold, effects, seen)
+        fit = ready.filter(F.col("role") != "test").withColumn("is_stop", F.col("role") == "val")
         model = train_gbt_regressor(fit, "target_ratio", "sample_weight", "is_stop", boost)
         trees.append(len(model.trees))
-        out = model.transform(fold.filter("role = 'test'"), "prediction").select(
-            "fold", "date", F.col("num_calls").alias("actual_calls"),
-            calls.ratio_to_calls(F.col("prediction"), F.col("anchor_7d")).alias("predicted_calls"),
+        out = model.transform(ready.filter("role = 'test'"), "prediction").select(
+            "fold", *keys, "date", F.col("num_calls").alias("actual_calls"),
+            calls.ratio_to_calls(F.col("prediction"), F.col("anchor_7d")).alias("predicted_calls"), F.lit(len(model.trees)).alias("trees"),
         )
         predictions = out if predictions is None else predictions.unionByName(out)
-    return predictions, max(1, round(sum(trees) / len(trees)))
+    return staged(predictions, "fold_predictions"), max(1, round(sum(trees) / len(trees)))
 
 
 @dataclass
@@ -447,32 +467,40 @@ class CallForecast:
     trees: int
 
 
+def series_name(keys: list[str]) -> Column:
+    """One text per series; nulls are told apart from empty text."""
+    return F.to_json(F.struct(*[F.col(k) for k in keys]), {"ignoreNullFields": "false"}) if keys else F.lit("all")
+
+
 def daily_forecast(
     call_rows: DataFrame, items: DataFrame, horizon: int = 14, folds: int = 5, test: int = 60, val: int = 30,
-    holdout: int = 5, boost: Boost = REGRESS,
+    holdout: int = 5, boost: Boost = REGRESS, keys: list[str] = (),
 ) -> CallForecast:
-    """Walk-forward report, hold-out check and forecast of the next days.
+    """Walk-forward report, hold-out check and forecast of the next days, for one series or for all series at once.
 
-    The last ``holdout`` days are kept out; the final model uses the mean number of trees of the folds.
+    The last ``holdout`` days of the calendar are kept out; the final model uses the mean number of trees of the folds.
+    With ``keys`` one model is pooled over the series; what a series does on average enters as a cross-fitted ratio.
+    The report has one row per fold (and series), forecasts one per day (and series).
     """
-    table = call_features(daily_table(call_rows, items, ahead=horizon))
-    table = staged(table, "daily")
-    last_day = call_rows.agg(F.max("call_date")).scalar()
-    clean = linear_recency_weight(calls.clean_rows(table.filter(F.col("date") <= last_day)), ["date"])
-    marked = prefix_scan(clean, [], ["date"], {"from_end": position()}, reverse=True)
-    marked = staged(marked, "marked")
+    keys = list(keys)
+    table = staged(daily_table(call_rows, items, ahead=horizon, keys=keys).withColumn("series", series_name(keys)), "daily")
+    future_rows = calls.after_the_data(table, call_rows, keys=keys)
+    known = calls.clean_rows(table)
+    clean = staged(linear_recency_weight(known, ["date"], by="date" if keys else None), "clean")
+    days = prefix_scan(clean.select("date").distinct(), [], ["date"], {"from_end": position()}, reverse=True)
+    marked = staged(clean.join(days, "date"), "marked")
     train = marked.filter(F.col("from_end") > holdout).drop("from_end")
-    predictions, trees = walk_forward(train, folds, test, val, boost)
-    final = train_gbt_regressor(train, "target_ratio", "sample_weight", boost=boost, trees=trees)
+    predictions, trees = walk_forward(train, folds, test, val, boost, keys)
+    effects = series_effects(train) if keys else None
+    final = train_gbt_regressor(with_effects(train, effects, F.lit(True)), "target_ratio", "sample_weight", boost=boost, trees=trees)
 
     def predict(rows):
-        return final.transform(rows, "prediction").withColumn(
+        return final.transform(with_effects(rows, effects), "prediction").withColumn(
             "predicted_calls", calls.ratio_to_calls(F.col("prediction"), F.col("anchor_7d"))
         )
 
-    held = predict(marked.filter(F.col("from_end") <= holdout)).select("date", F.col("num_calls").alias("actual_calls"), "predicted_calls")
-    ahead = table.filter(F.col("date") > last_day).dropna(subset=["anchor_7d", "dow_historical_ratio_14d"])
-    future = predict(ahead).select("date", F.greatest(F.col("predicted_calls"), F.lit(0.0)).alias("predicted_calls"))
-    report = regression_errors(predictions, "actual_calls", "predicted_calls", ["fold"])
+    held = predict(marked.filter(F.col("from_end") <= holdout)).select(*keys, "date", F.col("num_calls").alias("actual_calls"), "predicted_calls")
+    ahead = future_rows.dropna(subset=["anchor_7d", "dow_historical_ratio_14d"])
+    future = predict(ahead).select(*keys, "date", F.greatest(F.col("predicted_calls"), F.lit(0.0)).alias("predicted_calls"))
+    report = regression_errors(predictions, "actual_calls", "predicted_calls", ["fold", *keys])
     return CallForecast(predictions, report, held, future, trees)
-

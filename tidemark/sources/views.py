@@ -114,7 +114,7 @@ VIEWS: dict[str, View] = {
         "customer",
         {"customer_id": "c_custkey", "vertical_type_bin": "concat(c_mktsegment, '_', CAST(c_nationkey AS STRING))"},
     ),
-    "call_log": View("events", {"call_id": "event_id", "call_start_at": "ts", "customer_id": "user_id"}),
+    "call_log": View("events", {"call_id": "event_id", "call_start_at": "ts", "customer_id": "user_id", "line": "event_type"}),
     "lead": View(
         "orders",
         {
