@@ -8,8 +8,9 @@ neighbour, so it is exact; a larger factor skips more. Queries go through a tree
 block's remaining queries at once. Per shard and query block the k best come back, and the k best of all shards
 are the answer.
 
-Trees are built once, stored with their vectors as one row per shard (at most ``SHARD_ROWS`` rows on average), and
-joined to the query blocks, so a task holds one tree and one block. Distances come from the original vectors in
+Trees are built once and stored with their vectors as one row per shard (at most ``SHARD_ROWS`` rows on average). A task gets
+one tree and after it the query blocks to search in it, so it holds one tree and one block; with few shards a tree goes
+to several tasks, which share the blocks. Distances come from the original vectors in
 double precision, summed component by component.
 
 Vectors that are null, all zero, of another length than most (the smaller of equally common lengths counts) or with
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import shipped
 from tidemark.sources.scratch import staged
 
-LEAF = 64
+LEAF = 256
 SHARD_ROWS, BLOCK_QUERIES = 8192, 256
 RESULT = "query_id long, vec_id long, score double"
 # Room for rounding when a bound is compared with a distance.
@@ -148,33 +149,45 @@ def clean(vectors: DataFrame, vec_id: str, vec: str) -> DataFrame:
 
 
 def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per shard: its tree."""
-    held: dict[int, list] = {}
+    """One row per shard: its tree. Rows come sorted by shard, so one shard is held at a time."""
+    current, parts = None, []
+
+    def tree() -> pa.RecordBatch:
+        ids, rows = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((*rows.T[::-1], ids))  # the same tree whatever order the rows came in
+        made = pickle.dumps(Tree(ids[order], rows[order]), protocol=5)
+        return pa.RecordBatch.from_arrays([pa.array([current], pa.int32()), pa.array([made], pa.binary())], names=["shard", "tree"])
+
     for batch in batches:
         shard = batch.column("shard").to_numpy()
         ids = batch.column("id").to_numpy()
         rows = np.array(batch.column("v").flatten().to_numpy(), np.float64).reshape(len(ids), -1)
-        for s in np.unique(shard):
-            held.setdefault(int(s), []).append((ids[shard == s], rows[shard == s]))
-    for s, parts in held.items():
-        ids, rows = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((*rows.T[::-1], ids))  # the same tree whatever order the rows came in
-        tree = pickle.dumps(Tree(ids[order], rows[order]), protocol=5)
-        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([tree], pa.binary())], names=["shard", "tree"])
+        for s in np.unique(shard).tolist():
+            if s != current:
+                if parts:
+                    yield tree()
+                current, parts = s, []
+            parts.append((ids[shard == s], rows[shard == s]))
+    if parts:
+        yield tree()
 
 
 def look_up(k: int, factor: float):
+    """Rows come by place: a shard's tree, then the query blocks that are searched in it there."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = None
         for batch in batches:
             for n in range(batch.num_rows):
-                tree = pickle.loads(batch.column("tree")[n].as_py())
+                if batch.column("tree")[n].is_valid:
+                    tree = pickle.loads(batch.column("tree")[n].as_py())
+                    continue
                 ids = np.array(batch.column("ids")[n].as_py(), np.int64)
                 rows = np.array(batch.column("flat")[n].as_py(), np.float64).reshape(len(ids), -1)
                 found = tree.search(ids, rows, k, factor)
-                if found:
-                    names = np.concatenate([x for x, _ in found])
-                    column = [np.repeat(ids, [len(x) for x, _ in found]), names, np.concatenate([y for _, y in found])]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in column], names=["query_id", "vec_id", "score"])
+                names = np.concatenate([x for x, _ in found])
+                column = [np.repeat(ids, [len(x) for x, _ in found]), names, np.concatenate([y for _, y in found])]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in column], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -191,16 +204,26 @@ def nearest(
         asked = asked.where(F.size("v") == rows.select(F.size("v")).first()[0])
     asked = asked.groupBy("id").agg(F.min("v").alias("v"))
     blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    trees = staged(dealt.repartition(shards, "shard").mapInArrow(grow, "shard int, tree binary"), "trees")
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).repartition(shards, "shard").sortWithinPartitions("shard")
+    trees = staged(dealt.mapInArrow(grow, "shard int, tree binary"), "trees")
     packed = (
         asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
         .groupBy("block")
         .agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("rows"))
         .select("block", F.col("rows.id").alias("ids"), F.flatten("rows.v").alias("flat"))
     )
-    # Every query block meets every shard once: the stated query set against all rows.
-    pairs = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).repartition(min(shards * blocks, 10_000), "shard", "block")
-    found = pairs.join(trees, "shard").select("ids", "flat", "tree").mapInArrow(look_up(k, factor), RESULT)
+    # Every query block meets every shard once: the stated query set against all rows. Where there are fewer shards than
+    # tasks could run, a shard's tree is searched in several places, each for its part of the blocks.
+    places = min(blocks, max(1, -(-2 * rows.sparkSession.sparkContext.defaultParallelism // shards)))
+    empty = {"tree": F.lit(None).cast("binary"), "ids": F.lit(None).cast("array<bigint>"), "flat": F.lit(None).cast("array<double>"), "block": F.lit(-1)}
+    order = ["place", "block", "tree", "ids", "flat"]
+    homes = trees.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(places - 1)))).withColumns({c: empty[c] for c in ("ids", "flat", "block")})
+    calls = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumns({"part": F.col("block") % places, "tree": empty["tree"]})
+    # Shards without rows have no tree, so no place either.
+    calls = calls.join(trees.select("shard"), "shard", "left_semi")
+    both = homes.unionByName(calls).withColumn("place", F.col("shard") * places + F.col("part")).select(order)
+    # Dealt by number, not by hash: every place is a task of its own up to 10,000.
+    ranged = both.repartitionByRange(min(shards * places, 10_000), "place").sortWithinPartitions("place", "block")
+    found = ranged.mapInArrow(look_up(k, factor), RESULT)
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
