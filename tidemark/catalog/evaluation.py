@@ -395,6 +395,49 @@ def attribute_conversion(i):
     return attribute_report(i)
 
 
+# Attributes whose kind is found from their values: a date, a timestamp, a text of dates of which one in 25 is junk, a number
+# as text and a category.
+TYPED = """(SELECT *, CAST(transaction_datetime AS DATE) + CAST(transaction_id % 60 AS INT) AS due,
+    CASE WHEN transaction_id % 25 = 0 THEN 'n/a' ELSE CAST(CAST(transaction_datetime AS DATE) - CAST(transaction_id % 90 AS INT) AS VARCHAR) END AS opened,
+    CASE WHEN transaction_id % 30 = 0 THEN '-' ELSE CAST(transaction_amount AS VARCHAR) END AS amount_text,
+    CASE WHEN transaction_status = 'accepted' THEN 1 ELSE 0 END AS y, CASE WHEN super_partner_id_name = 'P3' THEN 1 ELSE 0 END AS p FROM v_attempt)"""
+
+
+def typed_sql(bins=8):
+    probs = ", ".join(str(n / bins) for n in range(bins + 1))
+    day = "strftime(make_timestamp(CAST(floor({e}) AS BIGINT)), '%Y-%m-%d')"
+    instants = {"due": "epoch_us(CAST(due AS TIMESTAMP))", "transaction_datetime": "epoch_us(transaction_datetime)", "opened": "epoch_us(TRY_CAST(opened AS TIMESTAMP))"}
+    parts = []
+    for c, us in instants.items():
+        parts.append(f"""SELECT '{c}' AS attribute, 'datetime' AS type, CASE WHEN v IS NULL THEN '(Missing)' ELSE {day.format(e='e[b]')} || ' - '
+          || {day.format(e='COALESCE(e[b + 1], e[1])')} END AS bucket, y, p FROM (SELECT *, GREATEST(len(list_filter(e, lambda x: x < v)), 1) AS b
+            FROM (SELECT CAST({us} AS DOUBLE) AS v, y, p FROM t), (SELECT list_sort(list_distinct(quantile_cont(CAST({us} AS DOUBLE), [{probs}]))) AS e FROM t))""")
+    parts.append(f"""SELECT 'amount_text', 'numeric', CASE WHEN v IS NULL THEN '(Missing)' ELSE 'bucket ' || lpad(CAST(GREATEST(len(list_filter(e, lambda x: x < v)), 1)
+          AS VARCHAR), 2, '0') END, y, p FROM (SELECT TRY_CAST(amount_text AS DOUBLE) AS v, y, p FROM t),
+          (SELECT list_sort(list_distinct(quantile_cont(TRY_CAST(amount_text AS DOUBLE), [{probs}]))) AS e FROM t)""")
+    parts.append("SELECT 'card_type', 'categorical', COALESCE(card_type, '(Missing)'), y, p FROM t")
+    return f"""WITH t AS {TYPED}, r AS ({' UNION ALL '.join(parts)})
+      SELECT attribute, type, bucket, COUNT(*) AS n, COUNT(*) / (SELECT COUNT(*) FROM t) AS share, SUM(y) AS m0, SUM(y * p) AS partner_m0, AVG(y) AS conversion_rate,
+        SUM(y * p) / NULLIF(SUM(p), 0) AS partner_rate, AVG(y) / (SELECT AVG(y) FROM t) AS lift FROM r GROUP BY ALL"""
+
+
+@register(
+    "attribute_conversion_typed", "attribute:s type:s bucket:s n share:f m0 partner_m0 conversion_rate:f partner_rate:f lift:f", typed_sql()
+)
+def attribute_conversion_typed(i):
+    k, day = F.col("transaction_id"), F.to_date("transaction_datetime")
+    rows = i.attempt.withColumns(
+        {
+            "due": F.date_add(day, (k % 60).cast("int")),
+            "opened": F.when(k % 25 == 0, "n/a").otherwise(F.date_sub(day, (k % 90).cast("int")).cast("string")),
+            "amount_text": F.when(k % 30 == 0, "-").otherwise(F.col("transaction_amount").cast("string")),
+            "y": (F.col("transaction_status") == "accepted").cast("int"),
+        }
+    )
+    columns = ["due", "transaction_datetime", "opened", "amount_text", "card_type"]
+    return ev.attributes_report(rows, columns, "y", F.col("super_partner_id_name") == "P3")
+
+
 @register(
     "attribute_summary",
     "attribute:s type:s n_buckets min_conv:f max_conv:f spread:f highest_bucket:s partner_at_high:f lowest_bucket:s partner_at_low:f",

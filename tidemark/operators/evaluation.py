@@ -11,12 +11,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.cleaning import long_form
+from tidemark.operators.cleaning import detect_numeric, long_form
 from tidemark.operators.ordered import (
     KeySkew,
     exact_quantiles,
     lookup_join,
     measure_skew,
+    micros,
     prefix_scan,
     running_sum,
 )
@@ -435,13 +436,50 @@ def profile_numeric(df: DataFrame, features: list[str], group: Column) -> DataFr
     )
 
 
+def as_instant(df: DataFrame, column: str) -> Column:
+    """Microseconds of a date, a timestamp (its wall clock) or a text that reads as one; null for anything else."""
+    kind = dict(df.dtypes)[column]
+    c = F.col(f"`{column}`")
+    if kind == "string":
+        c = F.try_to_timestamp(F.trim(c)).cast("timestamp_ntz")
+    elif kind in ("date", "timestamp"):
+        c = c.cast("timestamp_ntz")
+    elif kind != "timestamp_ntz":
+        return F.lit(None).cast("long")
+    return micros(c)
+
+
+def attribute_kinds(df: DataFrame, columns: list[str], least: float = 0.80) -> dict[str, str]:
+    """numeric, datetime or categorical per column, by the share of its values that read as such, from one aggregate over
+    all columns. Columns without a value are left out."""
+    found = detect_numeric(df, columns, least, dates=True).collect()  # one row per column
+    return {r["column_name"]: r["kind"] for r in found if r["n_valid"]}
+
+
+def day_of(instant: Column) -> Column:
+    """The day of an instant in microseconds, as text, whatever the session's time zone."""
+    day = F.floor(instant / F.lit(86_400_000_000.0)).cast("int")
+    return F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), day), "yyyy-MM-dd")
+
+
+def attributes_report(
+    df: DataFrame, columns: list[str], label: str, partner: Column, bins: int = 8, max_levels: int = 30, min_n: int = 1, least: float = 0.80
+) -> DataFrame:
+    """``attribute_conversion`` of columns whose kind is found from their values; what doesn't read as the kind is missing."""
+    kinds = attribute_kinds(df, columns, least)
+    of = {kind: [c for c, k in kinds.items() if k == kind] for kind in ("numeric", "categorical", "datetime")}
+    plain = df.withColumns({c: F.col(f"`{c}`").try_cast("double") for c in of["numeric"]} | {c: F.col(f"`{c}`").cast("string") for c in of["categorical"]})
+    return attribute_conversion(plain, of["numeric"], of["categorical"], label, partner, bins, max_levels, min_n, of["datetime"])
+
+
 def attribute_conversion(
     df: DataFrame, numeric: list[str], categorical: list[str], label: str, partner: Column,
-    bins: int = 8, max_levels: int = 30, min_n: int = 1,
+    bins: int = 8, max_levels: int = 30, min_n: int = 1, datetimes: list[str] = (),
 ) -> DataFrame:
     """Conversion per attribute and bucket, next to one partner's in the same buckets.
 
-    Numbers fall into quantile buckets, categories into their most frequent levels.
+    Numbers fall into quantile buckets, categories into their most frequent levels, dates and times into
+    quantile buckets of their instants named by the days of the edges; buckets of one name are one bucket.
     """
     base = df.withColumns({"__y": F.col(label), "__p": F.coalesce(partner, F.lit(False)).cast("int")})
     totals = base.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("__y").alias("rate"))).scalar()
@@ -460,6 +498,15 @@ def attribute_conversion(
             F.concat(F.lit("bucket "), F.lpad(F.col("bucket_idx").cast("string"), 2, "0"))
         )
         parts.append(g.withColumns({"bucket": label_text, "type": F.lit("numeric")}))
+    if datetimes:
+        instants = base.select("__y", "__p", *[as_instant(base, c).cast("double").alias(c) for c in datetimes])
+        cells = quantile_buckets(long_form(instants, list(datetimes), ["__y", "__p"], "double"), "value", bins, ["feature"])
+        days = F.concat(day_of(F.col("bucket_low")), F.lit(" - "), day_of(F.col("bucket_high")))
+        cells = cells.withColumns({"bucket": F.coalesce(days, F.lit("(Missing)")), "bucket_idx": F.coalesce("bucket_idx", F.lit(999))})
+        g = cells.groupBy("feature", "bucket").agg(
+            *measures, F.min("bucket_low").alias("bucket_low"), F.max("bucket_high").alias("bucket_high"), F.min("bucket_idx").alias("bucket_idx")
+        )
+        parts.append(g.withColumn("type", F.lit("datetime")))
     if categorical:
         cells = long_form(base, categorical, ["__y", "__p"], "string")
         g = cells.groupBy("feature", "value").agg(*measures)
