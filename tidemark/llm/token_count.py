@@ -7,10 +7,13 @@
    vocabulary's library, looks them up for its postings and adds them up per document of the block.
 3. These sums are shuffled by block and added; a block's first row carries its doc ids and text sizes.
 
-A pre-token of more than a quarter of a block's documents is spread over ``SPREAD`` keys by its block, so no task
+The key of a posting is its pre-token and a number that stands for ``GROUP`` input partitions, so a key holds the blocks of
+that many partitions however large the corpus is; a pre-token is counted once per such group. A pre-token of more
+than a quarter of a block's documents is spread over ``SPREAD`` keys a group by its block. So no task
 gathers the postings of a word that every document holds. State is bounded: sums and counted pre-tokens are
 let go beyond ``STATE``, as sums can be added in parts. Documents are told apart by their place, so repeated rows
-and doc ids stay separate; null text counts as empty (0 bytes, 0 tokens).
+and doc ids stay separate, null ids too; null text counts as empty (0 bytes, 0 tokens). A very long text is cut whole
+and makes a block alone. An empty table gives no rows. Columns other than doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,7 +36,11 @@ from tidemark.llm.common import shipped, slices, texts_of
 BLOCK_DOCS, BLOCK_BYTES = 60_000, 32_000_000
 # Places in a block are two bytes.
 PLACES = 1 << 16
+# A block's number is its task's partition and, in these bits, its place in the partition.
+BLOCK_BITS = 24
 SPREAD = 32
+# Input partitions whose postings of a word share a key.
+GROUP = 64
 STATE = 4_000_000
 POSTINGS = "salt int, word string, block long, payload binary"
 RESULT = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
@@ -113,7 +120,8 @@ class Block:
         for at in range(0, len(words), 20_000):
             stop = min(at + 20_000, len(words))
             runs = [places[starts[k] : ends[k]] for k in range(at, stop)]
-            salts = [number % SPREAD if 4 * len(r) > len(self.ids) and len(r) > 64 else 0 for r in runs]
+            first = (number >> BLOCK_BITS) // GROUP * SPREAD
+            salts = [first + (number % SPREAD if 4 * len(r) > len(self.ids) and len(r) > 64 else 0) for r in runs]
             yield posting_batch(salts, words[at:stop], number, [r.tobytes() for r in runs])
 
 
@@ -126,7 +134,7 @@ def postings(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        count, block, number = counter(path), Block(), TaskContext.get().partitionId() << 24
+        count, block, number = counter(path), Block(), TaskContext.get().partitionId() << BLOCK_BITS
         for batch in slices(batches):
             ids, texts, at = batch.column("doc_id").to_pylist(), texts_of(batch), 0
             while at < len(ids):
