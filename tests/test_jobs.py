@@ -41,6 +41,25 @@ def test_exact_sample_and_folds(spark):
     }
 
 
+def test_samples_are_selected_without_sorting_the_rows(spark):
+    """The same rows as by rank in the seeded order, also with repeated ids, odd shares and small cells."""
+    rows = [(n % 700, f"g{n % 3}" if n % 50 else None, "payload") for n in range(1500)] + [(5, "g1", "payload")] * 400
+    df = spark.createDataFrame(rows, "k long, g string, extra string")
+    order = sorted(rows, key=lambda r: (hashlib.md5(f"42:{r[0]}".encode()).hexdigest(), r[0]))
+    for n in (0, 1, 7, 431, 1200, 1900, 5000):
+        got = splits.exact_sample(df, "k", n=n).filter("is_sampled").collect()
+        assert sorted(r.k for r in got) == sorted(r[0] for r in order[:n])
+    got = splits.stratified_split(df, "g", "k", share=0.37).collect()
+    assert len(got) == len(rows)
+    for g in ("g0", "g1", "g2", None):
+        mine = [r for r in order if r[1] == g]
+        assert sorted(r.k for r in got if r.g == g and r.split == "val") == sorted(r[0] for r in mine[: int(len(mine) * 0.37 + 0.5)])
+    assert splits.exact_sample(df.limit(0), "k", n=3).count() == 0
+    whole = splits.exact_sample(df.dropDuplicates(["k"]).cache(), "k", share=0.1)
+    text = whole._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
+    assert not any(word in text for word in ("Window", "Sort", "Exchange"))
+
+
 def test_one_pass_sweep_equals_a_loop(spark, data):
     i = Inputs(spark, data)
     frame = eco.cutoff_frame(attempts.scored_attempts(i.attempt), i.order_cltv)

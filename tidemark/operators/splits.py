@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.scalar import clip, hash_fraction, split_of
 from tidemark.operators.ordered import (
+    KeySkew,
     exact_quantiles,
     lookup_join,
     measure_skew,
@@ -14,6 +18,7 @@ from tidemark.operators.ordered import (
     position,
     prefix_scan,
 )
+from tidemark.sources.scratch import BROADCAST_ROWS, staged
 
 # Shares of the past window.
 HASH_BOUNDS = [("train", 0.75), ("stop", 0.85), ("calib", 0.95)]
@@ -80,30 +85,82 @@ def seeded_order(id_column: str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_column).cast("string")))
 
 
-def _hash_rank(df: DataFrame, keys: list[str], id_column: str, seed: int) -> DataFrame:
-    """Position of each row of a group in the seeded order; the leading number cuts hot groups evenly."""
+# Cells of the first histogram of the hash: its leading bits.
+CELL_BITS, LEAD_BITS = 16, 48
+
+
+def _first_by_hash(df: DataFrame, keys: list[str], id_column: str, seed: int, wanted: Callable[[Column], Column], out: str) -> DataFrame:
+    """Flag the first ``wanted(size)`` rows of each group in the seeded order.
+
+    Distributed selection: a histogram of the hash per group finds the cell that holds the cut, the rows of that cell alone
+    are ranked, and a filter against the cut flags all rows, which are neither sorted nor moved. Rows that share the
+    id of the cut are ranked among themselves, so the number is exact."""
     digest = seeded_order(id_column, seed)
-    lead = F.conv(F.substring(digest, 1, 12), 16, 10).cast("long")
-    return prefix_scan(
-        df.withColumns({"__lead": lead, "__digest": digest}), keys, ["__lead", "__digest", id_column], {"__pos": position()}
-    ).drop("__lead", "__digest")
+    hashed = df.withColumn("__digest", digest)
+    lead = F.conv(F.substring("__digest", 1, LEAD_BITS // 4), 16, 10).cast("long")
+    hashed = hashed.withColumn("__cell", F.shiftright(lead, LEAD_BITS - CELL_BITS))
+    histogram = staged(hashed.groupBy(*keys, "__cell").agg(F.count(F.lit(1)).alias("__n")), "hash_cells")
+    along = Window.partitionBy(*keys).orderBy("__cell")
+    whole = F.sum("__n").over(Window.partitionBy(*keys))
+    ranked = histogram.withColumns({"__upto": F.sum("__n").over(along), "__want": wanted(whole).cast("long")})
+    edge = ranked.filter((F.col("__upto") >= F.col("__want")) & (F.col("__upto") - F.col("__n") < F.col("__want")))
+    edge = edge.select(*keys, F.col("__cell").alias("__edge"), (F.col("__want") - F.col("__upto") + F.col("__n")).alias("__need"))
+    inside = _beside(hashed.select(*keys, id_column, "__digest", "__cell"), edge, keys, "inner").filter(F.col("__cell") == F.col("__edge"))
+    order = ["__digest", id_column]
+    places = prefix_scan(inside, keys, order, {"__pos": position()})
+    at = F.struct(*order)
+    cut = places.groupBy(*keys).agg(
+        F.max(F.when(F.col("__pos") <= F.col("__need"), at)).alias("__cut"), F.max("__need").alias("__need")
+    )
+    cut = staged(cut, "hash_cuts")
+    # Rows of the id at the cut, and how many of them are still wanted.
+    ties = _beside(inside.select(*keys, id_column, "__digest"), cut, keys, "inner").groupBy(*keys).agg(
+        F.count_if(at < F.col("__cut")).alias("__below"), F.count_if(at == F.col("__cut")).alias("__tied"), F.max("__need").alias("__need")
+    )
+    left = ties.select(*keys, "__tied", (F.col("__need") - F.col("__below")).alias("__left"))
+    cuts = staged(_beside(cut.drop("__need"), left, keys, "inner"), "hash_cuts")
+    flagged = _beside(hashed, cuts, keys, "left")
+    sure = (at < F.col("__cut")) | ((at == F.col("__cut")) & (F.col("__tied") == F.col("__left")))
+    extra = ["__digest", "__cell", "__cut", "__tied", "__left"]
+    if cuts.filter("__tied > __left").isEmpty():
+        return flagged.withColumn(out, F.coalesce(sure, F.lit(False))).drop(*extra)
+    torn = F.coalesce((at == F.col("__cut")) & (F.col("__tied") > F.col("__left")), F.lit(False))
+    rest = flagged.filter(~torn).withColumn(out, F.coalesce(sure, F.lit(False)))
+    some = prefix_scan(flagged.filter(torn), keys, order, {"__pos": position()})
+    some = some.withColumn(out, F.col("__pos") <= F.col("__left")).drop("__pos")
+    return rest.drop(*extra).unionByName(some.drop(*extra))
+
+
+def _beside(rows: DataFrame, table: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Attach a table of one row per group, broadcast where its rows, counted, are few; without keys it has one row."""
+    if not keys:
+        row = table.select(F.struct(*table.columns)).first()
+        found = {} if row is None else row[0].asDict(recursive=False)
+        kinds = {f.name: f.dataType for f in table.schema}
+        if row is None and how == "inner":
+            return rows.limit(0).withColumns({c: F.lit(None).cast(k) for c, k in kinds.items()})
+        return rows.withColumns({c: _literal(found.get(c), k) for c, k in kinds.items()})
+    return lookup_join(rows, F.broadcast(table) if table.count() <= BROADCAST_ROWS else table, keys, KeySkew(list(keys)), how)
+
+
+def _literal(value, kind) -> Column:
+    if isinstance(kind, T.StructType) and value is not None:
+        return F.struct(*[F.lit(value[f.name]).cast(f.dataType).alias(f.name) for f in kind])
+    return F.lit(None if isinstance(kind, T.StructType) else value).cast(kind)
 
 
 def stratified_split(df: DataFrame, label: str, id_column: str, share: float = 0.2, seed: int = 42) -> DataFrame:
     """'val' for the first round(n * share) rows of each label in a seeded order, else 'train'."""
-    ranked = _hash_rank(df, [label], id_column, seed)
-    sizes = df.groupBy(F.col(label).alias("__label")).agg(F.count(F.lit(1)).alias("__size"))
-    joined = ranked.join(F.broadcast(sizes), F.col(label).eqNullSafe(F.col("__label")))
-    return joined.withColumn(
-        "split", F.when(F.col("__pos") <= F.round(F.col("__size") * share), "val").otherwise("train")
-    ).drop("__pos", "__size", "__label")
+    flagged = _first_by_hash(df, [label], id_column, seed, lambda size: F.round(size * share), "__val")
+    return flagged.withColumn("split", F.when(F.col("__val"), "val").otherwise("train")).drop("__val")
 
 
 def exact_sample(df: DataFrame, id_column: str, share: float | None = None, n: int | None = None, seed: int = 42) -> DataFrame:
     """Flag exactly int(rows * share), or n, rows: ``is_sampled``."""
-    ranked = _hash_rank(df, [], id_column, seed)
-    size = F.lit(n) if n is not None else F.floor(df.agg(F.count(F.lit(1))).scalar() * F.lit(share))
-    return ranked.withColumn("is_sampled", F.col("__pos") <= size).drop("__pos")
+    def wanted(size: Column) -> Column:
+        return F.least(F.lit(n), size) if n is not None else F.floor(size * F.lit(share))
+
+    return _first_by_hash(df, [], id_column, seed, wanted, "is_sampled")
 
 
 def walk_forward_folds(n_rows: Column, folds: int, test: int, val: int, spark) -> DataFrame:
