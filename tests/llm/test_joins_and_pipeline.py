@@ -135,6 +135,28 @@ def test_pipeline(spark, data, tmp_path):
     assert sorted(map(tuple, whole.drop("sequence_id").collect())) == sorted(map(tuple, docs.drop("sequence_id").collect()))
 
 
+def test_language_stage_rejects_noise_and_keeps_prose(spark, data):
+    import base64
+    import random
+
+    random.seed(6)
+    noise = []
+    for n in range(40):
+        size = [60, 150, 700, 2500, 8000][n % 5]
+        letters = "".join(random.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(size))
+        noise += [letters, " ".join(letters[k : k + 6] for k in range(0, size, 6)), base64.b64encode(random.randbytes(size)).decode()]
+    folder = data.replace("sf0.001", "sf0.01")
+    prose = spark.read.parquet(f"{folder}/documents.parquet")
+    added = spark.createDataFrame([(10_000_000 + n, t, None, "noise", len(t)) for n, t in enumerate(noise)], prose.schema)
+    kept = corpus_pipeline.language_id(spark, prose.unionByName(added), folder)
+    assert kept.columns == prose.columns
+    ids = {r.doc_id for r in kept.select("doc_id").collect()}
+    assert sum(i >= 10_000_000 for i in ids) <= 0.03 * len(noise)
+    good = spark.read.parquet(f"{folder}/labels.parquet").where("quality = 1").join(prose.where(F.length("text") >= 50), "doc_id")
+    wanted = {r.doc_id for r in good.select("doc_id").collect()}
+    assert len(wanted & ids) >= 0.99 * len(wanted)
+
+
 def test_pipeline_stages_on_odd_rows(spark, data, tmp_path):
     for rows in (helpers.odd_documents(), []):
         docs = helpers.documents(spark, rows)

@@ -77,6 +77,26 @@ def test_token_counts_of_short_documents_after_a_long_one(monkeypatch):
     assert all(sorted(x) == list(range(len(x))) for x in places.values())
 
 
+def test_postings_of_a_word_stay_bounded_as_partitions_grow(monkeypatch):
+    """One word in every document, another in few: a key holds the blocks of GROUP partitions, hot words of fewer."""
+    import pyarrow as pa
+    import pyspark
+
+    monkeypatch.setattr(token_count, "GROUP", 4)
+    texts = pa.array(["all" + " all" * 200 + (" rare" if n == 3 else "") for n in range(10)])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10)), texts], names=["doc_id", "text"])
+    largest = []
+    for partitions in (8, 40):
+        keys = Counter()
+        for part in range(partitions):
+            monkeypatch.setattr(pyspark, "TaskContext", type("T", (), {"get": staticmethod(lambda p=part: type("C", (), {"partitionId": lambda self: p})())}))
+            for b in token_count.postings(BYTE)(iter([batch])):
+                keys.update((w, s) for w, s in zip(b.column("word").to_pylist(), b.column("salt").to_pylist()) if w)
+        largest.append((max(n for (w, _), n in keys.items() if w == " rare"), max(n for (w, _), n in keys.items() if w == " all")))
+        assert sum(n for (w, _), n in keys.items() if w == " all") == partitions
+    assert largest[0] == largest[1] == (4, 4)
+
+
 @pytest.mark.parametrize("path", [BYTE, WORD])
 def test_round_trip(docs, empty, path):
     got = rows_of(bpe_trie.round_trip_digest(docs, path))
@@ -338,6 +358,27 @@ def test_native_plans_hold_no_python(docs):
         assert not any(x in plan for x in ("Python", "Pandas", "InArrow", "BroadcastNestedLoop", "Cartesian"))
 
 
+@pytest.mark.parametrize("n", [2, 5, 20, 200])
+def test_structured_tokens_stay_below_the_cut_in_bands_of_any_size(spark, n):
+    """As many tokens with p = 0 as random ones with even p."""
+    rng = np.random.default_rng(n)
+    even = (np.arange(n) + rng.random(n)) / n
+    rows = [(30, 0.0)] * n + [(30, float(p)) for p in even] + [(100, 0.0)] * n
+    got = secret_scan.cuts(spark.createDataFrame(rows, "n int, p double"))
+    assert 100 // 96 * 96 not in got or got[96] > 0
+    assert 0 < got.get(24, 1.0) and sum(p >= got.get(24, 1.0) for _, p in rows[:n]) == 0
+    if n >= 20:
+        assert got[24] <= 0.2 and sum(p >= got[24] for p in even) >= 0.7 * n
+
+
+def test_cut_of_counts_by_step():
+    """Three at 0 and three above one half: only these are taken."""
+    steps = [3] + [0] * 99
+    steps[60] = steps[75] = steps[99] = 1
+    assert secret_scan.cut_of(steps) == 1 / secret_scan.STEPS
+    assert secret_scan.cut_of([5] + [0] * 99) is None and secret_scan.cut_of([0] * 100) is None
+
+
 def test_randomness_p_values_are_even(spark):
     """Tokens drawn at random give evenly spread p-values, words do not."""
     import random

@@ -12,10 +12,13 @@ The smallest p-value p of the three, corrected for three tries, is near 0 for st
 random ones. Control of false discoveries is by length band, over the distinct tokens of the corpus: twice the number of
 tokens with p > 0.5 estimates how many random ones there are, so among the tokens with p above a cut c the
 share of wrong ones is about 1 - 2 #(p > 0.5) (1 - c) / #(p > c). Each band takes the smallest cut that keeps it
-at or below ``FALSE_SHARE``; a band without one finds nothing. Tokens above the cut are spans of kind ``random``.
+at or below ``FALSE_SHARE``; a band without one finds nothing, and no cut falls to the step that holds p = 0, however few
+tokens there are. Small bands take the stricter of their own cut and that of all bands. Tokens above the cut are spans of
+kind ``random``; tokens of fewer than ``LEAST`` characters are too short for the tests and not judged.
 
-Null text counts as empty: no spans. Each row is scanned alone, so repeated rows give repeated results; repeated
-tokens count once for the cuts.
+Null text counts as empty: no spans. Each row is scanned alone, so repeated rows give repeated results, rows with a
+null doc id too; repeated tokens count once for the cuts. Texts of any length are scanned whole. An empty table gives no
+rows. Other columns are not read; ``redact`` keeps them.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from tidemark.llm import spans
 from tidemark.sources.scratch import staged
 
 LEAST, FALSE_SHARE, STEPS = 16, 0.05, 100
+# Tokens with p above one half that a band needs for an estimate of its own.
+LEAST_BAND = 20
 # Lengths at which bands start.
 BANDS = [16, 24, 32, 48, 96]
 KINDS = ["assign", "access", "hex", "random"]
@@ -106,20 +111,33 @@ def band_of(n: Column) -> Column:
     return band
 
 
+def cut_of(steps: list[int]) -> float | None:
+    """The smallest p, never that of the lowest step, from which at most ``FALSE_SHARE`` of the tokens are estimated to be
+    no random ones; None without any. Random tokens have even p, so as many lie below one half as above it;
+    where the estimate exceeds what lies above a cut it is that number."""
+    random = 2 * sum(steps[STEPS // 2 :])
+    for c in range(1, STEPS):
+        above = sum(steps[c:])
+        if above and 1 - min(random * (1 - c / STEPS), above) / above <= FALSE_SHARE:
+            return c / STEPS
+    return None
+
+
 def cuts(scores: DataFrame) -> dict[int, float]:
-    """Per band the smallest p from which tokens count as random; from one count per band and step of p."""
+    """Per band the cut of its tokens; from one count per band and step of p. Bands with fewer than ``LEAST_BAND`` tokens
+    above one half are too small for an estimate of their own and take the stricter of their cut and that of all bands."""
     step = F.least(F.floor(F.col("p") * STEPS), F.lit(STEPS - 1)).cast("int")
     counts: dict[int, list[int]] = {}
     for r in scores.groupBy(band_of(F.col("n")).alias("band"), step.alias("step")).count().collect():
         counts.setdefault(r["band"], [0] * STEPS)[r["step"]] = r["count"]
+    every = cut_of([sum(c) for c in zip(*counts.values())]) if counts else None
     out = {}
     for band, steps in counts.items():
-        random = 2 * sum(steps[STEPS // 2 :])
-        for c in range(STEPS):
-            above = sum(steps[c:])
-            if above and 1 - random * (1 - c / STEPS) / above <= FALSE_SHARE:
-                out[band] = c / STEPS
-                break
+        cut = cut_of(steps)
+        if cut is not None and sum(steps[STEPS // 2 :]) < LEAST_BAND:
+            cut = None if every is None else max(cut, every)
+        if cut is not None:
+            out[band] = cut
     return out
 
 
