@@ -16,14 +16,18 @@ from pyspark.sql import functions as F
 from tidemark.llm import compression, curve_packing, hyperdim, ngram_join, secret_scan
 from tidemark.sources.scratch import scratch_folder
 
-# Documents below this cosine with every language go.
-LEAST_LANGUAGE_SCORE = 0.05
+# Least cosine with some language by length of the text (characters from, cosine); documents below it go. Between the scores
+# of held-out prose and those of random letters and base64 of the same length; see the README.
+LEAST_LANGUAGE_SCORES = [(0, 0.08), (50, 0.18), (200, 0.2), (1000, 0.25), (3000, 0.3)]
 TOKENIZER = "byte_bpe_50k.json"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = hyperdim.language_id(docs)
-    fine = (F.col("lang_pred") != hyperdim.UND) & (F.col("score") >= LEAST_LANGUAGE_SCORE)
+    least = F.lit(0.0)
+    for length, score in LEAST_LANGUAGE_SCORES:
+        least = F.when(F.length("text") >= length, F.lit(score)).otherwise(least)
+    fine = (F.col("lang_pred") != hyperdim.UND) & (F.col("score") >= least)
     return found.where(fine).select(*docs.columns)
 
 
