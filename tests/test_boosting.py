@@ -101,6 +101,26 @@ def test_absolute_error_and_weights(rows):
     assert {round(r.p, 6) for r in boosting.model_of(only).transform(rows, "p").collect()} == {1.0}
 
 
+def test_folds_grown_together_are_the_folds_alone(rows):
+    """The same trees and losses as one run per fold; a fold that stops early leaves the others growing."""
+    boost = boosting.Boost(depth=3, patience=6, chunk=4, max_iter=60)
+    numbered = rows.withColumn("fold", F.pmod(F.xxhash64("a", "b", "c"), F.lit(3)).cast("int")).cache()
+    own = [F.col("fold") == f for f in range(3)]
+    together = boosting.boosted_folds(numbered, "label", [F.when(~mine, F.col("w")) for mine in own], own, boost)
+    for mine, state in zip(own, together):
+        alone = boosting.boosted(numbered.withColumn("aside", mine), "label", "aside", boost, "w")
+        assert len(state.trees) == len(alone.trees) and state.losses == pytest.approx(alone.losses, abs=1e-9)
+        assert [t.feature for t in state.trees] == [t.feature for t in alone.trees] and state.start == pytest.approx(alone.start)
+    assert len({len(s.trees) for s in together}) > 1
+
+
+def test_fold_training_scores_every_row_by_a_model_that_has_not_seen_it(spark, rows):
+    frame = rows.drop("features").withColumn("kind", F.when(F.col("a") > 0.5, "high").otherwise("low")).withColumn("n", F.monotonically_increasing_id())
+    scored, models = scoring.train_folds(frame, scoring.FeatureRoles(["a", "b", "c"], ["kind"]), "label", ["n"], 3, SMALL.__class__(depth=3, patience=8, chunk=4))
+    assert len(models) == 3 and scored.count() == 900
+    assert all(r.auc > 0.7 for r in ev.roc_auc(scored, "raw_score", "label", ["fold"]).collect())
+
+
 def test_a_sample_per_chunk_still_learns(rows, monkeypatch):
     monkeypatch.setattr(boosting, "SAMPLE_CELLS", 900)
     state = boosting.boosted(rows, "label", "stop", boosting.Boost(depth=3, patience=16, chunk=4))

@@ -252,6 +252,22 @@ def bottom_percentile_train(i):
     )
 
 
+@register(
+    "cv_fold_training", "fold n_rows n_positive first:t last:t has_trees auc_known",
+    f"""WITH {SIDES} SELECT fold, COUNT(*) AS n_rows, SUM(label) AS n_positive, MIN(event_ts) AS first, MAX(event_ts) AS last, 1 AS has_trees, 1 AS auc_known
+        FROM (SELECT label, event_ts, NTILE(3) OVER (ORDER BY event_ts, row_id) AS fold FROM s) GROUP BY fold""",
+)
+def cv_fold_training(i):
+    """Three contiguous folds trained together: rows, positives and span of each, trees of its model, AUC on the rows it has not seen."""
+    roles = scoring.FeatureRoles(["score", "retries"], [], ["segment_code", "partner", "processor"])
+    scored, models = scoring.train_folds(training_rows(i), roles, "label", ["event_ts", "row_id"], 3, BOOST)
+    scored = staged(scored.select("fold", "label", "event_ts", "raw_score"), "fold_scores")
+    auc = ev.roc_auc(scored, "raw_score", "label", ["fold"]).select("fold", F.col("auc").between(0.6, 1).cast("int").alias("auc_known"))
+    trees = F.element_at(F.array(*[F.lit(int(len(m.trees) >= 1)) for m in models]), F.col("fold"))
+    rows = scored.groupBy("fold").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("label").alias("n_positive"), F.min("event_ts").alias("first"), F.max("event_ts").alias("last"))
+    return rows.join(auc, "fold").withColumn("has_trees", trees)
+
+
 def explained_rows(i, pre):
     held = pre.apply(training_rows(i).filter("split IN ('calib', 'random_test')"))
     return held.withColumn("order", F.xxhash64("row_id", F.lit(42)))

@@ -270,6 +270,7 @@ SAMPLE = pa.schema([("id", pa.int64()), ("x", pa.list_(pa.float32())), ("label",
 PLANTED = pa.schema(
     [("no", pa.int32()), ("feature", pa.list_(pa.int32())), ("threshold", pa.list_(pa.float64())), ("left", pa.list_(pa.int32())), ("value", pa.list_(pa.float64()))]
 )
+FOLD_PLANTED = pa.schema([("fold", pa.int32()), *PLANTED])
 
 
 def _output(trees: list[Tree], width: int, step: float):
@@ -305,6 +306,103 @@ def boosted(
     return state
 
 
+def boosted_folds(
+    rows: DataFrame, label: str, weights: list[Column], held: list[Column], boost: Boost, kind: str = LOGISTIC
+) -> list[Grown]:
+    """One ensemble per fold, all grown together: ``weights`` say what a row counts in training in each fold (0 or null:
+    not at all), ``held`` whether it is set aside there.
+
+    The staged table has one row per row with an array of margins, one entry per fold. A chunk reads it once to draw the
+    samples of all folds, which are grown side by side in a task each, and once to add the trees of all folds; one
+    aggregate reads the losses of all folds and tree counts. A fold whose patience has run out takes no further part."""
+    spark, path, folds = rows.sparkSession, scratch_folder(rows.sparkSession, "boosting"), len(weights)
+    slim = rows.select(
+        vector_to_array("features", "float32").alias("x"), F.col(label).cast("double").alias("label"),
+        F.array(*[F.coalesce(w.cast("double"), F.lit(0.0)) for w in weights]).alias("weights"), F.array(*[F.coalesce(h, F.lit(False)) for h in held]).alias("held"),
+    )
+    slim.write.parquet(f"{path}/rows")
+    slim = spark.read.parquet(f"{path}/rows")
+    cells = [F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("width")]
+    for f in range(folds):
+        w = F.col("weights")[f]
+        cells += [F.sum(w * F.col("label")).alias(f"won{f}"), F.sum(w).alias(f"total{f}"), F.count_if(w > 0).alias(f"fit{f}"), F.count_if(F.col("held")[f]).alias(f"held{f}")]
+    found = slim.agg(*cells).first()
+    states = []
+    for f in range(folds):
+        start = float(found[f"won{f}"] / found[f"total{f}"]) if found[f"total{f}"] else 0.0
+        if kind == LOGISTIC:
+            share = min(max(start, 1e-6), 1 - 1e-6)
+            start = math.log(share / (1 - share))
+        states.append(Grown(kind, start, boost.step, found["width"] or 0, (), (), path, found[f"fit{f}"], found[f"held{f}"] > 0))
+    spread = slim.repartition(max(1, -(-found["n"] // TASK_ROWS)))
+    starts = F.array(*[F.lit(s.start) for s in states])
+    spread.withColumns({"margins": starts, "id": F.monotonically_increasing_id()}).write.parquet(f"{path}/margins-0")
+    remove(spark, f"{path}/rows")
+    done, active = 0, list(range(folds))
+    while active and done < boost.max_iter:
+        size = min(boost.chunk, boost.max_iter - done)
+        states = _fold_chunk(states, active, done, size, boost)
+        done += size
+        active = [f for f in active if not (states[f].held and best_count(list(states[f].losses), boost.patience)[1])]
+    remove(spark, path)
+    return [kept(s, best_count(list(s.losses), boost.patience)[0]) if s.held else s for s in states]
+
+
+def _fold_chunk(states: list[Grown], active: list[int], done: int, size: int, boost: Boost) -> list[Grown]:
+    spark, path = SparkSession.active(), states[0].path
+    kind, width, step = states[0].kind, states[0].width, boost.step
+    rows = shipped(spark.read.parquet(f"{path}/margins-{done}"))
+    draws = []
+    for f in active:
+        part = min(1.0, SAMPLE_CELLS / max(1, states[f].n * width))
+        drawn = F.pmod(F.xxhash64("id", F.lit(done // boost.chunk), F.lit(boost.seed)), F.lit(GRAIN)) < int(part * GRAIN)
+        wanted = (F.col("weights")[f] > 0) & drawn
+        draws.append(F.when(wanted, F.struct(F.lit(f).alias("fold"), F.col("weights")[f].alias("weight"), F.col("margins")[f].alias("margin"))))
+    samples = rows.withColumn("d", F.explode(F.array_compact(F.array(*draws)))).select("d.fold", "id", "x", "label", "d.weight", "d.margin")
+
+    def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        for f in pa.compute.unique(table.column("fold")).to_pylist():
+            mine = table.filter(pa.compute.equal(table.column("fold"), f))
+            mine = mine.take(pa.compute.sort_indices(mine, [("id", "ascending")])).combine_chunks()
+            columns = (mine.column(c).to_numpy() for c in ("label", "weight", "margin"))
+            trees = some_trees(matrix(mine.column("x").combine_chunks(), width), *columns, kind, size, boost)
+            yield pa.RecordBatch.from_pylist([{"fold": f, "no": n, **asdict(t)} for n, t in enumerate(trees)], schema=FOLD_PLANTED)
+
+    grown: dict[int, list[Tree]] = {f: [Tree([-1], [0.0], [-1], [0.0])] * size for f in active}
+    for r in samples.repartition(len(active), "fold").mapInArrow(plant, "fold int, " + TREE).collect():
+        grown[r["fold"]] = [*grown[r["fold"]]]
+        grown[r["fold"]][r["no"]] = Tree(*r[2:])
+
+    @F.pandas_udf("array<double>")
+    def output(x: pd.Series, margins: pd.Series) -> pd.Series:
+        wide = np.array(x.tolist(), np.float32).reshape(len(x), width)
+        before = np.array(margins.tolist(), np.float64).reshape(len(x), -1)
+        after = [before[:, f][:, None] + step * np.cumsum([t.output(wide) for t in grown[f]], axis=0).T for f in active]
+        return pd.Series(list(np.concatenate(after, axis=1)))
+
+    place = {f: n * size for n, f in enumerate(active)}
+    rows = rows.withColumn("after", output("x", "margins"))
+    rows = rows.withColumn("margins", F.array(*[F.col("after")[place[f] + size - 1] if f in place else F.col("margins")[f] for f in range(len(states))]))
+    rows = rows.withColumn("after", F.when(F.exists("held", lambda h: h), F.col("after")))
+    rows.select("id", "x", "label", "weights", "held", "margins", "after").write.parquet(f"{path}/margins-{done + size}")
+    remove(spark, f"{path}/margins-{done}")
+    written = spark.read.parquet(f"{path}/margins-{done + size}")
+    cells = [
+        F.avg(F.when(F.col("held")[f], _loss(kind, F.col("after")[place[f] + n], F.col("label")))).alias(f"l{f}_{n}")
+        for f in active if states[f].held for n in range(size)
+    ]
+    losses = written.agg(*cells).first() if cells else {}
+    out = list(states)
+    for f in active:
+        seen = tuple(float(losses[f"l{f}_{n}"]) for n in range(size)) if states[f].held else ()
+        out[f] = replace(states[f], trees=(*states[f].trees, *grown[f]), losses=(*states[f].losses, *seen))
+    return out
+
+
 def kept(state: Grown, count: int) -> Grown:
     """The first ``count`` trees."""
     return replace(state, trees=state.trees[:count], losses=state.losses[:count])

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
@@ -30,7 +31,7 @@ from tidemark.operators.evaluation import (
     roc_auc,
 )
 from tidemark.operators.ordered import exact_quantiles, position, prefix_scan
-from tidemark.operators.splits import exact_sample, fold_roles, hard_example_reweight, linear_recency_weight
+from tidemark.operators.splits import cv_no_shuffle, exact_sample, fold_roles, hard_example_reweight, linear_recency_weight
 from tidemark.plans import boosting, calls
 from tidemark.plans.boosting import CLASSIFY, REGRESS, Boost, BoostedModel
 from tidemark.sources.scratch import checked, staged
@@ -190,6 +191,24 @@ def calibrated(model: IsotonicRegressionModel, df: DataFrame, score: str, out: s
     return model.setFeaturesCol(score).setPredictionCol(out).transform(df)
 
 
+def train_folds(
+    rows: DataFrame, roles: FeatureRoles, label: str, order: list[str], folds: int = 3, boost: Boost = CLASSIFY, weight: str | None = None
+) -> tuple[DataFrame, list[BoostedModel]]:
+    """Contiguous folds in time order (``cv_no_shuffle``): each fold's model learns from the other folds, stops on its own, and
+    scores it. All folds are trained together over one staged table. Gives the out-of-fold scores (``fold``, ``raw_score``
+    beside the rows' columns) and the models. Categories enter as hashed tokens, which no label is needed for."""
+    filled = impute_by_role(rows, roles.numeric, [*roles.categorical, *roles.text])
+    pre = Preprocessor(FeatureRoles(roles.numeric, [], [*roles.categorical, *roles.text]), None, None, 0.0)
+    dealt = staged(cv_no_shuffle(filled, order, folds), "fold_rows")
+    coder = Pipeline(stages=encode(pre)).fit(dealt)
+    share = F.col(weight) if weight else F.lit(1.0)
+    own = [F.col("fold") == f for f in range(1, folds + 1)]
+    grown = boosting.boosted_folds(coder.transform(dealt), label, [F.when(~mine, share) for mine in own], own, boost)
+    models = [boosting.model_of(g, coder) for g in grown]
+    scored = [raw_score(m, dealt.filter(mine)) for m, mine in zip(models, own)]
+    return reduce(DataFrame.unionByName, scored), models
+
+
 @dataclass
 class Scorer:
     """Preprocessing, trees and calibration as one artifact."""
