@@ -262,6 +262,21 @@ def test_licenses(spark, docs, empty):
     assert license_scan.licenses(empty).count() == 0
 
 
+def test_license_base_columns_are_the_plain_ones(spark):
+    """Places of the phrases in odd texts, copies and texts that hold them many times."""
+    rows = [(n, t, "en", "s", 0) for n, (_, t, *_) in enumerate(helpers.odd_documents() + LICENSED)]
+    rows += [(900 + n, t, "en", "s", 0) for n, t in enumerate(["MIT-License! mit  LICENSE apache\nlicense " * 40, "general public general public license", "mit licenses mit\u00a0license", "x " * 50_000 + "apache license"])]
+    got = {r.doc_id: r for r in license_scan.licenses(helpers.documents(spark, rows).repartition(3)).collect()}
+    for i, t, *_ in rows:
+        words, found = helpers.license_words(t or ""), []
+        for phrase, label in license_scan.PHRASES.items():
+            parts = phrase.split()
+            found += [(k, label) for k in range(len(words) - len(parts) + 1) if words[k : k + len(parts)] == parts]
+        r, starts = got[i], [k for k, _ in found]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(words), len(found), min(starts, default=None), max(starts, default=None))
+        assert r.base_labels == ",".join(sorted({label for _, label in found})) and set(filter(None, r.base_labels.split(","))) <= set(filter(None, r.labels.split(",")))
+
+
 def test_reworded_licenses(spark):
     """One changed inner word of any template of more than K + K words, and a page header inside one."""
     rows, want = [], {}
@@ -379,6 +394,63 @@ def test_cut_of_counts_by_step():
     assert secret_scan.cut_of([5] + [0] * 99) is None and secret_scan.cut_of([0] * 100) is None
 
 
+def test_no_python_in_any_staged_step(spark, monkeypatch):
+    """Also the plans that intermediate tables are written from."""
+    plans, docs = [], helpers.documents(spark, personal_rows() + helpers.odd_documents()[:12])
+    for module in (pii, secret_scan):
+        plain = module.staged
+        monkeypatch.setattr(module, "staged", lambda df, name, plain=plain: plans.append(df) or plain(df, name))
+        plans.append(module.digest(docs))
+    text = "".join(df._jdf.queryExecution().executedPlan().toString() for df in plans)
+    assert len(plans) >= 7 and not any(word in text for word in ("Python", "Pandas", "Arrow"))
+
+
+def test_languages_are_those_of_plain_vectors(spark, data):
+    """Predictions and scores from letter vectors, one triple after the other."""
+    rows = spark.read.parquet(f"{data}/documents.parquet").where(F.length("text") < 1500).select("doc_id", "text", "lang").limit(90).cache()
+
+    def vector(text):
+        letters = [" "]
+        for c in text.lower() + " ":
+            c = c if c.isalpha() else " "
+            letters += [c] if c != " " or letters[-1] != " " else []
+        out = np.zeros(hyperdim.DIM)
+        for a, b, c in zip(letters, letters[1:], letters[2:]):
+            va, vb, vc = (hyperdim.letter(ord(x), hyperdim.DIM).astype(float) for x in (a, b, c))
+            out += np.roll(va, 2) * np.roll(vb, 1) * vc
+        return out
+
+    table = rows.collect()
+    vectors, sums = {r.doc_id: vector(r.text) for r in table}, {}
+    for r in table:
+        if r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 5:
+            sums[r.lang] = sums.get(r.lang, 0) + vectors[r.doc_id] / np.linalg.norm(vectors[r.doc_id])
+    for r in hyperdim.language_id(rows).collect():
+        v = vectors[r.doc_id]
+        cosine = {name: float(v @ p / np.linalg.norm(v) / np.linalg.norm(p)) for name, p in sums.items()}
+        best = max(sorted(cosine), key=cosine.get)
+        assert r.lang_pred == best and r.score == pytest.approx(max(0.0, cosine[best]), abs=1e-6)
+
+
+def test_quality_verdicts_are_the_plain_ones(docs):
+    """Base rule, ratio of the whole and share of bad chunks, recomputed."""
+    import zstandard
+
+    def fits(raw):
+        low, high = [b[1:] for b in compression.BANDS if b[0] <= len(raw)][-1]
+        return low <= len(zstandard.ZstdCompressor(level=3).compress(raw)) / len(raw) <= high
+
+    got = {r.doc_id: r for r in compression.quality(docs).collect()}
+    for i, t, *_ in helpers.odd_documents():
+        if i is None:
+            continue
+        raw, r = (t or "").encode(), got[i]
+        chunks = [raw[k : k + 8192] for k in range(0, len(raw), 8192)] if len(raw) > 8192 else []
+        judged = [c for c in chunks if len(c) >= 2048]
+        fine = not raw or fits(raw) and sum(not fits(c) for c in judged) <= 0.25 * len(judged)
+        assert r.kept == (not r.base_failed and fine)
+
+
 def test_randomness_p_values_are_even(spark):
     """Tokens drawn at random give evenly spread p-values, words do not."""
     import random

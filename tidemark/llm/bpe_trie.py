@@ -6,8 +6,8 @@ follow the last token of the node where that entry starts; two neighbours are al
 text gives the same two tokens back. A word's encoding is read off by stepping back from its end.
 So the encoding of a shared prefix is found once, whatever number of words continues it.
 
-Null text counts as empty: no tokens, empty decoding. Repeated rows give repeated results. Other columns
-are kept; the columns added are listed with each function, and a clashing input column is replaced.
+Null text counts as empty: no tokens, empty decoding. Repeated rows give repeated results. A very long text is encoded
+whole, alone in its slice; an empty table gives no rows. Other columns are kept; the columns added are listed with each function, and a clashing input column is replaced.
 """
 
 from __future__ import annotations
@@ -37,6 +37,8 @@ UNSTABLE = re.compile(f"[^{STABLE}]")
 END = 0x400
 # Distinct words whose encodings a task remembers from slice to slice.
 KEPT_WORDS = 200_000
+# Pairs of neighbours and reached texts that a task remembers.
+KEPT_STEPS = 2_000_000
 
 
 def byte_alphabet() -> list[str]:
@@ -199,6 +201,8 @@ class TrieEncoder:
         """Encode the words not yet known, all through one walk."""
         if not self.known or len(self.known) > KEPT_WORDS:
             self.known = {s: np.array([i], np.uint32) for s, i in self.special.items()}
+        if len(self.allowed) + len(self.follow) > KEPT_STEPS:
+            self.allowed, self.follow, self.ends = {}, {}, {}
         new = {self.word_symbols(w): w for w in words if w not in self.known}
         order = sorted(new)
         for symbols, ids in zip(order, self.encode_sorted(order)):

@@ -8,7 +8,8 @@ not judged). The base rules come first: fewer than 50 words, or more than half o
 three-word windows.
 
 Null text holds no words and fails by the base rules, as empty text does. Every row is judged alone, so repeated
-rows get repeated results. Work is one pass over the documents without a shuffle.
+rows get repeated results; a very long text is judged whole. An empty table gives no rows. Work is one pass over the
+documents without a shuffle.
 """
 
 from __future__ import annotations

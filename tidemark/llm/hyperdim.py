@@ -8,7 +8,8 @@ answer and the cosine, not below 0, the score. Ties go to the language that sort
 
 Letters are the alphabetic characters in lower case, anything else is one space. Text without a letter, and null,
 gets ``und`` with score 0. Training rows without a language are left out; without any training row every
-document gets ``und``. Each row is predicted alone, so repeated rows get repeated results.
+document gets ``und``. Each row is predicted alone, so repeated rows get repeated results; a very long text counts whole.
+An empty table gives no rows.
 
 Training is one pass that leaves one vector per task and language; prediction is one pass without a shuffle.
 What reaches the driver is one vector per language.

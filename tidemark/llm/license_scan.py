@@ -10,7 +10,7 @@ stays, and a span inside a longer one of another label stays if it meets more wo
 
 Words are runs of characters that are neither ASCII symbols nor space, with A-Z lower-cased. Null text has no words.
 Rows are known by doc id and text digest, so repeated rows get the same result each; a null doc id is a value like
-any other. Other columns play no part.
+any other. Other columns play no part. Texts of any length are searched whole; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ Pairs of one cluster are all verified, whether they share a band or not.
 
 Words are runs of letters, digits and underscores in lower case. A text of one to four words has one gram, the
 whole; signs without a word count as one word; an empty text (or null) has no link and is its own class. Rows without a doc id take no part: class id null, no
-links. Repeated rows are copies. Other columns are not read.
+links. Repeated rows are copies. Other columns are not read. A very long text is one set like any other; an empty table gives
+no rows.
 """
 
 from __future__ import annotations

@@ -12,7 +12,9 @@ but inside base spans. ``sanitise`` replaces spans by their kind (generalises) o
 removes them.
 
 Terms are words of four letters or more in lower case. Every row counts as a document, repeated rows too. Null text
-counts as empty: no spans. An entity of all documents discloses nothing.
+counts as empty: no spans. An entity of all documents discloses nothing. Texts of any length are searched whole. Rows with a
+null doc id are documents like others. An empty table gives no rows. ``digest`` reads doc_id and text only; ``sanitise``
+keeps all other columns and replaces one named ``sanitised``.
 """
 
 from __future__ import annotations

@@ -17,6 +17,7 @@ Vectors that are null, all zero, of another length than most (the smaller of equ
 a null or non-finite component take no part, neither do rows without an id. Rows sharing an id are candidates each,
 except for queries of that id; a repeated query id is searched once, with its smallest vector. Ties go to the
 smaller id. With fewer than k candidates all are returned; an empty table gives no rows.
+Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
