@@ -341,10 +341,12 @@ def attribution_exactness(i):
 
 @register(
     "daily_forecast", "date:D is_known",
-    "SELECT CAST((SELECT MAX(call_date) FROM v_daily_call) AS DATE) + CAST(n AS INT) AS date, 1 AS is_known FROM range(1, 15) t(n)",
+    f"""SELECT date, 1 AS is_known FROM {daily_sql(14, ahead=14)} WHERE date > (SELECT MAX(call_date) FROM v_daily_call)
+          AND rolling_avg_calls_7d IS NOT NULL AND dow_historical_ratio_14d IS NOT NULL""",
 )
 def daily_forecast(i):
-    """One prediction, not below 0, for each of the next 14 days."""
+    """One prediction, not below 0, for each of the next 14 days whose anchor and weekday ratio are known; missing inputs are
+    left out before any are filled, here and in training."""
     future = scoring.daily_forecast(i.daily_call, i.order_item, boost=CALL_BOOST).future
     return future.select("date", (F.col("predicted_calls") >= 0).cast("int").alias("is_known"))
 
