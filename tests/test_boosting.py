@@ -142,6 +142,50 @@ def test_odd_tables(spark, rows, tmp_path):
     assert again == model
 
 
+def test_equal_rows_are_grown_as_one(spark, rows):
+    """Copies are one staged row: the trees are those of rows that weigh as much, the losses those of all copies."""
+    thrice = rows.unionByName(rows).unionByName(rows)
+    once = boosting.started(rows.withColumn("heavy", F.col("w") * 3), "label", "stop", "heavy")
+    copies = boosting.started(thrice, "label", "stop", "w")
+    kept = rows.select("a", "b", "c", "label", "stop").distinct().where("not stop").count()
+    assert copies.n == once.n == kept and copies.start == pytest.approx(once.start)
+    once, copies = (boosting.grow(s, 6, SMALL) for s in (once, copies))
+    assert [t.feature for t in copies.trees] == [t.feature for t in once.trees] and copies.losses == pytest.approx(once.losses)
+    assert not boosting.best_count(list(copies.losses), 50)[1]
+
+
+def test_few_passes_for_many_trees():
+    """The number of passes grows with the logarithm of the trees; chunks end at multiples of their length."""
+    boost, done, passes = boosting.Boost(), 0, 0
+    while done < 2000:
+        length = boosting.chunk_length(done, boost)
+        assert done % length == 0 and length >= boost.chunk and (done == 0 or length <= max(boost.chunk, done // 4))
+        done, passes = done + length, passes + 1
+    assert passes <= 40
+
+
+def test_features_that_share_a_code_keep_their_sums():
+    rng = np.random.default_rng(9)
+    x = np.stack([rng.random(20000), *(rng.integers(0, n, 20000) for n in (2, 3, 1, 8, 2))], axis=1).astype(np.float32)
+    cells, edges = boosting.binned(x)
+    packs, g = boosting.Packs(cells, edges), rng.normal(size=20000)
+    assert len(packs.codes) < 5
+    rows, slot = np.arange(1, 20000, 2), np.arange(10000) % 3
+    (sums,) = packs.sums(rows, slot, 3, (g,))
+    for f, start in packs.places.items():
+        for node in range(3):
+            mine = rows[slot == node]
+            want = np.bincount(cells[mine, f], g[mine], len(edges[f]) + 1)
+            assert sums[node, start : start + len(want)] == pytest.approx(want)
+
+
+def test_bins_count_rows_not_distinct_values():
+    x, number = np.arange(200, dtype=np.float32)[:, None], np.where(np.arange(200) < 10, 500, 1)
+    cells, edges = boosting.binned(x, number)
+    plain, whole = boosting.binned(np.repeat(x, number, axis=0))
+    assert (edges[0] == whole[0]).all() and (np.repeat(cells, number, axis=0) == plain).all()
+
+
 # --------------------------------------------------------------------------- label means
 
 

@@ -1,12 +1,16 @@
 """Boosting that goes on from where it stopped: trees are added to a stored ensemble, none is ever fitted again.
 
-The rows are a staged table of features, label, weight and a ``margin``, the sum of the trees grown so far. A chunk of
-``chunk`` trees takes two passes whatever their depth. The first draws a sample of at most ``SAMPLE_CELLS`` feature values (all
-rows, while they fit), another one for every chunk, and grows the trees in one task, each on the slopes of the loss at the
-margins left by the one before, with second-order leaf values (sum of slopes over sum of curvatures). The second adds the
-trees' output to the margin of every row, and writes the margins after each of these trees for the rows set aside, from which
-one aggregate reads the losses of all these tree counts. The table it writes is all that the next chunk needs; the table
-before it is deleted. So lineage never grows beyond a chunk, and a lost executor costs its tasks.
+The rows are a staged table of features, label, weight and a ``margin``, the sum of the trees grown so far. Rows of the same
+features and label, which no tree can tell apart, are one row with their weights added up and their number. A chunk of trees
+(``chunk``, more once many are there) takes two passes whatever their depth. The first draws a sample of at most
+``SAMPLE_CELLS`` feature values (all rows, while they fit), another one for every chunk, and grows the trees in one task, each on
+the slopes of the loss at the margins left by the one before, with second-order leaf values (sum of slopes over sum of
+curvatures). The second adds the trees' output to the margin of every row, and the losses after each of these trees are summed
+over the rows set aside. The table it writes is all that the next chunk needs; the table before it is deleted. So lineage never
+grows beyond a chunk, and a lost executor costs its tasks.
+
+Inside the growing task features of few bins share one code, so a level takes one sum per code instead of one per feature;
+only the smaller child of a split is summed, the other one is what is left of its parent.
 
 ``grow`` takes the state and gives a longer one: 32 trees grown to 64 and 128 are the trees of one run of 128.
 Without rows set aside nothing can end the growth early: all trees asked for are grown.
@@ -21,7 +25,6 @@ from collections.abc import Iterator
 from dataclasses import asdict, dataclass, replace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
@@ -37,7 +40,13 @@ LOGISTIC, ABSOLUTE = "logistic", "absolute"
 SAMPLE_CELLS = 1 << 23
 TASK_ROWS = 100_000
 BINS = 64
+# Combinations of bins that features sharing a code may have.
+PACKED = 2048
 UNWATCHED = 8
+# Gains whose difference is smaller, as a share of them, are ties.
+SAME = 1e-11
+# Rows that a scoring task remembers the value of.
+KNOWN = 1 << 17
 GRAIN = 1 << 30
 
 
@@ -82,15 +91,36 @@ class Tree:
     left: list[int]
     value: list[float]
 
+    def levels(self) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+        """Features and thresholds level by level, the tree filled up to its depth, and the values below; a leaf higher up
+        stands for all that is below it."""
+        level, layers = [0], []
+        while any(self.feature[n] >= 0 for n in level):
+            inner = [self.feature[n] >= 0 for n in level]
+            asked = np.array([self.feature[n] if i else 0 for n, i in zip(level, inner)])
+            wide = np.array([self.threshold[n] if i else np.inf for n, i in zip(level, inner)])
+            slim = wide.astype(np.float32)
+            layers.append((asked, slim if (slim == wide).all() else wide))
+            level = [c for n, i in zip(level, inner) for c in ((self.left[n], self.left[n] + 1) if i else (n, n))]
+        return layers, np.array([self.value[n] for n in level])
+
     def output(self, x: np.ndarray) -> np.ndarray:
-        feature, threshold, left = (np.array(c) for c in (self.feature, self.threshold, self.left))
-        node, rows = np.zeros(len(x), np.int64), np.arange(len(x))
-        while True:
-            asked = feature[node]
-            inner = asked >= 0
-            if not inner.any():
-                return np.array(self.value)[node]
-            node = np.where(inner, left[node] + (x[rows, np.maximum(asked, 0)] >= threshold[node]), node)
+        return next(outputs([self.levels()], x))
+
+
+def outputs(levels: list, x: np.ndarray) -> Iterator[np.ndarray]:
+    """Output of every tree, given by its ``levels``, on the rows of ``x``."""
+    flat, start = np.ascontiguousarray(x).ravel(), np.arange(len(x)) * x.shape[1]
+    for layers, value in levels:
+        node = np.zeros(len(x), np.int64)
+        for asked, threshold in layers:
+            if len(asked) == 1:
+                node += flat.take(start + asked[0]) >= threshold[0]
+            else:
+                right = flat.take(asked.take(node) + start) >= threshold.take(node)
+                node += node
+                node += right
+        yield value.take(node)
 
 
 TREE = "no int, feature array<int>, threshold array<double>, left array<int>, value array<double>"
@@ -104,75 +134,150 @@ def slopes(kind: str, margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np
     return y - p, p * (1 - p)
 
 
-def binned(x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Bin of every value, and each feature's distinct inner edges."""
+def binned(x: np.ndarray, number: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Bin of every value, and each feature's distinct inner edges: all values, or quantiles of the rows counted ``number`` times."""
     cells, edges = np.empty(x.shape, np.uint8), []
     for f in range(x.shape[1]):
-        found = np.unique(x[:, f])
+        found, place = np.unique(x[:, f], return_inverse=True)
         if len(found) > BINS:
-            found = np.unique(np.quantile(x[:, f], np.arange(1, BINS) / BINS, method="higher"))
+            upto = np.cumsum(np.bincount(place, number, len(found)))
+            ranks = np.ceil(np.arange(1, BINS) / BINS * (upto[-1] - 1))
+            found = np.unique(found[np.searchsorted(upto, ranks, side="right")])
         edges.append(found[found > x[:, f].min()])
         cells[:, f] = np.searchsorted(edges[f], x[:, f], side="right")
     return cells, edges
 
 
-def one_tree(cells: np.ndarray, edges: list[np.ndarray], g: np.ndarray, h: np.ndarray, depth: int, ridge: float) -> tuple[Tree, np.ndarray]:
-    """Level by level the best split of every node, from sums per node, feature and bin; and each row's output."""
+class Packs:
+    """The cells as codes: features that have few combinations of bins share one.
+
+    Sums per node stand in one row per node, the features with equally many bins side by side."""
+
+    def __init__(self, cells: np.ndarray, edges: list[np.ndarray]):
+        self.columns = np.ascontiguousarray(cells.T)
+        widths = {f: len(inner) + 1 for f, inner in enumerate(edges) if len(inner)}
+        # Few rows don't pay for many combinations.
+        limit = min(PACKED, max(BINS, len(cells) // 64))
+        self.blocks, self.places, self.width = [], {}, 0
+        for wide in sorted(set(widths.values())):
+            members = [f for f in widths if widths[f] == wide]
+            self.blocks.append((wide, self.width, np.array(members)))
+            for f in members:
+                self.places[f] = self.width
+                self.width += wide
+        groups: list[list[int]] = []
+        for f in sorted(widths, key=lambda f: -widths[f]):
+            fits = (p for p in groups if math.prod(widths[q] for q in p) * widths[f] <= limit)
+            room = next(fits, None)
+            if room is None:
+                groups.append([f])
+            else:
+                room.append(f)
+        self.codes = []
+        for members in groups:
+            code = np.zeros(len(cells), np.uint16)
+            for f in members:
+                code = code * np.uint16(widths[f]) + self.columns[f]
+            self.codes.append((code, members, tuple(widths[f] for f in members)))
+
+    def sums(self, rows: np.ndarray | None, slot: np.ndarray | None, count: int, parts: tuple[np.ndarray, ...]) -> list[np.ndarray]:
+        """Sums of ``parts`` per slot, feature and bin, over the given rows or all."""
+        out = [np.empty((count, self.width)) for _ in parts]
+        picked = parts if rows is None else tuple(p.take(rows) for p in parts)
+        for code, members, widths in self.codes:
+            size = math.prod(widths)
+            place = code if rows is None else code.take(rows) + slot * size
+            for sums, part in zip(out, picked):
+                joint = np.bincount(place, part, count * size).reshape(count, *widths)
+                for n, f in enumerate(members):
+                    others = tuple(m + 1 for m in range(len(members)) if m != n)
+                    sums[:, self.places[f] : self.places[f] + widths[n]] = joint.sum(axis=others) if others else joint
+        return out
+
+
+def best_splits(packs: Packs, sums: list[np.ndarray], whole_g: np.ndarray, whole_h: np.ndarray, ridge: float, least: float) -> tuple:
+    """Of every node the feature (-1: none) and bin of its best split, and the sums of the lower side."""
+    nodes = np.arange(len(whole_g))
+    best, ask, cut = np.full(len(nodes), 1e-9), np.full(len(nodes), len(packs.columns)), np.zeros(len(nodes), np.int64)
+    best_g, best_h = np.zeros(len(nodes)), np.zeros(len(nodes))
+    plain = (whole_g**2 / (whole_h + ridge))[:, None, None]
+    for wide, start, members in packs.blocks:
+        low_g, low_h = (s[:, start : start + wide * len(members)].reshape(len(nodes), -1, wide).cumsum(axis=2)[:, :, :-1] for s in sums)
+        high_g, high_h = whole_g[:, None, None] - low_g, whole_h[:, None, None] - low_h
+        empty = (low_h <= least) | (high_h <= least)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = low_g**2 / (low_h + ridge) + high_g**2 / (high_h + ridge) - plain
+        gain[empty] = -1.0
+        gain = gain.reshape(len(nodes), -1)
+        # Equal but for rounding: the first bin of the first feature.
+        near = SAME * (plain.ravel() + np.maximum(gain.max(axis=1), 0.0))
+        k = (gain >= (gain.max(axis=1) - near)[:, None]).argmax(axis=1)
+        found, f = gain[nodes, k], members[k // (wide - 1)]
+        better = (found > best + near) | ((found > best - near) & (f < ask) & (found > 1e-9))
+        for kept_, new in ((best, found), (ask, f), (cut, k % (wide - 1)), (best_g, low_g.reshape(len(nodes), -1)[nodes, k]), (best_h, low_h.reshape(len(nodes), -1)[nodes, k])):
+            kept_[better] = new[better]
+    ask[ask == len(packs.columns)] = -1
+    return ask, cut, best_g, best_h
+
+
+def one_tree(
+    cells: np.ndarray, edges: list[np.ndarray], g: np.ndarray, h: np.ndarray, depth: int, ridge: float, packs: Packs | None = None
+) -> tuple[Tree, np.ndarray]:
+    """Level by level the best split of every node, from sums per node, feature and bin; and each row's output.
+
+    The rows stand in one order, those of a node side by side."""
+    packs = packs or Packs(cells, edges)
     feature, threshold, left, value = [-1], [0.0], [-1], [0.0]
-    node = np.zeros(len(g), np.int64)
-    level = [0]  # nodes that may be split
-    for deep in range(depth + 1):
-        number = np.full(len(feature), -1)
-        number[level] = np.arange(len(level))
-        at = number[node]
-        here = at >= 0
-        slot, gh, hh = at[here], g[here], h[here]
-        whole_g, whole_h = (np.bincount(slot, s, len(level)) for s in (gh, hh))
-        for k, n in enumerate(level):
-            value[n] = float(whole_g[k] / (whole_h[k] + ridge))
-        if deep == depth:
-            break
-        best, ask, cut = np.full(len(level), 1e-9), np.full(len(level), -1), np.zeros(len(level), np.int64)
-        plain = whole_g**2 / (whole_h + ridge)
-        for f, inner in enumerate(edges):
-            if not len(inner):
-                continue
-            width = len(inner) + 1
-            place = slot * width + cells[here, f]
-            low_g, low_h = (np.bincount(place, s, len(level) * width).reshape(-1, width).cumsum(axis=1)[:, :-1] for s in (gh, hh))
-            high_g, high_h = whole_g[:, None] - low_g, whole_h[:, None] - low_h
-            gain = low_g**2 / (low_h + ridge) + high_g**2 / (high_h + ridge) - plain[:, None]
-            gain[(low_h <= 1e-9) | (high_h <= 1e-9)] = -1.0
-            k = gain.argmax(axis=1)
-            found = gain[np.arange(len(level)), k]
-            better = found > best
-            best, ask, cut = np.where(better, found, best), np.where(better, f, ask), np.where(better, k, cut)
+    order, spans, level = np.arange(len(g)), [(0, len(g))], [0]  # level: nodes that may be split
+    whole_g, whole_h = np.array([g.sum()]), np.array([h.sum()])
+    least = 1e-9 + 1e-13 * float(whole_h[0])  # what is left of a difference of sums counts as nothing
+    value[0] = float(whole_g[0] / (whole_h[0] + ridge))
+    sums = packs.sums(None, None, 1, (g, h))
+    for deep in range(depth):
+        ask, cut, low_g, low_h = best_splits(packs, sums, whole_g, whole_h, ridge, least)
         split = np.flatnonzero(ask >= 0)
         if not len(split):
             break
-        children = []
+        children, smaller = [], []
         for k in split.tolist():
-            n, f = level[k], int(ask[k])
+            n, f, (a, b) = level[k], int(ask[k]), spans[level[k]]
             feature[n], threshold[n], left[n] = f, float(edges[f][cut[k]]), len(feature)
-            children += [len(feature), len(feature) + 1]
-            for column, empty in ((feature, -1), (threshold, 0.0), (left, -1), (value, 0.0)):
-                column += [empty, empty]
-        asked = np.array(feature)[node]
-        moved = here & (asked >= 0)
-        rows = np.flatnonzero(moved)
-        slot = at[rows]
-        node[rows] = np.array(left)[node[rows]] + (cells[rows, ask[slot]] > cut[slot])
+            mine = order[a:b]
+            above = packs.columns[f].take(mine) > cut[k]
+            high = mine[above]
+            middle = b - len(high)
+            order[a:middle], order[middle:b] = mine[~above], high
+            smaller.append(int(middle - a > b - middle))
+            for span, child_g, child_h in (((a, middle), low_g[k], low_h[k]), ((middle, b), whole_g[k] - low_g[k], whole_h[k] - low_h[k])):
+                children.append(len(feature))
+                feature.append(-1), threshold.append(0.0), left.append(-1), spans.append(span)
+                value.append(float(child_g / (child_h + ridge)))
+        whole_g, whole_h = (np.stack([low[split], whole[split] - low[split]], axis=1).ravel() for low, whole in ((low_g, whole_g), (low_h, whole_h)))
         level = children
-    tree = Tree(feature, threshold, left, value)
-    return tree, np.array(value)[node]
-
-
-def some_trees(x: np.ndarray, y: np.ndarray, weight: np.ndarray, margin: np.ndarray, kind: str, size: int, boost: Boost) -> list[Tree]:
-    cells, edges = binned(x)
-    margin, trees = margin.copy(), []
+        if deep + 1 < depth:
+            few = [spans[children[2 * n + s]] for n, s in enumerate(smaller)]
+            rows = np.concatenate([order[a:b] for a, b in few])
+            own = packs.sums(rows, np.repeat(np.arange(len(few)), [b - a for a, b in few]), len(few), (g, h))
+            side = 2 * np.arange(len(few)) + np.array(smaller)
+            for n, part in enumerate(own):
+                both = np.empty((len(children), packs.width))
+                both[side], both[side ^ 1] = part, sums[n][split] - part
+                sums[n] = both
+    out = np.empty(len(g))
+    for n, (a, b) in enumerate(spans):
+        if feature[n] < 0:
+            out[order[a:b]] = value[n]
+    return Tree(feature, threshold, left, value), out
+
+
+def some_trees(
+    x: np.ndarray, y: np.ndarray, weight: np.ndarray, margin: np.ndarray, kind: str, size: int, boost: Boost, number: np.ndarray | None = None
+) -> list[Tree]:
+    cells, edges = binned(x, number)
+    packs, margin, trees = Packs(cells, edges), margin.copy(), []
     for _ in range(size):
         g, h = slopes(kind, margin, y)
-        tree, out = one_tree(cells, edges, weight * g, weight * h, boost.depth, boost.ridge)
+        tree, out = one_tree(cells, edges, weight * g, weight * h, boost.depth, boost.ridge, packs)
         margin += boost.step * out
         trees.append(tree)
     return trees
@@ -180,6 +285,8 @@ def some_trees(x: np.ndarray, y: np.ndarray, weight: np.ndarray, margin: np.ndar
 
 def matrix(column: pa.Array, width: int) -> np.ndarray:
     """Rows of equally long lists as a matrix."""
+    if not width:
+        return np.zeros((len(column), 0), np.float32)
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
 
 
@@ -209,6 +316,7 @@ def started(rows: DataFrame, label: str, stop: str | None = None, weight: str |
         vector_to_array("features", "float32").alias("x"), F.col(label).cast("double").alias("label"),
         (F.col(stop) if stop is not None else F.lit(False)).alias("held"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("weight"),
     )
+    slim = slim.groupBy("x", "label", "held").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("n"))
     slim.write.parquet(f"{path}/rows")
     slim = spark.read.parquet(f"{path}/rows")
     fit = ~F.col("held")
@@ -220,16 +328,26 @@ def started(rows: DataFrame, label: str, stop: str | None = None, weight: str |
         share = min(max(start, 1e-6), 1 - 1e-6)
         start = math.log(share / (1 - share))
     spread = slim.repartition(max(1, -(-(n + aside) // TASK_ROWS)))
-    spread.withColumns({"margin": F.lit(start), "id": F.monotonically_increasing_id()}).write.parquet(f"{path}/margins-0")
+    spread.withColumns({"margin": F.lit(start), "id": F.xxhash64("x", "label")}).write.parquet(f"{path}/margins-0")
     remove(spark, f"{path}/rows")
     return Grown(kind, start, 0.0, width or 0, (), (), path, n, aside > 0)
 
 
+def chunk_length(done: int, boost: Boost) -> int:
+    """Trees between two passes: ``boost.chunk``, and twice as many whenever the trees grown have doubled, from eight chunks on."""
+    length = boost.chunk
+    while done >= 8 * length:
+        length *= 2
+    return length
+
+
 def grow(state: Grown, trees: int, boost: Boost) -> Grown:
-    """``trees`` more trees, in chunks that end at multiples of ``boost.chunk``; of ``UNWATCHED`` times that where no rows
-    are set aside, so no losses have to be read in between."""
-    length = boost.chunk if state.held else boost.chunk * UNWATCHED
+    """``trees`` more trees, in chunks that end at multiples of ``chunk_length``; of at least ``UNWATCHED`` times ``boost.chunk``
+    where no rows are set aside, so no losses have to be read in between."""
     while trees > 0:
+        length = chunk_length(len(state.trees), boost)
+        if not state.held:
+            length = max(length, boost.chunk * UNWATCHED)
         size = min(trees, length - len(state.trees) % length)
         state, trees = _chunk(state, size, boost), trees - size
     return state
@@ -237,7 +355,7 @@ def grow(state: Grown, trees: int, boost: Boost) -> Grown:
 
 def _chunk(state: Grown, size: int, boost: Boost) -> Grown:
     spark, done = SparkSession.active(), len(state.trees)
-    rows = shipped(spark.read.parquet(f"{state.path}/margins-{done}"))
+    rows = shipped(spark.read.schema(MARGINS).parquet(f"{state.path}/margins-{done}"))
     kind, width, step = state.kind, state.width, boost.step
     part = min(1.0, SAMPLE_CELLS / max(1, state.n * width))
     drawn = F.pmod(F.xxhash64("id", F.lit(done // boost.chunk), F.lit(boost.seed)), F.lit(GRAIN)) < int(part * GRAIN)
@@ -245,50 +363,64 @@ def _chunk(state: Grown, size: int, boost: Boost) -> Grown:
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches), schema=SAMPLE)
         table = table.take(pa.compute.sort_indices(table, [("id", "ascending")])).combine_chunks()
-        columns = (table.column(c).to_numpy() for c in ("label", "weight", "margin"))
+        y, weight, margin, number = (table.column(c).to_numpy() for c in ("label", "weight", "margin", "n"))
         x = matrix(table.column("x").combine_chunks(), width) if len(table) else np.zeros((0, width), np.float32)
-        trees = some_trees(x, *columns, kind, size, boost) if len(table) else []
+        trees = some_trees(x, y, weight, margin, kind, size, boost, number) if len(table) else []
         yield pa.RecordBatch.from_pylist([{"no": n, **asdict(t)} for n, t in enumerate(trees)], schema=PLANTED)
 
-    sample = rows.where(~F.col("held") & drawn).select("id", "x", "label", "weight", "margin").repartition(1)
+    sample = rows.where(~F.col("held") & drawn).select("id", "x", "label", "weight", "margin", "n").repartition(1)
     found = sorted(sample.mapInArrow(plant, TREE).collect(), key=lambda r: r["no"])
     trees = [Tree(*r[1:]) for r in found] or [Tree([-1], [0.0], [-1], [0.0])] * size
-
-    after = _output(trees, width, step)(F.col("x"), F.col("margin"))
-    grown = rows.withColumn("after", after).withColumn("margin", F.col("after")[size - 1])
-    grown = grown.withColumn("after", F.when(F.col("held"), F.col("after")))
-    grown.select("id", "x", "label", "held", "weight", "margin", "after").write.parquet(f"{state.path}/margins-{done + size}")
-    remove(spark, f"{state.path}/margins-{done}")
+    levels = [t.levels() for t in trees]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            margin = batch.column("margin").to_numpy().copy()
+            for out in outputs(levels, matrix(batch.column("x"), width)):
+                margin += step * out
+            yield batch.set_column(batch.schema.get_field_index("margin"), "margin", pa.array(margin))
+
+    def lose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lost, seen = np.zeros(size), 0
+        for batch in batches:
+            y, number, margin = (batch.column(c).to_numpy() for c in ("label", "n", "margin"))
+            lost += losses_after(levels, matrix(batch.column("x"), width), y, number, margin, kind, step)
+            seen += int(number.sum())
+        yield pa.RecordBatch.from_pydict({"no": np.arange(size, dtype=np.int32), "lost": lost, "n": np.full(size, seen)})
+
+    rows.mapInArrow(add, rows.schema).write.parquet(f"{state.path}/margins-{done + size}")
     losses = ()
     if state.held:
-        written = spark.read.parquet(f"{state.path}/margins-{done + size}").where("held")
-        losses = tuple(map(float, written.agg(*[F.avg(_loss(kind, F.col("after")[n], F.col("label"))) for n in range(size)]).first()))
+        aside = rows.where("held")
+        lost = aside.mapInArrow(lose, "no int, lost double, n long").groupBy("no").agg((F.sum("lost") / F.sum("n")).alias("loss")).collect()
+        losses = tuple(r["loss"] for r in sorted(lost, key=lambda r: r["no"]))
+    remove(spark, f"{state.path}/margins-{done}")
     return replace(state, step=step, trees=(*state.trees, *trees), losses=(*state.losses, *losses))
 
 
-SAMPLE = pa.schema([("id", pa.int64()), ("x", pa.list_(pa.float32())), ("label", pa.float64()), ("weight", pa.float64()), ("margin", pa.float64())])
+def losses_after(levels: list, x: np.ndarray, y: np.ndarray, number: np.ndarray, margin: np.ndarray, kind: str, step: float) -> np.ndarray:
+    """Sum of the rows' losses, each as often as its ``number``, after each of the trees."""
+    margin, lost = margin.copy(), []
+    for out in outputs(levels, x):
+        margin += step * out
+        lost.append(float(loss(kind, margin, y) @ number))
+    return np.array(lost)
+
+
+MARGINS = "x array<float>, label double, held boolean, weight double, n long, margin double, id long"
+FOLD_MARGINS = "x array<float>, label double, held array<boolean>, weights array<double>, n long, margins array<double>, id long"
+SAMPLE = pa.schema([("id", pa.int64()), ("x", pa.list_(pa.float32())), ("label", pa.float64()), ("weight", pa.float64()), ("margin", pa.float64()), ("n", pa.int64())])
 PLANTED = pa.schema(
     [("no", pa.int32()), ("feature", pa.list_(pa.int32())), ("threshold", pa.list_(pa.float64())), ("left", pa.list_(pa.int32())), ("value", pa.list_(pa.float64()))]
 )
 FOLD_PLANTED = pa.schema([("fold", pa.int32()), *PLANTED])
 
 
-def _output(trees: list[Tree], width: int, step: float):
-    """Function of features and margin: the margin after each of the trees."""
-
-    @F.pandas_udf("array<double>")
-    def run(x: pd.Series, margin: pd.Series) -> pd.Series:
-        wide = np.array(x.tolist(), np.float32).reshape(len(x), width)
-        return pd.Series(list(margin.to_numpy()[:, None] + step * np.cumsum([t.output(wide) for t in trees], axis=0).T))
-
-    return run
-
-
-def _loss(kind: str, margin: Column, label: Column) -> Column:
+def loss(kind: str, margin: np.ndarray, y: np.ndarray) -> np.ndarray:
     if kind == ABSOLUTE:
-        return F.abs(label - margin)
+        return np.abs(y - margin)
     # log(1 + exp(margin)) - label * margin, without overflow.
-    return F.greatest(margin, F.lit(0.0)) + F.log1p(F.exp(-F.abs(margin))) - label * margin
+    return np.maximum(margin, 0.0) + np.log1p(np.exp(-np.abs(margin))) - y * margin
 
 
 def boosted(
@@ -300,7 +432,7 @@ def boosted(
         state = grow(state, trees or boost.max_iter, boost)
     else:
         while len(state.trees) < boost.max_iter and not best_count(list(state.losses), boost.patience)[1]:
-            state = grow(state, min(boost.chunk, boost.max_iter - len(state.trees)), boost)
+            state = grow(state, min(chunk_length(len(state.trees), boost), boost.max_iter - len(state.trees)), boost)
         state = kept(state, best_count(list(state.losses), boost.patience)[0])
     remove(rows.sparkSession, state.path)
     return state
@@ -320,6 +452,8 @@ def boosted_folds(
         vector_to_array("features", "float32").alias("x"), F.col(label).cast("double").alias("label"),
         F.array(*[F.coalesce(w.cast("double"), F.lit(0.0)) for w in weights]).alias("weights"), F.array(*[F.coalesce(h, F.lit(False)) for h in held]).alias("held"),
     )
+    sums = F.array(*[F.sum(F.col("weights")[f]) for f in range(folds)])
+    slim = slim.groupBy("x", "label", "held").agg(sums.alias("weights"), F.count(F.lit(1)).alias("n"))
     slim.write.parquet(f"{path}/rows")
     slim = spark.read.parquet(f"{path}/rows")
     cells = [F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("width")]
@@ -336,11 +470,11 @@ def boosted_folds(
         states.append(Grown(kind, start, boost.step, found["width"] or 0, (), (), path, found[f"fit{f}"], found[f"held{f}"] > 0))
     spread = slim.repartition(max(1, -(-found["n"] // TASK_ROWS)))
     starts = F.array(*[F.lit(s.start) for s in states])
-    spread.withColumns({"margins": starts, "id": F.monotonically_increasing_id()}).write.parquet(f"{path}/margins-0")
+    spread.withColumns({"margins": starts, "id": F.xxhash64("x", "label")}).write.parquet(f"{path}/margins-0")
     remove(spark, f"{path}/rows")
     done, active = 0, list(range(folds))
     while active and done < boost.max_iter:
-        size = min(boost.chunk, boost.max_iter - done)
+        size = min(chunk_length(done, boost), boost.max_iter - done)
         states = _fold_chunk(states, active, done, size, boost)
         done += size
         active = [f for f in active if not (states[f].held and best_count(list(states[f].losses), boost.patience)[1])]
@@ -351,14 +485,14 @@ def boosted_folds(
 def _fold_chunk(states: list[Grown], active: list[int], done: int, size: int, boost: Boost) -> list[Grown]:
     spark, path = SparkSession.active(), states[0].path
     kind, width, step = states[0].kind, states[0].width, boost.step
-    rows = shipped(spark.read.parquet(f"{path}/margins-{done}"))
+    rows = shipped(spark.read.schema(FOLD_MARGINS).parquet(f"{path}/margins-{done}"))
     draws = []
     for f in active:
         part = min(1.0, SAMPLE_CELLS / max(1, states[f].n * width))
         drawn = F.pmod(F.xxhash64("id", F.lit(done // boost.chunk), F.lit(boost.seed)), F.lit(GRAIN)) < int(part * GRAIN)
         wanted = (F.col("weights")[f] > 0) & drawn
         draws.append(F.when(wanted, F.struct(F.lit(f).alias("fold"), F.col("weights")[f].alias("weight"), F.col("margins")[f].alias("margin"))))
-    samples = rows.withColumn("d", F.explode(F.array_compact(F.array(*draws)))).select("d.fold", "id", "x", "label", "d.weight", "d.margin")
+    samples = rows.withColumn("d", F.explode(F.array_compact(F.array(*draws)))).select("d.fold", "id", "x", "label", "d.weight", "d.margin", "n")
 
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
@@ -368,8 +502,8 @@ def _fold_chunk(states: list[Grown], active: list[int], done: int, size: int, bo
         for f in pa.compute.unique(table.column("fold")).to_pylist():
             mine = table.filter(pa.compute.equal(table.column("fold"), f))
             mine = mine.take(pa.compute.sort_indices(mine, [("id", "ascending")])).combine_chunks()
-            columns = (mine.column(c).to_numpy() for c in ("label", "weight", "margin"))
-            trees = some_trees(matrix(mine.column("x").combine_chunks(), width), *columns, kind, size, boost)
+            y, weight, margin, number = (mine.column(c).to_numpy() for c in ("label", "weight", "margin", "n"))
+            trees = some_trees(matrix(mine.column("x").combine_chunks(), width), y, weight, margin, kind, size, boost, number)
             yield pa.RecordBatch.from_pylist([{"fold": f, "no": n, **asdict(t)} for n, t in enumerate(trees)], schema=FOLD_PLANTED)
 
     grown: dict[int, list[Tree]] = {f: [Tree([-1], [0.0], [-1], [0.0])] * size for f in active}
@@ -377,28 +511,41 @@ def _fold_chunk(states: list[Grown], active: list[int], done: int, size: int, bo
         grown[r["fold"]] = [*grown[r["fold"]]]
         grown[r["fold"]][r["no"]] = Tree(*r[2:])
 
-    @F.pandas_udf("array<double>")
-    def output(x: pd.Series, margins: pd.Series) -> pd.Series:
-        wide = np.array(x.tolist(), np.float32).reshape(len(x), width)
-        before = np.array(margins.tolist(), np.float64).reshape(len(x), -1)
-        after = [before[:, f][:, None] + step * np.cumsum([t.output(wide) for t in grown[f]], axis=0).T for f in active]
-        return pd.Series(list(np.concatenate(after, axis=1)))
-
-    place = {f: n * size for n, f in enumerate(active)}
-    rows = rows.withColumn("after", output("x", "margins"))
-    rows = rows.withColumn("margins", F.array(*[F.col("after")[place[f] + size - 1] if f in place else F.col("margins")[f] for f in range(len(states))]))
-    rows = rows.withColumn("after", F.when(F.exists("held", lambda h: h), F.col("after")))
-    rows.select("id", "x", "label", "weights", "held", "margins", "after").write.parquet(f"{path}/margins-{done + size}")
+    levels = {f: [t.levels() for t in grown[f]] for f in active}
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, margins = matrix(batch.column("x"), width), matrix(batch.column("margins"), len(states)).copy()
+            for f in active:
+                for out in outputs(levels[f], x):
+                    margins[:, f] += step * out
+            column = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * len(states), margins.ravel())
+            yield batch.set_column(batch.schema.get_field_index("margins"), "margins", column)
+
+    def lose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lost, seen = {f: np.zeros(size) for f in active}, dict.fromkeys(active, 0)
+        for batch in batches:
+            x, margins, aside = (matrix(batch.column(c), w) for c, w in (("x", width), ("margins", len(states)), ("held", len(states))))
+            y, number = (batch.column(c).to_numpy() for c in ("label", "n"))
+            for f in active:
+                mine = np.flatnonzero(aside[:, f])
+                lost[f] += losses_after(levels[f], x[mine], y[mine], number[mine], margins[mine, f], kind, step)
+                seen[f] += int(number[mine].sum())
+        for f in active:
+            yield pa.RecordBatch.from_pydict({"fold": np.full(size, f, np.int32), "no": np.arange(size, dtype=np.int32), "lost": lost[f], "n": np.full(size, seen[f])})
+
+    rows.mapInArrow(add, rows.schema).write.parquet(f"{path}/margins-{done + size}")
+    lost: dict[int, list[float]] = {f: [0.0] * size for f in active}
+    watched = [f for f in active if states[f].held]
+    if watched:
+        aside = rows.where(F.exists("held", lambda h: h))
+        means = aside.mapInArrow(lose, "fold int, no int, lost double, n long").groupBy("fold", "no").agg(F.sum("lost").alias("lost"), F.sum("n").alias("n"))
+        for r in means.collect():
+            lost[r["fold"]][r["no"]] = r["lost"] / max(r["n"], 1)
     remove(spark, f"{path}/margins-{done}")
-    written = spark.read.parquet(f"{path}/margins-{done + size}")
-    cells = [
-        F.avg(F.when(F.col("held")[f], _loss(kind, F.col("after")[place[f] + n], F.col("label")))).alias(f"l{f}_{n}")
-        for f in active if states[f].held for n in range(size)
-    ]
-    losses = written.agg(*cells).first() if cells else {}
     out = list(states)
     for f in active:
-        seen = tuple(float(losses[f"l{f}_{n}"]) for n in range(size)) if states[f].held else ()
+        seen = tuple(lost[f]) if f in watched else ()
         out[f] = replace(states[f], trees=(*states[f].trees, *grown[f]), losses=(*states[f].losses, *seen))
     return out
 
@@ -429,14 +576,29 @@ class BoostedModel:
         # Only the features that some tree asks for go to the function.
         slim = [replace(t, feature=[place.get(f, -1) for f in t.feature]) for t in self.trees]
         start, step, kind, width = self.start, self.step, self.kind, len(used)
+        levels = [t.levels() for t in slim]
 
-        @F.pandas_udf("double")
-        def value(x: pd.Series) -> pd.Series:
-            wide = np.array(x.tolist(), np.float32).reshape(len(x), width)
+        def values(x: np.ndarray) -> np.ndarray:
             total = np.full(len(x), start)
-            for t in slim:
-                total += step * t.output(wide)
-            return pd.Series(1 / (1 + np.exp(-total)) if kind == LOGISTIC else total)
+            for out in outputs(levels, x):
+                total += step * out
+            return 1 / (1 + np.exp(-total)) if kind == LOGISTIC else total
+
+        @F.arrow_udf("double")
+        def value(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            # Rows with the same features go through the trees once.
+            known: dict[bytes, float] = {}
+            for batch in batches:
+                x = np.ascontiguousarray(matrix(batch, width))
+                if not width:
+                    yield pa.array(values(x))
+                    continue
+                keys = x.view(np.dtype((np.void, x.itemsize * width))).ravel().tolist()
+                if len(known) > KNOWN:
+                    known.clear()
+                new = {k: n for n, k in enumerate(keys) if k not in known}
+                known |= zip(new, values(x[list(new.values())]).tolist())
+                yield pa.array([known[k] for k in keys], pa.float64())
 
         every = vector_to_array("features", "float32")
         wanted = F.array(*[every[f] for f in used]) if used else F.array().cast("array<float>")
