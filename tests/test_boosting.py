@@ -269,3 +269,25 @@ def test_importance_has_an_error(spark, rows):
     found = {r.feature: r for r in scoring.permutation_importance(model, rows.drop("features"), ["a", "b", "c"], "label", ["a", "b", "c", "w"], draws=4).collect()}
     assert found["a"].importance > 5 * found["a"].standard_error > 0 and found["c"].importance < found["a"].importance / 4
     assert not math.isnan(found["c"].standard_error)
+
+
+def test_rows_as_they_are_are_scored_once(spark, rows):
+    """One copy per feature and draw, and one more: not one more per draw; importances are those of plain means."""
+    plain, scored = rows.select("a", "b", "c", "label"), []
+
+    class Counting:
+        def transform(self, df, out):
+            scored.append(df.count())
+            return df.withColumn(out, 0.1 + 0.8 * F.col("a") * F.col("b"))
+
+    found = {r.feature: r for r in scoring.permutation_importance(Counting(), plain, ["a", "b", "c"], "label", ["a", "b", "c", "label"], draws=4).collect()}
+    assert scored == [900 * (4 * 3 + 1)]
+    moved = scoring.shuffled_rows(plain, ["a", "b", "c"], ["a", "b", "c", "label"], 4).toPandas()
+
+    def loss(a, b):
+        p = 0.1 + 0.8 * a * b
+        return -(moved.label * np.log(p) + (1 - moved.label) * np.log(1 - p))
+
+    rise = (loss(moved.p_a, moved.b) - loss(moved.a, moved.b)).groupby(moved.draw).mean()
+    assert found["a"].importance == pytest.approx(rise.mean()) and found["a"].standard_error == pytest.approx(rise.sem())
+    assert found["c"].importance == pytest.approx(0.0, abs=1e-12)

@@ -375,18 +375,20 @@ def permutation_importance(
     model: BoostedModel, rows: DataFrame, features: list[str], label: str, order: list[str], draws: int = 5, seed: int = 42
 ) -> DataFrame:
     """Mean rise in log loss when one feature is shuffled, and its standard error over the draws; features at or
-    below 0 do harm. Every feature gets its own copy of the rows, and all copies of all draws are scored in one pass."""
+    below 0 do harm. Every feature gets its own copy of the rows, and all copies of all draws are scored in one pass; the
+    rows as they are, which no draw changes, once."""
     df = shuffled_rows(rows, features, order, draws, seed)
-    variants = [F.struct(F.lit("").alias("shuffled"), *[F.col(c).alias(f"v_{c}") for c in features])]
+    plain = F.struct(F.lit("").alias("shuffled"), *[F.col(c).alias(f"v_{c}") for c in features])
+    variants = [F.when(F.col("draw") == 0, plain)]
     for f in features:
         cells = [F.col(f"p_{c}" if c == f else c).alias(f"v_{c}") for c in features]
         variants.append(F.struct(F.lit(f).alias("shuffled"), *cells))
-    wide = df.withColumn("__x", F.explode(F.array(*variants)))
+    wide = df.withColumn("__x", F.explode(F.array_compact(F.array(*variants))))
     wide = wide.withColumns({"shuffled": F.col("__x.shuffled"), **{c: F.col(f"__x.v_{c}") for c in features}})
     # A few rows, one per draw and feature.
     losses = staged(raw_score(model, wide).groupBy("draw", "shuffled").agg(log_loss_of(F.col("raw_score"), F.col(label)).alias("loss")), "losses")
-    base = losses.filter("shuffled = ''").select("draw", F.col("loss").alias("base"))
-    rises = losses.filter("shuffled <> ''").join(base, "draw")
+    base = losses.filter("shuffled = ''").agg(F.max("loss")).first()[0]
+    rises = losses.filter("shuffled <> ''").withColumn("base", F.lit(base).cast("double"))
     out = rises.groupBy(F.col("shuffled").alias("feature")).agg(
         F.avg(F.col("loss") - F.col("base")).alias("importance"),
         (F.coalesce(F.stddev_samp(F.col("loss") - F.col("base")), F.lit(0.0)) / F.sqrt(F.count(F.lit(1)))).alias("standard_error"),
