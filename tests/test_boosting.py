@@ -291,3 +291,16 @@ def test_rows_as_they_are_are_scored_once(spark, rows):
     rise = (loss(moved.p_a, moved.b) - loss(moved.a, moved.b)).groupby(moved.draw).mean()
     assert found["a"].importance == pytest.approx(rise.mean()) and found["a"].standard_error == pytest.approx(rise.sem())
     assert found["c"].importance == pytest.approx(0.0, abs=1e-12)
+
+
+def test_sums_of_shared_codes_are_those_of_each_feature(monkeypatch):
+    """The table of a code is gone through twice, not once per feature of it."""
+    rng = np.random.default_rng(3)
+    widths = (5, 3, 2, 4, 2)
+    joint = rng.random((6, 240))
+    whole = joint.reshape(6, *widths)
+    found = boosting.marginals(joint, widths)
+    for n, sums in enumerate(found):
+        assert np.allclose(sums, whole.sum(axis=tuple(m + 1 for m in range(5) if m != n)), rtol=1e-12)
+    assert [s.shape for s in found] == [(6, w) for w in widths]
+    assert boosting.marginals(joint, (240,))[0] is joint

@@ -7,8 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_attempts import COLUMNS, attempt
-from tidemark.plans import attempts, cutoff
+from tidemark.plans import attempts, cutoff, scoring
 from tidemark.plans.boosting import Boost
+from tidemark.sources.scratch import staged
+from tidemark.sources.views import view
 
 
 
@@ -108,3 +110,47 @@ def test_training_and_scoring_jobs(spark, tier, tmp_path):
     out = cutoff.score_cutoff(fact, tier, str(tmp_path / "a"), date("2024-02-10"), date("2023-01-01"), F.expr("TIMESTAMP_NTZ '2024-02-10 00:00:00'")).collect()
     assert sorted(r.transaction_id for r in out) == sorted(str(r.transaction_id) for r in features) and out
     assert sum(r.random_selection for r in out) == len(out) // 10 and all(r.is_cutoff_early is not None for r in out)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_the_key_of_an_attempt_is_parsed_once_however_often_filters_mention_it(spark, tmp_path):
+    rows = [(n, dt.datetime(2024, 1, 20, 3, n), n % 3, "purchase" if n % 2 else "view", 1.5 * n, props) for n, props in enumerate(
+        ['{"k": 13}', '{"k": 99}', '{"k": 24}', '{"k": 9}', '{"k": 8}', '{"k": null}', '{"j": 1}', "broken", None, '{"k": 17}', '{"k": 17}'])]
+    path = str(tmp_path)
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{path}/events.parquet")
+    fact = view(spark, path, "attempt")
+    live = attempts.live_invoices(fact, date("2024-02-10"), date("2023-01-01"))
+    assert plan_of(live).count("get_json_object") == 1
+    assert plan_of(fact.filter(attempts.extract_filter())).count("get_json_object") == 1
+    assert {r.transaction_id: r.retries for r in fact.collect()} == {0: None, 1: 31, 2: 0, 3: 1, 4: 0, 5: None, 6: None, 7: None, 8: None, 9: 1, 10: 1}
+    # 99 and 9 are refunds, 13 has no retry number, 24 is cancelled.
+    assert sorted(r.transaction_id for r in fact.filter(attempts.extract_filter()).collect()) == [2, 4, 9, 10]
+    assert sorted(r.order_id for r in live.collect()) == [0, 1]
+
+
+def test_the_split_hashes_every_row_once_and_keeps_rows_without_a_start(spark):
+    rows = [(o, 10 * o + n, None if (o, n) == (3, 1) else dt.datetime(2024, 1, 1 + o)) for o in range(1, 21) for n in range(2)]
+    frame = spark.createDataFrame(rows, "order_id long, invoice_id long, invoice_start timestamp_ntz")
+    parts = cutoff.split_frame(frame)
+    assert "md5" not in plan_of(parts)
+    got = {(r.order_id, r.invoice_id): r.split for r in parts.collect()}
+    assert len(got) == 40 and got[3, 31] == got[3, 30] != cutoff.OUT_OF_TIME
+    assert {o for (o, _), s in got.items() if s == cutoff.OUT_OF_TIME} == {18, 19, 20}
+    assert cutoff.split_frame(frame.limit(0)).collect() == []
+
+
+def test_training_writes_only_what_trees_read(spark, tier, tmp_path, monkeypatch):
+    seen = {}
+
+    def noted(df, name):
+        seen[name] = df.columns
+        return staged(df, name)
+
+    monkeypatch.setattr(scoring, "staged", noted)
+    cutoff.train_cutoff(spark.createDataFrame(histories(40, 4), COLUMNS), tier, str(tmp_path / "a"), days=3, boost=SMALL)
+    assert {"split", "is_stop", cutoff.LABEL, *cutoff.TEXT, "retries", "bin_tier_mean"} <= {*seen["ready"]}
+    assert not {"order_id", "invoice_id", "transaction_id", "transaction_datetime", "bin_tier", "resolved_at"} & {*seen["ready"]}
+    assert seen["calibration"] == ["score", "rate", "weight"]

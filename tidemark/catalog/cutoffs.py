@@ -28,7 +28,7 @@ PARTS_SQL = f"""{FRAME_SQL},
 )
 def cutoff_split(i):
     """Rows, orders and invoices per split; no order in two of train, stop, calib and random_test."""
-    parts = staged(cutoff.split_frame(attempts.training_frame(i.attempt, i.bin_tier, MATURE_DAYS)), "parts")
+    parts = cutoff.split_frame(attempts.training_frame(i.attempt, i.bin_tier, MATURE_DAYS))
     dealt = parts.filter(F.col("split") != cutoff.OUT_OF_TIME).groupBy("order_id").agg(F.count_distinct("split").alias("n"))
     shared = dealt.agg(F.count_if(F.col("n") > 1)).first()[0]
     return parts.groupBy("split").agg(

@@ -43,11 +43,15 @@ def roles(frame: DataFrame) -> scoring.FeatureRoles:
 
 def split_frame(frame: DataFrame, recent: float = RECENT) -> DataFrame:
     """Add ``split``: oot for invoices that start at or after the quantile of starts, else train, stop, calib or
-    random_test by a hash of the order. No order is in two of these four; returning customers may also be in oot."""
-    starts = frame.select(*attempts.INVOICE, micros("invoice_start").cast("double").alias("__start")).distinct()
-    cut = exact_quantiles(starts, [], "__start", [recent]).select("q").scalar()
-    late = micros("invoice_start").cast("double") >= cut
-    return hash_split(frame, "order_id").withColumn("split", F.when(late, OUT_OF_TIME).otherwise(F.col("split")))
+    random_test by a hash of the order. No order is in two of these four; returning customers may also be in oot.
+
+    The frame is staged once, with the side of its order, and the quantile is one number read from that; what is left to its
+    readers is a comparison."""
+    dealt = staged(hash_split(frame, "order_id"), "cutoff_parts")
+    starts = dealt.select(*attempts.INVOICE, micros("invoice_start").cast("double").alias("__start")).distinct()
+    cut = exact_quantiles(starts, [], "__start", [recent]).first()
+    late = micros("invoice_start").cast("double") >= F.lit(cut["q"] if cut else None).cast("double")
+    return dealt.withColumn("split", F.when(late, OUT_OF_TIME).otherwise(F.col("split")))
 
 
 @dataclass
@@ -64,7 +68,7 @@ def train_cutoff(fact: DataFrame, bin_tier: DataFrame, path: str, days: int = 30
     The report has the metrics of calibrated probabilities per split: random_test are orders, oot days that training has
     not seen."""
     frame = model_columns(attempts.training_frame(fact, bin_tier, days))
-    parts = staged(split_frame(staged(frame, "training_frame")), "cutoff_parts")
+    parts = split_frame(frame)
     found = roles(parts)
     banned = scoring.banned_columns(found, NOT_FEATURES)
     if banned:

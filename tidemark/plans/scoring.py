@@ -184,7 +184,8 @@ def raw_score(model: BoostedModel, df: DataFrame) -> DataFrame:
 def isotonic_calibrate(scored: DataFrame, score: str, label: str) -> IsotonicRegressionModel:
     """Monotone map from score to probability, learned on the distinct scores, weighted by their rows."""
     table = scored.groupBy(F.col(score).alias("score")).agg(F.avg(label).alias("rate"), F.count(F.lit(1)).cast("double").alias("weight"))
-    return IsotonicRegression(featuresCol="score", labelCol="rate", weightCol="weight", predictionCol="calibrated").fit(table)
+    # Staged: the fit reads it more than once, and the rows are scored for it.
+    return IsotonicRegression(featuresCol="score", labelCol="rate", weightCol="weight", predictionCol="calibrated").fit(staged(table, "calibration"))
 
 
 def calibrated(model: IsotonicRegressionModel, df: DataFrame, score: str, out: str) -> DataFrame:
@@ -230,7 +231,8 @@ def train_scorer(
     With ``fold_key`` training rows get label means that leave their own fold of keys out."""
     pre = fit_preprocessor(rows.filter(F.col(split) == "train"), roles, label, fold_key=fold_key)
     ready = pre.apply(rows, F.col(split) == "train").withColumn("is_stop", F.col(split) == "stop")
-    ready = staged(ready, "ready")
+    # Only what trees and calibration read is written.
+    ready = staged(ready.select(*dict.fromkeys([*pre.inputs(), *roles.text, label, split, "is_stop"])), "ready")
     trees = train_gbt_classifier(ready.filter(F.col(split).isin("train", "stop")), pre, label, boost=boost)
     calib = raw_score(trees, ready.filter(F.col(split) == "calib"))
     return Scorer(pre, trees, isotonic_calibrate(calib, "raw_score", label))

@@ -229,7 +229,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if spec.where:
         df = df.filter(spec.where)
     if spec.first:
-        df = df.withColumns({c: F.expr(_fill(e, SPARK_TOKENS)) for c, e in spec.first.items()})
+        # As a generated row: a filter on a column made of them is not pushed below, where it would parse the text once per mention.
+        df = df.select("*", F.inline(F.array(F.struct(*[F.expr(_fill(e, SPARK_TOKENS)).alias(c) for c, e in spec.first.items()]))))
     return df.selectExpr(*[f"{_fill(e, SPARK_TOKENS)} AS {c}" for c, e in spec.columns.items()])
 
 
