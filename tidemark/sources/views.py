@@ -23,6 +23,7 @@ class View:
     columns: dict[str, str]
     where: str | None = None
     first: dict[str, str] | None = None  # columns the others are built from, computed once
+    filtered: bool = False  # columns built from them are filtered on
     join: tuple[str, str] | None = None  # (other table, equality condition)
 
 
@@ -62,6 +63,7 @@ VIEWS: dict[str, View] = {
             "success_probability": f"round(CAST({_K} AS DOUBLE) / 250.0, 4)",
         },
         first=_KEY,
+        filtered=True,
     ),
     "bin_tier": View(
         "region",
@@ -229,8 +231,9 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if spec.where:
         df = df.filter(spec.where)
     if spec.first:
-        # As a generated row: a filter on a column made of them is not pushed below, where it would parse the text once per mention.
-        df = df.select("*", F.inline(F.array(F.struct(*[F.expr(_fill(e, SPARK_TOKENS)).alias(c) for c, e in spec.first.items()]))))
+        first = {c: F.expr(_fill(e, SPARK_TOKENS)) for c, e in spec.first.items()}
+        # Filters are not pushed below a generated row, where each mention of a column would compute it again.
+        df = df.select("*", F.inline(F.array(F.struct(*[e.alias(c) for c, e in first.items()])))) if spec.filtered else df.withColumns(first)
     return df.selectExpr(*[f"{_fill(e, SPARK_TOKENS)} AS {c}" for c, e in spec.columns.items()])
 
 
