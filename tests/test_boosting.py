@@ -142,6 +142,51 @@ def test_odd_tables(spark, rows, tmp_path):
     assert again == model
 
 
+def same_trees(got, want):
+    assert [(t.feature, t.threshold, t.left) for t in got.trees] == [(t.feature, t.threshold, t.left) for t in want.trees]
+    assert [v for t in got.trees for v in t.value] == pytest.approx([v for t in want.trees for v in t.value], abs=1e-9)
+    assert got.start == pytest.approx(want.start) and got.losses == pytest.approx(want.losses, abs=1e-9)
+
+
+@pytest.mark.parametrize("kind", [boosting.LOGISTIC, boosting.ABSOLUTE])
+def test_no_row_is_left_out_of_a_large_table(rows, monkeypatch, kind):
+    """A table too large for one task gives the trees that one task grows on all its rows, chunk after chunk."""
+    boost = boosting.Boost(depth=4, chunk=8)
+
+    def grown():
+        return boosting.grow(boosting.started(rows, "label", "stop", "w", kind), 12, boost)
+
+    want = grown()
+    monkeypatch.setattr(boosting, "SAMPLE_CELLS", 300)
+    monkeypatch.setattr(boosting, "BLOCK_CELLS", 200)
+    monkeypatch.setattr(boosting, "WRITTEN", 3)
+    got = grown()
+    assert got.spread() and not want.edges
+    same_trees(got, want)
+
+
+def test_bins_of_a_spread_table_are_those_of_all_its_rows(spark, hot):
+    rng = np.random.default_rng(13)
+    x = np.stack([rng.normal(size=900), rng.integers(0, 64, 900), np.ones(900), rng.integers(-70, 70, 900) / 7, rng.normal(size=900)], axis=1).astype(np.float32)
+    x[5, 4] = np.nan
+    number = np.where(rng.random(900) < 0.05, 300, 1)
+    table = spark.createDataFrame([([float(v) for v in r], int(n)) for r, n in zip(x, number)], "x array<float>, n long").repartition(5)
+    _, want = boosting.binned(x, number)
+    got = boosting.table_edges(table, 5)
+    assert [e.tolist() for e in got] == [e.tolist() for e in want] and [len(e) for e in got[1:3]] == [63, 0] and not len(got[4])
+
+
+def test_rows_end_in_the_leaves_that_give_their_output():
+    rng = np.random.default_rng(6)
+    x, g = rng.random((2000, 4)).astype(np.float32), rng.normal(size=2000)
+    cells, edges = boosting.binned(x)
+    packs = boosting.Packs(cells, edges)
+    tree, cut = boosting.split_up(boosting.Together(packs, g, np.ones(2000)), packs, edges, 5, 1.0)
+    ends = boosting.routed(np.ascontiguousarray(cells.T), (tree.feature, cut, tree.left))
+    assert np.array(tree.value)[ends] == pytest.approx(tree.output(x))
+    assert (boosting.routed(cells.T, ([-1], [0], [-1])) == 0).all()
+
+
 def test_equal_rows_are_grown_as_one(spark, rows):
     """Copies are one staged row: the trees are those of rows that weigh as much, the losses those of all copies."""
     thrice = rows.unionByName(rows).unionByName(rows)

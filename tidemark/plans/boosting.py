@@ -2,42 +2,52 @@
 
 The rows are a staged table of features, label, weight and a ``margin``, the sum of the trees grown so far. Rows of the same
 features and label, which no tree can tell apart, are one row with their weights added up and their number. A chunk of trees
-(``chunk``, more once many are there) takes two passes whatever their depth. The first draws a sample of at most
-``SAMPLE_CELLS`` feature values (all rows, while they fit), another one for every chunk, and grows the trees in one task, each on
-the slopes of the loss at the margins left by the one before, with second-order leaf values (sum of slopes over sum of
-curvatures). The second adds the trees' output to the margin of every row, and the losses after each of these trees are summed
-over the rows set aside. The table it writes is all that the next chunk needs; the table before it is deleted. So lineage never
-grows beyond a chunk, and a lost executor costs its tasks.
-
-Inside the growing task features of few bins share one code, so a level takes one sum per code instead of one per feature;
+(``chunk``, more once many are there) is grown on all rows that are not set aside, each tree on the slopes of the loss at the
+margins left by the one before, with second-order leaf values (sum of slopes over sum of curvatures). Up to ``SAMPLE_CELLS``
+feature values the rows go to one task, which grows the whole chunk. Larger tables stay spread: their rows are kept as blocks
+of bins (``Spread``), and a level of a tree is one job, in which every task sums its own blocks; the driver gets one sum per
+node, feature and bin and picks the splits. Bins are cut at quantiles of all these rows either way, so both grow the same trees
+but for rounding. After a chunk one pass adds the trees' output to the margin of every row, and the losses after each of these
+trees are summed over the rows set aside. The table it writes is all that the next chunk needs; the table before it is deleted.
+So lineage never grows beyond a chunk, and a lost executor costs its tasks.
+
+Inside a task features of few bins share one code, so a level takes one sum per code instead of one per feature;
 only the smaller child of a split is summed, the other one is what is left of its parent.
 
 ``grow`` takes the state and gives a longer one: 32 trees grown to 64 and 128 are the trees of one run of 128.
 Without rows set aside nothing can end the growth early: all trees asked for are grown.
 
-Growing and summing trees are Arrow functions; everything else is expressions.
+Growing and summing trees are Arrow functions, or Python functions on the blocks of a large table; everything else is expressions.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.sources.scratch import remove, scratch_folder
+from tidemark.operators.ordered import prefix_scan, running_sum
+from tidemark.sources.scratch import remove, scratch_folder, staged
 from tidemark.sources.shipping import shipped
 from tidemark.sources.tables import load_spec, save_spec
 
 LOGISTIC, ABSOLUTE = "logistic", "absolute"
-# Feature values of the sample that a chunk of trees is grown on.
-SAMPLE_CELLS = 1 << 23
+# Feature values up to which one task grows the trees; the rows of larger tables stay where they are. Nothing is left out.
+SAMPLE_CELLS = 1 << 24
+# Feature values of a block of a larger table, and trees after which the blocks are written to the shared folder.
+BLOCK_CELLS = 1 << 21
+WRITTEN = 32
+# Tasks whose sums go to the driver as they are.
+GATHERED = 16
 TASK_ROWS = 100_000
 BINS = 64
 # Combinations of bins that features sharing a code may have.
@@ -58,7 +68,7 @@ class Boost:
     depth: int = 7
     step: float = 0.1
     patience: int = 50
-    seed: int = 42
+    seed: int = 42  # nothing is drawn any more; the callers' setting stays valid
     chunk: int = 16  # trees between two passes that write margins and read losses
     ridge: float = 1.0  # added to the curvature of every leaf
 
@@ -228,54 +238,82 @@ def best_splits(packs: Packs, sums: list[np.ndarray], whole_g: np.ndarray, whole
     return ask, cut, best_g, best_h
 
 
-def one_tree(
-    cells: np.ndarray, edges: list[np.ndarray], g: np.ndarray, h: np.ndarray, depth: int, ridge: float, packs: Packs | None = None
-) -> tuple[Tree, np.ndarray]:
-    """Level by level the best split of every node, from sums per node, feature and bin; and each row's output.
+class Together:
+    """All rows in one task, in one order, those of a node side by side."""
 
-    The rows stand in one order, those of a node side by side."""
-    packs = packs or Packs(cells, edges)
-    feature, threshold, left, value = [-1], [0.0], [-1], [0.0]
-    order, spans, level = np.arange(len(g)), [(0, len(g))], [0]  # level: nodes that may be split
-    whole_g, whole_h = np.array([g.sum()]), np.array([h.sum()])
+    def __init__(self, packs: Packs, g: np.ndarray, h: np.ndarray):
+        self.packs, self.parts = packs, (g, h)
+        self.order, self.spans = np.arange(len(g)), [(0, len(g))]
+
+    def whole(self) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Sums of all rows, and of each feature and bin."""
+        g, h = self.parts
+        return np.array([g.sum()]), np.array([h.sum()]), self.packs.sums(None, None, 1, self.parts)
+
+    def divided(self, nodes: tuple[list[int], ...], parents: list[int], whole_h: np.ndarray, last: bool) -> tuple[list[int], list[np.ndarray]] | None:
+        """Divide the rows of the nodes just split. Which child of each is the smaller one, and its sums, unless these are the leaves."""
+        (feature, cut, left), order, smaller = nodes, self.order, []
+        for n in parents:
+            a, b = self.spans[n]
+            mine = order[a:b]
+            above = self.packs.columns[feature[n]].take(mine) > cut[n]
+            high = mine[above]
+            middle = b - len(high)
+            order[a:middle], order[middle:b] = mine[~above], high
+            smaller.append(int(middle - a > b - middle))
+            self.spans += [(a, middle), (middle, b)]
+        if last:
+            return None
+        few = [self.spans[left[n] + s] for n, s in zip(parents, smaller)]
+        rows = np.concatenate([order[a:b] for a, b in few])
+        return smaller, self.packs.sums(rows, np.repeat(np.arange(len(few)), [b - a for a, b in few]), len(few), self.parts)
+
+
+def split_up(rows: Together | Spread, packs: Packs, edges: list[np.ndarray], depth: int, ridge: float) -> tuple[Tree, list[int]]:
+    """Level by level the best split of every node, from sums per node, feature and bin; and the bin each node is cut at."""
+    feature, threshold, bins, left, value = [-1], [0.0], [0], [-1], [0.0]
+    level = [0]  # nodes that may be split
+    whole_g, whole_h, sums = rows.whole()
     least = 1e-9 + 1e-13 * float(whole_h[0])  # what is left of a difference of sums counts as nothing
     value[0] = float(whole_g[0] / (whole_h[0] + ridge))
-    sums = packs.sums(None, None, 1, (g, h))
     for deep in range(depth):
         ask, cut, low_g, low_h = best_splits(packs, sums, whole_g, whole_h, ridge, least)
         split = np.flatnonzero(ask >= 0)
         if not len(split):
             break
-        children, smaller = [], []
-        for k in split.tolist():
-            n, f, (a, b) = level[k], int(ask[k]), spans[level[k]]
-            feature[n], threshold[n], left[n] = f, float(edges[f][cut[k]]), len(feature)
-            mine = order[a:b]
-            above = packs.columns[f].take(mine) > cut[k]
-            high = mine[above]
-            middle = b - len(high)
-            order[a:middle], order[middle:b] = mine[~above], high
-            smaller.append(int(middle - a > b - middle))
-            for span, child_g, child_h in (((a, middle), low_g[k], low_h[k]), ((middle, b), whole_g[k] - low_g[k], whole_h[k] - low_h[k])):
+        parents, children = [level[k] for k in split.tolist()], []
+        for n, k in zip(parents, split.tolist()):
+            f = int(ask[k])
+            feature[n], threshold[n], bins[n], left[n] = f, float(edges[f][cut[k]]), int(cut[k]), len(feature)
+            for child_g, child_h in ((low_g[k], low_h[k]), (whole_g[k] - low_g[k], whole_h[k] - low_h[k])):
                 children.append(len(feature))
-                feature.append(-1), threshold.append(0.0), left.append(-1), spans.append(span)
+                feature.append(-1), threshold.append(0.0), bins.append(0), left.append(-1)
                 value.append(float(child_g / (child_h + ridge)))
         whole_g, whole_h = (np.stack([low[split], whole[split] - low[split]], axis=1).ravel() for low, whole in ((low_g, whole_g), (low_h, whole_h)))
         level = children
-        if deep + 1 < depth:
-            few = [spans[children[2 * n + s]] for n, s in enumerate(smaller)]
-            rows = np.concatenate([order[a:b] for a, b in few])
-            own = packs.sums(rows, np.repeat(np.arange(len(few)), [b - a for a, b in few]), len(few), (g, h))
-            side = 2 * np.arange(len(few)) + np.array(smaller)
+        found = rows.divided((feature, bins, left), parents, whole_h, deep + 1 == depth)
+        if found is not None:
+            smaller, own = found
+            side = 2 * np.arange(len(parents)) + np.array(smaller)
             for n, part in enumerate(own):
                 both = np.empty((len(children), packs.width))
                 both[side], both[side ^ 1] = part, sums[n][split] - part
                 sums[n] = both
+    return Tree(feature, threshold, left, value), bins
+
+
+def one_tree(
+    cells: np.ndarray, edges: list[np.ndarray], g: np.ndarray, h: np.ndarray, depth: int, ridge: float, packs: Packs | None = None
+) -> tuple[Tree, np.ndarray]:
+    """The tree on rows that are all here, and each row's output."""
+    packs = packs or Packs(cells, edges)
+    rows = Together(packs, g, h)
+    tree, _ = split_up(rows, packs, edges, depth, ridge)
     out = np.empty(len(g))
-    for n, (a, b) in enumerate(spans):
-        if feature[n] < 0:
-            out[order[a:b]] = value[n]
-    return Tree(feature, threshold, left, value), out
+    for n, (a, b) in enumerate(rows.spans):
+        if tree.feature[n] < 0:
+            out[rows.order[a:b]] = tree.value[n]
+    return tree, out
 
 
 def some_trees(
@@ -298,6 +336,168 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
 
 
+# --------------------------------------------------------------------------- large tables
+
+
+def table_edges(rows: DataFrame, width: int) -> list[np.ndarray]:
+    """The edges of ``binned`` for a table (``x``, ``n``): equal values are counted first and ranked by a scan, so no task
+    holds all values. The driver gets at most ``BINS`` values per feature."""
+
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, number = matrix(batch.column("x"), width), batch.column("n").to_numpy()
+            for f in range(width):
+                found, place = np.unique(x[:, f], return_inverse=True)
+                n = np.bincount(place, number, len(found)).astype(np.int64)
+                yield pa.RecordBatch.from_pydict({"f": np.full(len(found), f, np.int32), "v": found, "n": n})
+
+    counted = shipped(rows).select("x", "n").mapInArrow(values, "f int, v float, n long").groupBy("f", "v").agg(F.sum("n").alias("n"))
+    counts = staged(counted, "bin_values")
+    sizes = counts.groupBy("f").agg(
+        F.count(F.lit(1)).alias("values"), F.sum("n").alias("total"), F.min("v").alias("least"), F.max(F.isnan("v")).alias("odd")
+    )
+    # As in ``binned`` a feature with values that are no numbers is not asked.
+    sizes = staged(sizes.where(~F.col("odd")), "bin_sizes")
+    few = counts.join(F.broadcast(sizes.where(F.col("values") <= BINS)), "f").where(F.col("v") > F.col("least"))
+    many = F.broadcast(sizes.where(F.col("values") > BINS))
+    upto = prefix_scan(counts.join(many.select("f"), "f", "left_semi"), ["f"], ["v"], {"upto": running_sum(F.col("n"), True)}).join(many, "f")
+
+    def asked(k: Column) -> Column:
+        rank = F.ceil(k / F.lit(float(BINS)) * (F.col("total") - 1))
+        return (F.col("upto") - F.col("n") <= rank) & (rank < F.col("upto"))
+
+    upto = upto.where(F.exists(F.sequence(F.lit(1), F.lit(BINS - 1)), asked) & (F.col("v") > F.col("least")))
+    found: dict[int, list[float]] = {}
+    for r in few.select("f", "v").unionByName(upto.select("f", "v")).collect():
+        found.setdefault(r["f"], []).append(r["v"])
+    return [np.array(sorted(found.get(f, [])), np.float32) for f in range(width)]
+
+
+def routed(cells: np.ndarray, nodes: tuple[list[int], ...]) -> np.ndarray:
+    """Node that every row (a column of ``cells``) ends in."""
+    feature, cut, left = (np.array(n) for n in nodes)
+    leaf = feature < 0
+    # A leaf leads to itself: no bin is above 255.
+    asked, cut, left = np.where(leaf, 0, feature) * cells.shape[1], np.where(leaf, 255, cut), np.where(leaf, np.arange(len(leaf)), left)
+    flat, row, node = cells.ravel(), np.arange(cells.shape[1]), np.zeros(cells.shape[1], np.int64)
+    while not leaf.all() and not leaf.take(node).all():
+        node = left.take(node) + (flat.take(asked.take(node) + row) > cut.take(node))
+    return node
+
+
+Block = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+class Spread:
+    """Rows (``x``, label, weight, margin) that stay spread over tasks, as blocks: cells (a row per feature), labels, weights, margins.
+
+    A level of a tree is one job: every task finds the nodes of its own rows and sums them, and the sums are added up node by
+    node. The next tree starts by adding the last one to the margins. Blocks are kept in memory and on local disk; one that is lost is
+    made again from the staged table or what has been written since."""
+
+    def __init__(self, rows: DataFrame, edges: list[np.ndarray], kind: str, step: float, folder: str):
+        self.spark, self.edges, self.kind, self.step, self.folder = rows.sparkSession, edges, kind, step, folder
+        self.before: RDD | None = None
+        self.packs, width = Packs(np.empty((0, len(edges)), np.uint8), edges), len(edges)
+
+        def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, n = [], 0
+
+            def block() -> pa.RecordBatch:
+                table = pa.Table.from_batches(held).combine_chunks()
+                x = matrix(table.column("x").combine_chunks(), width)
+                cells = np.empty((width, len(x)), np.uint8)
+                for f in range(width):
+                    cells[f] = np.searchsorted(edges[f], x[:, f], side="right")
+                parts = (cells, *(table.column(c).to_numpy() for c in ("label", "weight", "margin")))
+                return pa.RecordBatch.from_arrays([pa.array([p.tobytes()], pa.binary()) for p in parts], ["cells", "label", "weight", "margin"])
+
+            for batch in batches:
+                held, n = [*held, batch], n + batch.num_rows
+                if n * width >= BLOCK_CELLS:
+                    yield block()
+                    held, n = [], 0
+            if n:
+                yield block()
+
+        def unpacked(r: Row) -> Block:
+            numbers = [np.frombuffer(r[c]) for c in ("label", "weight", "margin")]
+            return np.frombuffer(r["cells"], np.uint8).reshape(width, len(numbers[0])), *numbers
+
+        written = shipped(rows).select("x", "label", "weight", "margin").mapInArrow(coded, "cells binary, label binary, weight binary, margin binary")
+        self.blocks = written.rdd.map(unpacked).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def _sums(self, nodes: tuple[list[int], ...], wanted: list[int]) -> list[np.ndarray]:
+        """Sums of the slopes and curvatures of the wanted nodes, by feature and bin, and of all their rows."""
+        edges, kind, count, size = self.edges, self.kind, len(wanted), self.packs.width
+        slots = np.full(len(nodes[0]), -1)
+        slots[wanted] = np.arange(count)
+
+        def part(blocks: Iterator[Block]) -> Iterator[tuple[int, np.ndarray]]:
+            total = np.zeros((count, 2 * size + 2))
+            for cells, y, weight, margin in blocks:
+                g, h = (weight * v for v in slopes(kind, margin, y))
+                slot = slots.take(routed(cells, nodes))
+                rows = np.flatnonzero(slot >= 0)
+                slot = slot.take(rows)
+                own = Packs(cells.T, edges).sums(rows, slot, count, (g, h))
+                total += np.hstack([*own, *(np.bincount(slot, v.take(rows), count)[:, None] for v in (g, h))])
+            return enumerate(total)
+
+        parts = self.blocks.mapPartitions(part)
+        if parts.getNumPartitions() > GATHERED:
+            # The driver gets one sum per node, not one per node and task.
+            parts = parts.reduceByKey(np.add, min(count, parts.getNumPartitions()))
+        found = np.zeros((count, 2 * size + 2))
+        for slot, sums in parts.collect():
+            found[slot] += sums
+        return [found[:, :size].copy(), found[:, size : 2 * size].copy(), found[:, -2], found[:, -1]]
+
+    def whole(self) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        *sums, whole_g, whole_h = self._sums(([-1], [0], [-1]), [0])
+        if self.before is not None:
+            self.before.unpersist()
+            self.before = None
+        return whole_g, whole_h, sums
+
+    def divided(self, nodes: tuple[list[int], ...], parents: list[int], whole_h: np.ndarray, last: bool) -> tuple[list[int], list[np.ndarray]] | None:
+        """The child of less curvature counts as the smaller one: the numbers of rows are not known here."""
+        if last:
+            return None
+        smaller = [int(low > high) for low, high in whole_h.reshape(-1, 2)]
+        return smaller, self._sums(nodes, [nodes[2][n] + s for n, s in zip(parents, smaller)])[:2]
+
+    def trees(self, size: int, depth: int, ridge: float) -> list[Tree]:
+        out, path = [], None
+        for n in range(1, size + 1):
+            tree, cut = split_up(self, self.packs, self.edges, depth, ridge)
+            out.append(tree)
+            if n < size:
+                self._add((tree.feature, cut, tree.left), np.array(tree.value))
+                if n % WRITTEN == 0:
+                    path = self._write(path)
+        self.blocks.unpersist()
+        if path is not None:
+            remove(self.spark, path)
+        return out
+
+    def _add(self, nodes: tuple[list[int], ...], value: np.ndarray) -> None:
+        """Add a tree to the margins, when they are next asked for; the blocks before stay until then."""
+        step, self.before = self.step, self.blocks
+        added = self.before.map(lambda b: (*b[:3], b[3] + step * value.take(routed(b[0], nodes))))
+        self.blocks = added.persist(StorageLevel.MEMORY_AND_DISK)
+
+    def _write(self, old: str | None) -> str:
+        """Go on from files, so lineage stays short."""
+        path = f"{self.folder}/blocks-{uuid.uuid4().hex}"
+        self.blocks.saveAsPickleFile(path, 1)
+        self.before.unpersist(), self.blocks.unpersist()
+        self.blocks, self.before = self.spark.sparkContext.pickleFile(path).persist(StorageLevel.MEMORY_AND_DISK), None
+        if old is not None:
+            remove(self.spark, old)
+        return path
+
+
 # --------------------------------------------------------------------------- state
 
 
@@ -314,6 +514,11 @@ class Grown:
     path: str
     n: int
     held: bool
+    edges: tuple[np.ndarray, ...] = ()  # of the bins, once the table has turned out too large for one task
+
+    def spread(self, together: int = 1) -> bool:
+        """Whether the rows stay spread; otherwise those of ``together`` ensembles may meet in one task."""
+        return self.n * max(1, self.width) > SAMPLE_CELLS // together
 
 
 def started(rows: DataFrame, label: str, stop: str | None = None, weight: str | None = None, kind: str = LOGISTIC) -> Grown:
@@ -365,20 +570,22 @@ def _chunk(state: Grown, size: int, boost: Boost) -> Grown:
     spark, done = SparkSession.active(), len(state.trees)
     rows = shipped(spark.read.schema(MARGINS).parquet(f"{state.path}/margins-{done}"))
     kind, width, step = state.kind, state.width, boost.step
-    part = min(1.0, SAMPLE_CELLS / max(1, state.n * width))
-    drawn = F.pmod(F.xxhash64("id", F.lit(done // boost.chunk), F.lit(boost.seed)), F.lit(GRAIN)) < int(part * GRAIN)
+    fit = rows.where(~F.col("held"))
 
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches), schema=SAMPLE)
+        table = pa.Table.from_batches(list(batches), schema=TOGETHER)
         table = table.take(pa.compute.sort_indices(table, [("id", "ascending")])).combine_chunks()
         y, weight, margin, number = (table.column(c).to_numpy() for c in ("label", "weight", "margin", "n"))
         x = matrix(table.column("x").combine_chunks(), width) if len(table) else np.zeros((0, width), np.float32)
         trees = some_trees(x, y, weight, margin, kind, size, boost, number) if len(table) else []
         yield pa.RecordBatch.from_pylist([{"no": n, **asdict(t)} for n, t in enumerate(trees)], schema=PLANTED)
 
-    sample = rows.where(~F.col("held") & drawn).select("id", "x", "label", "weight", "margin", "n").repartition(1)
-    found = sorted(sample.mapInArrow(plant, TREE).collect(), key=lambda r: r["no"])
-    trees = [Tree(*r[1:]) for r in found] or [Tree([-1], [0.0], [-1], [0.0])] * size
+    if state.spread():
+        state, trees = _spread_trees(state, fit, size, boost)
+    else:
+        every = fit.select("id", "x", "label", "weight", "margin", "n").repartition(1)
+        found = sorted(every.mapInArrow(plant, TREE).collect(), key=lambda r: r["no"])
+        trees = [Tree(*r[1:]) for r in found] or [Tree([-1], [0.0], [-1], [0.0])] * size
     levels = [t.levels() for t in trees]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -406,6 +613,13 @@ def _chunk(state: Grown, size: int, boost: Boost) -> Grown:
     return replace(state, step=step, trees=(*state.trees, *trees), losses=(*state.losses, *losses))
 
 
+def _spread_trees(state: Grown, rows: DataFrame, size: int, boost: Boost) -> tuple[Grown, list[Tree]]:
+    """``size`` trees on all ``rows``, which stay spread. Their bins, which no chunk changes, are cut once."""
+    if not state.edges:
+        state = replace(state, edges=tuple(table_edges(rows, state.width)))
+    return state, Spread(rows, list(state.edges), state.kind, boost.step, state.path).trees(size, boost.depth, boost.ridge)
+
+
 def losses_after(levels: list, x: np.ndarray, y: np.ndarray, number: np.ndarray, margin: np.ndarray, kind: str, step: float) -> np.ndarray:
     """Sum of the rows' losses, each as often as its ``number``, after each of the trees."""
     margin, lost = margin.copy(), []
@@ -417,7 +631,7 @@ def losses_after(levels: list, x: np.ndarray, y: np.ndarray, number: np.ndarray,
 
 MARGINS = "x array<float>, label double, held boolean, weight double, n long, margin double, id long"
 FOLD_MARGINS = "x array<float>, label double, held array<boolean>, weights array<double>, n long, margins array<double>, id long"
-SAMPLE = pa.schema([("id", pa.int64()), ("x", pa.list_(pa.float32())), ("label", pa.float64()), ("weight", pa.float64()), ("margin", pa.float64()), ("n", pa.int64())])
+TOGETHER = pa.schema([("id", pa.int64()), ("x", pa.list_(pa.float32())), ("label", pa.float64()), ("weight", pa.float64()), ("margin", pa.float64()), ("n", pa.int64())])
 PLANTED = pa.schema(
     [("no", pa.int32()), ("feature", pa.list_(pa.int32())), ("threshold", pa.list_(pa.float64())), ("left", pa.list_(pa.int32())), ("value", pa.list_(pa.float64()))]
 )
@@ -452,9 +666,10 @@ def boosted_folds(
     """One ensemble per fold, all grown together: ``weights`` say what a row counts in training in each fold (0 or null:
     not at all), ``held`` whether it is set aside there.
 
-    The staged table has one row per row with an array of margins, one entry per fold. A chunk reads it once to draw the
-    samples of all folds, which are grown side by side in a task each, and once to add the trees of all folds; one
-    aggregate reads the losses of all folds and tree counts. A fold whose patience has run out takes no further part."""
+    The staged table has one row per row with an array of margins, one entry per fold. A chunk reads it once to give
+    the rows of all folds to the tasks that grow them side by side (a fold too large for that is grown on rows that stay
+    spread, one fold after the other), and once to add the trees of all folds; one aggregate reads the losses of all folds
+    and tree counts. A fold whose patience has run out takes no further part."""
     spark, path, folds = rows.sparkSession, scratch_folder(rows.sparkSession, "boosting"), len(weights)
     slim = rows.select(
         vector_to_array("features", "float32").alias("x"), F.col(label).cast("double").alias("label"),
