@@ -187,6 +187,26 @@ def test_rows_end_in_the_leaves_that_give_their_output():
     assert (boosting.routed(cells.T, ([-1], [0], [-1])) == 0).all()
 
 
+def test_no_row_is_left_out_of_large_folds(rows, monkeypatch):
+    """Folds too large for a task, also one of them only, are grown on all their rows."""
+    boost = boosting.Boost(depth=3, patience=6, chunk=4, max_iter=12)
+    uneven = rows.withColumn("fold", F.when(F.col("a") < 0.6, 0).otherwise(1)).cache()
+    own = [F.col("fold") == f for f in range(2)]
+
+    def grown():
+        return boosting.boosted_folds(uneven, "label", [F.when(~mine, F.col("w")) for mine in own], own, boost)
+
+    want = grown()
+    # One of the two is larger than its half, then both are.
+    small, large = sorted(s.n * s.width for s in want)
+    for cells in (small + large, 300):
+        monkeypatch.setattr(boosting, "SAMPLE_CELLS", cells)
+        got = grown()
+        assert [s.spread(2) for s in got].count(True) == (2 if cells == 300 else 1)
+        for g, w in zip(got, want):
+            same_trees(g, w)
+
+
 def test_equal_rows_are_grown_as_one(spark, rows):
     """Copies are one staged row: the trees are those of rows that weigh as much, the losses those of all copies."""
     thrice = rows.unionByName(rows).unionByName(rows)

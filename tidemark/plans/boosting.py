@@ -57,7 +57,6 @@ UNWATCHED = 8
 SAME = 1e-11
 # Rows that a scoring task remembers the value of.
 KNOWN = 1 << 17
-GRAIN = 1 << 30
 
 
 @dataclass(frozen=True)
@@ -709,13 +708,13 @@ def _fold_chunk(states: list[Grown], active: list[int], done: int, size: int, bo
     spark, path = SparkSession.active(), states[0].path
     kind, width, step = states[0].kind, states[0].width, boost.step
     rows = shipped(spark.read.schema(FOLD_MARGINS).parquet(f"{path}/margins-{done}"))
-    draws = []
+    out, grown, draws = list(states), {f: [Tree([-1], [0.0], [-1], [0.0])] * size for f in active}, []
     for f in active:
-        part = min(1.0, SAMPLE_CELLS / max(1, states[f].n * width))
-        drawn = F.pmod(F.xxhash64("id", F.lit(done // boost.chunk), F.lit(boost.seed)), F.lit(GRAIN)) < int(part * GRAIN)
-        wanted = (F.col("weights")[f] > 0) & drawn
-        draws.append(F.when(wanted, F.struct(F.lit(f).alias("fold"), F.col("weights")[f].alias("weight"), F.col("margins")[f].alias("margin"))))
-    samples = rows.withColumn("d", F.explode(F.array_compact(F.array(*draws)))).select("d.fold", "id", "x", "label", "d.weight", "d.margin", "n")
+        fits, own = F.col("weights")[f] > 0, [F.col("weights")[f].alias("weight"), F.col("margins")[f].alias("margin")]
+        if states[f].spread(len(active)):
+            out[f], grown[f] = _spread_trees(states[f], rows.where(fits).select("x", "label", *own, "n"), size, boost)
+        else:
+            draws.append(F.when(fits, F.struct(F.lit(f).alias("fold"), *own)))
 
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
@@ -729,10 +728,11 @@ def _fold_chunk(states: list[Grown], active: list[int], done: int, size: int, bo
             trees = some_trees(matrix(mine.column("x").combine_chunks(), width), y, weight, margin, kind, size, boost, number)
             yield pa.RecordBatch.from_pylist([{"fold": f, "no": n, **asdict(t)} for n, t in enumerate(trees)], schema=FOLD_PLANTED)
 
-    grown: dict[int, list[Tree]] = {f: [Tree([-1], [0.0], [-1], [0.0])] * size for f in active}
-    for r in samples.repartition(len(active), "fold").mapInArrow(plant, "fold int, " + TREE).collect():
-        grown[r["fold"]] = [*grown[r["fold"]]]
-        grown[r["fold"]][r["no"]] = Tree(*r[2:])
+    if draws:
+        every = rows.withColumn("d", F.explode(F.array_compact(F.array(*draws)))).select("d.fold", "id", "x", "label", "d.weight", "d.margin", "n")
+        for r in every.repartition(len(draws), "fold").mapInArrow(plant, "fold int, " + TREE).collect():
+            grown[r["fold"]] = [*grown[r["fold"]]]
+            grown[r["fold"]][r["no"]] = Tree(*r[2:])
 
     levels = {f: [t.levels() for t in grown[f]] for f in active}
 
@@ -766,10 +766,9 @@ def _fold_chunk(states: list[Grown], active: list[int], done: int, size: int, bo
         for r in means.collect():
             lost[r["fold"]][r["no"]] = r["lost"] / max(r["n"], 1)
     remove(spark, f"{path}/margins-{done}")
-    out = list(states)
     for f in active:
         seen = tuple(lost[f]) if f in watched else ()
-        out[f] = replace(states[f], trees=(*states[f].trees, *grown[f]), losses=(*states[f].losses, *seen))
+        out[f] = replace(out[f], trees=(*states[f].trees, *grown[f]), losses=(*states[f].losses, *seen))
     return out
 
 
