@@ -251,6 +251,21 @@ def test_bins_count_rows_not_distinct_values():
     assert (edges[0] == whole[0]).all() and (np.repeat(cells, number, axis=0) == plain).all()
 
 
+def test_every_round_at_the_bottom_is_trained_on_all_rows(rows, monkeypatch):
+    frame = rows.drop("features").withColumns({"id": F.monotonically_increasing_id(), "split": F.when(F.col("stop"), "test").otherwise("train")}).cache()
+    pre = scoring.fit_preprocessor(frame, scoring.FeatureRoles(["a", "b", "c"]), "label")
+
+    def rounds():
+        model, history = scoring.bottom_percentile_train(frame, pre, "label", "id", rounds=2, boost=boosting.Boost(max_iter=6, depth=3, chunk=4))
+        return [(t.feature, t.threshold) for t in model.trees], history
+
+    trees, history = rounds()
+    monkeypatch.setattr(boosting, "SAMPLE_CELLS", 300)
+    again, found = rounds()
+    assert again == trees and len(found) == 2
+    assert all(f == pytest.approx(h, abs=1e-9) for f, h in zip(found, history))
+
+
 # --------------------------------------------------------------------------- label means
 
 
