@@ -351,6 +351,25 @@ def test_importance_has_an_error(spark, rows):
     assert not math.isnan(found["c"].standard_error)
 
 
+def test_a_scorer_and_its_importances_come_from_all_rows(rows, monkeypatch):
+    frame = rows.drop("features").withColumns({"order": F.monotonically_increasing_id(), "kind": F.when(F.col("b") > 0.5, "x").otherwise("y")})
+    frame = frame.withColumn("split", F.element_at(F.array(*map(F.lit, ("train", "train", "stop", "calib"))), (F.col("order") % 4 + 1).cast("int"))).cache()
+
+    def trained():
+        return scoring.train_scorer(frame, scoring.FeatureRoles(["a", "c"], ["kind"]), "label", boost=boosting.Boost(max_iter=6, depth=3, chunk=4), fold_key="order")
+
+    def importances(s):
+        held = s.pre.apply(frame.where("split = 'calib'"))
+        found = scoring.permutation_importance(s.trees, held, s.pre.inputs(), "label", ["order"], draws=2).collect()
+        return {r.feature: (pytest.approx(r.importance, abs=1e-9), pytest.approx(r.standard_error, abs=1e-9)) for r in found}
+
+    want = trained()
+    monkeypatch.setattr(boosting, "SAMPLE_CELLS", 300)
+    got = trained()
+    assert [(t.feature, t.threshold) for t in got.trees.trees] == [(t.feature, t.threshold) for t in want.trees.trees]
+    assert importances(got) == importances(want)
+
+
 def test_rows_as_they_are_are_scored_once(spark, rows):
     """One copy per feature and draw, and one more: not one more per draw; importances are those of plain means."""
     plain, scored = rows.select("a", "b", "c", "label"), []
