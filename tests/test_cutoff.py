@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_attempts import COLUMNS, attempt
-from tidemark.plans import attempts, cutoff, scoring
+from tidemark.plans import attempts, boosting, cutoff, scoring
 from tidemark.plans.boosting import Boost
 from tidemark.sources.scratch import staged
 from tidemark.sources.views import view
@@ -154,3 +154,21 @@ def test_training_writes_only_what_trees_read(spark, tier, tmp_path, monkeypatch
     assert {"split", "is_stop", cutoff.LABEL, *cutoff.TEXT, "retries", "bin_tier_mean"} <= {*seen["ready"]}
     assert not {"order_id", "invoice_id", "transaction_id", "transaction_datetime", "bin_tier", "resolved_at"} & {*seen["ready"]}
     assert seen["calibration"] == ["score", "rate", "weight"]
+
+
+def test_the_jobs_learn_from_all_rows(spark, tier, tmp_path, monkeypatch):
+    """Artifact, report and live probabilities are those of one task that sees all rows."""
+    fact = spark.createDataFrame(histories(60, 4), COLUMNS)
+    live = staged(cutoff.model_columns(attempts.attempt_features(fact, tier, date("2024-02-10"), date("2023-01-01"))), "live")
+
+    def job(name):
+        made = cutoff.train_cutoff(fact, tier, str(tmp_path / name), days=3, boost=Boost(max_iter=3, depth=3, chunk=3))
+        numbers = {(r.split, k): v for r in made.report.collect() for k, v in r.asDict().items() if isinstance(v, float)}
+        scorer, _ = scoring.load_artifact(spark, str(tmp_path / name))
+        numbers |= {r.transaction_id: r.raw_score for r in scorer.score(live).select("transaction_id", "raw_score").collect()}
+        return [(t.feature, t.threshold) for t in scorer.trees.trees], numbers
+
+    trees, numbers = job("a")
+    monkeypatch.setattr(boosting, "SAMPLE_CELLS", 300)
+    again, found = job("b")
+    assert again == trees and len(numbers) > 10 and found == pytest.approx(numbers, abs=1e-9, nan_ok=True)
